@@ -1,0 +1,4 @@
+"""All queries over the pixel relations, with their SQL counterparts."""
+
+QUERIES = {}
+ORACLES = {}
