@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class TreeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
-        import tiktoken
-
         self._leaf = max(2, leaf)
-        self._part = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._ranks, self._pattern = ranks, pattern
         self._bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self._bytes[rank] = token
         self.windows = 0
 
+    @cached_property
+    def _part(self):
+        """Encodes a part alone; built on first use, as decoding needs the bytes only."""
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=self._pattern, mergeable_ranks=self._ranks, special_tokens={}).encode_ordinary
+
     def encode(self, text: str) -> list[int]:
         return self._span(text, 0, len(text))
 
@@ -143,8 +149,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "t
 
     def run(cols):
         codec = _codec(ship, pattern, leaf)
-        ids = [codec.encode(t or "") for t in cols[0].to_pylist()]
-        return [pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+        ids = [np.array(codec.encode(t or ""), "<u4").tobytes() for t in cols[0].to_pylist()]  # lists of ints would take ten times the room
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
     return append_arrow(docs, [ref(text_col)], [(ids_col, T.BinaryType()), (count_col, T.LongType())], run)
 

@@ -86,10 +86,11 @@ def ref(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataType]], fn) -> DataFrame:
+def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataType]], fn, rows: int = 512) -> DataFrame:
     """Adds columns that fn computes batch by batch in Python workers over Arrow.
 
-    inputs: Column expressions; fn: list of Arrow arrays -> list of Arrow arrays. A column of df with the name
+    inputs: Column expressions; fn: list of Arrow arrays -> list of Arrow arrays, called for `rows` rows at a time, which
+    bounds what a worker holds. A column of df with the name
     of an output is replaced; all others are kept as they are, whatever they are called."""
     keep = others(df, [n for n, _ in outputs])
     n = len(keep)
@@ -99,8 +100,9 @@ def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataTyp
     names = [f.name for f in fields]
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                b = whole.slice(a, rows)
                 got = fn([b.column(i) for i in range(n, b.num_columns)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *got], names)
 
