@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, mixing
+from . import audio, bpe, langid, mixing, nearest, secrets, tokenfile
 from .common import table
 
 
@@ -15,18 +15,38 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_language_id": op5_language_id,
     "op6_source_mixing": op6_source_mixing,
+    "op8_nearest": op8_nearest,
+    "op9_token_files": op9_token_files,
     "op10_audio_features": op10_audio_features,
 }
 
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_secret_scan": secrets.ORACLE, "op6_source_mixing": mixing.ORACLE}
