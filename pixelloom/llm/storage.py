@@ -15,7 +15,8 @@ def write_bytes(folder: str, name: str, data) -> str:
     """Writes a new file under a name that no other attempt of a task uses; gives its URI.
 
     A file counts only once its row, sent on by the attempt that succeeded, names it: what lost attempts leave behind is never read."""
-    uri = f"{folder}/{name}-{uuid.uuid4().hex}"
+    stem, dot, kind = name.partition(".")
+    uri = f"{folder}/{stem}-{uuid.uuid4().hex}{dot}{kind}"
     system, path = opened(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(path) as out:

@@ -6,7 +6,7 @@ rank table, so it can be read alone and appended corpora need no second pass. De
 gathers the bytes at their running sums, in numpy.
 
 The tokenizer's split pattern never runs across a place where white space follows a character that is none, so words with the blank before them
-are encoded once per worker and looked up after that (a bounded cache); the tokenizer itself encodes every word that is not in the cache.
+are encoded once per worker and looked up after that (a bounded cache); the tokenizers library encodes every word that is not in the cache.
 
 Defined results: null text is empty and has the end id alone; rows come in the order of id, null ids first; rows of one id follow each other by text;
 an empty table writes no file.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .storage import read_bytes, write_bytes
 MAGIC = b"PXTOKID1"
 END = 2
 FILE_IDS = 1 << 23
-CACHE = 300_000
+CACHE = 400_000
 _HEAD = "<8sQQQ"
 
 #: For each control byte the four lengths in it, lowest bits first.
@@ -97,10 +98,12 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 # ---- encoding with a cache of words ------------------------------------------------------------------------------
 
-_ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")  # letters in every version of Unicode
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_BLANKS = ("", " ", "\n")
+#: Punctuation that may end a word: ASCII's but for the apostrophe.
+_AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -116,58 +119,78 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.words: dict[str, bytes] = {}  # the word after a blank (or led by a line break) -> ids
+        self.old: dict[str, bytes] = {}  # the generation before, from which words still in use come back
         self.chunks: dict[str, bytes] = {}  # anything else, as it stands
-        led = {chr(256 + 32)}  # how the vocabulary spells a blank's byte
-        self.led = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in led for i in range(self.tokenizer.get_vocab_size())])
+        self.model = self.tokenizer.model.tokenize
+        # how the vocabulary spells bytes: printable ones as themselves, the others in order from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.spelt = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.blank = self.spelt[32]
+        self.tails: dict[str, bytes] = {"": b""}  # punctuation after a word -> ids
+        self.line = self._ids("\n").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Blank-led words are encoded as one line and cut where a token begins with the blank."""
-        plain = [w for w in new if w[:1] != "\n"]
-        for a in range(0, len(plain), 5000):
-            part = plain[a : a + 5000]
-            ids = self._ids(" " + " ".join(part))
-            at = np.flatnonzero(self.led[ids])
-            if len(at) == len(part):
-                cut = [*at.tolist(), len(ids)]
-                self.words.update((w, ids[i:j].tobytes()) for w, i, j in zip(part, cut, cut[1:]))
+    def _learn(self, new: list[str]) -> None:
+        """Letters, and punctuation after them that begins with no apostrophe, are one match of the pattern each, so the model gets the
+        letters straight; all else goes through the whole tokenizer."""
+        model, words, tails = self.model, self.words, self.tails
+        for w in new:
+            led = w[:1] == "\n"
+            core = w[1:] if led else w
+            bare = core.rstrip(_AFTER)
+            tail = core[len(bare) :]
+            if bare.isascii():
+                spelt = bare if bare.isalpha() else None
             else:
-                self.words.update((w, self._ids(" " + w).tobytes()) for w in part)
-        breaks = [w for w in new if w[:1] == "\n"]
-        self.words.update(zip(breaks, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(breaks, add_special_tokens=False))))
+                spelt = bare.encode().decode("latin-1").translate(self.spelt) if _LATIN.fullmatch(bare) else None
+            if spelt is None:
+                words[w] = self._ids(w if led else " " + w).tobytes()
+                continue
+            if tail not in tails:
+                if len(tails) > self.most:
+                    tails.clear()
+                tails[tail] = self._ids(tail).tobytes()
+            ids = array("I", [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
+            words[w] = (self.line if led else b"") + ids + tails[tail]
+
+    def _text(self, t: str) -> bytes:
+        if not t.replace("\n", "").isprintable():  # white space of other kinds, or what might be some
+            return self._ids(t).tobytes()
+        if t[:1] in _BLANKS or t[-1:] in _BLANKS or any(r in t for r in _RUNS):
+            known, parts = self.chunks, _CHUNK.findall(t)
+            for c in parts:
+                if c not in known:
+                    known[c] = self._ids(c).tobytes()
+            return b"".join(map(known.__getitem__, parts))
+        first, *parts = t.replace("\n", " \n").split(" ")
+        got = list(map(self.words.get, parts))
+        if None in got:
+            words, old, missing = self.words, self.old, []
+            for i in [i for i, ids in enumerate(got) if ids is None]:
+                ids = old.get(parts[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    got[i] = words[parts[i]] = ids
+            self._learn([parts[i] for i in missing])
+            for i in missing:
+                got[i] = words[parts[i]]
+        if first not in self.chunks:
+            self.chunks[first] = self._ids(first).tobytes()
+        return self.chunks[first] + b"".join(got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        split, words, chunks = [], set(), set()
-        for t in texts:
-            if (_ODD_ASCII if t.isascii() else _ODD).search(t):
-                split.append((None, t))
-            elif t[:1].isspace() or t[-1:].isspace() or any(r in t for r in _RUNS):
-                parts = _CHUNK.findall(t)
-                chunks.update(parts)
-                split.append(("c", parts))
-            else:
-                parts = t.replace("\n", " \n").split(" ")
-                chunks.add(parts[0])
-                words.update(parts)
-                split.append(("w", parts))
-        self._learn_words([w for w in words if w not in self.words])
-        new = [c for c in chunks if c not in self.chunks]
-        self.chunks.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
         out = []
-        for kind, parts in split:
-            if kind is None:
-                out.append(self._ids(parts).tobytes())
-            elif kind == "c":
-                out.append(b"".join(map(self.chunks.__getitem__, parts)))
-            else:
-                out.append(self.chunks[parts[0]] + b"".join(map(self.words.__getitem__, parts[1:])))
+        for t in texts:
+            if len(self.words) > self.most:
+                self.old, self.words = self.words, {}
+            if len(self.chunks) > self.most:
+                self.chunks.clear()
+            out.append(self._text(t))
         return out
 
 
