@@ -1,0 +1,346 @@
+"""N-gram Jaccard join with filters under several global token orders.
+
+A document is its set of distinct SHINGLE-word shingles (A-Z lower-cased). Two documents link when 100 * |A & B| >= PERCENT * |A | B|. For any
+global order of tokens, linked sets share a token among their first |A| - ceil(PERCENT% of |A|) + 1. Three orders are used:
+
+1. rare first: tokens found in many documents come last, by count; all others come by hash. This order is the distributed index: the prefix tokens are
+   exchanged, and a token's documents become candidates of each other.
+2. ascending hash and 3. descending hash: checked on the candidates' sets; only pairs that pass all three are verified, by exact
+   counts of shared shingles.
+
+What keeps the work near the input's size:
+
+* documents with equal sets are one class, represented by its least id;
+* candidates of a token form a star about its least document (for very common tokens, one star per slice of documents, and one star of the slices'
+  centres); the components of the stars hold every candidate pair inside them, so no list of pairs is ever made;
+* a component is verified in blocks of bounded size. If it has several blocks, each is verified with a few hubs of the component first;
+  after that only the documents that are still apart from the component's main part are verified against all its blocks. Nothing is capped:
+  the work for one component can grow with (documents still apart) x (its documents), counted by matrix products inside blocks.
+
+Counts of common tokens cover all documents: workers send tokens that COMMON or more documents of a batch share, and of their sums those above
+total / TABLE go into the order, at most TABLE tokens, so their broadcast is bounded. An order need not be exact to be safe, only the same for all.
+
+Defined results: null or empty text, or text without words, has an empty set (n_shingles 0) and links with nothing; with fewer than SHINGLE words the whole sequence is the one shingle;
+rows that share an id are one document and should hold one text (repeated rows get the same result); rows with null id have component null; an empty table
+gives an empty result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import WordHasher, append_arrow, grams, ref, stage
+from .graph import components
+from .substring import by_bytes, doc_words
+
+SHINGLE, PERCENT = 5, 80
+COMMON, TABLE = 3, 1 << 17
+SLICE = 2000
+BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 512, 400_000, 16
+#: Up to so many rows (16 bytes each) a list of ids is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def prefix_size(n: int) -> int:
+    return n - -(-PERCENT * n // 100) + 1 if n else 0
+
+
+def sets(col, hasher: WordHasher):
+    """For each row of a string column its shingles' hashes, distinct and ascending."""
+    words, begin = doc_words(col, hasher)
+    all_grams = grams(words, SHINGLE)
+    for a, b in zip(begin[:-1], begin[1:]):
+        n = b - a
+        yield np.unique(all_grams[a : b - SHINGLE + 1]) if n >= SHINGLE else grams(words[a:b], int(n)) if n else np.empty(0, np.uint64)
+
+
+def fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+# ---- verification inside a block -------------------------------------------------------------------------------
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of common tokens. Rare tokens are counted pair by pair, common ones by matrix products over slabs of columns."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    lt, rt = np.concatenate(left), np.concatenate(right)
+    lr, rr = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    u, code = np.unique(np.concatenate([lt, rt]), return_inverse=True)
+    lc, rc = code[: len(lt)], code[len(lt) :]
+    ln, rn = np.bincount(lc, minlength=len(u)), np.bincount(rc, minlength=len(u))
+    few = (ln > 0) & (rn > 0) & (ln * rn <= 64)
+    many = (ln > 0) & (rn > 0) & ~few
+    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
+    ls, rs = np.concatenate([[0], np.cumsum(ln)]), np.concatenate([[0], np.cumsum(rn)])
+    z = np.flatnonzero(few)
+    if len(z):
+        pairs = ln[z] * rn[z]
+        t = np.repeat(z, pairs)
+        k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        np.add.at(out, (lr[lo[ls[t] + k // rn[t]]], rr[ro[rs[t] + k % rn[t]]]), 1)
+    z = np.flatnonzero(many)
+    for a in range(0, len(z), 2048):
+        slab = z[a : a + 2048]
+        at = np.full(len(u), -1)
+        at[slab] = np.arange(len(slab))
+        x, y = np.zeros((len(left), len(slab)), np.float32), np.zeros((len(right), len(slab)), np.float32)
+        m, n = at[lc] >= 0, at[rc] >= 0
+        x[lr[m], at[lc[m]]] = 1
+        y[rr[n], at[rc[n]]] = 1
+        out += (x @ y.T).astype(np.int32)
+    return out
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) booleans: linked. Candidates must share prefix tokens under both hash orders before their sets are compared."""
+    nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    first = lambda s: [x[: prefix_size(len(x))] for x in s]
+    last = lambda s: [x[len(x) - prefix_size(len(x)) :] for x in s]
+    if len(left) * len(right) <= 64:
+        out = np.zeros((len(left), len(right)), bool)
+        fl, fr, zl, zr = first(left), first(right), last(left), last(right)
+        meet = lambda a, b: np.intersect1d(a, b, assume_unique=True).size
+        for i in range(len(left)):
+            for j in range(len(right)):
+                if 100 * min(nl[i], nr[j]) >= PERCENT * max(nl[i], nr[j]) and meet(fl[i], fr[j]) and meet(zl[i], zr[j]):
+                    n = meet(left[i], right[j])
+                    out[i, j] = 100 * n >= PERCENT * (nl[i] + nr[j] - n)
+        return out
+    mask = (shared(first(left), first(right)) > 0) & (shared(last(left), last(right)) > 0)
+    if not mask.any():
+        return mask
+    li, ri = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    n = np.zeros(mask.shape, np.int32)
+    n[np.ix_(li, ri)] = shared([left[i] for i in li], [right[j] for j in ri])
+    return mask & (100 * n >= PERCENT * (nl[:, None] + nr - n))
+
+
+def spanning(ids_l: np.ndarray, ids_r: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what `link` connects, without those inside parts that are already connected."""
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(link)):
+        a, b = root(int(ids_l[i])), root(int(ids_r[j]))
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((int(ids_l[i]), int(ids_r[j])))
+    return out
+
+
+def _groups(batches, keys: int):
+    """Runs of rows with equal keys, over batches of rows that are sorted by them; one run is held at a time."""
+    held, at = [], None
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cut = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for s, e in zip(cut, cut[1:]):
+            key = tuple(int(c[s]) for c in cols)
+            if key != at and held:
+                yield at, held
+                held = []
+            at = key
+            held.append(b.slice(s, e - s))
+    if held:
+        yield at, held
+
+
+def _verify(df: DataFrame) -> DataFrame:
+    """df: g, a, b, side (0 left, 1 right, 2 both), doc, s (the set). Gives spanning links (u, v) of every group (g, a, b)."""
+
+    def run(batches):
+        out_u, out_v = [], []
+        for _, parts in _groups(batches, 3):
+            t = pa.Table.from_batches(parts)
+            side, ids = t.column("side").to_numpy(), t.column("doc").to_numpy()
+            own = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+            l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            if len(l) and len(r):
+                for u, v in spanning(ids[l], ids[r], alike([own[i] for i in l], [own[i] for i in r])):
+                    out_u.append(u)
+                    out_v.append(v)
+            if len(out_u) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+                out_u, out_v = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+
+    dealt = df.select("g", "a", "b", "side", "doc", "s").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+# ---- the join ---------------------------------------------------------------------------------------------------
+
+
+def _profiles(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All documents' (doc, n, fp), and (token, n) of the tokens that several documents of a batch share. One pass, written once."""
+
+    def run(batches):
+        hasher = WordHasher(lower=True)
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                own = list(sets(b.column(1), hasher))
+                k = b.num_rows
+                nulls = lambda m, t: pa.nulls(m, t)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.binary()), nulls(k, pa.int64())], ["doc", "n", "fp", "token"])
+                token, n = np.unique(np.concatenate(own), return_counts=True)
+                z = n >= COMMON
+                k = int(z.sum())
+                yield pa.RecordBatch.from_arrays([nulls(k, pa.int64()), pa.array(n[z].astype(np.int64)), nulls(k, pa.binary()), pa.array(token[z].view(np.int64))], ["doc", "n", "fp", "token"])
+
+    x = stage(docs.mapInArrow(run, "doc long, n long, fp binary, token long"), "profiles")
+    return x.filter("token is null").select("doc", "n", "fp"), x.filter("token is not null").select("token", "n")
+
+
+def _stars(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Candidate edges (u, v): each document of a prefix token with the token's least document."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((common, counts))  # at most TABLE tokens of 16 bytes
+
+    def run(batches):
+        hasher, seen = WordHasher(lower=True), set()
+        common, counts = sent.value
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                tokens, slices, ids = [], [], []
+                for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1), hasher)):
+                    if not len(s):
+                        continue
+                    fp = fingerprint(s)
+                    if fp in seen:  # an equal set of this task stands for it
+                        continue
+                    seen.add(fp)
+                    p = prefix_size(len(s))
+                    at = np.searchsorted(common, s)
+                    hot = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
+                    rare = s[~hot][:p]
+                    cell = np.zeros(len(rare), np.int64)
+                    if len(rare) < p:
+                        t, n = s[hot], counts[at[hot]]
+                        by = np.argsort(n, kind="stable")[: p - len(rare)]
+                        rare = np.concatenate([rare, t[by]])
+                        cell = np.concatenate([cell, 1 + (doc * 0x9E3779B1 >> 7) % (n[by] // SLICE + 1)])
+                    tokens.append(rare)
+                    slices.append(cell)
+                    ids.append(np.full(len(rare), doc))
+                if tokens:
+                    t = np.concatenate(tokens).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(slices).astype(np.int32)), pa.array(np.concatenate(ids))], ["token", "cell", "doc"])
+
+    p = docs.filter("id is not null and text is not null").mapInArrow(run, "token long, cell int, doc long")
+    cell = W.partitionBy("token", "cell")
+    p = p.withColumn("lo", F.min("doc").over(cell)).filter("cell > 0 or lo < doc")
+    p = stage(p.select("token", "cell", "lo", "doc"), "stars")
+    inner = p.filter("lo < doc").select(F.col("lo").alias("u"), F.col("doc").alias("v")).distinct()
+    centres = p.filter("cell > 0").select("token", "cell", "lo").distinct()
+    outer = centres.withColumn("m", F.min("lo").over(W.partitionBy("token"))).filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
+    return inner.unionByName(outer).distinct()
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A hint for a list of ids of a counted size; beyond the bound Spark joins it by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, n_shingles, component: one row per row of docs."""
+    src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
+    own, tokens = _profiles(src)
+    total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = max(2 * COMMON, total // TABLE)
+    top = tokens.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()  # fewer than TABLE rows
+    common, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    by = np.argsort(common)
+    edges = _stars(src, common[by], counts[by])
+    # classes of equal sets
+    first = own.filter("n > 0 and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"))
+    member = stage(own.join(first, "fp", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
+    of = member.filter("doc is not null").select("doc", "rep").distinct()
+    e = edges.join(of.select(F.col("doc").alias("u"), F.col("rep").alias("ru")), "u").join(of.select(F.col("doc").alias("v"), F.col("rep").alias("rv")), "v")
+    cand = stage(components(e.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("doc"), F.col("component").alias("g")), "candidates")
+    links = _links(src, cand, member)
+    part = components(links)
+    out = member.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return out.select(F.col("doc"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+
+def _links(src: DataFrame, cand: DataFrame, member: DataFrame) -> DataFrame:
+    """Verified links (u, v) that connect all that is linked within the candidates' components."""
+    size = member.filter("doc = rep").select("doc", "n").distinct()
+    sized = cand.join(size, "doc")
+    weight = sized.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    blocks = weight.select("g", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    nodes = stage(cand.join(blocks, "g").select("doc", "g", "nb", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int").alias("blk")), "nodes")
+    many = nodes.count()
+    hasher = []
+
+    def run(cols):
+        if not hasher:
+            hasher.append(WordHasher(lower=True))
+        return [pa.array([s.tobytes() for s in sets(cols[0], hasher[0])], pa.binary())]
+
+    from pyspark.sql import types as T
+
+    text = src.join(_small(nodes, many), F.col("id") == F.col("doc")).select("doc", "g", "nb", "blk", "text")
+    held = stage(append_arrow(text, [F.col("text")], [("s", T.BinaryType())], run).select("doc", "g", "nb", "blk", "s"), "sets")
+    both = lambda x: x.withColumn("a", F.col("blk")).withColumn("b", F.lit(-1)).withColumn("side", F.lit(2))
+    large = held.filter("nb > 1")
+    hub = large.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("doc", F.lit(3)), "doc"))).filter(F.col("k") <= HUBS)
+    hub = hub.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("to <> blk")
+    cols = ["g", "a", "b", "side", "doc", "s"]
+    one = both(held).select(*cols).unionByName(hub.select("g", F.col("to").alias("a"), F.lit(-1).alias("b"), F.lit(2).alias("side"), "doc", "s"))
+    first = stage(_verify(one), "links")
+    # large components: what is still apart from the main part is verified against all blocks
+    if not large.select("g").limit(1).count():
+        return first
+    part = components(first).select(F.col("node").alias("doc"), "component")
+    at = nodes.filter("nb > 1").join(part, "doc", "left").select("doc", "g", "nb", "blk", F.coalesce("component", "doc").alias("part"))
+    at = stage(at, "parts")
+    sizes = at.groupBy("g", "part").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("g").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
+    apart = at.join(main, "g").filter("part <> main").select("doc", "g")
+    rows = apart.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nr"))
+    right = large.join(rows, "g").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("g", "a", F.col("blk").alias("b"), F.lit(1).alias("side"), "doc", "s")
+    left = large.join(apart.join(rows, "g").select("doc", "nr"), "doc").withColumn("a", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("nr")).cast("int"))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "a", "b", F.lit(0).alias("side"), "doc", "s")
+    return first.unionByName(stage(_verify(left.unionByName(right)), "links"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    return join(docs).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents of a component other than its least id; rows that repeat an id stay or go together, rows with null id stay."""
+    names = docs.columns
+    found = join(docs, id_col=id_col, text_col=text_col)
+    drop = stage(found.filter("doc <> component").select(F.col("doc").alias("gone")).distinct(), "drop")
+    x = docs.select(*[ref(c).alias(f"d{i}") for i, c in enumerate(names)])
+    x = x.join(_small(drop, drop.count()), F.col(f"d{names.index(id_col)}") == F.col("gone"), "left_anti")
+    return x.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k:k + 4], ' ') END AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM i JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u AS node, u AS to_node FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.to_node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(to_node) AS m FROM r GROUP BY node) c ON c.node = w.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, langid, mixing, nearest, secrets, tokenfile
+from . import audio, bpe, langid, mixing, nearest, ngram_join, secrets, substring, tokenfile, warc
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digests(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
@@ -42,11 +54,20 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_source_mixing": op6_source_mixing,
+    "op7_warc": op7_warc,
     "op8_nearest": op8_nearest,
     "op9_token_files": op9_token_files,
     "op10_audio_features": op10_audio_features,
 }
 
-ORACLES: dict[str, str] = {"op2_secret_scan": secrets.ORACLE, "op6_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": secrets.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
+    "op4_substring_dedup": substring.ORACLE,
+    "op6_source_mixing": mixing.ORACLE,
+    "op7_warc": warc.ORACLE,
+}
