@@ -1,0 +1,156 @@
+"""Probability rasters to polygons: threshold, morphology, components, areas, dates.
+
+The foreground is kept as horizontal runs (tile_id, row, c0, c1), inclusive. Opening and closing by n are erosions and dilations by the
+L1 ball of radius n. A ball is one interval per row offset, so each operation shifts runs to 2n + 1 rows and counts how often a column
+is covered: once is enough for a dilation, all 2n + 1 times for an erosion. Cells outside the tile are background. The rows grow with
+runs * (2n + 1), where cells and offsets would give pixels * (2n * n + 2n + 1).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+PIXEL = ["tile_id", "row", "col"]
+LINE = ["tile_id", "row"]
+
+
+def threshold(prob: DataFrame, least: float) -> DataFrame:
+    return prob.filter(F.col("prob") >= F.lit(least)).select(*PIXEL)
+
+
+def runs(cells: DataFrame) -> DataFrame:
+    """Maximal runs of neighbouring cells of a row."""
+    island = F.col("col") - F.row_number().over(W.partitionBy(*LINE).orderBy("col"))
+    return cells.withColumn("i", island).groupBy(*LINE, "i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("i")
+
+
+def cells(r: DataFrame) -> DataFrame:
+    return r.select(*LINE, F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def _covered(intervals: DataFrame, times: int) -> DataFrame:
+    """Maximal runs of columns that at least `times` of the row's intervals cover: a sweep over the intervals' ends."""
+    ends = intervals.select(*LINE, F.explode(F.array(F.struct(F.col("c0").alias("c"), F.lit(1).alias("d")), F.struct((F.col("c1") + 1).alias("c"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy(*LINE, F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
+    line = W.partitionBy(*LINE).orderBy("c")
+    x = steps.withColumn("n", F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("on", F.col("n") >= times).withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).filter("on <> was")
+    return x.withColumn("c1", F.lead("c").over(line) - 1).filter("on").select(*LINE, F.col("c").alias("c0"), "c1")
+
+
+def _shifted(r: DataFrame, n: int, sign: int) -> DataFrame:
+    x = r.withColumn("d", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("w", (F.lit(n) - F.abs("d")) * sign)
+    return x.select("tile_id", (F.col("row") + F.col("d")).alias("row"), (F.col("c0") - F.col("w")).alias("c0"), (F.col("c1") + F.col("w")).alias("c1")).filter("c0 <= c1")
+
+
+def dilate(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    x = _shifted(r, n, 1).filter((F.col("row") >= 0) & (F.col("row") < height))
+    x = x.withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least("c1", F.lit(width - 1))}).filter("c0 <= c1")
+    return _covered(x, 1)
+
+
+def erode(r: DataFrame, n: int) -> DataFrame:
+    return _covered(_shifted(r, n, -1), 2 * n + 1)
+
+
+def opening(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    return dilate(erode(r, n), n, height, width) if n else r
+
+
+def closing(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    return erode(dilate(r, n, height, width), n) if n else r
+
+
+def components(r: DataFrame) -> DataFrame:
+    """4-connected components of a tile's runs; comp_id is the first cell's row * 2**20 + column, in reading order.
+
+    Polygons never cross tiles, and a tile is a bounded raster, so each is one group of at most (its pixels / 2) runs for a union-find."""
+    import numpy as np
+    import pandas as pd
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "c0"], ignore_index=True)
+        row, c0, c1 = (pdf[c].to_numpy() for c in ("row", "c0", "c1"))
+        top = np.arange(len(pdf))
+
+        def root(i):
+            while top[i] != i:
+                top[i] = top[top[i]]
+                i = top[i]
+            return i
+
+        j = 0
+        for i in range(len(pdf)):  # j follows in the row above
+            while j < i and (row[j] < row[i] - 1 or (row[j] == row[i] - 1 and c1[j] < c0[i])):
+                j += 1
+            k = j
+            while k < i and row[k] == row[i] - 1 and c0[k] <= c1[i]:
+                a, b = root(i), root(k)
+                top[max(a, b)] = min(a, b)
+                k += 1
+        first = [root(i) for i in range(len(pdf))]
+        pdf["comp_id"] = row[first].astype("int64") * (1 << 20) + c0[first]
+        return pdf
+
+    return r.select(*LINE, F.col("c0").cast("int"), F.col("c1").cast("int")).groupBy("tile_id").applyInPandas(label, "tile_id string, row int, c0 int, c1 int, comp_id long")
+
+
+def areas(comps: DataFrame, *, pixel_m2: float = 100.0, min_ha: float = 0.0) -> DataFrame:
+    g = comps.groupBy("tile_id", "comp_id").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_px"))
+    return g.withColumn("area_ha", F.col("n_px") * pixel_m2 / 10000).filter(F.col("area_ha") >= F.lit(min_ha))
+
+
+def time_steps(comp_cells: DataFrame, dates: DataFrame) -> DataFrame:
+    """Per component the most frequent non-zero YYMM of its cells, the smallest on ties; NULL without any."""
+    x = comp_cells.join(dates.filter("yymm > 0").select(*PIXEL, "yymm"), PIXEL, "left")
+    n = x.groupBy("tile_id", "comp_id", "yymm").agg(F.count("*").alias("n"))
+    best = F.max_by(F.when(F.col("yymm").isNotNull(), F.col("yymm")), F.when(F.col("yymm").isNotNull(), F.struct("n", -F.col("yymm"))))
+    return n.groupBy("tile_id", "comp_id").agg(best.alias("time_step"))
+
+
+def polygonize(prob: DataFrame, *, least: float, open_n: int, close_n: int, min_ha: float, height: int, width: int, dates: DataFrame | None = None, pixel_m2: float = 100.0) -> DataFrame:
+    """tile_id, comp_id, n_px, area_ha, time_step of what is left after threshold, opening, closing and area filter."""
+    comps = components(closing(opening(runs(threshold(prob, least)), open_n, height, width), close_n, height, width))
+    kept = areas(comps, pixel_m2=pixel_m2, min_ha=min_ha)
+    if dates is None:
+        return kept.withColumn("time_step", F.lit(None).cast("int"))
+    of = comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"]).select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return kept.join(time_steps(of, dates), ["tile_id", "comp_id"], "left")
+
+
+def outlines(comps: DataFrame) -> DataFrame:
+    """tile_id, comp_id, rings: closed rings of pixel corners (x, y), the outer ring first, then holes."""
+    import pandas as pd
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        cell = {(int(y), x) for y, a, b in zip(pdf["row"], pdf["c0"], pdf["c1"]) for x in range(int(a), int(b) + 1)}
+        for y, x in sorted(cell):  # unit edges with the inside on the right
+            for other, p, q in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
+                if other not in cell:
+                    ends.setdefault(p, []).append(q)
+        rings = []
+        while ends:
+            start = min(ends, key=lambda p: (p[1], p[0]))
+            ring, at, way = [start], start, None
+            while True:
+                to = ends[at]
+                # where two corners touch, turn right: 4-connected parts stay apart
+                pick = 0 if len(to) == 1 or way is None else max(range(len(to)), key=lambda k: way[0] * (to[k][1] - at[1]) - way[1] * (to[k][0] - at[0]))
+                nxt = to.pop(pick)
+                if not to:
+                    del ends[at]
+                step = (nxt[0] - at[0], nxt[1] - at[1])
+                if step == way:
+                    ring[-1] = nxt
+                else:
+                    ring.append(nxt)
+                at, way = nxt, step
+                if at == start:
+                    break
+            rings.append([list(p) for p in ring])
+        return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "comp_id": [pdf["comp_id"].iloc[0]], "rings": [rings]})
+
+    return comps.groupBy("tile_id", "comp_id").applyInPandas(trace, "tile_id string, comp_id long, rings array<array<array<int>>>")

@@ -1,4 +1,586 @@
-"""All queries over the pixel relations, with their SQL counterparts."""
+"""All queries over the pixel relations, each with its counterpart in SQL where SQL can express it.
 
-QUERIES = {}
-ORACLES = {}
+Floats are rounded to nine places on both sides, as sums may be taken in another order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.pixel import region, yymm
+from ..operators import imagery, labels, metrics, model, raster, sampling, satellite, terrain
+from ..sources import fixtures as fx
+from ..sources import layout, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+PIXEL = ["tile_id", "row", "col"]
+H = Wd = fx.EDGE
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(*names: str):
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+def rounded_sql(*names: str) -> str:
+    return ", ".join(f"round({n}, 9) AS {n}" for n in names)
+
+
+PX = 'tile_id, "row", "col"'
+ND = "CASE WHEN {a} + {b} > 0 THEN ({a} - {b}) / greatest({a} + {b}, 0.000001::DOUBLE) ELSE 0.0::DOUBLE END"
+#: Named subqueries of the oracle.
+CTE = {k: f"{k} AS ({v})" for k, v in fx.SQL.items()}
+CTE["x"] = f"x AS (SELECT *, {ND.format(a='b08', b='b04')} AS ndvi, {ND.format(a='b08', b='b11')} AS ndmi FROM s2_obs)"
+CTE["annual"] = f"""m AS (SELECT tile_id, year, month, row_number() OVER (PARTITION BY tile_id, year ORDER BY month) - 1 AS t FROM (SELECT DISTINCT tile_id, year, month FROM x)),
+annual AS (SELECT {PX}, year, count(ndvi) AS n_obs, median(ndvi) AS median_ndvi, median(ndmi) AS median_ndmi, min(ndvi) AS min_ndvi, CASE WHEN count(ndvi) >= 2 THEN coalesce(regr_slope(ndvi, t), 0) ELSE 0 END AS slope_ndvi,
+  CASE WHEN count(ndvi) >= 2 THEN quantile_cont(ndvi, 0.1) END AS p10_ndvi, CASE WHEN count(ndvi) >= 2 THEN quantile_cont(ndvi, 0.9) END AS p90_ndvi, CASE WHEN count(ndvi) >= 2 THEN stddev_pop(ndvi) END AS std_ndvi
+  FROM x JOIN m USING (tile_id, year, month) GROUP BY tile_id, "row", "col", year)"""
+CTE["d_radd"] = f"""r0 AS (SELECT *, CASE WHEN code > 0 THEN CAST(pow(10, least(9, length(CAST(code AS VARCHAR))) - 1) AS BIGINT) ELSE 1 END AS p FROM radd),
+d_radd AS (SELECT {PX}, 'radd' AS source, CASE WHEN ok AND l = 2 THEN 0.6::DOUBLE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CAST(CASE WHEN ok THEN d ELSE 0 END AS INT) AS dd
+  FROM (SELECT *, code // p AS l, code % p + 16435 AS d, code > 0 AND code // p IN (2, 3) AND code % p + 16435 >= 18262 AS ok FROM r0))"""
+CTE["d_gladl"] = f"""d_gladl AS (SELECT {PX}, yy, CASE WHEN ok AND alert = 2 THEN 0.5::DOUBLE WHEN ok AND alert = 3 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CAST(CASE WHEN ok THEN d ELSE 0 END AS INT) AS dd
+  FROM (SELECT *, alert > 0 AND doy > 0 AND d >= 18262 AS ok FROM (SELECT *, date_diff('day', DATE '1970-01-01', make_date(2000 + yy, 1, 1)) + doy - 1 AS d FROM gladl)))"""
+CTE["c_gladl"] = f"""c_gladl AS (SELECT {PX}, 'gladl' AS source, confidence, CASE WHEN confidence > 0 THEN dd ELSE 0 END AS dd FROM (SELECT *, row_number() OVER (PARTITION BY {PX} ORDER BY confidence DESC, yy) AS k FROM d_gladl) WHERE k = 1)"""
+CTE["d_glads2"] = f"""d_glads2 AS (SELECT {PX}, 'glads2' AS source, c AS confidence, CAST(CASE WHEN c > 0 THEN d ELSE 0 END AS INT) AS dd
+  FROM (SELECT *, CASE WHEN alert > 0 AND day_offset > 0 AND d >= 18262 THEN CASE alert WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.75::DOUBLE WHEN 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS c FROM (SELECT *, day_offset + 17897 AS d FROM glads2)))"""
+CTE["fused"] = f"""weak AS (SELECT {PX}, source, confidence, dd FROM d_radd UNION ALL SELECT {PX}, source, confidence, dd FROM c_gladl UNION ALL SELECT {PX}, source, confidence, dd FROM d_glads2),
+f0 AS (SELECT {PX}, max(confidence) AS max_confidence, CAST(count(*) FILTER (confidence > 0) AS INT) AS agree_count, quantile_cont(CASE WHEN confidence > 0 THEN dd END, 0.5) AS m FROM weak GROUP BY tile_id, "row", "col"),
+fused AS (SELECT {PX}, b AS binary_, max_confidence * b AS confidence, max_confidence, agree_count, CAST(CASE WHEN b = 1 THEN coalesce(trunc(m), 0) ELSE 0 END AS INT) AS median_days FROM (SELECT *, CASE WHEN (max_confidence >= 0.7::DOUBLE AND agree_count >= 2) OR max_confidence >= 0.9::DOUBLE THEN 1 ELSE 0 END AS b FROM f0))"""
+CTE["cands"] = f"""cands AS (SELECT f.*, CASE WHEN binary_ > 0 THEN 1 ELSE 0 END AS class FROM fused f JOIN prob p USING ({PX}) WHERE p.forest AND (binary_ > 0 OR max_confidence <= 0.2::DOUBLE))"""
+LABELS = ["radd", "d_radd", "gladl", "d_gladl", "c_gladl", "glads2", "d_glads2", "fused"]
+
+
+def caps_sql(name: str, cls: int, total: int) -> str:
+    return f"""{name}_t AS (SELECT tile_id, substr(tile_id, 1, 5) AS region, count(*) AS n FROM cands WHERE class = {cls} GROUP BY tile_id),
+{name}_r AS (SELECT region, sum(n) AS nr, CAST(round_even(sqrt(sum(n)) * {float(total)}::DOUBLE / (SELECT sum(sqrt(s)) FROM (SELECT sum(n) AS s FROM {name}_t GROUP BY region)), 0) AS BIGINT) AS alloc FROM {name}_t GROUP BY region),
+{name} AS (SELECT tile_id, t.region, n, alloc, CAST(round_even(alloc * n / nr::DOUBLE, 0) AS BIGINT) AS cap FROM {name}_t t JOIN {name}_r r ON r.region = t.region)"""
+
+
+def hash_sql(seed: int) -> str:
+    x = f'((("row"::BIGINT * 65536 + "col" + {seed}) * 2654435761) % 4294967296)'
+    return f"(xor({x}, {x} >> 15) * 1103515245) % 4294967296"
+
+
+CTE["caps1"] = caps_sql("caps1", 1, 400)
+CTE["caps0"] = caps_sql("caps0", 0, 600)
+CTE["pos"] = f"""e AS (SELECT tile_id, quantile_cont(max_confidence, [0.25, 0.5, 0.75]) AS edges, count(*) AS nt FROM cands WHERE class = 1 GROUP BY tile_id),
+p0 AS (SELECT c.*, cap, nt, cap // 4 AS per, len(list_filter(edges, lambda v: v <= max_confidence)) AS bucket, {hash_sql(0)} AS h FROM cands c JOIN e USING (tile_id) JOIN caps1 USING (tile_id) WHERE class = 1),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY tile_id, bucket ORDER BY h, "row", "col") <= per AS first_ FROM p0),
+p2 AS (SELECT *, count(*) FILTER (first_) OVER (PARTITION BY tile_id) AS taken, row_number() OVER (PARTITION BY tile_id, first_ ORDER BY h, "row", "col") AS again FROM p1),
+pos AS (SELECT {PX}, max_confidence, agree_count, 1 AS class FROM p2 WHERE cap > 0 AND (nt <= cap OR first_ OR again <= per * 4 - taken))"""
+CTE["neg"] = f"""neg AS (SELECT {PX}, max_confidence, agree_count, 0 AS class FROM (SELECT c.*, cap, row_number() OVER (PARTITION BY tile_id ORDER BY {hash_sql(1)}, "row", "col") AS k FROM cands c JOIN caps0 USING (tile_id) WHERE class = 0) WHERE k <= cap)"""
+SAMPLE = [*LABELS, "prob", "cands", "caps1", "pos", "caps0", "neg"]
+
+
+def comps_sql(name: str, cells: str) -> str:
+    """4-connected components by the transitive closure of neighbourhood."""
+    return f"""{name}_r AS (SELECT {PX}, "row" AS r0, "col" AS c0 FROM {cells} UNION SELECT n.tile_id, n."row", n."col", r0, c0 FROM {name}_r a JOIN {cells} n ON n.tile_id = a.tile_id AND abs(n."row" - a."row") + abs(n."col" - a."col") = 1),
+{name} AS (SELECT {PX}, min(r0::BIGINT * 1048576 + c0) AS comp_id FROM {name}_r GROUP BY tile_id, "row", "col")"""
+
+
+def ball_sql(n: int) -> str:
+    return f"(SELECT i AS dr, j AS dc FROM (SELECT unnest(range({-n}, {n + 1})) AS i), (SELECT unnest(range({-n}, {n + 1})) AS j) WHERE abs(i) + abs(j) <= {n})"
+
+
+def erode_sql(name: str, cells: str, n: int) -> str:
+    return f'{name} AS (SELECT tile_id, "row" + dr AS "row", "col" + dc AS "col" FROM {cells}, {ball_sql(n)} GROUP BY 1, 2, 3 HAVING count(*) = {2 * n * (n + 1) + 1})'
+
+
+def dilate_sql(name: str, cells: str, n: int) -> str:
+    return f'{name} AS (SELECT DISTINCT tile_id, "row" + dr AS "row", "col" + dc AS "col" FROM {cells}, {ball_sql(n)} WHERE "row" + dr BETWEEN 0 AND {H - 1} AND "col" + dc BETWEEN 0 AND {Wd - 1})'
+
+
+def fg_sql(name: str, least: float) -> str:
+    return f"{name} AS (SELECT {PX} FROM prob WHERE prob >= {least}::DOUBLE)"
+
+
+def w(*names: str, last: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(CTE.get(n, n) for n in names) + "\n" + last
+
+
+# ---- optical, radar and embedding observations -------------------------------------------------------------------
+
+
+@query(w("s2_obs", "x", last=f"SELECT {PX}, year, month, {rounded_sql('b08', 'b04', 'b11', 'ndvi', 'ndmi')} FROM x"))
+def s2_indices(spark, d):
+    return satellite.indices(fx.s2_obs(spark, d)).select(*PIXEL, "year", "month", *rounded("b08", "b04", "b11", "ndvi", "ndmi"))
+
+
+STATS = ("median_ndvi", "median_ndmi", "min_ndvi", "slope_ndvi", "p10_ndvi", "p90_ndvi", "std_ndvi")
+
+
+@query(w("s2_obs", "x", "annual", last=f"SELECT {PX}, year, n_obs, {rounded_sql(*STATS)} FROM annual"))
+def s2_annual_stats(spark, d):
+    return satellite.s2_annual(fx.s2_obs(spark, d)).select(*PIXEL, "year", "n_obs", *rounded(*STATS))
+
+
+@query(w("s2_obs", "x", "annual", last=f"""SELECT {PX}, round(d, 9) AS worst_drop, year AS worst_drop_year FROM (SELECT a.tile_id, a."row", a."col", a.year, a.min_ndvi - b.median_ndvi AS d, row_number() OVER (PARTITION BY a.tile_id, a."row", a."col" ORDER BY a.min_ndvi - b.median_ndvi, a.year) AS k
+  FROM annual a JOIN annual b ON b.tile_id = a.tile_id AND b."row" = a."row" AND b."col" = a."col" AND b.year = 1997 WHERE a.year <> 1997) WHERE k = 1"""))
+def s2_worst_drop(spark, d):
+    return satellite.worst_drop(satellite.s2_annual(fx.s2_obs(spark, d)), 1997).select(*PIXEL, *rounded("worst_drop"), "worst_drop_year")
+
+
+_BL = [f"{w_}_{c}" for c in STATS[:4] for w_ in ("base", "last")] + ["delta_median_ndvi", "delta_median_ndmi"]
+
+
+@query(w("s2_obs", "x", "annual", "b AS (SELECT tile_id, \"row\", \"col\", " + ", ".join(f"coalesce(max({c}) FILTER (year = {y}), 0) AS {w_}_{c}" for c in STATS[:4] for w_, y in (("base", 1997), ("last", 2001))) + ' FROM annual WHERE year IN (1997, 2001) GROUP BY tile_id, "row", "col")',
+         last=f"SELECT {PX}, {rounded_sql(*_BL[:8])}, " + ", ".join(f"round(last_{c} - base_{c}, 9) AS delta_{c}" for c in STATS[:2]) + " FROM b"))
+def s2_base_last_delta(spark, d):
+    return satellite.base_last(satellite.s2_annual(fx.s2_obs(spark, d)), 1997, 2001).select(*PIXEL, *rounded(*_BL))
+
+
+@query(w("s1_obs", "s AS (SELECT *, CASE WHEN vv_linear > 0 THEN 10 * log10(vv_linear) END AS db FROM s1_obs)", last=f'SELECT {PX}, year, round(avg(db), 9) AS mean_vv, round(stddev_pop(db), 9) AS std_vv, round(min(db), 9) AS min_vv FROM s GROUP BY tile_id, "row", "col", year'))
+def s1_annual_stats(spark, d):
+    return satellite.s1_annual(fx.s1_obs(spark, d)).select(*PIXEL, "year", *rounded("mean_vv", "std_vv", "min_vv"))
+
+
+CTE["chg"] = 'chg AS (SELECT tile_id, "row", "col", arg_min(emb, year) AS base, arg_max(emb, year) AS last, min(year) AS base_year, max(year) AS last_year FROM aef GROUP BY tile_id, "row", "col")'
+
+
+@query(w("aef", "chg", last=f"SELECT {PX}, base_year, last_year, round(last[1] - base[1], 9) AS delta_0, round(list_distance(base, last), 9) AS aef_norm, round(1 - list_dot_product(base, last) / (sqrt(list_dot_product(base, base)) * sqrt(list_dot_product(last, last)) + 0.000001::DOUBLE), 9) AS aef_cos FROM chg"))
+def aef_change(spark, d):
+    x = satellite.aef_change(fx.aef(spark, d))
+    return x.select(*PIXEL, "base_year", "last_year", F.round(F.col("delta")[0], 9).alias("delta_0"), *rounded("aef_norm", "aef_cos"))
+
+
+@query(w("aef", "chg", last=f"""SELECT {PX}, round(dd, 9) AS aef_max_drift, year AS aef_year_of_drift FROM (SELECT a.tile_id, a."row", a."col", a.year, list_distance(a.emb, c.base) AS dd, row_number() OVER (PARTITION BY a.tile_id, a."row", a."col" ORDER BY list_distance(a.emb, c.base) DESC, a.year) AS k
+  FROM aef a JOIN chg c ON c.tile_id = a.tile_id AND c."row" = a."row" AND c."col" = a."col" WHERE a.year > c.base_year) WHERE k = 1"""))
+def aef_drift(spark, d):
+    return satellite.aef_drift(fx.aef(spark, d)).select(*PIXEL, *rounded("aef_max_drift"), "aef_year_of_drift")
+
+
+@query(w("s2_obs", "x", "annual", last=f"SELECT {PX}, coalesce(median_ndvi, 0) >= 0.15::DOUBLE AS forest FROM annual WHERE year = 1997"))
+def forest_mask_ndvi(spark, d):
+    x = satellite.s2_annual(fx.s2_obs(spark, d)).filter("year = 1997").select(*PIXEL, F.col("median_ndvi").alias("ndvi"))
+    return satellite.forest_by_ndvi(x, 0.15).select(*PIXEL, "forest")
+
+
+def _split_input(spark, d):
+    a = fx.aef(spark, d).filter("year = 2020")
+    mean = a.groupBy("tile_id").agg(F.avg(F.round(F.col("emb")[0], 4)).alias("mean"))
+    return a.join(mean, "tile_id").select(*PIXEL, (F.round(F.col("emb")[0], 4) - F.col("mean")).alias("score"), F.when(F.col("row") != 2, F.col("emb")[1] * 4).alias("ndvi"))
+
+
+_SPLIT = """s AS (SELECT a.tile_id, "row", "col", round(emb[1], 4) - m AS score, CASE WHEN "row" <> 2 THEN emb[2] * 4 END AS ndvi FROM aef a JOIN (SELECT tile_id, avg(round(emb[1], 4)) AS m FROM aef WHERE year = 2020 GROUP BY tile_id) t USING (tile_id) WHERE year = 2020),
+g AS (SELECT tile_id, median(ndvi) FILTER (score > 0) AS mp, median(ndvi) FILTER (score <= 0) AS mn, count(*) FILTER (score > 0) AS np, count(*) FILTER (score <= 0) AS nn FROM s GROUP BY tile_id)"""
+
+
+@query(w("aef", _SPLIT, last=f"SELECT {PX}, CASE WHEN np = 0 OR nn = 0 THEN coalesce(ndvi, 0) >= 0.1::DOUBLE ELSE ((score > 0) = coalesce(mp >= mn, true)) AND coalesce(ndvi, 0) >= 0.1::DOUBLE END AS forest FROM s JOIN g USING (tile_id)"))
+def forest_mask_split(spark, d):
+    return satellite.forest_by_split(_split_input(spark, d), 0.1).select(*PIXEL, "forest")
+
+
+@query()
+def forest_mask_pca(spark, d):
+    a = fx.aef(spark, d).filter("year = 2020")
+    score = satellite.principal_scores(a).join(a.select(*PIXEL, (F.col("emb")[1] * 4).alias("ndvi")), PIXEL)
+    return satellite.forest_by_split(score, 0.1).select(*PIXEL, *rounded("score"), "forest")
+
+
+@query()
+def packed_features(spark, d):
+    a = fx.aef(spark, d)
+    s2 = satellite.s2_annual(fx.s2_obs(spark, d))
+    cells = a.select(*PIXEL).distinct()
+    return satellite.pack(cells, 64, change=satellite.aef_change(a), drift=satellite.aef_drift(a), s1=satellite.s1_annual(fx.s1_obs(spark, d)), s2=s2, base_year=2020, last_year=2021)
+
+
+# ---- labels -----------------------------------------------------------------------------------------------------
+
+
+def _weak(spark, d):
+    return labels.weak_labels(labels.radd(fx.radd(spark, d)), labels.gladl_combine(labels.gladl(fx.gladl(spark, d))), labels.glads2(fx.glads2(spark, d)))
+
+
+def _fused(spark, d):
+    return labels.fuse(_weak(spark, d))
+
+
+DAYS = F.col("days").alias("unix_days")
+
+
+@query(w("radd", "d_radd", last=f"SELECT {PX}, confidence, dd AS unix_days FROM d_radd"))
+def radd_decode(spark, d):
+    return labels.radd(fx.radd(spark, d)).select(*PIXEL, "confidence", DAYS)
+
+
+@query(w("gladl", "d_gladl", last=f"SELECT {PX}, yy, confidence, dd AS unix_days FROM d_gladl"))
+def gladl_decode(spark, d):
+    return labels.gladl(fx.gladl(spark, d)).select(*PIXEL, "yy", "confidence", DAYS)
+
+
+@query(w("glads2", "d_glads2", last=f"SELECT {PX}, confidence, dd AS unix_days FROM d_glads2"))
+def glads2_decode(spark, d):
+    return labels.glads2(fx.glads2(spark, d)).select(*PIXEL, "confidence", DAYS)
+
+
+@query(w("gladl", "d_gladl", "c_gladl", last=f"SELECT {PX}, confidence, dd AS unix_days FROM c_gladl"))
+def gladl_combine(spark, d):
+    return labels.gladl_combine(labels.gladl(fx.gladl(spark, d))).select(*PIXEL, "confidence", DAYS)
+
+
+@query(w(*LABELS, last=f"SELECT {PX}, binary_, round(confidence, 9) AS confidence, round(max_confidence, 9) AS max_confidence, agree_count, median_days FROM fused"))
+def label_fusion(spark, d):
+    return _fused(spark, d).select(*PIXEL, F.col("binary").alias("binary_"), *rounded("confidence", "max_confidence"), "agree_count", "median_days")
+
+
+@query(w(*LABELS, last=f"SELECT {PX}, CAST(CASE WHEN median_days > 0 THEN year(DATE '1970-01-01' + median_days) % 100 * 100 + month(DATE '1970-01-01' + median_days) ELSE 0 END AS INT) AS yymm FROM fused"))
+def alert_yymm(spark, d):
+    return _fused(spark, d).select(*PIXEL, yymm(F.col("median_days")).alias("yymm"))
+
+
+def _cands(spark, d):
+    return labels.candidates(_fused(spark, d), fx.prob(spark, d))
+
+
+@query(w(*LABELS, "prob", "cands", last=f"SELECT {PX}, class, round(max_confidence, 9) AS max_confidence, agree_count FROM cands"))
+def candidates(spark, d):
+    return _cands(spark, d).select(*PIXEL, "class", *rounded("max_confidence"), "agree_count")
+
+
+# ---- sampling ---------------------------------------------------------------------------------------------------
+
+
+@query(w("tiles", last="""SELECT tile_id, regexp_full_match(substr(tile_id, 1, 5), '1[0-3]NW.') OR regexp_full_match(substr(tile_id, 1, 5), '20NWI') OR regexp_matches(tile_id, '1[0-3]NW.') OR regexp_matches(tile_id, '20NWI') AS is_val, substr(tile_id, 1, 5) AS region FROM tiles"""))
+def split_train_val(spark, d):
+    return sampling.split(fx.tiles(spark, d).select("tile_id"), ["1[0-3]NW.", "20NWI"]).withColumn("region", region(F.col("tile_id")))
+
+
+@query(w("tiles", last="SELECT tile_id FROM tiles WHERE substr(tile_id, 1, 5) IN ('11NWA', '12NWB')"))
+def tuner_val_tiles(spark, d):
+    return fx.tiles(spark, d).filter(region(F.col("tile_id")).isin("10NWA", "12NWB")).select("tile_id")
+
+
+def _per_tile(c, cls):
+    return c.filter(F.col("class") == cls).groupBy("tile_id", region(F.col("tile_id")).alias("region")).agg(F.count("*").alias("n"))
+
+
+@query(w(*LABELS, "prob", "cands", "caps1", last="SELECT region, CAST(nr AS BIGINT) AS n, alloc FROM caps1_r"))
+def region_quota(spark, d):
+    per = _per_tile(_cands(spark, d), 1).groupBy("region").agg(F.sum("n").alias("n"))
+    return sampling.quotas(per, 400)
+
+
+@query(w(*LABELS, "prob", "cands", "caps1", last="SELECT tile_id, region, n, alloc, cap FROM caps1"))
+def tile_caps(spark, d):
+    return sampling.tile_caps(_per_tile(_cands(spark, d), 1), 400)
+
+
+def _positives(c):
+    return sampling.stratified(c.filter("class = 1"), sampling.tile_caps(_per_tile(c, 1), 400))
+
+
+def _negatives(c):
+    return sampling.plain(c.filter("class = 0"), sampling.tile_caps(_per_tile(c, 0), 600), seed=1)
+
+
+@query(w(*LABELS, "prob", "cands", "caps1", "pos", last=f"SELECT {PX}, round(max_confidence, 9) AS max_confidence FROM pos"))
+def stratified_positives(spark, d):
+    return _positives(_cands(spark, d)).select(*PIXEL, *rounded("max_confidence"))
+
+
+@query(w(*LABELS, "prob", "cands", "caps0", "neg", last=f"SELECT {PX}, round(max_confidence, 9) AS max_confidence FROM neg"))
+def negative_sample(spark, d):
+    return _negatives(_cands(spark, d)).select(*PIXEL, *rounded("max_confidence"))
+
+
+def _sample(spark, d):
+    c = _cands(spark, d)
+    cols = [*PIXEL, "class", "max_confidence", "agree_count"]
+    return _positives(c).select(*cols).unionByName(_negatives(c).select(*cols))
+
+
+@query(w(*SAMPLE, "s AS (SELECT * FROM pos UNION ALL SELECT * FROM neg)", "u AS (SELECT *, substr(tile_id, 1, 5) AS region, CASE WHEN class = 1 THEN max_confidence * (1.0::DOUBLE + 0.25::DOUBLE * agree_count) ELSE 1.0::DOUBLE END AS w0 FROM s)",
+         "v AS (SELECT *, avg(w0) OVER (PARTITION BY tile_id) AS mw, count(*) OVER () AS nn, count(*) OVER (PARTITION BY region) AS nr FROM u)",
+         last=f"SELECT {PX}, region, class, round(CASE WHEN class = 1 THEN max_confidence ELSE 0 END, 9) AS target, round(CASE WHEN mw > 0.000001::DOUBLE THEN w0 / mw ELSE w0 END * (nn / ((SELECT count(DISTINCT region) FROM u) * nr)::DOUBLE), 9) AS weight FROM v"))
+def sample_weights(spark, d):
+    return sampling.weights(_sample(spark, d)).select(*PIXEL, "region", "class", *rounded("target", "weight"))
+
+
+@query(w(*SAMPLE, "s AS (SELECT * FROM pos UNION ALL SELECT * FROM neg)", last="SELECT round(avg(class), 9) AS p, round((1 - avg(class)) / avg(class), 9) AS scale_pos_weight FROM s"))
+def scale_pos_weight(spark, d):
+    return sampling.positive_weight(_sample(spark, d)).select(*rounded("p", "scale_pos_weight"))
+
+
+@query(w(*LABELS, "prob", "cands", last=f"SELECT {PX}, class, CAST(class AS DOUBLE) AS target, 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, class ORDER BY {hash_sql(0)}, \"row\", \"col\") AS k FROM cands) WHERE k <= CASE WHEN class = 1 THEN 100 ELSE 150 END"))
+def validation_sample(spark, d):
+    return sampling.validation(_cands(spark, d), most_pos=100, most_neg=150)
+
+
+# ---- rasters to polygons ----------------------------------------------------------------------------------------
+
+
+@query(w("prob", last=f"SELECT {PX}, round(CASE WHEN forest THEN prob ELSE 0 END, 9) AS prob FROM prob"))
+def forest_gate(spark, d):
+    return fx.prob(spark, d).select(*PIXEL, F.round(F.when(F.col("forest"), F.col("prob")).otherwise(0.0), 9).alias("prob"))
+
+
+def _runs(spark, d, least):
+    return raster.runs(raster.threshold(fx.prob(spark, d), least))
+
+
+@query(w("prob", fg_sql("fg", 0.25), erode_sql("er", "fg", 1), dilate_sql("op", "er", 1), last=f"SELECT {PX} FROM op"))
+def morph_open(spark, d):
+    return raster.cells(raster.opening(_runs(spark, d, 0.25), 1, H, Wd)).select(*PIXEL)
+
+
+@query(w("prob", fg_sql("fg", 0.7), dilate_sql("di", "fg", 2), erode_sql("cl", "di", 2), last=f"SELECT {PX} FROM cl"))
+def morph_close(spark, d):
+    return raster.cells(raster.closing(_runs(spark, d, 0.7), 2, H, Wd)).select(*PIXEL)
+
+
+@query(w("prob", fg_sql("fg", 0.55), comps_sql("co", "fg"), recursive=True, last="SELECT tile_id, comp_id, count(*) AS n_px, round(count(*) * 100.0 / 10000, 9) AS area_ha FROM co GROUP BY tile_id, comp_id HAVING count(*) >= 2"))
+def components_area(spark, d):
+    return raster.areas(raster.components(_runs(spark, d, 0.55)), min_ha=0.015).select("tile_id", "comp_id", "n_px", *rounded("area_ha"))
+
+
+def _dates(spark, d):
+    return _fused(spark, d).select(*PIXEL, yymm(F.col("median_days")).alias("yymm"))
+
+
+CTE["dates"] = f"dates AS (SELECT {PX}, CAST(CASE WHEN median_days > 0 THEN year(DATE '1970-01-01' + median_days) % 100 * 100 + month(DATE '1970-01-01' + median_days) ELSE 0 END AS INT) AS yymm FROM fused)"
+
+
+def step_sql(comps: str) -> str:
+    return f"""st AS (SELECT tile_id, comp_id, yymm AS time_step FROM (SELECT c.tile_id, comp_id, yymm, row_number() OVER (PARTITION BY c.tile_id, comp_id ORDER BY count(*) DESC, yymm) AS k FROM {comps} c JOIN dates d ON d.tile_id = c.tile_id AND d."row" = c."row" AND d."col" = c."col" WHERE yymm > 0 GROUP BY c.tile_id, comp_id, yymm) WHERE k = 1)"""
+
+
+@query(w(*LABELS, "dates", "prob", fg_sql("fg", 0.55), comps_sql("co", "fg"), step_sql("co"), recursive=True, last="SELECT c.tile_id, c.comp_id, time_step FROM (SELECT DISTINCT tile_id, comp_id FROM co) c LEFT JOIN st ON st.tile_id = c.tile_id AND st.comp_id = c.comp_id"))
+def component_time_step(spark, d):
+    comps = raster.components(_runs(spark, d, 0.55))
+    cell = comps.select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return raster.time_steps(cell, _dates(spark, d))
+
+
+@query(w(*LABELS, "t AS (SELECT tile_id, \"row\", \"col\" FROM fused WHERE binary_ = 1)", comps_sql("co", "t"), recursive=True, last="SELECT tile_id, comp_id, count(*) AS n_px FROM co GROUP BY tile_id, comp_id HAVING count(*) >= 3"))
+def label_polygons(spark, d):
+    cell = _fused(spark, d).filter(F.col("binary") == 1).select(*PIXEL)
+    return raster.areas(raster.components(raster.runs(cell)), min_ha=0.03).select("tile_id", "comp_id", "n_px")
+
+
+def _sure(spark, d):
+    return labels.radd(fx.radd(spark, d)).filter("confidence >= 1.0").select(*PIXEL)
+
+
+_TRUE = "t AS (SELECT tile_id, \"row\", \"col\" FROM d_radd WHERE confidence >= 1.0)"
+
+
+@query(w("radd", "d_radd", _TRUE, "prob", fg_sql("fg", 0.6), last=f"SELECT count(*) FILTER (p = 1 AND q = 1) AS inter, count(*) AS either, round(count(*) FILTER (p = 1 AND q = 1) / count(*)::DOUBLE, 9) AS iou FROM (SELECT *, 1 AS p FROM fg) a FULL JOIN (SELECT *, 1 AS q FROM t) b USING ({PX})"))
+def union_iou(spark, d):
+    return metrics.union_iou(raster.threshold(fx.prob(spark, d), 0.6), _sure(spark, d)).select("inter", "either", *rounded("iou"))
+
+
+def _polygons(cells):
+    return raster.components(raster.runs(cells)).select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def hits_sql(comps: str, others: str) -> str:
+    return f"""(SELECT count(*) FROM (SELECT DISTINCT tile_id, comp_id FROM {comps} c WHERE EXISTS (SELECT 1 FROM {others} o WHERE o.tile_id = c.tile_id AND abs(o."row" - c."row") <= 1 AND abs(o."col" - c."col") <= 1)))"""
+
+
+@query(w("radd", "d_radd", _TRUE, "prob", fg_sql("fg", 0.9), comps_sql("co", "t"), recursive=True, last=f"SELECT {hits_sql('co', 'fg')} AS hits, (SELECT count(*) FROM (SELECT DISTINCT tile_id, comp_id FROM co)) AS n, round({hits_sql('co', 'fg')} / (SELECT count(*) FROM (SELECT DISTINCT tile_id, comp_id FROM co))::DOUBLE, 9) AS recall"))
+def polygon_recall(spark, d):
+    return metrics.recall(_polygons(_sure(spark, d)), raster.threshold(fx.prob(spark, d), 0.9)).select("hits", "n", *rounded("recall"))
+
+
+@query(w("radd", "d_radd", _TRUE, "prob", fg_sql("fg", 0.9), comps_sql("co", "fg"), recursive=True, last=f"SELECT n - h AS misses, n, round(1 - h / n::DOUBLE, 9) AS fpr FROM (SELECT {hits_sql('co', 't')} AS h, (SELECT count(*) FROM (SELECT DISTINCT tile_id, comp_id FROM co)) AS n)"))
+def polygon_fpr(spark, d):
+    return metrics.false_positive_rate(_polygons(raster.threshold(fx.prob(spark, d), 0.9)), _sure(spark, d)).select("misses", "n", *rounded("fpr"))
+
+
+GRID = {"thresholds": [0.55, 0.7], "opens": [0, 1], "closes": [0, 2], "areas": [0.0, 0.03]}
+
+
+def grid_sql() -> str:
+    names, out, k = [_TRUE], [], 0
+    for t in GRID["thresholds"]:
+        for o in GRID["opens"]:
+            for c in GRID["closes"]:
+                g = f"g{k}"
+                names.append(fg_sql(f"{g}_f", t))
+                cur = f"{g}_f"
+                if o:
+                    names += [erode_sql(f"{g}_e", cur, o), dilate_sql(f"{g}_o", f"{g}_e", o)]
+                    cur = f"{g}_o"
+                if c:
+                    names += [dilate_sql(f"{g}_d", cur, c), erode_sql(f"{g}_c", f"{g}_d", c)]
+                    cur = f"{g}_c"
+                names.append(comps_sql(f"{g}_k", cur))
+                names.append(f'{g}_n AS (SELECT c.tile_id, comp_id, count(*) AS px, count(t.tile_id) AS hit FROM {g}_k c LEFT JOIN t ON t.tile_id = c.tile_id AND t."row" = c."row" AND t."col" = c."col" GROUP BY 1, 2)')
+                for i, a in enumerate(GRID["areas"]):
+                    out.append(f"SELECT {k + i} AS combo, {t}::DOUBLE AS threshold, {o} AS open_n, {c} AS close_n, {a}::DOUBLE AS min_ha, coalesce(sum(hit), 0) AS i, coalesce(sum(px), 0) AS p FROM {g}_n WHERE px * 0.01::DOUBLE >= {a}::DOUBLE")
+                k += len(GRID["areas"])
+    return w("radd", "d_radd", "prob", *names, f"a AS ({' UNION ALL '.join(out)})", recursive=True, last="SELECT combo, threshold, open_n, close_n, min_ha, round(i / greatest(p + (SELECT count(*) FROM t) - i, 1)::DOUBLE, 9) AS iou, row_number() OVER (ORDER BY i / greatest(p + (SELECT count(*) FROM t) - i, 1)::DOUBLE DESC, combo) AS rank FROM a")
+
+
+@query(grid_sql())
+def grid_search(spark, d):
+    return metrics.grid_search(fx.prob(spark, d), _sure(spark, d), **GRID, height=H, width=Wd).select("rank", "combo", "threshold", "open_n", "close_n", "min_ha", *rounded("iou"))
+
+
+_POLY = {"least": 0.4, "open_n": 1, "close_n": 1, "min_ha": 0.02}
+
+
+@query(w(*LABELS, "dates", "prob", fg_sql("fg", 0.4), erode_sql("e1", "fg", 1), dilate_sql("o1", "e1", 1), dilate_sql("d1", "o1", 1), erode_sql("c1", "d1", 1), comps_sql("co", "c1"), step_sql("co"), recursive=True,
+         last="SELECT c.tile_id, c.comp_id, n_px, round(n_px * 100.0 / 10000, 9) AS area_ha, time_step FROM (SELECT tile_id, comp_id, count(*) AS n_px FROM co GROUP BY 1, 2 HAVING count(*) >= 2) c LEFT JOIN st ON st.tile_id = c.tile_id AND st.comp_id = c.comp_id"))
+def submission_features(spark, d):
+    x = raster.polygonize(fx.prob(spark, d), **_POLY, height=H, width=Wd, dates=_dates(spark, d))
+    return x.select("tile_id", "comp_id", "n_px", *rounded("area_ha"), "time_step")
+
+
+@query()
+def submission_geojson(spark, d):
+    p = fx.prob(spark, d)
+    comps = raster.components(raster.opening(_runs(spark, d, 0.4), 1, H, Wd))
+    kept = raster.areas(comps, min_ha=0.02).withColumn("time_step", F.lit(None).cast("int"))
+    rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
+    tiles = p.select("tile_id").distinct().select("tile_id", F.substring("tile_id", 1, 2).cast("int").alias("zone"), F.lit(False).alias("south"), F.lit(10.0).alias("a"), F.lit(500000.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(400000.0).alias("f"))
+    return sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), tiles))
+
+
+# ---- terrain and grids ------------------------------------------------------------------------------------------
+
+
+@query(w("tiles", """b AS (SELECT tile_id, CAST(floor(s) AS INT) AS a0, CAST(CASE WHEN n > floor(s) + 1 THEN floor(n - 0.000000001::DOUBLE) ELSE floor(s) END AS INT) AS a1, CAST(floor(w) AS INT) AS o0, CAST(CASE WHEN e > floor(w) + 1 THEN floor(e - 0.000000001::DOUBLE) ELSE floor(w) END AS INT) AS o1 FROM tiles)""",
+         "c AS (SELECT tile_id, lat, unnest(range(o0, o1 + 1)) AS lon FROM (SELECT *, unnest(range(a0, a1 + 1)) AS lat FROM b))",
+         last="""SELECT tile_id, CAST(lat AS INT) AS lat, CAST(lon AS INT) AS lon, 'Copernicus_DSM_COG_10_' || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || '_00_' || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') || '_00_DEM' AS dem FROM c"""))
+def dem_cells(spark, d):
+    return terrain.dem_cells(fx.tiles(spark, d))
+
+
+_GX = """g AS (SELECT *, lag(elevation) OVER r AS zb, lead(elevation) OVER r AS za, lag(elevation) OVER c AS yb, lead(elevation) OVER c AS ya FROM dem WINDOW r AS (PARTITION BY tile_id, "row" ORDER BY "col"), c AS (PARTITION BY tile_id, "col" ORDER BY "row"))"""
+
+
+@query(w("dem", _GX, last=f"""SELECT {PX}, elevation, round(degrees(atan(sqrt(pow((coalesce(za, elevation) - coalesce(zb, elevation)) / (CASE WHEN za IS NOT NULL AND zb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2) + pow((coalesce(ya, elevation) - coalesce(yb, elevation)) / (CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2)))), 9) AS slope FROM g"""))
+def dem_slope(spark, d):
+    return terrain.slope(fx.dem(spark, d), 30.0, 30.0).select(*PIXEL, "elevation", *rounded("slope"))
+
+
+TO, FROM = (25.0, 0.0, -40.0, 0.0, -25.0, 60.0), (10.0, 0.0, 0.0, 0.0, -10.0, 0.0)
+_AT = """g AS (SELECT tile_id, r AS "row", c AS "col", (25 * (c + 0.5::DOUBLE) - 40) / 10 AS u, (25 * (r + 0.5::DOUBLE) - 60) / 10 AS v FROM (SELECT DISTINCT tile_id FROM dem), (SELECT CAST(unnest(range(0, 24)) AS INT) AS r), (SELECT CAST(unnest(range(0, 24)) AS INT) AS c))"""
+
+
+def _target(spark, d):
+    return terrain.target_grid(fx.dem(spark, d), 24, 24)
+
+
+@query(w("dem", _AT, last="""SELECT g.tile_id, g."row", g."col", coalesce(elevation, -1) AS elevation FROM g LEFT JOIN dem d ON d.tile_id = g.tile_id AND d."row" = floor(v) AND d."col" = floor(u)"""))
+def warp_nearest(spark, d):
+    return terrain.warp_nearest(fx.dem(spark, d), _target(spark, d), TO, FROM, "elevation", -1.0)
+
+
+@query(w("dem", _AT, """h AS (SELECT g.tile_id, g."row", g."col", elevation AS z, (1 - abs(d."row" - (v - 0.5::DOUBLE))) * (1 - abs(d."col" - (u - 0.5::DOUBLE))) AS k FROM g JOIN dem d ON d.tile_id = g.tile_id AND abs(d."row" - (v - 0.5::DOUBLE)) < 1 AND abs(d."col" - (u - 0.5::DOUBLE)) < 1)""",
+         last="""SELECT g.tile_id, g."row", g."col", round(coalesce(sum(z * k) / sum(k), 0), 9) AS elevation FROM g LEFT JOIN h USING (tile_id, "row", "col") GROUP BY 1, 2, 3"""))
+def warp_bilinear(spark, d):
+    return terrain.warp_bilinear(fx.dem(spark, d), _target(spark, d), TO, FROM, ["elevation"]).select(*PIXEL, *rounded("elevation"))
+
+
+@query()
+def tile_lonlat_bounds(spark, d):
+    t = fx.prob(spark, d).groupBy("tile_id").agg(F.max("row").alias("r"), F.max("col").alias("k"))
+    t = t.select("tile_id", F.substring("tile_id", 1, 2).cast("int").alias("zone"), F.lit(False).alias("south"), (F.col("r") + 1).alias("height"), (F.col("k") + 1).alias("width"), F.lit(10.0).alias("a"), F.lit(500000.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(400000.0).alias("f"))
+    return terrain.lonlat_bounds(t).select("tile_id", *rounded("w", "s", "e", "n"))
+
+
+# ---- pictures ---------------------------------------------------------------------------------------------------
+
+CTE["rgb"] = "rgb AS (SELECT tile_id, \"row\", \"col\", year, " + ", ".join(f"median(CASE WHEN {b} > 0 THEN {b} END) AS {b}" for b in ("b04", "b08", "b11")) + ' FROM s2_obs GROUP BY tile_id, "row", "col", year)'
+BANDS = ["b04", "b08", "b11"]
+
+
+@query(w("s2_obs", "rgb", last=f"SELECT {PX}, year, {rounded_sql(*BANDS)} FROM rgb"))
+def rgb_median(spark, d):
+    return imagery.median_composite(fx.s2_obs(spark, d), BANDS).select(*PIXEL, "year", *rounded(*BANDS))
+
+
+@query(w("s2_obs", "rgb", "p AS (SELECT year, " + ", ".join(f"quantile_cont({b}, 0.02) AS l_{b}, quantile_cont({b}, 0.98) AS h_{b}" for b in BANDS) + " FROM rgb GROUP BY year)",
+         last=f"SELECT {PX}, year, " + ", ".join(f"round(CASE WHEN h_{b} > l_{b} AND {b} IS NOT NULL THEN least(greatest(({b} - l_{b}) / (h_{b} - l_{b}), 0), 1) ELSE 0 END, 9) AS {b}" for b in BANDS) + " FROM rgb JOIN p USING (year)"))
+def rgb_stretch(spark, d):
+    return imagery.stretch(imagery.median_composite(fx.s2_obs(spark, d), BANDS), BANDS, ["year"]).select(*PIXEL, "year", *rounded(*BANDS))
+
+
+@query(w("s2_obs", last="SELECT tile_id, year, month FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY CASE WHEN year = 1998 AND month = 6 THEN 0 WHEN year = 1998 THEN 1 ELSE 2 END, year DESC, month DESC) AS k FROM (SELECT DISTINCT tile_id, year, month FROM s2_obs)) WHERE k = 1"))
+def basemap_pick(spark, d):
+    return imagery.pick_scene(fx.s2_obs(spark, d), 1998, 6)
+
+
+@query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 180 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 80 - 36 AS DOUBLE) AS s, c_custkey * 13 % 180 - 85 + 0.5::DOUBLE AS e, c_custkey * 7 % 80 - 36 + 0.5::DOUBLE AS n FROM customer)",
+         last="SELECT DISTINCT tile_id, poly_id FROM b JOIN tiles t ON b.w <= t.e AND b.e >= t.w AND b.s <= t.n AND b.n >= t.s"))
+def tile_clip(spark, d):
+    k = F.col("c_custkey")
+    boxes = fx.table(spark, d, "customer").select(k.alias("poly_id"), (k * 13 % 180 - 85).cast("double").alias("w"), (k * 7 % 80 - 36).cast("double").alias("s"), (k * 13 % 180 - 85 + 0.5).cast("double").alias("e"), (k * 7 % 80 - 36 + 0.5).cast("double").alias("n"))
+    return imagery.clip(boxes, fx.tiles(spark, d))
+
+
+@query(w("prob", last="SELECT tile_id, min(\"col\") * 10.0::DOUBLE AS w, min(\"row\") * 10.0::DOUBLE AS n_edge, (max(\"col\") + 1) * 10.0::DOUBLE AS e, (max(\"row\") + 1) * 10.0::DOUBLE AS s_edge FROM prob GROUP BY tile_id"))
+def tile_footprint(spark, d):
+    return imagery.footprint(fx.prob(spark, d))
+
+
+def _names(spark, d):
+    t = fx.tiles(spark, d)
+    kind = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("__s2_l2a_", ""), ("__S2_L2A_", ""), ("__s1_rtc_", "_Ascending"), ("__s1_rtc_", "_descending"), ("__s1_rtc_", ""))]))
+    x = t.withColumn("p", kind).withColumn("y", F.explode(F.sequence(F.lit(2019), F.lit(2021))))
+    return x.select("tile_id", F.concat("tile_id", "p.a", F.col("y").cast("string"), F.lit("_"), (F.col("k") % 12 + 1).cast("string"), "p.b", F.lit(".tif")).alias("name"))
+
+
+_NAMES = """f AS (SELECT tile_id, tile_id || p.a || y || '_' || (k % 12 + 1) || p.b || '.tif' AS name FROM tiles, (SELECT unnest([{'a': '__s2_l2a_', 'b': ''}, {'a': '__S2_L2A_', 'b': ''}, {'a': '__s1_rtc_', 'b': '_Ascending'}, {'a': '__s1_rtc_', 'b': '_descending'}, {'a': '__s1_rtc_', 'b': ''}]) AS p), (SELECT unnest([2019, 2020, 2021]) AS y))"""
+
+
+@query(w("tiles", _NAMES, last=r"""SELECT DISTINCT tile_id, CAST(regexp_extract(name, '(?i).*__s2_l2a_(\d{4})_(\d{1,2})\.tif$', 1) AS INT) AS year, CAST(regexp_extract(name, '(?i).*__s2_l2a_(\d{4})_(\d{1,2})\.tif$', 2) AS INT) AS month FROM f WHERE regexp_matches(name, '(?i).*__s2_l2a_(\d{4})_(\d{1,2})\.tif$')"""))
+def list_s2_months(spark, d):
+    return layout.s2_months(_names(spark, d))
+
+
+@query(w("tiles", _NAMES, last=r"""SELECT DISTINCT tile_id, CAST(regexp_extract(name, '(?i).*__s1_rtc_(\d{4})_(\d{1,2})_(ascending|descending)\.tif$', 1) AS INT) AS year, CAST(regexp_extract(name, '(?i).*__s1_rtc_(\d{4})_(\d{1,2})_(ascending|descending)\.tif$', 2) AS INT) AS month, lower(regexp_extract(name, '(?i).*__s1_rtc_(\d{4})_(\d{1,2})_(ascending|descending)\.tif$', 3)) AS orbit FROM f WHERE regexp_matches(name, '(?i).*__s1_rtc_(\d{4})_(\d{1,2})_(ascending|descending)\.tif$')"""))
+def list_s1_months(spark, d):
+    return layout.s1_months(_names(spark, d))
+
+
+@query(w("s2_obs", last="SELECT tile_id, s.year AS year, s.month AS month FROM (SELECT tile_id, min({'year': year, 'month': month}) AS s FROM s2_obs GROUP BY tile_id)"))
+def reference_grid(spark, d):
+    return layout.reference_scene(fx.s2_obs(spark, d))
+
+
+# ---- model ------------------------------------------------------------------------------------------------------
+
+
+def _training(spark, d):
+    s = sampling.weights(_sample(spark, d))
+    slope = terrain.slope(fx.dem(spark, d), 30.0, 30.0)
+    return s.join(slope, PIXEL).join(fx.prob(spark, d), PIXEL)
+
+
+FEATURES = ["elevation", "slope", "prob_in", "row", "col"]
+
+
+@query()
+def gbt_predict(spark, d):
+    rows = _training(spark, d).withColumnRenamed("prob", "prob_in")
+    m = model.fit(rows, FEATURES, trees=8, rate=0.2, depth=4, least=10)
+    every = terrain.slope(fx.dem(spark, d), 30.0, 30.0).join(fx.prob(spark, d).withColumnRenamed("prob", "prob_in"), PIXEL)
+    return model.predict(m, every, forest="forest").select(*PIXEL, *rounded("prob"))
+
+
+@query()
+def region_cv(spark, d):
+    rows = _training(spark, d).withColumnRenamed("prob", "prob_in")
+    return model.region_out(rows, FEATURES, trees=4, rate=0.2, depth=3, least=10).select("region", "n", *rounded("log_loss", "mean_prob"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to dated polygons in one plan: decode, fuse, threshold, clean up, connect, date."""
+    return submission_features(spark, sf_dir)
