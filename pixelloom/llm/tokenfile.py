@@ -43,22 +43,31 @@ LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(25
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype(np.uint32)
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    at = np.cumsum(code, dtype=np.int64) + np.arange(len(v)) - code
-    data = np.zeros(int(at[-1]) + int(code[-1]) + 1 if len(v) else 0, np.uint8)
-    for k in range(4):
-        long = np.flatnonzero(code >= k) if k else slice(None)
-        data[at[long] + k] = (v[long] >> np.uint32(8 * k)).astype(np.uint8)
+    v = values.astype(np.uint32, copy=False)
+    most = int(v.max()) if len(v) else 0
+    code = (v > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if most > limit:
+            code += v > limit
+    at = np.cumsum(code + np.uint8(1), dtype=np.int64)
+    data = np.zeros(int(at[-1]) if len(v) else 0, np.uint8)
+    at -= code
+    at -= 1
+    data[at] = v.astype(np.uint8)
+    for k in range(1, 4):
+        if most >> (8 * k):
+            long = np.flatnonzero(code >= k)
+            data[at[long] + k] = (v[long] >> np.uint32(8 * k)).astype(np.uint8)
     code = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
     return (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n]
-    at = np.cumsum(size, dtype=np.int64) - size
+    at = np.cumsum(size, dtype=np.int64)
+    at -= size
     out = data[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(size.max()) if n else 0):
         long = np.flatnonzero(size > k)
         out[long] |= data[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -241,8 +250,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
     return stage(x.mapInArrow(run, "part long, seq long, uri string, n_docs long, n_ids long"), "token-files")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Reads the files: doc_id, start (ids before the document), n_tokens, ids_crc32 and ids (binary, little-endian unsigned 32-bit).
+def read(files: DataFrame, *, ids_too: bool = True) -> DataFrame:
+    """Reads the files: doc_id, start (ids before the document), n_tokens, ids_crc32 and, unless left out, ids (binary, little-endian unsigned 32-bit).
 
     The ids before a file come from a running sum over the list of files, one row each."""
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
@@ -254,18 +263,18 @@ def read(files: DataFrame) -> DataFrame:
                 keys, counts, ids = from_file(read_bytes(uri))
                 ends = np.cumsum(counts, dtype=np.int64)
                 starts = ends - counts
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 for a in range(0, len(keys), 2000):
                     z = slice(a, a + 2000)
-                    own = [ids[i:j].astype("<u4").tobytes() for i, j in zip(starts[z].tolist(), ends[z].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[z], pa.int64()), pa.array(starts[z] + first, pa.int64()), pa.array(counts[z].astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    own = [raw[4 * i : 4 * j] for i, j in zip(starts[z].tolist(), ends[z].tolist())]
+                    out = [pa.array(keys[z], pa.int64()), pa.array(starts[z] + first, pa.int64()), pa.array(counts[z].astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(out + [pa.array([x.tobytes() for x in own], pa.binary())] * ids_too, names)
 
     many = max(1, files.count())
-    return listed.repartition(many, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids_too
+    return listed.repartition(many, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids_too)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     files = write(docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "tokens"), tokenizer)
-    return read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(files, ids_too=False).select("doc_id", "start", "n_tokens", "ids_crc32")
