@@ -3,7 +3,7 @@
 A document is its set of distinct SHINGLE-word shingles (A-Z lower-cased). Two documents link when 100 * |A & B| >= PERCENT * |A | B|. For any
 global order of tokens, linked sets share a token among their first |A| - ceil(PERCENT% of |A|) + 1. Three orders are used:
 
-1. rare first: tokens found in many documents come last, by count; all others come by hash. This order is the distributed index: the prefix tokens are
+1. rare first: by the token's count in a sketch of all documents, then by hash. This order is the distributed index: the prefix tokens are
    exchanged, and a token's documents become candidates of each other.
 2. ascending hash and 3. descending hash: checked on the candidates' sets; only pairs that pass all three are verified, by exact
    counts of shared shingles.
@@ -17,8 +17,9 @@ What keeps the work near the input's size:
   after that only the documents that are still apart from the component's main part are verified against all its blocks. Nothing is capped:
   the work for one component can grow with (documents still apart) x (its documents), counted by matrix products inside blocks.
 
-Counts of common tokens cover all documents: workers send tokens that COMMON or more documents of a batch share, and of their sums those above
-total / TABLE go into the order, at most TABLE tokens, so their broadcast is bounded. An order need not be exact to be safe, only the same for all.
+The sketch counts every distinct shingle of every document in CELLS cells (a fixed size, whatever the corpus), so its broadcast is bounded. Tokens that share a
+cell share a count; an order need not be exact to be safe, only the same for all. A token of d documents stands out of the rarest fifth once d
+is some roots of the mean count of a cell.
 
 Defined results: null or empty text, or text without words, has an empty set (n_shingles 0) and links with nothing; with fewer than SHINGLE words the whole sequence is the one shingle;
 rows that share an id are one document and should hold one text (repeated rows get the same result); rows with null id have component null; an empty table
@@ -28,6 +29,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from .graph import components
 from .substring import by_bytes, doc_words
 
 SHINGLE, PERCENT = 5, 80
-COMMON, TABLE = 3, 1 << 17
+CELLS, PARTS = 1 << 22, 64
 SLICE = 2000
 BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 512, 400_000, 16
 #: Up to so many rows (16 bytes each) a list of ids is broadcast; beyond, it is joined by a shuffle.
@@ -184,34 +186,53 @@ def _verify(df: DataFrame) -> DataFrame:
 # ---- the join ---------------------------------------------------------------------------------------------------
 
 
-def _profiles(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All documents' (doc, n, fp), and (token, n) of the tokens that several documents of a batch share. One pass, written once."""
+def cells(s: np.ndarray) -> np.ndarray:
+    """The sketch's cell of each token; from high bits, as the order's ties go by the whole hash."""
+    return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """All documents' (doc, n, fp), written once, and the sketch: the sum of what every task counts over its documents."""
+    names = ["doc", "n", "fp", "part", "counts"]
+    width = CELLS // PARTS
 
     def run(batches):
-        hasher = WordHasher(lower=True)
+        hasher, seen = WordHasher(lower=True), np.zeros(CELLS, np.uint32)
         for whole in batches:
             for b in by_bytes(whole, 1):
                 own = list(sets(b.column(1), hasher))
+                seen += np.bincount(cells(np.concatenate(own)), minlength=CELLS).astype(np.uint32)
                 k = b.num_rows
-                nulls = lambda m, t: pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.binary()), nulls(k, pa.int64())], ["doc", "n", "fp", "token"])
-                token, n = np.unique(np.concatenate(own), return_counts=True)
-                z = n >= COMMON
-                k = int(z.sum())
-                yield pa.RecordBatch.from_arrays([nulls(k, pa.int64()), pa.array(n[z].astype(np.int64)), nulls(k, pa.binary()), pa.array(token[z].view(np.int64))], ["doc", "n", "fp", "token"])
-
-    x = stage(docs.mapInArrow(run, "doc long, n long, fp binary, token long"), "profiles")
-    return x.filter("token is null").select("doc", "n", "fp"), x.filter("token is not null").select("token", "n")
-
-
-def _stars(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        for part in range(PARTS):
+            mine = seen[part * width : (part + 1) * width]
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], names)
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}  # a partition holds some of the PARTS, whatever the number of tasks
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = np.frombuffer(zlib.decompress(data), np.uint32)
+                sums[part] = sums[part] + got if part in sums else got.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    x = stage(docs.mapInArrow(run, "doc long, n long, fp binary, part int, counts binary"), "profiles")
+    parts = x.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(total, "part int, counts binary").toArrow()
+    sketch = np.zeros(CELLS, np.uint32)
+    for part, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        sketch[part * width : (part + 1) * width] = np.frombuffer(data, np.uint32)
+    return x.filter("part is null").select("doc", "n", "fp"), sketch
+
+
+def _stars(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """Candidate edges (u, v): each document of a prefix token with the token's least document."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((common, counts))  # at most TABLE tokens of 16 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS * 4 bytes
+    per = SLICE
 
     def run(batches):
         hasher, seen = WordHasher(lower=True), set()
-        common, counts = sent.value
+        counts = sent.value
         for whole in batches:
             for b in by_bytes(whole, 1):
                 tokens, slices, ids = [], [], []
@@ -222,19 +243,12 @@ def _stars(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame
                     if fp in seen:  # an equal set of this task stands for it
                         continue
                     seen.add(fp)
-                    p = prefix_size(len(s))
-                    at = np.searchsorted(common, s)
-                    hot = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
-                    rare = s[~hot][:p]
-                    cell = np.zeros(len(rare), np.int64)
-                    if len(rare) < p:
-                        t, n = s[hot], counts[at[hot]]
-                        by = np.argsort(n, kind="stable")[: p - len(rare)]
-                        rare = np.concatenate([rare, t[by]])
-                        cell = np.concatenate([cell, 1 + (doc * 0x9E3779B1 >> 7) % (n[by] // SLICE + 1)])
-                    tokens.append(rare)
-                    slices.append(cell)
-                    ids.append(np.full(len(rare), doc))
+                    n = counts[cells(s)]
+                    at = np.argsort(n, kind="stable")[: prefix_size(len(s))]
+                    n = n[at].astype(np.int64)
+                    tokens.append(s[at])
+                    slices.append(np.where(n >= per, 1 + (doc * 0x9E3779B1 >> 7) % (n // per + 1), 0))
+                    ids.append(np.full(len(at), doc))
                 if tokens:
                     t = np.concatenate(tokens).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(slices).astype(np.int32)), pa.array(np.concatenate(ids))], ["token", "cell", "doc"])
@@ -257,13 +271,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_shingles, component: one row per row of docs."""
     src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
-    own, tokens = _profiles(src)
-    total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(2 * COMMON, total // TABLE)
-    top = tokens.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()  # fewer than TABLE rows
-    common, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by = np.argsort(common)
-    edges = _stars(src, common[by], counts[by])
+    own, sketch = _profiles(src)
+    edges = _stars(src, sketch)
     # classes of equal sets
     first = own.filter("n > 0 and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"))
     member = stage(own.join(first, "fp", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
@@ -273,7 +282,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     links = _links(src, cand, member)
     part = components(links)
     out = member.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("doc"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+    return out.select(F.col("doc"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep")).alias("component"))
 
 
 def _links(src: DataFrame, cand: DataFrame, member: DataFrame) -> DataFrame:

@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+
+from pixelloom.llm import ngram_join as nj
+
+
+def shingles(t):
+    w = (t or "").encode().decode().translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute(rows):
+    s = {i: shingles(t) for i, t in rows}
+    top = {i: i for i in s}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(s)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            n = len(s[i] & s[j])
+            if s[i] and s[j] and 100 * n >= 80 * (len(s[i]) + len(s[j]) - n):
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    return {i: (len(s[i]), root(i)) for i in ids}
+
+
+def corpus(seed, n):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(300)] + ["É", "Straße"]
+    common = [[r.choice(vocab) for _ in range(40)] for _ in range(3)]
+    base = [[r.choice(vocab) for _ in range(r.choice([3, 5, 6, 30, 80, 200]))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        w = list(r.choice(base)) if r.random() < 0.7 else [r.choice(vocab) for _ in range(r.randrange(0, 60))]
+        for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+            if w:
+                w[r.randrange(len(w))] = r.choice(vocab)
+        if r.random() < 0.3:
+            w += r.choice(common)
+        t = r.choice([" ", "\n", "  "]).join(w)
+        rows.append((i * 7 % 1009, t.upper() if r.random() < 0.1 else t))
+    return rows + [(2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "ONE"), (2005, rows[3][1]), (2006, "x " * 3000), (2007, "x " * 2000)]
+
+
+def same(spark, rows):
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, Component int").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.digests(df).collect()}
+    assert got == brute(rows)
+
+
+def test_against_brute_force(spark):
+    same(spark, corpus(1, 150))
+
+
+def test_small_blocks_and_tables(spark):
+    """The paths of hot groups: several blocks per component, sliced tokens, shuffled id lists."""
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(500)]
+    base = [r.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(160):  # near copies whose similarities lie on both sides of the threshold
+        w = list(base)
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(120)] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    rows += [(i + 1000, t) for i, t in corpus(2, 60)[:60]]
+    rows = list(dict(rows).items())
+    old = nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS
+    nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS = 20, 2, 10, 0
+    try:
+        same(spark, rows)
+    finally:
+        nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS = old
+
+
+def test_counts_of_shared_tokens():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    n = nj.shared(sets[:25], sets[10:])
+    assert all(n[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:25]) for j, b in enumerate(sets[10:]))
+    link = nj.alike(sets, sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            k = len(np.intersect1d(a, b))
+            assert link[i, j] == (100 * k >= 80 * (len(a) + len(b) - k))
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in nj.digests(df).collect())
+    assert got == [(-1, 2, None), (3, 2, 3), (3, 2, 3), (4, 2, 3), (9, 0, 9)]
+    assert nj.digests(df.limit(0)).count() == 0
+    kept = nj.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 3, 9]
