@@ -4,7 +4,8 @@ A document is its set of distinct SHINGLE-word shingles (A-Z lower-cased). Two d
 global order of tokens, linked sets share a token among their first |A| - ceil(PERCENT% of |A|) + 1. Three orders are used:
 
 1. rare first: by the token's count in a sketch of all documents, then by hash. This order is the distributed index: the prefix tokens are
-   exchanged, and a token's documents become candidates of each other.
+   exchanged, and a token's documents become candidates of each other. The index prefix is a little longer than it must be, so linked sets share several
+   tokens in it, and documents that share fewer with all others together drop out before candidates are made.
 2. ascending hash and 3. descending hash: checked on the candidates' sets; only pairs that pass all three are verified, by exact
    counts of shared shingles.
 
@@ -53,6 +54,11 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def extra(n):
+    """How many tokens more than prefix_size(n) the index takes: linked sets then share at least 1 + the smaller extra among them."""
+    return n // 20
+
+
 def sets(col, hasher: WordHasher):
     """For each row of a string column its shingles' hashes, distinct and ascending."""
     words, begin = doc_words(col, hasher)
@@ -225,8 +231,8 @@ def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return x.filter("part is null").select("doc", "n", "fp"), sketch
 
 
-def _stars(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Candidate edges (u, v): each document of a prefix token with the token's least document."""
+def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(token, cell, doc) of the index prefixes' tokens that more than one document has there; cell: a very common token's slice of documents, else 0."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS * 4 bytes
     per = SLICE
 
@@ -244,7 +250,7 @@ def _stars(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                         continue
                     seen.add(fp)
                     n = counts[cells(s)]
-                    at = np.argsort(n, kind="stable")[: prefix_size(len(s))]
+                    at = np.argsort(n, kind="stable")[: prefix_size(len(s)) + extra(len(s))]
                     n = n[at].astype(np.int64)
                     tokens.append(s[at])
                     slices.append(np.where(n >= per, 1 + (doc * 0x9E3779B1 >> 7) % (n // per + 1), 0))
@@ -255,10 +261,27 @@ def _stars(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     p = docs.filter("id is not null and text is not null").mapInArrow(run, "token long, cell int, doc long")
     cell = W.partitionBy("token", "cell")
-    p = p.withColumn("lo", F.min("doc").over(cell)).filter("cell > 0 or lo < doc")
-    p = stage(p.select("token", "cell", "lo", "doc"), "stars")
-    inner = p.filter("lo < doc").select(F.col("lo").alias("u"), F.col("doc").alias("v")).distinct()
-    centres = p.filter("cell > 0").select("token", "cell", "lo").distinct()
+    p = p.withColumns({"lo": F.min("doc").over(cell), "hi": F.max("doc").over(cell)}).filter("cell > 0 or lo < hi")
+    return stage(p.select("token", "cell", "doc"), "postings")
+
+
+def _stars(postings: DataFrame, member: DataFrame) -> DataFrame:
+    """Candidate edges (u, v) of class representatives: each with the least one of a token that both have.
+
+    A set that can link with some set of at least PERCENT% of its size shares 1 + extra of that size tokens of its index prefix with it. Sets that share
+    fewer with all others together are left out before the stars are made, twice, as leaving out some makes tokens of others unshared."""
+    of = member.filter("doc is not null and n > 0").select("doc", "rep").distinct()
+    size = member.filter("doc = rep").select(F.col("doc").alias("rep"), (F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20) + 1).alias("need")).distinct()
+    p = postings.join(of, "doc").select("token", "cell", "rep").distinct()
+    cell = W.partitionBy("token", "cell")
+    for _ in range(2):
+        p = p.withColumns({"lo": F.min("rep").over(cell), "hi": F.max("rep").over(cell)}).filter("cell > 0 or lo < hi").select("token", "cell", "rep")
+        p = stage(p, "shared")
+        enough = p.groupBy("rep").agg(F.count("*").alias("k")).join(size, "rep").filter("k >= need").select("rep")
+        p = p.join(enough, "rep")
+    p = stage(p.withColumn("lo", F.min("rep").over(cell)).filter("cell > 0 or lo < rep"), "stars")
+    inner = p.filter("lo < rep").select(F.col("lo").alias("u"), F.col("rep").alias("v")).distinct()
+    centres = p.filter("cell > 0").select("token", "lo").distinct()
     outer = centres.withColumn("m", F.min("lo").over(W.partitionBy("token"))).filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
     return inner.unionByName(outer).distinct()
 
@@ -272,13 +295,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """doc, n_shingles, component: one row per row of docs."""
     src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
     own, sketch = _profiles(src)
-    edges = _stars(src, sketch)
+    postings = _postings(src, sketch)
     # classes of equal sets
     first = own.filter("n > 0 and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"))
     member = stage(own.join(first, "fp", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
-    of = member.filter("doc is not null").select("doc", "rep").distinct()
-    e = edges.join(of.select(F.col("doc").alias("u"), F.col("rep").alias("ru")), "u").join(of.select(F.col("doc").alias("v"), F.col("rep").alias("rv")), "v")
-    cand = stage(components(e.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("doc"), F.col("component").alias("g")), "candidates")
+    cand = stage(components(_stars(postings, member)).select(F.col("node").alias("doc"), F.col("component").alias("g")), "candidates")
     links = _links(src, cand, member)
     part = components(links)
     out = member.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
