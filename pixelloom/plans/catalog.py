@@ -254,14 +254,14 @@ def candidates(spark, d):
 # ---- sampling ---------------------------------------------------------------------------------------------------
 
 
-@query(w("tiles", last="""SELECT tile_id, regexp_full_match(substr(tile_id, 1, 5), '1[0-3]NW.') OR regexp_full_match(substr(tile_id, 1, 5), '20NWI') OR regexp_matches(tile_id, '1[0-3]NW.') OR regexp_matches(tile_id, '20NWI') AS is_val, substr(tile_id, 1, 5) AS region FROM tiles"""))
+@query(w("tiles", last="""SELECT tile_id, regexp_full_match(substr(tile_id, 1, 5), '1[0-3]NW.') OR regexp_full_match(substr(tile_id, 1, 5), '20NWN') OR regexp_matches(tile_id, '1[0-3]NW.') OR regexp_matches(tile_id, '20NWN') AS is_val, substr(tile_id, 1, 5) AS region FROM tiles"""))
 def split_train_val(spark, d):
-    return sampling.split(fx.tiles(spark, d).select("tile_id"), ["1[0-3]NW.", "20NWI"]).withColumn("region", region(F.col("tile_id")))
+    return sampling.split(fx.tiles(spark, d).select("tile_id"), ["1[0-3]NW.", "20NWN"]).withColumn("region", region(F.col("tile_id")))
 
 
-@query(w("tiles", last="SELECT tile_id FROM tiles WHERE substr(tile_id, 1, 5) IN ('11NWA', '12NWB')"))
+@query(w("tiles", last="SELECT tile_id FROM tiles WHERE substr(tile_id, 1, 5) IN ('11NWN', '12NWN')"))
 def tuner_val_tiles(spark, d):
-    return fx.tiles(spark, d).filter(region(F.col("tile_id")).isin("10NWA", "12NWB")).select("tile_id")
+    return fx.tiles(spark, d).filter(region(F.col("tile_id")).isin("11NWN", "12NWN")).select("tile_id")
 
 
 def _per_tile(c, cls):
@@ -517,11 +517,11 @@ def basemap_pick(spark, d):
     return imagery.pick_scene(fx.s2_obs(spark, d), 1998, 6)
 
 
-@query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 180 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 80 - 36 AS DOUBLE) AS s, c_custkey * 13 % 180 - 85 + 0.5::DOUBLE AS e, c_custkey * 7 % 80 - 36 + 0.5::DOUBLE AS n FROM customer)",
+@query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 180 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 80 - 36 AS DOUBLE) AS s, c_custkey * 13 % 180 - 85 + 2.5::DOUBLE AS e, c_custkey * 7 % 80 - 36 + 2.5::DOUBLE AS n FROM customer)",
          last="SELECT DISTINCT tile_id, poly_id FROM b JOIN tiles t ON b.w <= t.e AND b.e >= t.w AND b.s <= t.n AND b.n >= t.s"))
 def tile_clip(spark, d):
     k = F.col("c_custkey")
-    boxes = fx.table(spark, d, "customer").select(k.alias("poly_id"), (k * 13 % 180 - 85).cast("double").alias("w"), (k * 7 % 80 - 36).cast("double").alias("s"), (k * 13 % 180 - 85 + 0.5).cast("double").alias("e"), (k * 7 % 80 - 36 + 0.5).cast("double").alias("n"))
+    boxes = fx.table(spark, d, "customer").select(k.alias("poly_id"), (k * 13 % 180 - 85).cast("double").alias("w"), (k * 7 % 80 - 36).cast("double").alias("s"), (k * 13 % 180 - 85 + 2.5).cast("double").alias("e"), (k * 7 % 80 - 36 + 2.5).cast("double").alias("n"))
     return imagery.clip(boxes, fx.tiles(spark, d))
 
 
