@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ref, scratch_path, stage
+from .common import ref, scratch_path, small_batches, stage
 from .storage import read_bytes, write_bytes
 
 MAGIC = b"PXTOKID1"
@@ -41,15 +41,20 @@ LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(25
 # ---- the coding -------------------------------------------------------------------------------------------------
 
 
+def _offset(n: int):
+    """Whole numbers that hold byte offsets of n values."""
+    return np.int32 if n < 1 << 28 else np.int64
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype(np.uint32, copy=False)
+    """Control bytes and data bytes of unsigned values of up to 32 bits."""
+    v = values
     most = int(v.max()) if len(v) else 0
     code = (v > 0xFF).astype(np.uint8)
     for limit in (0xFFFF, 0xFFFFFF):
         if most > limit:
             code += v > limit
-    at = np.cumsum(code + np.uint8(1), dtype=np.int64)
+    at = np.cumsum(code + np.uint8(1), dtype=_offset(len(v)))
     data = np.zeros(int(at[-1]) if len(v) else 0, np.uint8)
     at -= code
     at -= 1
@@ -57,14 +62,14 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     for k in range(1, 4):
         if most >> (8 * k):
             long = np.flatnonzero(code >= k)
-            data[at[long] + k] = (v[long] >> np.uint32(8 * k)).astype(np.uint8)
+            data[at[long] + k] = (v[long] >> v.dtype.type(8 * k)).astype(np.uint8)
     code = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
     return (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n]
-    at = np.cumsum(size, dtype=np.int64)
+    at = np.cumsum(size, dtype=_offset(n))
     at -= size
     out = data[at].astype(np.uint32)
     for k in range(1, int(size.max()) if n else 0):
@@ -78,8 +83,9 @@ def to_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     freq = np.bincount(ids, minlength=1)
     table = np.flatnonzero(freq)
     table = table[np.argsort(-freq[table], kind="stable")].astype("<u4")
-    rank = np.zeros(len(freq), np.uint32)
-    rank[table] = np.arange(len(table), dtype=np.uint32)
+    kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
+    rank = np.zeros(len(freq), kind)
+    rank[table] = np.arange(len(table), dtype=kind)
     control, data = pack(rank[ids])
     null = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -127,6 +133,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")  # of the ids in the caches and in encode()'s results
         self.words: dict[str, bytes] = {}  # the word after a blank (or led by a line break) -> ids
         self.old: dict[str, bytes] = {}  # the generation before, from which words still in use come back
         self.chunks: dict[str, bytes] = {}  # anything else, as it stands
@@ -140,13 +148,16 @@ class WordEncoder:
         self.line = self._ids("\n").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, new: list[str]) -> None:
         """Letters, and punctuation after them that begins with no apostrophe, are one match of the pattern each, so the model gets the
         letters straight; all else goes through the whole tokenizer."""
-        model, words, tails = self.model, self.words, self.tails
+        model, words, tails, code = self.model, self.words, self.tails, self.code
         for w in new:
+            if w.isascii() and w.isalpha():  # most of them
+                words[w] = array(code, [t.id for t in model(self.blank + w)]).tobytes()
+                continue
             led = w[:1] == "\n"
             core = w[1:] if led else w
             bare = core.rstrip(_AFTER)
@@ -162,7 +173,7 @@ class WordEncoder:
                 if len(tails) > self.most:
                     tails.clear()
                 tails[tail] = self._ids(tail).tobytes()
-            ids = array("I", [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
+            ids = array(code, [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
             words[w] = (self.line if led else b"") + ids + tails[tail]
 
     def _text(self, t: str) -> bytes:
@@ -192,7 +203,7 @@ class WordEncoder:
         return self.chunks[first] + b"".join(got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian integers of self.dtype."""
         out = []
         for t in texts:
             if len(self.words) > self.most:
@@ -223,11 +234,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
 
         part, seq = TaskContext.get().partitionId(), 0
         encoder, keys, counts, held, n = _encoder(tokenizer), [], [], [], 0
-        tail = np.array([end], "<u4").tobytes()
+        tail, width = np.array([end], encoder.dtype).tobytes(), encoder.dtype.itemsize
 
         def flush():
             nonlocal keys, counts, held, n, seq
-            uri = write_bytes(folder, f"ids-{part:06d}-{seq:04d}", to_file(keys, np.array(counts, np.uint32), np.frombuffer(b"".join(held), "<u4")))
+            uri = write_bytes(folder, f"ids-{part:06d}-{seq:04d}", to_file(keys, np.array(counts, np.uint32), np.frombuffer(b"".join(held), encoder.dtype)))
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([uri]), pa.array([len(keys)], pa.int64()), pa.array([n], pa.int64())], ["part", "seq", "uri", "n_docs", "n_ids"])
             keys, counts, held, n, seq = [], [], [], 0, seq + 1
             return row
@@ -237,7 +248,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             for a in range(0, len(texts), 1000):
                 for key, got in zip(ids[a : a + 1000], encoder.encode(texts[a : a + 1000])):
                     keys.append(key)
-                    counts.append(len(got) // 4 + 1)
+                    counts.append(len(got) // width + 1)
                     held += [got, tail]
                     n += counts[-1]
                     if n >= FILE_IDS:
@@ -245,6 +256,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
         if keys:
             yield flush()
 
+    small_batches(docs.sparkSession)
     x = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"))
     x = x.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return stage(x.mapInArrow(run, "part long, seq long, uri string, n_docs long, n_ids long"), "token-files")

@@ -27,7 +27,7 @@ def test_coding_round_trip(values):
 def test_cached_words_equal_whole(texts):
     got = CACHED.encode(texts)
     for t, g in zip(texts, got):
-        assert np.frombuffer(g, "<u4").tolist() == WHOLE.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(g, CACHED.dtype).tolist() == WHOLE.encode(t, add_special_tokens=False).ids
 
 
 def test_files(spark, tmp_path):
