@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, with digests of the ids and of the bytes that they decode to."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     return both.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

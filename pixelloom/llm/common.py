@@ -86,12 +86,24 @@ def ref(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Arrow batches sent to Python workers hold about so many bytes, as rows of text are long and workers share an executor's memory.
+ARROW_BYTES = 6 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches, unless the session has set its own. Spark reads it when a plan runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(64 << 20), "64m", "64MB", "67108864b"):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataType]], fn, rows: int = 512) -> DataFrame:
     """Adds columns that fn computes batch by batch in Python workers over Arrow.
 
     inputs: Column expressions; fn: list of Arrow arrays -> list of Arrow arrays, called for `rows` rows at a time, which
     bounds what a worker holds. A column of df with the name
     of an output is replaced; all others are kept as they are, whatever they are called."""
+    small_batches(df.sparkSession)
     keep = others(df, [n for n, _ in outputs])
     n = len(keep)
     src = df.select(*[ref(c).alias(f"k{i}") for i, c in enumerate(keep)], *[e.alias(f"i{i}") for i, e in enumerate(inputs)])
@@ -142,7 +154,7 @@ class WordHasher:
     A word's hash is its polynomial value over the bytes, from differences of one running sum, with its
     length mixed in. Sums run over blocks of bounded size, so memory does not follow the text's length."""
 
-    def __init__(self, lower: bool = False, most: int = 1 << 21):
+    def __init__(self, lower: bool = False, most: int = 1 << 19):
         self.lower, self.most = lower, most
         self._p, self._q = _powers(_BASE, 1024), _powers(_INV, 1024)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, append_arrow, grams, ref, stage
+from .common import WordHasher, append_arrow, grams, ref, small_batches, stage
 from .graph import components
 from .substring import by_bytes, doc_words
 
@@ -293,6 +293,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_shingles, component: one row per row of docs."""
+    small_batches(docs.sparkSession)
     src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
     own, sketch = _profiles(src)
     postings = _postings(src, sketch)

@@ -26,10 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, append_arrow, grams, mix64, ref, text_bytes
+from .common import ARROW_BYTES, WordHasher, append_arrow, grams, mix64, ref, small_batches, text_bytes
 
 WINDOW, GRAM = 13, 5
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = ARROW_BYTES
 _POS = np.uint64((1 << 24) - 1)
 BLOCKS = "key long, doc long, pos int, hs array<int>, n int, ref_doc long, ref_pos int"
 
@@ -138,6 +138,7 @@ def flags(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                     for a in range(0, out.num_rows, 50_000):
                         yield out.slice(a, 50_000)
 
+    small_batches(docs.sparkSession)
     x = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text")).filter("id is not null and text is not null").mapInArrow(run, BLOCKS)
     block = W.partitionBy("key")
     x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("n > 0 or lo < hi")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ref, scratch_path, stage
+from .common import ref, scratch_path, small_batches, stage
 from .storage import read_bytes, write_bytes
 
 LEAST = 100
@@ -195,6 +195,7 @@ def pages_to_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url
         if rows:
             yield close()
 
+    small_batches(pages.sparkSession)
     src = pages.select(ref(key_col).cast("long").alias("key"), ref(url_col).alias("url"), ref(html_col).alias("html"))
     return stage(src.mapInArrow(run, "uri string, nth int, key long, digest string, n_bytes long"), "arc-records")
 

@@ -40,4 +40,6 @@ def test_query_form(spark):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     out = bpe.encode(docs, PATH, public_tokenizers.PATTERN)
     assert out.columns == ["doc_id", "text", "ids", "n_tokens"]
+    back = bpe.decode(out, PATH, public_tokenizers.PATTERN).select("doc_id", "decoded").collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in back} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
