@@ -173,7 +173,9 @@ class WordEncoder:
                 if len(tails) > self.most:
                     tails.clear()
                 tails[tail] = self._ids(tail).tobytes()
-            ids = array(code, [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
+            ids = None if led else words.get(bare) or self.old.get(bare)  # the word without its punctuation may be known
+            if ids is None:
+                ids = array(code, [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
             words[w] = (self.line if led else b"") + ids + tails[tail]
 
     def _text(self, t: str) -> bytes:
