@@ -75,6 +75,19 @@ def purge(spark: SparkSession) -> None:
         pass
 
 
+def release() -> None:
+    """Gives the driver's freed memory back to the system: allocators keep what a large collected table took."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def others(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of df that an operator keeps: all but those its own outputs replace (names match in any case)."""
     taken = {n.lower() for n in names}

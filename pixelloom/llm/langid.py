@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, ref, text_bytes
+from .common import append_arrow, ref, release, text_bytes
 
 FEATURES = 4096
-MAX_ROWS = 2000
+MAX_ROWS = 1500
 ROUNDS, RATE, DECAY = 80, 4.0, 1e-4
 NEAR = 0.02
 NONE = "und"
@@ -103,25 +103,27 @@ def fit(x: np.ndarray, y: list[str]) -> Model | None:
         return None
     labels = sorted(set(y), key=lambda s: s.encode())
     at = {s: k for k, s in enumerate(labels)}
-    once = sorted({(at[s], v.tobytes()) for s, v in zip(y, x.astype(np.float16))})
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in once]).astype(np.float32)
-    k = np.array([i for i, _ in once])
+    k = np.array([at[s] for s in y])
+    half = np.ascontiguousarray(x, np.float16)
+    order = sorted(range(len(k)), key=lambda i: (k[i], half[i].tobytes()))
+    keep = [i for n, i in enumerate(order) if not n or k[i] != k[order[n - 1]] or half[i].tobytes() != half[order[n - 1]].tobytes()]
+    x, k = half[keep].astype(np.float32), k[keep]
     code = codewords(len(labels))
     if len(labels) == 1:
         return Model(labels, code, np.zeros((FEATURES + 1, 0), np.float32), np.zeros(0, np.float32))
     share = 1 / np.bincount(k, minlength=len(labels))[k]
     share = (share / share.sum()).astype(np.float32)[:, None]
     t = code[k]
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    w = np.zeros((FEATURES + 1, code.shape[1]), np.float32)
+    w = np.zeros((FEATURES + 1, code.shape[1]), np.float32)  # the last row is the bias
     v = np.zeros_like(w)
     for _ in range(ROUNDS):  # Nesterov's accelerated gradient, all bits at once
         ahead = w + 0.9 * v
-        m = x1 @ ahead
-        grad = x1.T @ (-t / (1 + np.exp(np.clip(m * t, -30, 30))) * share) + DECAY * ahead
+        m = x @ ahead[:-1] + ahead[-1]
+        g = -t / (1 + np.exp(np.clip(m * t, -30, 30))) * share
+        grad = np.concatenate([x.T @ g, g.sum(0, keepdims=True)]) + DECAY * ahead
         v = 0.9 * v - RATE * grad
         w = w + v
-    loss = (np.logaddexp(0, -(x1 @ w) * t) * share).sum(0)
+    loss = (np.logaddexp(0, -(x @ w[:-1] + w[-1]) * t) * share).sum(0)
     trust = np.exp(-loss)
     return Model(labels, code, w, (trust / trust.sum()).astype(np.float32))
 
@@ -138,8 +140,13 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     some = rows.filter(u < F.element_at(share, F.col("label")))
     sent = append_arrow(some.select("label", "text"), [F.col("text")], [("x", T.BinaryType())], lambda cols: [pa.array([v.tobytes() for v in profiles(cols[0]).astype(np.float16)], pa.binary())])
     got = sent.select("label", "x").toArrow()
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, FEATURES))
-    return fit(x, got.column("label").to_pylist())
+    x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in got.column("x")]) if got.num_rows else np.zeros((0, FEATURES), np.float16)
+    y = got.column("label").to_pylist()
+    del got
+    model = fit(x, y)
+    del x
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "score", flag_col: str = "ambiguous", near: float = NEAR) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, append_arrow, grams, ref, small_batches, stage
+from .common import WordHasher, append_arrow, grams, ref, release, small_batches, stage
 from .graph import components
 from .substring import by_bytes, doc_words
 
@@ -228,6 +228,8 @@ def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(CELLS, np.uint32)
     for part, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
         sketch[part * width : (part + 1) * width] = np.frombuffer(data, np.uint32)
+    del parts
+    release()
     return x.filter("part is null").select("doc", "n", "fp"), sketch
 
 
@@ -297,6 +299,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
     own, sketch = _profiles(src)
     postings = _postings(src, sketch)
+    del sketch
+    release()
     # classes of equal sets
     first = own.filter("n > 0 and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"))
     member = stage(own.join(first, "fp", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")

@@ -133,8 +133,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")  # of the ids in the caches and in encode()'s results
+        self.dtype = np.dtype("<u4")  # of the ids in the caches and in encode()'s results
         self.words: dict[str, bytes] = {}  # the word after a blank (or led by a line break) -> ids
         self.old: dict[str, bytes] = {}  # the generation before, from which words still in use come back
         self.chunks: dict[str, bytes] = {}  # anything else, as it stands
@@ -153,10 +152,10 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         """Letters, and punctuation after them that begins with no apostrophe, are one match of the pattern each, so the model gets the
         letters straight; all else goes through the whole tokenizer."""
-        model, words, tails, code = self.model, self.words, self.tails, self.code
+        model, words, tails = self.model, self.words, self.tails
         for w in new:
             if w.isascii() and w.isalpha():  # most of them
-                words[w] = array(code, [t.id for t in model(self.blank + w)]).tobytes()
+                words[w] = array("I", [t.id for t in model(self.blank + w)]).tobytes()
                 continue
             led = w[:1] == "\n"
             core = w[1:] if led else w
@@ -175,7 +174,7 @@ class WordEncoder:
                 tails[tail] = self._ids(tail).tobytes()
             ids = None if led else words.get(bare) or self.old.get(bare)  # the word without its punctuation may be known
             if ids is None:
-                ids = array(code, [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
+                ids = array("I", [t.id for t in model(spelt if led else self.blank + spelt)]).tobytes()
             words[w] = (self.line if led else b"") + ids + tails[tail]
 
     def _text(self, t: str) -> bytes:
