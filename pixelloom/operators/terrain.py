@@ -88,6 +88,11 @@ def warp_bilinear(src: DataFrame, grid: DataFrame, target: tuple, source: tuple,
     return x.groupBy(*PIXEL).agg(*[mean(c).alias(c) for c in values])
 
 
+def terrain_features(dem: DataFrame, grid: DataFrame, target: tuple, source: tuple, dx: float | Column, dy: float | Column) -> DataFrame:
+    """Elevation and slope on the reference grid; the slope is taken on the elevation's own grid."""
+    return warp_bilinear(slope(dem, dx, dy), grid, target, source, ["elevation", "slope"])
+
+
 def crop_or_pad(src: DataFrame, grid: DataFrame, value: str) -> DataFrame:
     """The source's top left corner on the grid; NULL where it has no cell."""
     return grid.select(*PIXEL).join(src.select(*PIXEL, value), PIXEL, "left")

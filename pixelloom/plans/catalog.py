@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.pixel import region, yymm
 from ..operators import imagery, labels, metrics, model, raster, sampling, satellite, terrain
 from ..sources import fixtures as fx
-from ..sources import layout, sinks
+from ..sources import geotiff, layout, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,27 +209,28 @@ def _fused(spark, d):
     return labels.fuse(_weak(spark, d))
 
 
-DAYS = F.col("days").alias("unix_days")
+def _days():
+    return F.col("days").alias("unix_days")
 
 
 @query(w("radd", "d_radd", last=f"SELECT {PX}, confidence, dd AS unix_days FROM d_radd"))
 def radd_decode(spark, d):
-    return labels.radd(fx.radd(spark, d)).select(*PIXEL, "confidence", DAYS)
+    return labels.radd(fx.radd(spark, d)).select(*PIXEL, "confidence", _days())
 
 
 @query(w("gladl", "d_gladl", last=f"SELECT {PX}, yy, confidence, dd AS unix_days FROM d_gladl"))
 def gladl_decode(spark, d):
-    return labels.gladl(fx.gladl(spark, d)).select(*PIXEL, "yy", "confidence", DAYS)
+    return labels.gladl(fx.gladl(spark, d)).select(*PIXEL, "yy", "confidence", _days())
 
 
 @query(w("glads2", "d_glads2", last=f"SELECT {PX}, confidence, dd AS unix_days FROM d_glads2"))
 def glads2_decode(spark, d):
-    return labels.glads2(fx.glads2(spark, d)).select(*PIXEL, "confidence", DAYS)
+    return labels.glads2(fx.glads2(spark, d)).select(*PIXEL, "confidence", _days())
 
 
 @query(w("gladl", "d_gladl", "c_gladl", last=f"SELECT {PX}, confidence, dd AS unix_days FROM c_gladl"))
 def gladl_combine(spark, d):
-    return labels.gladl_combine(labels.gladl(fx.gladl(spark, d))).select(*PIXEL, "confidence", DAYS)
+    return labels.gladl_combine(labels.gladl(fx.gladl(spark, d))).select(*PIXEL, "confidence", _days())
 
 
 @query(w(*LABELS, last=f"SELECT {PX}, binary_, round(confidence, 9) AS confidence, round(max_confidence, 9) AS max_confidence, agree_count, median_days FROM fused"))
@@ -461,10 +462,11 @@ def dem_cells(spark, d):
     return terrain.dem_cells(fx.tiles(spark, d))
 
 
-_GX = """g AS (SELECT *, lag(elevation) OVER r AS zb, lead(elevation) OVER r AS za, lag(elevation) OVER c AS yb, lead(elevation) OVER c AS ya FROM dem WINDOW r AS (PARTITION BY tile_id, "row" ORDER BY "col"), c AS (PARTITION BY tile_id, "col" ORDER BY "row"))"""
+_GX = """n AS (SELECT *, lag(elevation) OVER r AS zb, lead(elevation) OVER r AS za, lag(elevation) OVER c AS yb, lead(elevation) OVER c AS ya FROM dem WINDOW r AS (PARTITION BY tile_id, "row" ORDER BY "col"), c AS (PARTITION BY tile_id, "col" ORDER BY "row")),
+sl AS (SELECT tile_id, "row", "col", elevation, degrees(atan(sqrt(pow((coalesce(za, elevation) - coalesce(zb, elevation)) / (CASE WHEN za IS NOT NULL AND zb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2) + pow((coalesce(ya, elevation) - coalesce(yb, elevation)) / (CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2)))) AS slope FROM n)"""
 
 
-@query(w("dem", _GX, last=f"""SELECT {PX}, elevation, round(degrees(atan(sqrt(pow((coalesce(za, elevation) - coalesce(zb, elevation)) / (CASE WHEN za IS NOT NULL AND zb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2) + pow((coalesce(ya, elevation) - coalesce(yb, elevation)) / (CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 30), 2)))), 9) AS slope FROM g"""))
+@query(w("dem", _GX, last=f"SELECT {PX}, elevation, round(slope, 9) AS slope FROM sl"))
 def dem_slope(spark, d):
     return terrain.slope(fx.dem(spark, d), 30.0, 30.0).select(*PIXEL, "elevation", *rounded("slope"))
 
@@ -488,6 +490,32 @@ def warp_bilinear(spark, d):
     return terrain.warp_bilinear(fx.dem(spark, d), _target(spark, d), TO, FROM, ["elevation"]).select(*PIXEL, *rounded("elevation"))
 
 
+_NEAR = """h AS (SELECT g.tile_id, g."row", g."col", elevation AS z, slope AS s, (1 - abs(d."row" - (v - 0.5::DOUBLE))) * (1 - abs(d."col" - (u - 0.5::DOUBLE))) AS k FROM g JOIN sl d ON d.tile_id = g.tile_id AND abs(d."row" - (v - 0.5::DOUBLE)) < 1 AND abs(d."col" - (u - 0.5::DOUBLE)) < 1)"""
+
+
+@query(w("dem", _GX, _AT, _NEAR, last="""SELECT g.tile_id, g."row", g."col", round(coalesce(sum(z * k) / sum(k), 0), 9) AS elevation, round(coalesce(sum(s * k) / sum(k), 0), 9) AS slope FROM g LEFT JOIN h USING (tile_id, "row", "col") GROUP BY 1, 2, 3"""))
+def terrain_features(spark, d):
+    return terrain.terrain_features(fx.dem(spark, d), _target(spark, d), TO, FROM, 30.0, 30.0).select(*PIXEL, *rounded("elevation", "slope"))
+
+
+@query(w("prob", last=f"SELECT {PX}, CAST(CAST(prob AS FLOAT) AS DOUBLE) AS v FROM prob"))
+def geotiff_decode(spark, d):
+    """The probability raster of each tile as a GeoTIFF in memory, and read back as pixels."""
+    import pandas as pd
+
+    def encode(pdf):
+        import numpy as np
+
+        x = np.zeros((1, int(pdf["row"].max()) + 1, H), np.float32)
+        x[0, pdf["row"], pdf["col"]] = pdf["prob"]
+        return pd.DataFrame({"path": [pdf["tile_id"].iloc[0]], "content": [geotiff.encode(x, (10.0, 0.0, 500000.0, 0.0, -10.0, 400000.0), 32618)]})
+
+    cells = fx.prob(spark, d)
+    px = geotiff.pixels(cells.select(*PIXEL, "prob").groupBy("tile_id").applyInPandas(encode, "path string, content binary"))
+    got = px.select(F.col("path").alias("tile_id"), "row", "col", F.col("v")[0].alias("v"))
+    return cells.select(*PIXEL).join(got, PIXEL)
+
+
 @query()
 def tile_lonlat_bounds(spark, d):
     t = fx.prob(spark, d).groupBy("tile_id").agg(F.max("row").alias("r"), F.max("col").alias("k"))
