@@ -1,0 +1,46 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from pixelloom.operators import labels
+from pixelloom.plans import jobs
+
+PX = "tile_id string, row int, col int"
+
+
+def relations(spark, n=14):
+    rng = np.random.default_rng(0)
+    s2, weak, emb = [], [], []
+    for t in ("18NWA_0", "19NWB_1"):
+        for r in range(n):
+            for c in range(n):
+                lost = 3 <= r < 9 and 3 <= c < 10
+                for y in (2020, 2021):
+                    for m in (1, 6):
+                        gone = lost and y == 2021
+                        s2.append((t, r, c, y, m, float(0.2 if gone else 0.8 + 0.02 * rng.normal()), 0.15, 0.2))
+                    emb.append((t, r, c, y, [float(v) for v in rng.normal(size=4) + (3 if lost and y == 2021 else 0)]))
+                weak.append((t, r, c, "a", 0.95 if lost else 0.0, 18700 if lost else 0))
+                weak.append((t, r, c, "b", 0.8 if lost and c < 8 else 0.0, 18720 if lost and c < 8 else 0))
+    obs = spark.createDataFrame(s2, PX + ", year int, month int, b08 double, b04 double, b11 double")
+    return jobs.Relations(cells=obs.select("tile_id", "row", "col").distinct(), s2=obs, aef=spark.createDataFrame(emb, PX + ", year int, emb array<double>"), weak=spark.createDataFrame(weak, PX + ", source string, confidence double, days int")), n
+
+
+def test_train_predict_tune(spark):
+    rel, n = relations(spark)
+    conf = jobs.settings({"sampling": {"total_positives": 60, "total_negatives": 120}, "model": {"trees": 5, "rate": 0.3, "depth": 3, "least": 2}, "polygons": {"least": 0.5, "open_n": 1, "close_n": 0, "min_ha": 0.1}, "grid": {"thresholds": [0.5], "opens": [0, 1], "closes": [0], "areas": [0.0]}})
+    feats = jobs.features(rel, 2020, 2021, dims=4).cache()
+    fused = labels.fuse(rel.weak).cache()
+    forest = jobs.forest_mask(jobs.Relations(rel.cells, s2=rel.s2), 2020)
+    assert forest.filter("forest").count() == 2 * n * n
+    assert jobs.forest_mask(jobs.Relations(rel.cells), 2020).filter("forest").count() == 2 * n * n
+    assert 0 < jobs.forest_mask(rel, 2020).filter("forest").count() < 2 * n * n
+    rows = jobs.training_set(feats, fused, forest, conf).cache()
+    m = jobs.meta(rows, ["19NWB"]).first()
+    assert m.n_pos == 56 and m.n_neg == 120 and m.tiles == ["18NWA_0", "19NWB_1"]
+    prob = jobs.predict(jobs.train(rows, conf), feats, forest).cache()
+    got = jobs.submit(prob, conf, n, n, fused).collect()
+    assert {(r.tile_id, r.time_step) for r in got} == {("18NWA_0", 2103), ("19NWB_1", 2103)}
+    assert all(30 <= r.n_px <= 42 for r in got)  # of a 6 x 7 clearing, whose corners an opening removes
+    best = jobs.tune(prob, fused, conf, n, n).first()
+    assert best.iou > 0.9 and best.combo in (0, 1)
+    assert jobs.submit(prob, conf, n, n).filter(F.col("time_step").isNotNull()).count() == 0

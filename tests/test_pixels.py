@@ -99,7 +99,7 @@ def test_decoders(spark):
     s = spark.createDataFrame([("t", 0, i, a, o) for i, (a, o) in enumerate([(4, 400), (1, 364), (1, 365), (5, 400), (2, -3)])], PX + ", alert int, day_offset int")
     assert [(r.confidence, r.days) for r in labels.glads2(s).orderBy("col").collect()] == [(1.0, 18297), (0.0, 0), (0.25, 18262), (0.0, 0), (0.0, 0)]
     y = spark.createDataFrame([(0,), (18262,), (-5,), (100_000,)], "d int")
-    assert [r[0] for r in y.select(fn.yymm(F.col("d"))).collect()] == [0, 2001, 0, 12]
+    assert [r[0] for r in y.select(fn.yymm(F.col("d"))).collect()] == [0, 2001, 0, 10]
 
 
 def weak(spark, rows):
@@ -130,7 +130,7 @@ def test_stratified(spark):
     assert sampling.stratified(pos, cap(203)).count() == 200  # what doesn't divide stays unfilled
     assert sampling.stratified(pos, cap(0)).count() == 0 and sampling.stratified(pos, cap(1000)).count() == 1000
     tied = pos.withColumn("max_confidence", F.when(F.col("row") < 20, 0.9).otherwise(1.0))  # edges coincide, strata are empty
-    assert sampling.stratified(tied, cap(203)).count() == 203
+    assert sampling.stratified(tied, cap(203)).count() == 200  # what strata are short of, no more
     assert sampling.plain(pos, cap(17)).count() == 17
 
 
@@ -300,4 +300,5 @@ def test_stream(spark, tmp_path):
     cols = ["tile_id", "row", "col", "year", "n_obs", "median_ndvi", "slope_ndvi"]
     got = spark.read.parquet(str(tmp_path / "out")).select(*cols)
     want = satellite.s2_annual(spark.createDataFrame(rows, schema)).select(*cols)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    near = lambda df: sorted((*r[:5], round(r[5], 9), round(r[6], 9)) for r in df.collect())
+    assert near(got) == near(want)
