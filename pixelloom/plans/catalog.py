@@ -545,11 +545,11 @@ def basemap_pick(spark, d):
     return imagery.pick_scene(fx.s2_obs(spark, d), 1998, 6)
 
 
-@query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 180 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 80 - 36 AS DOUBLE) AS s, c_custkey * 13 % 180 - 85 + 2.5::DOUBLE AS e, c_custkey * 7 % 80 - 36 + 2.5::DOUBLE AS n FROM customer)",
+@query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 181 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 79 - 36 AS DOUBLE) AS s, c_custkey * 13 % 181 - 85 + 2.5::DOUBLE AS e, c_custkey * 7 % 79 - 36 + 2.5::DOUBLE AS n FROM customer)",
          last="SELECT DISTINCT tile_id, poly_id FROM b JOIN tiles t ON b.w <= t.e AND b.e >= t.w AND b.s <= t.n AND b.n >= t.s"))
 def tile_clip(spark, d):
     k = F.col("c_custkey")
-    boxes = fx.table(spark, d, "customer").select(k.alias("poly_id"), (k * 13 % 180 - 85).cast("double").alias("w"), (k * 7 % 80 - 36).cast("double").alias("s"), (k * 13 % 180 - 85 + 2.5).cast("double").alias("e"), (k * 7 % 80 - 36 + 2.5).cast("double").alias("n"))
+    boxes = fx.table(spark, d, "customer").select(k.alias("poly_id"), (k * 13 % 181 - 85).cast("double").alias("w"), (k * 7 % 79 - 36).cast("double").alias("s"), (k * 13 % 181 - 85 + 2.5).cast("double").alias("e"), (k * 7 % 79 - 36 + 2.5).cast("double").alias("n"))
     return imagery.clip(boxes, fx.tiles(spark, d))
 
 
