@@ -10,7 +10,7 @@ WINDOW words or more are the duplicate spans.
 Hot passages: before the exchange each worker resolves the windows that several documents of its batch share. Only the smallest document's copy goes to
 the anchor's task; the others already have their reference and go by document. So a passage that a third of all rows hold costs one row per batch.
 
-A window is told by the 64-bit hash of its anchor and 32 bits of its own.
+Two windows count as equal if the 64-bit hashes of all their words are. The anchor's hash, 40 bits of it, only brings them together.
 
 Defined results: null or empty text has no words and loses none; a document with fewer words than a window loses none; references are documents with a smaller id only, so rows that
 share an id never remove each other's words, and spans are kept by id (repeated rows get the same result); rows with null id are neither reference nor
@@ -31,7 +31,7 @@ from .common import ARROW_BYTES, WordHasher, append_arrow, grams, mix64, ref, sm
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = ARROW_BYTES
 _POS = np.uint64((1 << 24) - 1)
-BLOCKS = "key long, doc long, pos int, hs array<int>, n int, ref_doc long, ref_pos int"
+BLOCKS = "key long, doc long, pos int, hs array<long>, n int, ref_doc long, ref_pos int"
 
 
 def doc_words(col, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +105,11 @@ def blocks(ids: np.ndarray, words: np.ndarray, begin: np.ndarray) -> list[pa.Arr
     f, z = left[a], at[c]
     empty = np.zeros(len(z), np.int64)
     lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(np.concatenate([count, empty]))]).astype(np.int32)), pa.array((h[left] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        pa.array(np.concatenate([[0], np.cumsum(np.concatenate([count, empty]))]).astype(np.int32)), pa.array(h[left].view(np.int64))
     )
     none, own = np.zeros(len(f), np.int64), to[c]
     return [
-        pa.array(np.concatenate([g[p[f]], mix64(doc[z].astype(np.uint64))]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), lists,
+        pa.array((np.concatenate([g[p[f]], mix64(doc[z].astype(np.uint64))]) & ~_POS).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), lists,
         pa.array(np.concatenate([none, spans]).astype(np.int32)), pa.array(np.concatenate([none, doc[own]])), pa.array(np.concatenate([none, pos[own]]).astype(np.int32)),
     ]
 

@@ -3,7 +3,10 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from pixelloom.llm import substring
+from pixelloom.llm.common import WordHasher, grams
 
 
 def brute(rows):
@@ -74,3 +77,15 @@ def test_edges(spark):
     assert got == [(-1, 0), (-1, 0), (5, 0), (5, 0), (6, 30)]
     assert substring.digests(df.limit(0)).count() == 0
     assert substring.parse(df).columns == ["doc_id", "text", "kept", "factors", "n_words", "n_removed"]
+
+
+def test_windows_that_share_half_a_hash_are_not_equal(spark):
+    """Different words around one anchor, whose window hashes agree in their upper 32 bits."""
+    a = "w12573 w11883 w618 w2987 w2074 w18919 w12784 w15788 w5050 w4884 w10084 w14131 w4833"
+    b = "w14485 w7934 w11031 w16005 w2074 w18919 w12784 w15788 w5050 w6128 w1306 w5047 w10394"
+    words = [substring.doc_words(pa.array([t]), WordHasher())[0] for t in (a, b)]
+    ha, hb = (int(grams(w, 13, 13)[0]) for w in words)
+    assert ha != hb and ha >> 32 == hb >> 32
+    assert [substring.anchors(w)[0].tolist() for w in words] == [[4], [4]]
+    df = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.digests(df).collect()} == {1: 0, 2: 0, 3: 13}
