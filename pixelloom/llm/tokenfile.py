@@ -7,6 +7,7 @@ gathers the bytes at their running sums, in numpy.
 
 The tokenizer's split pattern never runs across a place where white space follows a character that is none, so words with the blank before them
 are encoded once per worker and looked up after that (a bounded cache); the tokenizers library encodes every word that is not in the cache.
+The library finds the vocabulary's added tokens before it splits, so texts that hold one go to it whole (unless they are to count as ordinary text).
 
 Defined results: null text is empty and has the end id alone; rows come in the order of id, null ids first; rows of one id follow each other by text;
 an empty table writes no file.
@@ -124,14 +125,15 @@ _AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordEncoder:
     """Ids of texts as the tokenizer gives them. It splits texts only where white space follows another character."""
 
-    def __init__(self, path: str, most: int = CACHE):
+    def __init__(self, path: str, most: int = CACHE, plain: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain  # whether special tokens' strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.most = most
         self.dtype = np.dtype("<u4")  # of the ids in the caches and in encode()'s results
         self.words: dict[str, bytes] = {}  # the word after a blank (or led by a line break) -> ids
@@ -178,6 +180,8 @@ class WordEncoder:
             words[w] = (self.line if led else b"") + ids + tails[tail]
 
     def _text(self, t: str) -> bytes:
+        if any(a in t for a in self.added):
+            return self._ids(t).tobytes()
         if not t.replace("\n", "").isprintable():  # white space of other kinds, or what might be some
             return self._ids(t).tobytes()
         if t[:1] in _BLANKS or t[-1:] in _BLANKS or any(r in t for r in _RUNS):
@@ -218,23 +222,25 @@ class WordEncoder:
 _encoders: dict = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, plain: bool) -> WordEncoder:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = WordEncoder(path, plain=plain)
+    return _encoders[path, plain]
 
 
 # ---- writing and reading ----------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """Writes the token-id files and gives their list, already written: part, seq (their order), uri, n_docs, n_ids."""
+def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, plain: bool = True) -> DataFrame:
+    """Writes the token-id files and gives their list, already written: part, seq (their order), uri, n_docs, n_ids.
+
+    plain: special tokens' strings in a text are ordinary text; the library's own default is that they are the tokens."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder, keys, counts, held, n = _encoder(tokenizer), [], [], [], 0
+        encoder, keys, counts, held, n = _encoder(tokenizer, plain), [], [], [], 0
         tail, width = np.array([end], encoder.dtype).tobytes(), encoder.dtype.itemsize
 
         def flush():
@@ -289,5 +295,6 @@ def read(files: DataFrame, *, ids_too: bool = True) -> DataFrame:
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    files = write(docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "tokens"), tokenizer)
+    """Ids are those of the library's encode(text, add_special_tokens=False) with nothing else set."""
+    files = write(docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "tokens"), tokenizer, plain=False)
     return read(files, ids_too=False).select("doc_id", "start", "n_tokens", "ids_crc32")

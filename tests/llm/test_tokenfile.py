@@ -50,3 +50,24 @@ def test_files(spark, tmp_path):
     assert tokenfile.digests(docs.limit(0), PATH).count() == 0
     odd = spark.createDataFrame([(None, "a"), (None, None), (3, "b"), (3, "b")], "doc_id long, text string")
     assert [(r.doc_id, r.start) for r in tokenfile.digests(odd, PATH).orderBy("start").collect()] == [(None, 0), (None, 1), (3, 3), (3, 5)]
+
+
+LIBRARY = Tokenizer.from_file(PATH)  # nothing set
+
+
+def test_query_equals_unmodified_library(spark):
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endoftext|>", "abc <|endoftext| > def", "abc def", None, " <|endoftext|>\n\nx", "abc <|endoftext|>, def"]
+    got = sorted(tokenfile.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect())
+    start = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab1'.st,\n\t\r é漢😀\x0b\xa0　\x1c ", " ", " ", "<|endoftext|>", "<|endof"]), max_size=40).map("".join), max_size=4))
+def test_added_tokens_as_the_library_finds_them(texts):
+    encoder = tokenfile._encoder(PATH, False)
+    for t, g in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(g, encoder.dtype).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
