@@ -4,7 +4,7 @@ Every language gets a codeword; one binary classifier (logistic regression on ha
 Decoding adds up, bit by bit, the loss that a codeword would have against the predicted margins, weighted by how well the bit's classifier
 fits, and takes the codeword with the least loss. If the runner-up is nearly as near, the row is flagged ambiguous.
 
-The classifiers are fitted on about MAX_ROWS labelled rows, spread evenly over the languages and chosen by a hash of the id; a row is sent as a
+The classifiers are fitted on about MAX_ROWS labelled rows of distinct texts, spread evenly over the languages and chosen by a hash of the text; a row is sent as a
 vector of FEATURES numbers, so the driver's share is bounded whatever the texts' lengths. Everything else sees whole texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0 and not ambiguous; without any labelled row all texts are `und`; with one
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import append_arrow, ref, release, text_bytes
 
 FEATURES = 4096
-MAX_ROWS = 1500
+MAX_ROWS = 2000
 ROUNDS, RATE, DECAY = 80, 4.0, 1e-4
 NEAR = 0.02
 NONE = "und"
@@ -129,15 +129,18 @@ def fit(x: np.ndarray, y: list[str]) -> Model | None:
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> Model | None:
-    """A model from about max_rows of the rows with text and label, evenly by label."""
+    """A model from about max_rows of the rows with text and label, evenly by label; the copies of a text count as one."""
     rows = labelled.select(ref(id_col).alias("id"), ref(text_col).alias("text"), ref(label_col).alias("label")).filter("id is not null and text is not null and label is not null")
-    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
         return None
     each = max(1, max_rows // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    u = F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     some = rows.filter(u < F.element_at(share, F.col("label")))
+    one = some.groupBy("label", "h").agg(F.min("id").alias("id"))  # about max_rows rows, whatever the number of copies
+    some = some.join(F.broadcast(one), ["label", "h", "id"], "left_semi")
     sent = append_arrow(some.select("label", "text"), [F.col("text")], [("x", T.BinaryType())], lambda cols: [pa.array([v.tobytes() for v in profiles(cols[0]).astype(np.float16)], pa.binary())])
     got = sent.select("label", "x").toArrow()
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in got.column("x")]) if got.num_rows else np.zeros((0, FEATURES), np.float16)

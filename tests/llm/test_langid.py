@@ -68,3 +68,16 @@ def test_profile_does_not_depend_on_blocks():
         assert np.array_equal(langid.profile(data), whole)
     finally:
         langid._BLOCK = old
+
+
+def test_copies_do_not_use_up_the_sample(spark, monkeypatch):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, "the same text", "aa") for i in range(1900)]
+    rows += [(2000 + i, f"the text of {word(i)}", "aa") for i in range(100)] + [(3000 + i, f"der text {word(i)}", "bb") for i in range(500)]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, y: seen.extend(zip(y, map(bytes, x))))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=100)
+    for label in ("aa", "bb"):
+        mine = [v for k, v in seen if k == label]
+        assert 30 <= len(set(mine)) and len(mine) <= 75
+    assert langid.MAX_ROWS == 2000
