@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut in the lineage that any executor can read again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def counted_stage(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stage(), and how many rows were written, counted on the way."""
+    seen = Observation()
+    return stage(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
+
+
+#: Keys that more than 1 / HEAVY of all rows have are heavy; there are fewer than HEAVY of them.
+HEAVY = 1024
+
+
+def heavy_join(rows: DataFrame, groups: DataFrame, on: str, k: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """Inner join of rows with groups (a row for each key; column k: how many of the `total` rows have it), without a task that gets all rows of a key.
+
+    Heavy keys are a list of bounded length, so their rows meet it by broadcast; all others go by a shuffle."""
+    many = F.col(k) * heavy > total
+    new = [c for c in groups.columns if c not in (on, k)]
+    met = rows.join(F.broadcast(groups.filter(many).drop(k).withColumn("met", F.lit(True))), on, "left")
+    rest = met.filter("met is null").drop("met", *new).join(groups.filter(~many).drop(k), on)
+    return met.filter("met").drop("met").unionByName(rest)
+
+
+def dealt(files: DataFrame, many: int, per: int = 8) -> DataFrame:
+    """A list of `many` files (uri) over tasks: one for each while they are few, then up to `per` for one task."""
+    tasks = max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-many // per))
+    return files.repartition(max(1, min(many, tasks)), "uri")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a staged path through the file system that holds it."""
     jvm = spark.sparkContext._jvm
@@ -135,10 +162,6 @@ def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataTyp
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"o{i}").alias(c) for i, (c, _) in enumerate(outputs)])
 
 
-def sized(rows: int, per: int, least: int = 1) -> int:
-    return max(least, -(-rows // per))
-
-
 # ---- words as numbers -------------------------------------------------------------------------------------------
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

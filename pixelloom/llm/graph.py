@@ -1,41 +1,66 @@
-"""Connected components of a graph of links, by alternating large and small stars over DataFrames."""
+"""Connected components of a graph of links: one contraction, then alternating large and small stars over DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
 
+#: Up to so many rows (16 bytes each) a list of nodes is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
-def _star_sum(edges: DataFrame):
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.s
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A hint for a list of a counted size; beyond the bound Spark joins it by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _round(e: DataFrame) -> DataFrame:
+    """One large star and one small star over edges (a, b), a < b; moved tells edges that changed.
+
+    Large: a node's larger neighbours go to the least of it and its neighbours. Small: a node's smaller neighbours go to the least of them. Neither makes
+    more edges than there were, and each is one exchange."""
+    both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    at_x = W.partitionBy("x").orderBy("y")
+    x = both.withColumns({"least": F.least("x", F.first("y").over(at_x)), "before": F.lag("y").over(at_x)}).filter("y > x and (before is null or before < y)")
+    large = x.select(F.col("least").alias("a"), F.col("y").alias("b"), (F.col("least") < F.col("x")).alias("moved"))
+    at_b = W.partitionBy("b").orderBy("a")
+    y = large.withColumns({"least": F.first("a").over(at_b), "before": F.lag("a").over(at_b), "any": F.max("moved").over(at_b.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    y = y.filter("before is null or before < a")
+    first = F.col("before").isNull()
+    return y.select(F.col("least").alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(first, F.col("any")).otherwise(True).alias("moved"))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """edges (u, v): node, component (the least node reachable), for all nodes with a link to another node.
 
-    Each round links every node's larger neighbours to its least one, then every node's smaller neighbours to their least one; both keep
-    connectivity, and the edges become stars about the least nodes in a few rounds. Minima are aggregated before they are shuffled, and
-    every round is written to the shared folder."""
-    e = stage(edges.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
-    told = _star_sum(e)
+    First every node is put under its least smaller neighbour, and only nodes that have larger neighbours of their own stay in the graph, linked
+    with what their members saw. Stars about least nodes, which is what links mostly are, end there; the leaves of a large star are never exchanged by its
+    centre. What is left is settled by rounds of stars, and members take the component of their least neighbour. Every round is written to the shared folder."""
+    e = edges.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    e = stage(e, "edges")
+    at_b = W.partitionBy("b").orderBy("a")
+    x = e.withColumns({"m": F.first("a").over(at_b), "k": F.row_number().over(at_b)})
+    centres = e.select(F.col("a").alias("b"), F.lit(True).alias("centre")).distinct()
+    x = x.join(centres, "b", "full")  # a node without smaller neighbours comes from the right alone: its k is null
+    seen = Observation()
+    x = x.select("a", "b", F.coalesce("m", "b").alias("m"), "k", F.col("centre").isNotNull().alias("centre"))
+    x = stage(x.observe(seen, F.count_if((F.col("k") > 1) | (F.col("centre") & F.col("k").isNotNull())).alias("rest"), F.count("*").alias("n")), "stars")
+    own = x.filter("k = 1 or k is null").select(F.col("b").alias("node"), "m")
+    if not seen.get["rest"]:
+        return own.withColumnRenamed("m", "component")
+    now = x.filter("k > 1").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(x.filter("k = 1 and centre").select(F.col("m").alias("a"), "b"))
     for _ in range(most):
-        if not told[0]:
-            break
-        both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("m").alias("a"), F.col("y").alias("b")).distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
-        new = stage(small.select("e.a", "e.b").filter("a < b").distinct(), "edges")
-        now = _star_sum(new)
-        unstage(e)
-        e = new
-        if now == told:
+        moves = Observation()
+        new = stage(_round(now).observe(moves, F.count("*").alias("n"), F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")), "round")
+        if "moved" in now.columns:
+            unstage(now)
+        now = new
+        if not moves.get["moved"]:
             break
-        told = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    top = now.select(F.col("b").alias("m"), F.col("a").alias("top"))
+    return own.join(small(top, moves.get["n"]), "m", "left").select("node", F.coalesce("top", "m").alias("component"))

@@ -9,8 +9,8 @@ The tokenizer's split pattern never runs across a place where white space follow
 are encoded once per worker and looked up after that (a bounded cache); the tokenizers library encodes every word that is not in the cache.
 The library finds the vocabulary's added tokens before it splits, so texts that hold one go to it whole (unless they are to count as ordinary text).
 
-Defined results: null text is empty and has the end id alone; rows come in the order of id, null ids first; rows of one id follow each other by text;
-an empty table writes no file.
+Defined results: null text is empty, and an empty text has the end id alone; a very long text is encoded whole; rows come in the order of id, null ids first; rows of one id follow each other by text, and repeated rows
+are written as often as they occur; further columns are not looked at, whatever their names; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ref, scratch_path, small_batches, stage
+from .common import dealt, ref, scratch_path, small_batches, stage
 from .storage import read_bytes, write_bytes
 
 MAGIC = b"PXTOKID1"
@@ -289,9 +289,8 @@ def read(files: DataFrame, *, ids_too: bool = True) -> DataFrame:
                     out = [pa.array(keys[z], pa.int64()), pa.array(starts[z] + first, pa.int64()), pa.array(counts[z].astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     yield pa.RecordBatch.from_arrays(out + [pa.array([x.tobytes() for x in own], pa.binary())] * ids_too, names)
 
-    many = max(1, files.count())
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids_too
-    return listed.repartition(many, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids_too)
+    return dealt(listed, files.count()).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids_too)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
