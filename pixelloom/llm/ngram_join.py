@@ -6,25 +6,28 @@ global order of tokens, linked sets share a token among their first |A| - ceil(P
 1. rare first: by the token's count in a sketch of all documents, then by hash. This order is the distributed index: the prefix tokens are
    exchanged, and a token's documents become candidates of each other. The index prefix is a little longer than it must be, so linked sets share several
    tokens in it, and documents that share fewer with all others together drop out before candidates are made.
-2. ascending hash and 3. descending hash: checked on the candidates' sets; only pairs that pass all three are verified, by exact
-   counts of shared shingles.
+2. ascending hash and 3. descending hash.
+
+A pair of candidates must share prefix tokens under each of the three orders; only pairs that pass all three are verified, by exact counts of shared shingles.
 
 What keeps the work near the input's size:
 
-* documents with equal sets are one class, represented by its least id;
-* candidates of a token form a star about its least document (for very common tokens, one star per slice of documents, and one star of the slices'
+* documents with equal sets are one class, told by a hash of the set; only classes go through the index. Classes of very many documents are few
+  (HEAVY of all documents at most), so their documents find their class in a broadcast list, all others by a shuffle;
+* candidates of a token form a star about its least class (for very common tokens, one star per slice of classes, and one star of the slices'
   centres); the components of the stars hold every candidate pair inside them, so no list of pairs is ever made;
 * a component is verified in blocks of bounded size. If it has several blocks, each is verified with a few hubs of the component first;
   after that only the documents that are still apart from the component's main part are verified against all its blocks. Nothing is capped:
   the work for one component can grow with (documents still apart) x (its documents), counted by matrix products inside blocks.
 
-The sketch counts every distinct shingle of every document in CELLS cells (a fixed size, whatever the corpus), so its broadcast is bounded. Tokens that share a
-cell share a count; an order need not be exact to be safe, only the same for all. A token of d documents stands out of the rarest fifth once d
-is some roots of the mean count of a cell.
+The sketch counts every distinct shingle of every document. It has a cell for about TOKENS_A_CELL tokens, as the input's size tells, and at most
+MOST_CELLS, so what is broadcast is bounded. Tokens that share a cell share a count; an order need not be exact to be safe, only the same for all. A token of
+d documents stands out of the rarest fifth once d is some roots of the mean count of a cell.
 
-Defined results: null or empty text, or text without words, has an empty set (n_shingles 0) and links with nothing; with fewer than SHINGLE words the whole sequence is the one shingle;
-rows that share an id are one document and should hold one text (repeated rows get the same result); rows with null id have component null; an empty table
-gives an empty result.
+Defined results: null or empty text, or text without words, has an empty set (n_shingles 0), takes no part in the index and links with nothing; with fewer than
+SHINGLE words the whole sequence is the one shingle; very long texts are taken whole (a worker holds a few numbers per word of one text, and the sets of one block);
+equal sets have similarity 1; rows that share an id are one document and should hold one text (repeated rows get the same result); rows with null id have
+component null; further columns of any name are kept by keep_one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,16 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, append_arrow, grams, ref, release, small_batches, stage
-from .graph import components
+from .common import HEAVY, WordHasher, counted_stage, grams, heavy_join, ref, release, small_batches, stage
+from .graph import components, small
 from .substring import by_bytes, doc_words
 
 SHINGLE, PERCENT = 5, 80
-CELLS, PARTS = 1 << 22, 64
+#: The sketch: cells at least and at most, tokens for which there is one cell, bytes of text for a token, pieces in which it is added up.
+LEAST_CELLS, MOST_CELLS, TOKENS_A_CELL, TOKEN_BYTES, PARTS = 1 << 16, 1 << 24, 32, 6, 64
 SLICE = 2000
 BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 512, 400_000, 16
-#: Up to so many rows (16 bytes each) a list of ids is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 250_000
 
 
 def prefix_size(n: int) -> int:
@@ -106,47 +108,52 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """(left, right) booleans: linked. Candidates must share prefix tokens under both hash orders before their sets are compared."""
+def alike(left: list[np.ndarray], right: list[np.ndarray], left_rare: list[np.ndarray], right_rare: list[np.ndarray]) -> np.ndarray:
+    """(left, right) booleans: linked. left_rare, right_rare: the prefixes under the first order, ascending. Candidates must share prefix tokens under all
+    three orders before their sets are compared."""
     nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     first = lambda s: [x[: prefix_size(len(x))] for x in s]
     last = lambda s: [x[len(x) - prefix_size(len(x)) :] for x in s]
+    orders = [(left_rare, right_rare), (first(left), first(right)), (last(left), last(right))]
     if len(left) * len(right) <= 64:
         out = np.zeros((len(left), len(right)), bool)
-        fl, fr, zl, zr = first(left), first(right), last(left), last(right)
         meet = lambda a, b: np.intersect1d(a, b, assume_unique=True).size
         for i in range(len(left)):
             for j in range(len(right)):
-                if 100 * min(nl[i], nr[j]) >= PERCENT * max(nl[i], nr[j]) and meet(fl[i], fr[j]) and meet(zl[i], zr[j]):
+                if 100 * min(nl[i], nr[j]) >= PERCENT * max(nl[i], nr[j]) and all(meet(l[i], r[j]) for l, r in orders):
                     n = meet(left[i], right[j])
                     out[i, j] = 100 * n >= PERCENT * (nl[i] + nr[j] - n)
         return out
-    mask = (shared(first(left), first(right)) > 0) & (shared(last(left), last(right)) > 0)
-    if not mask.any():
-        return mask
+    mask = 100 * np.minimum(nl[:, None], nr) >= PERCENT * np.maximum(nl[:, None], nr)
+    for l, r in orders:  # each filter looks at the rows and columns that the ones before left
+        li, ri = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        if not len(li):
+            return mask
+        mask[np.ix_(li, ri)] &= shared([l[i] for i in li], [r[j] for j in ri]) > 0
     li, ri = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    if not len(li):
+        return mask
     n = np.zeros(mask.shape, np.int32)
     n[np.ix_(li, ri)] = shared([left[i] for i in li], [right[j] for j in ri])
     return mask & (100 * n >= PERCENT * (nl[:, None] + nr - n))
 
 
-def spanning(ids_l: np.ndarray, ids_r: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what `link` connects, without those inside parts that are already connected."""
-    top: dict[int, int] = {}
-
-    def root(x):
-        while top.setdefault(x, x) != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(link)):
-        a, b = root(int(ids_l[i])), root(int(ids_r[j]))
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            out.append((int(ids_l[i]), int(ids_r[j])))
-    return out
+def stars(ids_l: np.ndarray, ids_r: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least id, other id) that connect what `link` connects."""
+    ids, at = np.unique(np.concatenate([ids_l, ids_r]), return_inverse=True)
+    l, r = at[: len(ids_l)], at[len(ids_l) :]
+    top = np.arange(len(ids))
+    far = len(ids)
+    while True:
+        new = top.copy()
+        np.minimum.at(new, r, np.where(link, top[l][:, None], far).min(0, initial=far))
+        np.minimum.at(new, l, np.where(link, new[r], far).min(1, initial=far))
+        new = new[new]
+        if (new == top).all():
+            break
+        top = new
+    own = np.flatnonzero(top < np.arange(len(ids)))
+    return ids[top[own]], ids[own]
 
 
 def _groups(batches, keys: int):
@@ -167,190 +174,220 @@ def _groups(batches, keys: int):
 
 
 def _verify(df: DataFrame) -> DataFrame:
-    """df: g, a, b, side (0 left, 1 right, 2 both), doc, s (the set). Gives spanning links (u, v) of every group (g, a, b)."""
+    """df: g, a, b, side (0 left, 1 right, 2 both), doc, s (the set), p (its prefix, rare first). Gives connecting links (u, v) of every group (g, a, b)."""
 
     def run(batches):
-        out_u, out_v = [], []
+        held, many = [], 0
         for _, parts in _groups(batches, 3):
             t = pa.Table.from_batches(parts)
             side, ids = t.column("side").to_numpy(), t.column("doc").to_numpy()
-            own = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+            own, rare = ([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()] for c in ("s", "p"))
             l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             if len(l) and len(r):
-                for u, v in spanning(ids[l], ids[r], alike([own[i] for i in l], [own[i] for i in r])):
-                    out_u.append(u)
-                    out_v.append(v)
-            if len(out_u) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
-                out_u, out_v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
-
-    dealt = df.select("g", "a", "b", "side", "doc", "s").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+                held.append(stars(ids[l], ids[r], alike([own[i] for i in l], [own[i] for i in r], [rare[i] for i in l], [rare[i] for i in r])))
+                many += len(held[-1][0])
+            if many > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
+                held, many = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
+
+    dealt = df.select("g", "a", "b", "side", "doc", "s", "p").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
     return dealt.mapInArrow(run, "u long, v long")
 
 
 # ---- the join ---------------------------------------------------------------------------------------------------
 
 
-def cells(s: np.ndarray) -> np.ndarray:
+def cell_count(text_bytes: int) -> int:
+    """Cells of the sketch: a power of two that follows the input up to a bound."""
+    wanted = text_bytes / TOKEN_BYTES / TOKENS_A_CELL
+    n = LEAST_CELLS
+    while n < wanted and n < MOST_CELLS:
+        n *= 2
+    return n
+
+
+def cells(s: np.ndarray, many: int) -> np.ndarray:
     """The sketch's cell of each token; from high bits, as the order's ties go by the whole hash."""
-    return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return (s >> np.uint64(64 - many.bit_length() + 1)).astype(np.int64)
 
 
-def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """All documents' (doc, n, fp), written once, and the sketch: the sum of what every task counts over its documents."""
-    names = ["doc", "n", "fp", "part", "counts"]
-    width = CELLS // PARTS
+def _profiles(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """All documents' (doc, n, fp, cid), written once, and the sketch: the sum of what every task counts over its documents. cid: half of fp."""
+    names = ["doc", "n", "fp", "cid", "part", "counts"]
+    parts = min(PARTS, width)
+    per = width // parts
 
     def run(batches):
-        hasher, seen = WordHasher(lower=True), np.zeros(CELLS, np.uint32)
+        hasher, seen = WordHasher(lower=True), np.zeros(width, np.uint32)
         for whole in batches:
             for b in by_bytes(whole, 1):
                 own = list(sets(b.column(1), hasher))
-                seen += np.bincount(cells(np.concatenate(own)), minlength=CELLS).astype(np.uint32)
+                seen += np.bincount(cells(np.concatenate(own), width), minlength=width).astype(np.uint32)
+                fp = [fingerprint(s) for s in own]
+                cid = np.frombuffer(b"".join(fp), np.int64)[::2]
                 k = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        for part in range(PARTS):
-            mine = seen[part * width : (part + 1) * width]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(fp, pa.binary()), pa.array(cid), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        for part in range(parts):
+            mine = seen[part * per : (part + 1) * per]
             if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], names)
 
     def total(batches):
-        sums: dict[int, np.ndarray] = {}  # a partition holds some of the PARTS, whatever the number of tasks
+        sums: dict[int, np.ndarray] = {}  # a partition holds some of the parts, whatever the number of tasks
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = np.frombuffer(zlib.decompress(data), np.uint32)
                 sums[part] = sums[part] + got if part in sums else got.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    x = stage(docs.mapInArrow(run, "doc long, n long, fp binary, part int, counts binary"), "profiles")
-    parts = x.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(total, "part int, counts binary").toArrow()
-    sketch = np.zeros(CELLS, np.uint32)
-    for part, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        sketch[part * width : (part + 1) * width] = np.frombuffer(data, np.uint32)
-    del parts
+    x = stage(docs.mapInArrow(run, "doc long, n long, fp binary, cid long, part int, counts binary"), "profiles")
+    got = x.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(total, "part int, counts binary").toArrow()
+    sketch = np.zeros(width, np.uint32)
+    for part, data in zip(got.column(0).to_pylist(), got.column(1)):
+        sketch[part * per : (part + 1) * per] = np.frombuffer(data.as_buffer(), np.uint32)
+    del got
     release()
-    return x.filter("part is null").select("doc", "n", "fp"), sketch
+    return x.filter("part is null").select("doc", "n", "fp", "cid"), sketch
+
 
+def rare_first(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's tokens in the first order, and their counts in the sketch."""
+    n = counts[cells(s, len(counts))]
+    at = np.argsort(n, kind="stable")
+    return s[at], n[at].astype(np.int64)
 
-def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, cell, doc) of the index prefixes' tokens that more than one document has there; cell: a very common token's slice of documents, else 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS * 4 bytes
+
+def _postings(docs: DataFrame, sketch) -> DataFrame:
+    """(token, cell, cid, need) of the index prefixes' tokens; cell: a very common token's slice of classes, else 0; need: how many of its
+    prefix tokens a class shares with any that it can link with."""
     per = SLICE
 
     def run(batches):
         hasher, seen = WordHasher(lower=True), set()
-        counts = sent.value
+        counts = sketch.value
         for whole in batches:
             for b in by_bytes(whole, 1):
-                tokens, slices, ids = [], [], []
-                for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1), hasher)):
+                tokens, slices, ids, needs = [], [], [], []
+                for s in sets(b.column(1), hasher):
                     if not len(s):
                         continue
                     fp = fingerprint(s)
                     if fp in seen:  # an equal set of this task stands for it
                         continue
                     seen.add(fp)
-                    n = counts[cells(s)]
-                    at = np.argsort(n, kind="stable")[: prefix_size(len(s)) + extra(len(s))]
-                    n = n[at].astype(np.int64)
-                    tokens.append(s[at])
-                    slices.append(np.where(n >= per, 1 + (doc * 0x9E3779B1 >> 7) % (n // per + 1), 0))
-                    ids.append(np.full(len(at), doc))
+                    cid = np.frombuffer(fp, np.int64)[0]
+                    t, n = rare_first(s, counts)
+                    t, n = t[: prefix_size(len(s)) + extra(len(s))], n[: prefix_size(len(s)) + extra(len(s))]
+                    tokens.append(t)
+                    slices.append(np.where(n >= per, 1 + np.int64((int(cid) & 0x7FFFFFFF)) % (n // per + 1), 0))
+                    ids.append(np.full(len(t), cid))
+                    needs.append(np.full(len(t), 1 + extra(-(-PERCENT * len(s) // 100)), np.int32))  # the smallest partner has so many extra tokens
                 if tokens:
                     t = np.concatenate(tokens).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(slices).astype(np.int32)), pa.array(np.concatenate(ids))], ["token", "cell", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(slices).astype(np.int32)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(needs))], ["token", "cell", "cid", "need"])
+
+    return docs.filter("id is not null and text is not null").mapInArrow(run, "token long, cell int, cid long, need int")
+
 
-    p = docs.filter("id is not null and text is not null").mapInArrow(run, "token long, cell int, doc long")
-    cell = W.partitionBy("token", "cell")
-    p = p.withColumns({"lo": F.min("doc").over(cell), "hi": F.max("doc").over(cell)}).filter("cell > 0 or lo < hi")
-    return stage(p.select("token", "cell", "doc"), "postings")
+def _shared(p: DataFrame) -> DataFrame:
+    """Rows of p whose token another class has too in its cell, each once; lo: the least class there."""
+    at = W.partitionBy("token", "cell").orderBy("cid")
+    whole = at.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = p.withColumns({"lo": F.first("cid").over(whole), "hi": F.last("cid").over(whole), "before": F.lag("cid").over(at)})
+    return x.filter("(cell > 0 or lo < hi) and (before is null or before < cid)").select("token", "cell", "cid", "need", "lo")
 
 
-def _stars(postings: DataFrame, member: DataFrame) -> DataFrame:
-    """Candidate edges (u, v) of class representatives: each with the least one of a token that both have.
+def _stars(postings: DataFrame) -> DataFrame:
+    """Candidate edges (u, v) of classes: each with the least one of a token that both have.
 
-    A set that can link with some set of at least PERCENT% of its size shares 1 + extra of that size tokens of its index prefix with it. Sets that share
+    A set that can link with some set of at least PERCENT% of its size shares `need` tokens of its index prefix with it. Sets that share
     fewer with all others together are left out before the stars are made, twice, as leaving out some makes tokens of others unshared."""
-    of = member.filter("doc is not null and n > 0").select("doc", "rep").distinct()
-    size = member.filter("doc = rep").select(F.col("doc").alias("rep"), (F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20) + 1).alias("need")).distinct()
-    p = postings.join(of, "doc").select("token", "cell", "rep").distinct()
-    cell = W.partitionBy("token", "cell")
+    p = _shared(postings)
     for _ in range(2):
-        p = p.withColumns({"lo": F.min("rep").over(cell), "hi": F.max("rep").over(cell)}).filter("cell > 0 or lo < hi").select("token", "cell", "rep")
-        p = stage(p, "shared")
-        enough = p.groupBy("rep").agg(F.count("*").alias("k")).join(size, "rep").filter("k >= need").select("rep")
-        p = p.join(enough, "rep")
-    p = stage(p.withColumn("lo", F.min("rep").over(cell)).filter("cell > 0 or lo < rep"), "stars")
-    inner = p.filter("lo < rep").select(F.col("lo").alias("u"), F.col("rep").alias("v")).distinct()
+        p = _shared(p.withColumn("k", F.count("*").over(W.partitionBy("cid"))).filter("k >= need").select("token", "cell", "cid", "need"))
+    p = stage(p.filter("cell > 0 or lo < cid").select("token", "cell", "cid", "lo"), "shared")
+    inner = p.filter("lo < cid").select(F.col("lo").alias("u"), F.col("cid").alias("v"))
     centres = p.filter("cell > 0").select("token", "lo").distinct()
     outer = centres.withColumn("m", F.min("lo").over(W.partitionBy("token"))).filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
-    return inner.unionByName(outer).distinct()
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """A hint for a list of ids of a counted size; beyond the bound Spark joins it by a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return inner.unionByName(outer)
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_shingles, component: one row per row of docs."""
     small_batches(docs.sparkSession)
     src = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
-    own, sketch = _profiles(src)
-    postings = _postings(src, sketch)
-    del sketch
+    size = src.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    own, counts = _profiles(src, cell_count(size.bytes))
+    sketch = docs.sparkSession.sparkContext.broadcast(counts)  # at most MOST_CELLS * 4 bytes
+    del counts
     release()
+    cand = stage(components(_stars(_postings(src, sketch))).select(F.col("node").alias("cid"), F.col("component").alias("g")), "candidates")
     # classes of equal sets
-    first = own.filter("n > 0 and doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"))
-    member = stage(own.join(first, "fp", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "members")
-    cand = stage(components(_stars(postings, member)).select(F.col("node").alias("doc"), F.col("component").alias("g")), "candidates")
-    links = _links(src, cand, member)
-    part = components(links)
-    out = member.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("doc"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep")).alias("component"))
-
-
-def _links(src: DataFrame, cand: DataFrame, member: DataFrame) -> DataFrame:
-    """Verified links (u, v) that connect all that is linked within the candidates' components."""
-    size = member.filter("doc = rep").select("doc", "n").distinct()
-    sized = cand.join(size, "doc")
-    weight = sized.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    blocks = weight.select("g", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    nodes = stage(cand.join(blocks, "g").select("doc", "g", "nb", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int").alias("blk")), "nodes")
-    many = nodes.count()
-    hasher = []
-
-    def run(cols):
-        if not hasher:
-            hasher.append(WordHasher(lower=True))
-        return [pa.array([s.tobytes() for s in sets(cols[0], hasher[0])], pa.binary())]
-
-    from pyspark.sql import types as T
-
-    text = src.join(_small(nodes, many), F.col("id") == F.col("doc")).select("doc", "g", "nb", "blk", "text")
-    held = stage(append_arrow(text, [F.col("text")], [("s", T.BinaryType())], run).select("doc", "g", "nb", "blk", "s"), "sets")
-    both = lambda x: x.withColumn("a", F.col("blk")).withColumn("b", F.lit(-1)).withColumn("side", F.lit(2))
+    classes = own.filter("n > 0 and doc is not null").groupBy("fp", "cid", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k"))
+    classes = stage(classes, "classes")
+    part = _linked(src, cand, classes, sketch)
+    sketch.destroy()
+    classes = classes.join(part, classes["rep"] == part["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "k")
+    classes = stage(classes, "components")
+    known = heavy_join(own.filter("n > 0 and doc is not null"), classes, "fp", "k", size.rows, HEAVY)
+    rest = own.filter("not (n > 0 and doc is not null)").withColumn("component", F.col("doc"))
+    out = [x.select("doc", F.col("n").alias("n_shingles"), "component") for x in (known, rest)]
+    return out[0].unionByName(out[1])
+
+
+def _linked(src: DataFrame, cand: DataFrame, classes: DataFrame, sketch) -> DataFrame:
+    """node, component of the classes (by their least documents) that are linked with others: all links lie within the candidates' components."""
+    nodes = classes.join(cand, "cid").select(F.col("rep").alias("doc"), "n", "g")
+    nodes, many = counted_stage(nodes, "nodes")
+    weight = nodes.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    blocks = weight.select("g", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")).filter("nb > 1")
+    blocks, parted = counted_stage(blocks, "blocks")
+    nodes = nodes.join(small(blocks, parted), "g", "left").select("doc", "g", F.coalesce("nb", F.lit(1)).alias("nb"))
+    nodes = nodes.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+
+    def run(batches):
+        hasher, counts = WordHasher(lower=True), sketch.value
+        names = ["doc", "g", "nb", "blk", "s", "p"]
+        for whole in batches:
+            for b in by_bytes(whole, 4):
+                own = list(sets(b.column(4), hasher))
+                rare = [np.sort(rare_first(s, counts)[0][: prefix_size(len(s))]).tobytes() for s in own]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([s.tobytes() for s in own], pa.binary()), pa.array(rare, pa.binary())], names)
+
+    text = src.join(small(nodes, many), F.col("id") == F.col("doc"))
+    held = stage(text.select("doc", "g", "nb", "blk", "text").mapInArrow(run, "doc long, g long, nb int, blk int, s binary, p binary"), "sets")
     large = held.filter("nb > 1")
     hub = large.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("doc", F.lit(3)), "doc"))).filter(F.col("k") <= HUBS)
     hub = hub.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("to <> blk")
-    cols = ["g", "a", "b", "side", "doc", "s"]
-    one = both(held).select(*cols).unionByName(hub.select("g", F.col("to").alias("a"), F.lit(-1).alias("b"), F.lit(2).alias("side"), "doc", "s"))
-    first = stage(_verify(one), "links")
+    cols = ["g", "a", "b", "side", "doc", "s", "p"]
+    both = lambda x, a: x.withColumns({"a": F.col(a), "b": F.lit(-1), "side": F.lit(2)}).select(*cols)
+    one = both(held, "blk").unionByName(both(hub, "to")) if parted else both(held, "blk")
+    part = components(_verify(one))
+    if not parted:
+        return part
     # large components: what is still apart from the main part is verified against all blocks
-    if not large.select("g").limit(1).count():
-        return first
-    part = components(first).select(F.col("node").alias("doc"), "component")
-    at = nodes.filter("nb > 1").join(part, "doc", "left").select("doc", "g", "nb", "blk", F.coalesce("component", "doc").alias("part"))
-    at = stage(at, "parts")
-    sizes = at.groupBy("g", "part").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("g").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
-    apart = at.join(main, "g").filter("part <> main").select("doc", "g")
+    part = stage(part, "parts")
+    at = nodes.filter("nb > 1").join(part, F.col("doc") == F.col("node"), "left").select("doc", "g", F.coalesce("component", "doc").alias("part"))
+    at = stage(at, "apart")
+    main = at.groupBy("g", "part").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
+    apart = at.join(small(main, parted), "g").filter("part <> main").select("doc", "g")
+    apart, alone = counted_stage(apart, "alone")
+    if not alone:
+        return part
     rows = apart.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nr"))
-    right = large.join(rows, "g").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("g", "a", F.col("blk").alias("b"), F.lit(1).alias("side"), "doc", "s")
-    left = large.join(apart.join(rows, "g").select("doc", "nr"), "doc").withColumn("a", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("nr")).cast("int"))
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "a", "b", F.lit(0).alias("side"), "doc", "s")
-    return first.unionByName(stage(_verify(left.unionByName(right)), "links"))
+    right = large.join(small(rows, parted), "g").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("g", "a", F.col("blk").alias("b"), F.lit(1).alias("side"), "doc", "s", "p")
+    left = large.join(small(apart.join(small(rows, parted), "g").select("doc", "nr"), alone), "doc").withColumn("a", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("nr")).cast("int"))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "a", "b", F.lit(0).alias("side"), "doc", "s", "p")
+    links, more = counted_stage(_verify(left.unionByName(right)), "links")
+    if not more:
+        return part
+    # what the second pass found links parts with parts
+    name = lambda x, c: x.join(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(c, F.coalesce(f"{c}_part", c)).drop(f"{c}_part")
+    over = stage(components(name(name(links, "u"), "v")).select(F.col("node").alias("was"), F.col("component").alias("now")), "over")
+    every = part.unionByName(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(part, "node", "left_anti").withColumn("component", F.col("node")))
+    return every.join(small(over, 2 * more), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -361,9 +398,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """docs without the documents of a component other than its least id; rows that repeat an id stay or go together, rows with null id stay."""
     names = docs.columns
     found = join(docs, id_col=id_col, text_col=text_col)
-    drop = stage(found.filter("doc <> component").select(F.col("doc").alias("gone")).distinct(), "drop")
+    drop, many = counted_stage(found.filter("doc <> component").select(F.col("doc").alias("gone")).distinct(), "drop")
     x = docs.select(*[ref(c).alias(f"d{i}") for i, c in enumerate(names)])
-    x = x.join(_small(drop, drop.count()), F.col(f"d{names.index(id_col)}") == F.col("gone"), "left_anti")
+    x = x.join(small(drop, many), F.col(f"d{names.index(id_col)}") == F.col("gone"), "left_anti")
     return x.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
 
 

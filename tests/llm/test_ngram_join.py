@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from pixelloom.llm import graph
 from pixelloom.llm import ngram_join as nj
 
 
@@ -70,12 +71,12 @@ def test_small_blocks_and_tables(spark):
         rows.append((i, " ".join(w)))
     rows += [(i + 1000, t) for i, t in corpus(2, 60)[:60]]
     rows = list(dict(rows).items())
-    old = nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS
-    nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS = 20, 2, 10, 0
+    old = nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, graph.BROADCAST_ROWS, nj.HEAVY
+    nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, graph.BROADCAST_ROWS, nj.HEAVY = 20, 2, 10, 0, 40
     try:
         same(spark, rows)
     finally:
-        nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, nj.BROADCAST_ROWS = old
+        nj.BLOCK_ROWS, nj.HUBS, nj.SLICE, graph.BROADCAST_ROWS, nj.HEAVY = old
 
 
 def test_counts_of_shared_tokens():
@@ -83,13 +84,82 @@ def test_counts_of_shared_tokens():
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
     n = nj.shared(sets[:25], sets[10:])
     assert all(n[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:25]) for j, b in enumerate(sets[10:]))
-    link = nj.alike(sets, sets)
+    counts = np.bincount(nj.cells(np.concatenate(sets), 1 << 16), minlength=1 << 16)
+    rare = [np.sort(nj.rare_first(x, counts)[0][: nj.prefix_size(len(x))]) for x in sets]
+    link = nj.alike(sets, sets, rare, rare)
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             k = len(np.intersect1d(a, b))
             assert link[i, j] == (100 * k >= 80 * (len(a) + len(b) - k))
 
 
+def test_links_become_stars():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 40):
+        ids_l, ids_r = rng.permutation(200)[:n], rng.permutation(200)[: n + 3]
+        link = rng.random((n, n + 3)) < 1.2 / n
+        top = {int(i): int(i) for i in [*ids_l, *ids_r]}
+
+        def root(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for i, j in zip(*np.nonzero(link)):
+            a, b = root(int(ids_l[i])), root(int(ids_r[j]))
+            top[max(a, b)] = min(a, b)
+        u, v = nj.stars(ids_l, ids_r, link)
+        assert dict(zip(v.tolist(), u.tolist())) == {x: root(x) for x in top if root(x) != x}
+
+
+def test_components_of_graphs(spark):
+    """Paths, stars, cycles and cliques, in any order of names."""
+    r = random.Random(1)
+    names = r.sample(range(10_000), 400)
+    at, edges = 0, []
+    for size, kind in [(60, "path"), (50, "star"), (30, "cycle"), (8, "clique"), (2, "path"), *[(r.randrange(2, 9), r.choice(["path", "star", "cycle", "clique"])) for _ in range(20)]]:
+        own = names[at : at + size]
+        at += size
+        pairs = {"path": zip(own, own[1:]), "star": ((own[0], x) for x in own[1:]), "cycle": zip(own, own[1:] + own[:1]), "clique": ((a, b) for a in own for b in own)}[kind]
+        edges += [(a, b) for a, b in pairs]
+    top = {x: x for e in edges for x in e}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    for few in (250_000, 0):
+        old, graph.BROADCAST_ROWS = graph.BROADCAST_ROWS, few
+        try:
+            got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()
+        finally:
+            graph.BROADCAST_ROWS = old
+        assert len(got) == len(top) and {r.node: r.component for r in got} == {x: root(x) for x in top}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sketch_follows_the_input():
+    assert nj.cell_count(0) == nj.LEAST_CELLS and nj.cell_count(1 << 50) == nj.MOST_CELLS
+    assert nj.LEAST_CELLS < nj.cell_count(1 << 30) < nj.MOST_CELLS
+
+
+def test_very_long_text(spark):
+    """Two long texts on either side of the threshold, and one long copy."""
+    r = random.Random(3)
+    long = [f"w{r.randrange(50_000)}" for _ in range(120_000)]
+    near, far = list(long), list(long)
+    for k in range(0, 120_000, 60):  # each change takes five shingles
+        near[k] = "changed"
+    for k in range(0, 120_000, 20):
+        far[k] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(long))]
+    same(spark, rows)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in nj.digests(df).collect())
