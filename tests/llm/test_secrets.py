@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from pixelloom.llm import secrets
@@ -24,7 +26,7 @@ def every(text):
     for r, (kind, runs, holds, w, bits) in enumerate(secrets.CLASSES, len(secrets.BASE)):
         for m in re.finditer(runs, text):
             c = m.group()
-            if re.search(holds, c) and not any(re.search(a, c) for a in secrets.ALLOW) and not any(m.start() < x[3] and x[0] < m.end() for x in b):
+            if all(re.search(h, c) for h in holds) and not any(re.search(a, c) for a in secrets.ALLOW) and not any(m.start() < x[3] and x[0] < m.end() for x in b):
                 if max(entropy(c[i : i + w]) for i in range(len(c) - w + 1)) >= bits:
                     out.append((m.start(), r, kind, m.end()))
     return sorted(out)
@@ -53,6 +55,29 @@ def test_scan(spark):
     assert secrets.digests(docs.limit(0)).count() == 0
 
 
+def test_long_runs_and_many_spans(spark):
+    """A run of a million characters, and texts with thousands of spans: work must follow the length."""
+    r = random.Random(0)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n, chars=b64: "".join(r.choice(chars) for _ in range(n))
+    dull = "ab1Z" * 150_000  # no window of it is a secret
+    many = " ".join(x for k in range(3000) for x in (f"token=abcdef{k}", run(24 + k % 9), "word"))
+    texts = [run(1_000_000), dull, dull + run(30), run(300, "0123456789ABCDEF") + " " + run(255) + " " + run(275), many]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = {x.doc_id: x.spans for x in secrets.digests(docs).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert time.time() - began < 120
+    for i, t in enumerate(texts):
+        spans = every(t)
+        assert rows[i] == ",".join(f"{k}:{s}:{z}" for s, _, k, z in spans)
+        want, at = "", 0
+        for s, _, _, e in spans:
+            want, at = want + (t[at:s] + "[SECRET]" if s >= at else ""), max(at, e)
+        assert clean[i] == want + t[at:]
+    assert rows[1] == "" and rows[2].count("entropy") == 2 and rows[4].count(",") > 6000
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)], "doc_id long, text string, base string")
     out = secrets.redact(docs)
