@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by largest cosine: inverted lists, and an adaptive scan of dimensions within each probed list.
 
 Vectors are scaled to length 1 and turned by one random rotation, so that every column block holds an even share of a distance. Lists come from k-means
-on a bounded sample; every vector is put into its nearest list. Within a list the columns are read block by block: from the partial distance
-over the first t of d columns a test of hypotheses tells whether the whole distance can still beat the query's present k-th
-best, dist_t * d / t > best * (1 + EPS / sqrt(t)) ** 2 rejects, and a rejected candidate is not read further. Survivors are
-scored on the original vectors in double precision.
+on a bounded sample; there are about as many as the root of the number of vectors, and every vector is put into its nearest one. How many lists a query probes is
+measured on the sample: as many as hold TARGET of the neighbours that sampled vectors have among themselves, so clustered vectors need few and
+vectors without any order need most.
+
+Within a list the columns are read block by block: from the partial distance over the first t of d columns a test of hypotheses tells whether the
+whole distance can still beat the query's present k-th best, dist_t * d / t > best * (1 + EPS / sqrt(t)) ** 2 rejects, and a rejected
+candidate is not read further. A query's k-th best starts as that among the sample, which every query is held against first, and goes with it into all its
+lists. Survivors are scored on the original vectors in double precision.
 
 A list's vectors and its queries are dealt over cells of bounded size (list, part of the vectors, part of the queries), so one list that
-holds most rows is many tasks; each cell sends on k rows per query, which a window per query merges.
+holds most rows is many tasks; each cell sends on k rows per query, which a window per query merges with those from the sample.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a query has its own id left out, and so
 every row with that id; equal scores go to the smaller id; fewer than k candidates are all returned; repeated rows are candidates
-each; rows with null id take no part; an empty table gives an empty result.
+each; rows with null id take no part; further columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ from pyspark.sql import types as T
 
 from .common import append_arrow, ref, stage
 
-SAMPLE = 20_000
-LISTS = 64
-PROBES = 40
+#: The sample: vectors at most, and numbers in them at most.
+SAMPLE, SAMPLE_VALUES = 20_000, 1 << 21
+#: Vectors of the sample for each list at least; sampled queries that tell how many lists to probe, and the share of neighbours these must hold.
+A_LIST, ASKED, TARGET = 16, 500, 0.97
 EPS = 2.1
 COLUMNS = 16
 CELL_VECTORS, CELL_QUERIES = 4096, 1024
+#: Pairs of a query and a candidate that are looked at in one go.
+PAIRS = 1 << 20
 
 
 def rotation(d: int, seed: int = 8) -> np.ndarray:
@@ -62,44 +69,67 @@ def rows_of(col) -> np.ndarray:
     return np.array([np.frombuffer(v, "<f8") for v in col.to_pylist()])
 
 
-def scan_cell(q_id, q, c_id, c, k: int, turn: np.ndarray, eps: float = EPS, columns: int = COLUMNS):
-    """The k best candidates of one cell for each query: (query index, candidate index, cosine)."""
+def kth_best(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x its k nearest rows of y, those in `same` left out: their positions (-1 where there are fewer) and the k-th squared distance."""
+    near = x.astype(np.float32) @ y.astype(np.float32).T
+    near[same] = -np.inf
+    if near.shape[1] < k:
+        near = np.pad(near, ((0, 0), (0, k - near.shape[1])), constant_values=-np.inf)
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    got = np.take_along_axis(near, top, 1)
+    return np.where(np.isfinite(got), top, -1), np.maximum(0, 2 - 2 * got.min(1))
+
+
+def probes_for(x: np.ndarray, ids: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET) -> int:
+    """How many of the nearest lists hold the share `target` of the k nearest neighbours that rows of x have in x."""
+    asked = np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int)
+    top, _ = kth_best(x[asked], x, ids[asked][:, None] == ids, k)
+    half = (centres * centres).sum(1) / 2
+    of = (x.astype(np.float32) @ centres.T - half).argmax(1)
+    rank = np.argsort(np.argsort(-(x[asked].astype(np.float32) @ centres.T - half), axis=1, kind="stable"), axis=1, kind="stable")
+    ranks = np.sort(np.take_along_axis(rank, of[top], 1)[top >= 0])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1 if len(ranks) else len(centres)
+
+
+def scan_cell(q_id, q, bound, c_id, c, k: int, turn: np.ndarray, eps: float = EPS, columns: int = COLUMNS):
+    """The k best candidates of one cell for each query, of those that may be as near as its bound: query indices, candidate indices, cosines."""
     d = c.shape[1]
     qr, cr = (unit(q) @ turn).astype(np.float32), (unit(c) @ turn).astype(np.float32)
+    q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     first = min(columns, d)
-    part = np.maximum(0, (qr[:, :first] ** 2).sum(1)[:, None] + (cr[:, :first] ** 2).sum(1) - 2 * qr[:, :first] @ cr[:, :first].T)
-    qn, cn = unit(q), unit(c)
+    far = (cr[:, :first] ** 2).sum(1)
+    limit = lambda t: bound * (1 + eps / np.sqrt(t)) ** 2 + 1e-5 if t < d else bound + 1e-5
     out = []
-    for i in range(len(q)):
-        near = part[i]
-        ok = np.flatnonzero(c_id != q_id[i])
-        if not len(ok):
-            continue
-        order = ok[np.argpartition(near[ok], min(4 * k, len(ok)) - 1)[: 4 * k]] if len(ok) > 4 * k else ok
-        exact = ((cr[order] - qr[i]) ** 2).sum(1)
-        best = np.partition(exact, min(k, len(exact)) - 1)[min(k, len(exact)) - 1]  # k-th best of a few good ones
-        alive, dist, t = ok, near[ok], first
-        while True:
-            alive_now = dist * (d / t) <= best * (1 + eps / np.sqrt(t)) ** 2 + 1e-5 if t < d else dist <= best + 1e-5
-            alive, dist = alive[alive_now], dist[alive_now]
-            if t >= d or not len(alive):
-                break
-            z = slice(t, min(d, t + columns))
-            dist = dist + ((cr[alive, z] - qr[i, z]) ** 2).sum(1)
-            t = z.stop
-        alive = np.union1d(alive, order)
-        score = cn[alive] @ qn[i]
-        top = np.lexsort((c_id[alive], -score))[: k + 8]
+    many = max(1, PAIRS // len(c))
+    for a in range(0, len(q), many):
+        z = slice(a, a + many)
+        part = np.maximum(0, (qr[z, :first] ** 2).sum(1)[:, None] + far - 2 * qr[z, :first] @ cr[:, :first].T)
+        i, j = np.nonzero((part * (d / first) <= limit(first)[z, None]) & (q_id[z, None] != c_id))
+        dist, i, t = part[i, j], i + a, first
+        while t < d and len(i):
+            block = slice(t, min(d, t + columns))
+            t = block.stop
+            dist = dist + ((cr[j, block] - qr[i, block]) ** 2).sum(1)
+            alive = dist * (d / t) <= limit(t)[i]
+            i, j, dist = i[alive], j[alive], dist[alive]
+        # the first k of each query by these distances, and all that may be as near as the k-th
+        order = np.lexsort((dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        begin = np.searchsorted(i, i)
+        last = np.minimum(begin + k, np.searchsorted(i, i, side="right")) - 1
+        near = dist <= dist[last] + 1e-5
+        i, j = i[near], j[near]
         # the measure itself, on the original vectors
-        a, b = q[i], c[alive[top]]
-        score = np.array([float(np.dot(a, v) / (np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(v, v)))) for v in b])
-        keep = np.lexsort((c_id[alive[top]], -score))[:k]
-        out += [(i, int(alive[top[j]]), float(score[j])) for j in keep]
-    return out
+        score = np.concatenate([(q[i[b : b + 20_000]] * c[j[b : b + 20_000]]).sum(1) for b in range(0, max(1, len(i)), 20_000)]) / (q_len[i] * c_len[j])
+        order = np.lexsort((c_id[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[keep], j[keep], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 5, lists: int = LISTS, probes: int = PROBES, sample: int = SAMPLE, eps: float = EPS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (rows where is_query holds) its k nearest found."""
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 5, lists: int | None = None, probes: int | None = None, sample: int = SAMPLE, eps: float = EPS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query (rows where is_query holds) its k nearest found. lists, probes: instead of what the table's size and the sample tell."""
     spark = vectors.sparkSession
     v = F.transform(ref(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(ref(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
@@ -110,23 +140,42 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         return spark.createDataFrame([], schema)
     d, n = sizes[0].d, sizes[0].n
     rows = rows.filter(F.size("v") == d)
-    u = F.pmod(F.xxhash64("id", F.lit("lists")), F.lit(1 << 20)) / float(1 << 20)
-    some = np.array([r.v for r in rows.filter(u < min(1.0, sample / n)).select("v").limit(2 * sample).collect()] or [rows.first().v])
-    centres = kmeans(unit(some), lists)
-    turn, probes = rotation(d), min(probes, len(centres))
+    sample = max(1, min(sample, SAMPLE_VALUES // d))
+    u = F.pmod(F.xxhash64("id", "v", F.lit("lists")), F.lit(1 << 20)) / float(1 << 20)
+    some = rows.filter(u < min(1.0, sample / n)).limit(2 * sample).toArrow()
+    some = some if some.num_rows else rows.limit(1).toArrow()
+    s_id, own = some.column("id").to_numpy(), some.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
+    x = unit(own)
+    centres = kmeans(x, lists or max(1, min(round(n**0.5), len(x) // A_LIST)))
+    turn, probes = rotation(d), min(probes or probes_for(x, s_id, centres, k), len(centres))
     half = (centres * centres).sum(1) / 2
+    sent = spark.sparkContext.broadcast((s_id, own))  # SAMPLE_VALUES numbers at most, twice that by chance
 
     def place(cols):
-        x = np.array(cols[0].to_pylist())
+        x = cols[0].flatten().to_numpy().reshape(-1, d)
         near = unit(x).astype(np.float32) @ centres.T - half
         own = near.argmax(1)
-        far = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-        return [pa.array(own.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(far.tolist(), pa.list_(pa.int32()))]
-
-    flag = is_query if is_query is not None else F.col("id") % 50 == 0
-    placed = append_arrow(rows, [F.col("v")], [("list", T.IntegerType()), ("x", T.BinaryType()), ("probe", T.ArrayType(T.IntegerType()))], place)
-    placed = stage(placed.select("id", "list", "x", F.when(flag, F.col("probe")).alias("probe")), "placed")
-    asked = placed.filter("probe is not null").select(F.col("id"), "x", F.explode("probe").alias("list"))
+        asks = np.flatnonzero(cols[1].to_numpy(zero_copy_only=False))
+        probe, bound, best = [None] * len(x), [None] * len(x), [None] * len(x)
+        if len(asks):
+            s_id, s = sent.value
+            ids = cols[2].to_numpy()[asks]
+            top, kth = kth_best(unit(x[asks]), unit(s), ids[:, None] == s_id, k)
+            far = np.argsort(-near[asks], axis=1, kind="stable")[:, :probes]
+            for a, i in enumerate(asks):
+                j = top[a][top[a] >= 0]
+                score = (x[i] * s[j]).sum(1) / (np.sqrt((x[i] * x[i]).sum()) * np.sqrt((s[j] * s[j]).sum(1)))
+                probe[i], bound[i] = far[a].tolist(), float(kth[a])
+                best[i] = [{"vec_id": int(v), "score": float(w)} for v, w in zip(s_id[j], score)]
+        kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+        return [pa.array(own.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(probe, pa.list_(pa.int32())), pa.array(bound, pa.float64()), pa.array(best, kind)]
+
+    flag = F.coalesce(is_query if is_query is not None else F.col("id") % 50 == 0, F.lit(False))
+    hits = T.ArrayType(T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    made = [("list", T.IntegerType()), ("x", T.BinaryType()), ("probe", T.ArrayType(T.IntegerType())), ("bound", T.DoubleType()), ("best", hits)]
+    placed = append_arrow(rows, [F.col("v"), flag, F.col("id")], made, place)
+    placed = stage(placed.select("id", "list", "x", "probe", "bound", "best"), "placed")
+    asked = placed.filter("probe is not null").select("id", "x", "bound", F.explode("probe").alias("list"))
     held = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
     wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = {z: (-(-held[z] // CELL_VECTORS), -(-wanted[z] // CELL_QUERIES)) for z in held if z in wanted}
@@ -136,17 +185,21 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     n_q = F.element_at(F.create_map(*[F.lit(x) for z, (_, b) in parts.items() for x in (z, b)]), F.col("list"))
     reach = F.col("list").isin([*parts])
     many = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cand = placed.filter(reach).select("list", "id", "x", F.pmod(F.xxhash64("id", "x"), n_v).cast("int").alias("a"), many(n_q).alias("b"))
-    ask = asked.filter(reach).select("list", "id", "x", many(n_v).alias("a"), F.pmod(F.xxhash64("id", "x"), n_q).cast("int").alias("b"))
+    cand = placed.filter(reach).select("list", F.col("id").alias("c_id"), F.col("x").alias("c"), F.pmod(F.xxhash64("id", "x"), n_v).cast("int").alias("a"), many(n_q).alias("b"))
+    ask = asked.filter(reach).select("list", "id", "x", "bound", many(n_v).alias("a"), F.pmod(F.xxhash64("id", "x"), n_q).cast("int").alias("b"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = []
-        if left.num_rows and right.num_rows:
-            q_id, c_id = left.column("id").to_numpy(), right.column("id").to_numpy()
-            got = [(int(q_id[i]), int(c_id[j]), s) for i, j, s in scan_cell(q_id, rows_of(left.column("x")), c_id, rows_of(right.column("x")), k, turn, eps)]
-        return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_id": pa.array([g[1] for g in got], pa.int64()), "score": pa.array([g[2] for g in got], pa.float64())})
+        ids, others, score = [], [], []
+        if left.num_rows and right.num_rows:  # a side without rows has no columns
+            q_id, c_id = left.column("id").to_numpy(), right.column("c_id").to_numpy()
+            i, j, score = scan_cell(q_id, rows_of(left.column("x")), left.column("bound").to_numpy(), c_id, rows_of(right.column("c")), k, turn, eps)
+            ids, others = q_id[i], c_id[j]
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(score, pa.float64())})
 
     key = ["list", "a", "b"]
-    found = ask.groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    found = ask.groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score double").withColumn("met", F.lit(1))
+    first = placed.filter("probe is not null").select(F.col("id").alias("query_id"), F.explode("best").alias("h")).select("query_id", "h.vec_id", "h.score", F.lit(0).alias("met"))
+    # what the sample told counts where no list told it again
+    both = found.unionByName(first).withColumn("most", F.max("met").over(W.partitionBy("query_id", "vec_id"))).filter("met = most")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

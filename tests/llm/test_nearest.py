@@ -1,6 +1,8 @@
 import math
+import os
 
 import numpy as np
+import pytest
 
 from pixelloom.llm import nearest
 
@@ -53,6 +55,34 @@ def test_all_lists_is_exact(spark):
     assert got == {q: [j for j, _ in v] for q, v in want.items()}
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_with_production_settings(spark, size):
+    path = f"/root/testdata/{size}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    df = spark.read.parquet(path)
+    x = df.select("vec_id", "embedding").toArrow()
+    ids, v = x.column(0).to_numpy(), nearest.unit(np.array(x.column(1).to_pylist(), float))
+    got = {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = v @ v[i]
+        s[ids == ids[i]] = -2
+        hit += len(got[int(ids[i])] & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert hit >= 0.9 * 5 * len(got) and len(got) == (ids % 50 == 0).sum()
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(1)
+    hubs = nearest.unit(rng.normal(size=(40, 32)))
+    close = nearest.unit(hubs[np.arange(4000) % 40] + 0.05 * rng.normal(size=(4000, 32)))
+    loose = nearest.unit(rng.normal(size=(4000, 32)))
+    few, most = (nearest.probes_for(x, np.arange(4000), nearest.kmeans(x, 40), 5) for x in (close, loose))
+    assert few <= 4 and most > 10
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id, r.score) for r in nearest.search(df).orderBy("rank").collect()] == [(1, 2, 1.0), (2, 1, 0.0)]
