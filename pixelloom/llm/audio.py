@@ -1,16 +1,20 @@
 """Audio media columns: lossless 8-bit samples, polyphase resampling, log-mel filterbanks, hysteresis segmentation.
 
-A document's bytes are kept as unsigned 8-bit mono PCM in a WAV container. Features are computed from the stored bytes, read back:
+A document's bytes are kept as unsigned 8-bit mono PCM in a WAV container and written to the shared folder. Features are computed from the stored
+bytes, read back:
 
 * polyphase resampling by up/down with a windowed-sinc low-pass: each output phase uses only its own branch of the filter;
 * log-mel energies of overlapped Hann frames, cut into tensors of one fixed shape (FRAMES, MELS), the last padded with the floor value,
-  each with the span of time it covers;
+  each with the span of time it covers. Workers write them to Arrow files as columns of the fixed-shape tensor type, in half precision;
 * segments of high energy: on above one threshold, off only below a lower one.
 
 All sums run over blocks of frames, so memory follows the block and the document, not the batch.
 
-Defined results: null text is empty and gives 64 zero bytes; equal texts give equal values; other columns are kept, and one that has an output's
-name is replaced.
+A file counts only when the attempt that wrote it has told its name; the query's features are those of the tensors read back.
+
+Defined results: null text is empty, and an empty text gives 64 zero bytes; a very long text is one recording, computed in blocks of frames; equal texts,
+and so repeated rows, give equal values, a row for each; null media have no features; other columns are kept, and one that has an output's name is replaced;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, ref
+from .common import append_arrow, dealt, ref, scratch_path, small_batches, stage
+from .storage import read_bytes, write_bytes
 
 BLOCK = 64
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 8
-FRAME, HOP, MELS, FRAMES = 256, 128, 24, 32
+RATE, UP, DOWN, TAPS = 16_000, 2, 5, 8
+FRAME, HOP, MELS, FRAMES = 256, 128, 24, 16
+#: Tensors in a file, about.
+FILE_TENSORS = 1 << 15
 FLOOR, ON, OFF = -8.0, 0.6, 0.35
 
 TENSORS = T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("frames", T.IntegerType()), T.StructField("logmel", T.BinaryType())]))
@@ -151,10 +158,15 @@ def features(wav: bytes) -> dict:
         full = np.full((FRAMES, MELS), FLOOR, np.float32)
         full[: len(part)] = part
         tensors.append({"start_s": a * step, "end_s": ((a + len(part) - 1) * HOP + FRAME) / low, "frames": len(part), "logmel": full.tobytes()})
-    # the digest that equal texts share: counts, segments and mean mel levels in hundredths
+    active = sum(b - a for a, b in runs)
+    spans = [{"start_s": a * step, "end_s": ((b - 1) * HOP + FRAME) / low} for a, b in runs]
+    return {"payload": payload, "tensors": tensors, "segments": spans, "active": active, "feature": told(mel, len(runs), active)}
+
+
+def told(mel: np.ndarray, segments: int, active: int) -> str:
+    """The digest that equal texts share: counts, and mean mel levels in hundredths."""
     mean = np.round(mel.mean(axis=0, dtype=np.float64) * 100).astype(int)
-    told = f"frames={len(mel)};segments={len(runs)};active={sum(b - a for a, b in runs)};mel=" + ",".join(map(str, mean))
-    return {"payload": payload, "tensors": tensors, "segments": [{"start_s": a * step, "end_s": ((b - 1) * HOP + FRAME) / low} for a, b in runs], "feature": told}
+    return f"frames={len(mel)};segments={segments};active={active};mel=" + ",".join(map(str, mean))
 
 
 def to_audio(docs: DataFrame, *, text_col: str = "text", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
@@ -181,27 +193,90 @@ def with_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     return append_arrow(media, [ref(media_col)], [("tensors", TENSORS), ("segments", SPANS), ("feature", T.StringType())], run)
 
 
-def arrow_tensors(rows) -> pa.Table:
-    """Rows of with_features (id first, then tensors) as an Arrow table with a fixed-shape tensor column and its time spans."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
-    flat = [(r[0], t) for r in rows for t in (r[1] or [])]
-    data = b"".join(bytes(t["logmel"]) for _, t in flat)
-    values = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(data, np.float32)), FRAMES * MELS)
-    return pa.table({"id": [i for i, _ in flat], "start_s": [t["start_s"] for _, t in flat], "end_s": [t["end_s"] for _, t in flat], "logmel": pa.ExtensionArray.from_storage(kind, values)})
+def tensor_table(docs: list[int], tensors: list[dict]) -> pa.Table:
+    """Tensors with their time spans, and the number of the document in its file that each belongs to."""
+    kind = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))
+    data = np.concatenate([np.frombuffer(t["logmel"], np.float32) for t in tensors]).astype(np.float16) if tensors else np.zeros(0, np.float16)
+    values = pa.FixedSizeListArray.from_arrays(pa.array(data), FRAMES * MELS)
+    cols = {k: pa.array([t[k] for t in tensors], kind_) for k, kind_ in (("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()))}
+    return pa.table({"doc": pa.array(docs, pa.int32()), **cols, "logmel": pa.ExtensionArray.from_storage(kind, values)})
+
+
+def to_ipc(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_file(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_table(t, max_chunksize=4096)
+    return out.getvalue()
+
+
+def from_ipc(data: bytes) -> pa.Table:
+    return pa.ipc.open_file(pa.BufferReader(data)).read_all()
+
+
+def write_features(media: DataFrame, folder: str, *, id_col: str = "doc_id", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
+    """Computes the features of stored media and writes them: for each file of documents, one of their tensors. Gives the list, already written:
+    docs and tensors (uri). A document's row holds what was read back of its media, and its segments."""
+    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segments", pa.list_(span)), ("active", pa.int64())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq, rows, docs, tensors = TaskContext.get().partitionId(), 0, [], [], []
+
+        def close():
+            nonlocal seq, rows, docs, tensors
+            name = f"{part:06d}-{seq:04d}.arrow"
+            uris = [write_bytes(folder, f"docs-{name}", to_ipc(pa.Table.from_pylist(rows, schema))), write_bytes(folder, f"tensors-{name}", to_ipc(tensor_table(docs, tensors)))]
+            seq, rows, docs, tensors = seq + 1, [], [], []
+            return pa.RecordBatch.from_arrays([pa.array([u]) for u in uris], ["uri", "tensors"])
+
+        for b in batches:
+            for key, n, wav in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                wav = wav.as_py()
+                if wav is None:
+                    continue
+                f = features(wav)
+                p = f["payload"]
+                docs += [len(rows)] * len(f["tensors"])
+                tensors += f["tensors"]
+                digest = {"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-BLOCK:]), "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest()}
+                rows.append({"id": key, "n_bytes": n, **digest, "segments": f["segments"], "active": f["active"]})
+                if len(tensors) >= FILE_TENSORS:
+                    yield close()
+        if rows:
+            yield close()
+
+    small_batches(media.sparkSession)
+    src = media.select(ref(id_col).cast("long").alias("id"), ref(bytes_col).alias("n"), ref(media_col).alias("media"))
+    return stage(src.mapInArrow(run, "uri string, tensors string"), "feature-files")
+
+
+def read_features(files: DataFrame) -> DataFrame:
+    """A row per document of the files: what was told of its media, the feature string made from its tensors, their number and that of its segments."""
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tensors", "n_segments"]
+
+    def run(batches):
+        for b in batches:
+            for uri, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs, t = from_ipc(read_bytes(uri)), from_ipc(read_bytes(other)).combine_chunks()
+                if tuple(t.schema.field("logmel").type.shape) != (FRAMES, MELS):
+                    raise ValueError("tensors of another shape")
+                mel, frames = t.column("logmel").combine_chunks().to_numpy_ndarray(), t.column("frames").to_numpy()
+                ends = np.searchsorted(t.column("doc").to_numpy(), np.arange(len(docs)), side="right")
+                text, many = [], np.diff([0, *ends])
+                for i, (runs, active) in enumerate(zip(docs.column("segments").to_pylist(), docs.column("active").to_pylist())):
+                    own = mel[ends[i] - many[i] : ends[i]].reshape(-1, MELS)[: frames[ends[i] - many[i] : ends[i]].sum()]  # only the last is padded
+                    text.append(told(own, len(runs), active))
+                for x in docs.select(names[:7]).append_column("feature", pa.array(text, pa.string())).append_column("n_tensors", pa.array(many, pa.int64())).append_column("n_segments", docs.column("segments").combine_chunks().value_lengths().cast(pa.int64())).to_batches(4096):
+                    yield x
+
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long, n_segments long"
+    return dealt(files, files.count()).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One row per document, from the stored bytes read back."""
-    media = to_audio(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "media")
-
-    def run(cols):
-        out = [features(m) for m in cols[0].to_pylist()]
-        p = [o["payload"] for o in out]
-        return [
-            pa.array([len(x) for x in p], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in p]), pa.array([zlib.crc32(x[-BLOCK:]) for x in p], pa.int64()),
-            pa.array([o["feature"] for o in out]), pa.array([len(o["tensors"]) for o in out], pa.int64()), pa.array([len(o["segments"]) for o in out], pa.int64()),
-        ]
-
-    made = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("feature", T.StringType()), ("n_tensors", T.LongType()), ("n_segments", T.LongType())]
-    x = append_arrow(media, [F.col("media")], made, run)
-    return x.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "n_tensors", "n_segments")
+    """One row per document, from stored media and stored tensors read back."""
+    media = stage(to_audio(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "media", "zstd")
+    got = read_features(write_features(media, scratch_path(docs.sparkSession, "features")))
+    return got.withColumnRenamed("id", "doc_id")
