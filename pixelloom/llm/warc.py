@@ -5,15 +5,20 @@ the declared length. The converter parses both versions by that list and synthes
 any attempt and any task makes the same), ISO timestamps from the 14-digit ones, types, and payload digests. Of records with equal payloads of at least LEAST
 bytes the one with the smallest key is a response; others become revisits that refer to it.
 
+The query writes files of both versions in turn, and a date for each page.
+
 Files are written by workers to a shared folder; only file names that a task has sent on are read, so lost attempts leave no trace.
-Which records are revisits is decided over a table of digests, never over payloads; that table goes to the converter by file.
+Which records are revisits is decided over a table of digests, never over payloads; that table goes to the converter by file. A payload that very
+many records share is looked up in a broadcast list of bounded length, others by a shuffle.
 
-Defined results: null html is an empty payload; a null url is stored as `about:blank`; white space in urls is percent-encoded; rows that share a key and a payload are all
-responses if that key is the smallest; null keys come after all others; an empty table gives an empty result.
+Defined results: null html is an empty payload; a very long page is a record like others (a worker holds one file of FILE_BYTES and the page that fills it); a null url is stored as `about:blank`; white space in urls is percent-encoded; rows that share a key and a payload are all
+responses if that key is the smallest; null keys come after all others; further columns are not looked at,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import io
@@ -26,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ref, scratch_path, small_batches, stage
+from .common import dealt, heavy_join, ref, scratch_path, small_batches, stage
 from .storage import read_bytes, write_bytes
 
 LEAST = 100
 FILE_BYTES = 32 << 20
 LEVEL = 1
 DATE = "20240101000000"
+#: Dates of pages lie within so many seconds after DATE.
+SPREAD = 366 * 86_400
 #: Fixed values of the formats: the field lists of the two ARC versions, and the WARC profile of revisits.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -50,6 +57,11 @@ def _member(data: bytes) -> bytes:
 # ---- ARC --------------------------------------------------------------------------------------------------------
 
 
+def date_of(key: int | None) -> str:
+    """A page's 14-digit date, made from its key, as the table has none."""
+    return (datetime.datetime.strptime(DATE, "%Y%m%d%H%M%S") + datetime.timedelta(seconds=(key or 0) % SPREAD)).strftime("%Y%m%d%H%M%S")
+
+
 def arc_head(name: str, version: int, date: str = DATE) -> bytes:
     """The version block, by which a reader learns the fields of all later header lines."""
     body = f"{version} 0 pixelloom\n{FIELDS[version]}\n\n".encode()
@@ -160,8 +172,8 @@ def warc_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
 # ---- over tables ------------------------------------------------------------------------------------------------
 
 
-def pages_to_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 2) -> DataFrame:
-    """Writes the pages as ARC files; gives, already written, one row per record: uri, nth (0 for the first page), key, digest, n_bytes."""
+def pages_to_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int | None = None) -> DataFrame:
+    """Writes the pages as ARC files of one version, or of both in turn; gives, already written, one row per record: uri, nth (0 for the first page), key, digest, n_bytes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -184,10 +196,10 @@ def pages_to_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url
                 z = b.slice(a, 256)
                 for key, url, html in zip(z.column(0).to_pylist(), z.column(1).to_pylist(), z.column(2).to_pylist()):
                     payload = (html or "").encode()
-                    name = f"pages-{part:06d}-{seq:04d}.arc"
+                    name, own = f"pages-{part:06d}-{seq:04d}.arc", version or 1 + (part + seq) % 2
                     if not parts:
-                        parts.append(_member(arc_head(name, version)))
-                    parts.append(_member(arc_record(url, key, payload, version, DATE, raw, name)))
+                        parts.append(_member(arc_head(name, own)))
+                    parts.append(_member(arc_record(url, key, payload, own, date_of(key), raw, name)))
                     raw += len(payload)
                     rows.append((key, hashlib.sha256(payload).hexdigest(), len(payload)))
                     if raw >= FILE_BYTES:
@@ -202,11 +214,11 @@ def pages_to_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url
 
 def arc_to_warc(records: DataFrame, folder: str, *, least: int = LEAST) -> DataFrame:
     """Converts the ARC files that `records` lists; gives the list of WARC files (uri), already written."""
-    first = records.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("key").alias("to"), F.count("*").alias("n")).filter("n > 1 and to is not null").select("digest", "to")
-    again = records.filter(F.col("n_bytes") >= least).join(first, "digest").filter(~F.col("key").eqNullSafe(F.col("to")))
+    first = records.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("key").alias("to"), F.count("*").alias("n")).filter("n > 1 and to is not null")
+    again = heavy_join(records.filter(F.col("n_bytes") >= least), first, "digest", "n", records.count()).filter(~F.col("key").eqNullSafe(F.col("to")))
     told = again.groupBy("uri").agg(F.collect_list(F.struct("nth", "to")).alias("refers"))  # at most a file's records
     files = records.select("uri").distinct()
-    jobs = files.join(told, "uri", "left").select("uri", "refers").repartition(max(1, files.count()), "uri")
+    jobs = dealt(files.join(told, "uri", "left").select("uri", "refers"), files.count())
 
     def run(batches):
         for b in batches:
@@ -243,19 +255,20 @@ def read_warc(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     schema = "key long, url string, date string, record_type string, record_id string, payload_bytes long, payload_digest string, refers_to long"
-    return files.repartition(max(1, files.count()), "uri").mapInArrow(run, schema)
+    return dealt(files, files.count()).mapInArrow(run, schema)
 
 
 def digests(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     arcs = pages_to_arc(pages.select("page_id", "url", "html"), scratch_path(spark, "arc"))
     got = read_warc(arc_to_warc(arcs, scratch_path(spark, "warc")))
-    return got.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return got.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("date").alias("warc_date"))
 
 
 ORACLE = r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0) % 31622400), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
 FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 100
 """

@@ -17,7 +17,7 @@ def brute(rows):
         p = (h or "").encode()
         to = first.get(p)
         again = to is not None and k != to
-        out.append((k, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", to if again else None))
+        out.append((k, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", to if again else None, warc.iso(warc.date_of(k))))
     return sorted(out, key=str)
 
 
@@ -50,14 +50,16 @@ def test_warc_fields():
     assert got[1][2].endswith(b"\r\n\r\npayload") and not got[2][2].endswith(b"payload")
 
 
-def test_query_form(spark):
+def test_query_form(spark, tmp_path):
     df = spark.createDataFrame([(k, u, h, 1) for k, u, h in ROWS], "page_id long, url string, html string, URI int").repartition(3)
     old, warc.FILE_BYTES = warc.FILE_BYTES, 150
     try:
         got = sorted(map(tuple, warc.digests(df).collect()), key=str)
+        arcs = warc.pages_to_arc(df, f"file://{tmp_path}").select("uri").distinct().collect()
     finally:
         warc.FILE_BYTES = old
     assert got == brute([(k, h) for k, _, h in ROWS])
+    assert {next(warc.arc_records(warc.read_bytes(r.uri)))[1][:1] for r in arcs} == {b"1", b"2"}
     assert warc.digests(df.limit(0)).count() == 0
 
 
