@@ -1,20 +1,26 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of all documents' blocks.
 
 A document is cut into content-defined blocks: each window of WINDOW words belongs to the least-hashed GRAM-word gram in it (its anchor), and the
-windows of one anchor are a block, so equal windows lie in blocks of equal anchors wherever they occur. All blocks are the reference; they
-are indexed by anchor, which is the only exchange of the words' hashes. A document is then factored against every indexed block of a
-smaller document: going left to right, a factor is the longest chain of windows that occur one after the other in the same reference. Windows that straddle
-two factors belong to blocks of their own and are looked up like all others, so nothing is lost at factor boundaries. Factors of
-WINDOW words or more are the duplicate spans.
+windows of one anchor are a block, so equal windows lie in blocks of equal anchors wherever they occur. The index is made in two steps:
 
-Hot passages: before the exchange each worker resolves the windows that several documents of its batch share. Only the smallest document's copy goes to
-the anchor's task; the others already have their reference and go by document. So a passage that a third of all rows hold costs one row per batch.
+1. blocks are exchanged by their anchors, a few bytes each. Only blocks whose anchor another document has too can hold a repeated window;
+2. of those, every window is exchanged by the 64-bit hash of its words. The index holds each window once, at its least (document, position),
+   which is the reference block that a later document is factored against.
 
-Two windows count as equal if the 64-bit hashes of all their words are. The anchor's hash, 40 bits of it, only brings them together.
+A document is then parsed from left to right: a factor starts at the first window that a smaller document holds and goes on as long as the next
+window follows in the same reference. Windows that straddle two factors are windows of blocks of their own and are looked up like all others, so
+nothing is lost at factor boundaries. Factors have WINDOW words or more; the words they cover are the duplicate spans.
 
-Defined results: null or empty text has no words and loses none; a document with fewer words than a window loses none; references are documents with a smaller id only, so rows that
+Hot passages: a worker resolves by itself what documents of its batch share, and remembers (up to SEEN entries) what it has met before in its task. Of
+an anchor that many documents share two rows go to the anchor's task, and of a window the least document's, so a passage that a third of
+all rows hold costs a few rows per task. Rows that are already resolved go to their document's task and meet no other key.
+
+Two windows count as equal if the 64-bit hashes of all their words are; anchors only decide what is looked up.
+
+Defined results: null or empty text has no words and loses none; a document with fewer words than a window loses none; very long texts are parsed whole (a
+worker holds one text and a few numbers per word of it); references are documents with a smaller id only, so rows that
 share an id never remove each other's words, and spans are kept by id (repeated rows get the same result); rows with null id are neither reference nor
-shortened; an empty table gives an empty result.
+shortened; further columns are kept, and one that has the name of an output is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +36,12 @@ from .common import ARROW_BYTES, WordHasher, append_arrow, grams, mix64, ref, sm
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = ARROW_BYTES
+#: Anchors, and windows with their leaders, that a task remembers; beyond, it forgets the older ones and sends some rows more.
+SEEN = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
-BLOCKS = "key long, doc long, pos int, hs array<long>, n int, ref_doc long, ref_pos int"
+#: at: position << 5 | number of windows << 1 | whether the block is known to be shared.
+BLOCKS = "key long, doc long, at long"
+WINDOWS = "h long, doc long, pos int, n int, ref_doc long, ref_pos int"
 
 
 def doc_words(col, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -68,50 +78,102 @@ def runs(*same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def blocks(ids: np.ndarray, words: np.ndarray, begin: np.ndarray) -> list[pa.Array] | None:
-    """Rows of BLOCKS for a batch: blocks to look up (hs) and runs of windows resolved within the batch (n, ref_doc, ref_pos)."""
-    if len(words) < WINDOW:
-        return None
-    row = np.repeat(np.arange(len(ids)), np.diff(begin))
-    p, g = anchors(words)
-    h = grams(words, WINDOW, 13)
-    i = np.flatnonzero(row[: len(h)] == row[WINDOW - 1 :])
-    if not len(i):
-        return None
-    p, h, r = p[i], h[i], row[i]
-    pos, doc = i - begin[r], ids[r]
-    # windows that documents of this batch share: all but the smallest document's have their reference
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    equal = np.zeros(len(hs), bool)
-    equal[1:] = hs[1:] == hs[:-1]
-    shared = equal.copy()
-    shared[:-1] |= equal[1:]
-    some = order[shared]
-    some = some[np.lexsort((pos[some], doc[some], h[some]))]
-    first = runs(h[some]) if len(some) else np.zeros(0, int)
-    lead = np.repeat(some[first], np.diff([*first, len(some)])) if len(some) else some
-    done = doc[some] > doc[lead]
-    at, to = some[done], lead[done]
-    resolved = np.zeros(len(h), bool)
-    resolved[at] = True
-    left = np.flatnonzero(~resolved)
-    a = runs(p[left], r[left], left - np.arange(len(left)))
-    count = np.diff([*a, len(left)])
-    b = np.argsort(at)
-    at, to = at[b], to[b]
-    c = runs(r[at], doc[to], pos[at] - pos[to], pos[at] - np.arange(len(at)))
-    spans = np.diff([*c, len(at)])
-    f, z = left[a], at[c]
-    empty = np.zeros(len(z), np.int64)
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(np.concatenate([count, empty]))]).astype(np.int32)), pa.array(h[left].view(np.int64))
-    )
-    none, own = np.zeros(len(f), np.int64), to[c]
-    return [
-        pa.array((np.concatenate([g[p[f]], mix64(doc[z].astype(np.uint64))]) & ~_POS).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), lists,
-        pa.array(np.concatenate([none, spans]).astype(np.int32)), pa.array(np.concatenate([none, doc[own]])), pa.array(np.concatenate([none, pos[own]]).astype(np.int32)),
-    ]
+def _found(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which x are in known (ascending), and where."""
+    if not len(known):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x, at
+
+
+class BlockSender:
+    """The rows of BLOCKS for a task's batches."""
+
+    def __init__(self):
+        self.hot = np.empty(0, np.uint64)  # anchors that documents of this task share, ascending
+
+    def __call__(self, ids: np.ndarray, words: np.ndarray, begin: np.ndarray) -> list[pa.Array] | None:
+        if len(words) < WINDOW:
+            return None
+        row = np.repeat(np.arange(len(ids)), np.diff(begin))
+        p, g = anchors(words)
+        i = np.flatnonzero(row[: len(p)] == row[WINDOW - 1 :])
+        if not len(i):
+            return None
+        a = runs(p[i], row[i])  # a row's windows are neighbours, and so are those of an anchor
+        k = np.diff([*a, len(i)])
+        f = i[a]
+        key, doc, pos = g[p[f]], ids[row[f]], f - begin[row[f]]
+        sure, _ = _found(key, self.hot)
+        left = np.flatnonzero(~sure)
+        order = left[np.lexsort((doc[left], key[left]))]
+        if len(order):
+            first = runs(key[order])
+            last = np.append(first[1:], len(order)) - 1
+            two = doc[order[first]] != doc[order[last]]  # the least and the largest document tell the anchor's task that it is shared
+            shared = np.repeat(two, last - first + 1)
+            shared[first[two]] = shared[last[two]] = False
+            sure[order[shared]] = True
+            self.hot = np.union1d(self.hot if len(self.hot) < SEEN else self.hot[:0], key[order[first[two]]])
+        key = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), key)
+        return [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int64) << 5 | k << 1 | sure)]
+
+
+class WindowSender:
+    """The rows of WINDOWS for a task's batches: windows to look up (n = 0), and runs of windows that are resolved (n > 0)."""
+
+    def __init__(self):
+        self.h, self.doc, self.pos = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # leaders, by hash
+
+    def __call__(self, ids: np.ndarray, words: np.ndarray, begin: np.ndarray, at: np.ndarray, counts: np.ndarray) -> list[pa.Array] | None:
+        """at: the blocks of all rows, counts: how many are each row's."""
+        if len(words) < WINDOW or not len(at):
+            return None
+        row = np.repeat(np.arange(len(ids)), counts)
+        k = at >> 1 & 15
+        i = np.repeat(begin[row] + (at >> 5), k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        r = np.repeat(row, k)
+        i, once = np.unique(i, return_index=True)
+        r = r[once]
+        inside = i + WINDOW <= begin[r + 1]  # rows that share an id may differ in length
+        i, r = i[inside], r[inside]
+        if not len(i):
+            return None
+        h, doc, pos = grams(words, WINDOW, 13)[i], ids[r], i - begin[r]
+        # leaders: the least (document, position) of each window, of those known and of this batch
+        order = np.lexsort((pos, doc, h))
+        first = runs(h[order])
+        size = np.diff([*first, len(order)])
+        lead = order[first]
+        known, where = _found(h[lead], self.h)
+        if not len(self.h):
+            lead_doc, lead_pos = doc[lead], pos[lead]
+        else:
+            older = known & (self.doc[where] < doc[lead])
+            lead_doc, lead_pos = np.where(older, self.doc[where], doc[lead]), np.where(older, self.pos[where], pos[lead])
+        lead_doc_of, lead_pos_of = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        lead_doc_of[order], lead_pos_of[order] = np.repeat(lead_doc, size), np.repeat(lead_pos, size)
+        keep = known | (doc[lead] != doc[order[first + size - 1]])  # windows that several documents of the task have
+        self._remember(h[lead][keep], lead_doc[keep], lead_pos[keep])
+        done = doc > lead_doc_of
+        left, z = np.flatnonzero(~done), np.flatnonzero(done)
+        c = runs(r[z], lead_doc_of[z], pos[z] - lead_pos_of[z], pos[z] - np.arange(len(z)))
+        n = np.diff([*c, len(z)])
+        z = z[c]
+        none = np.zeros(len(left), np.int64)
+        spread = mix64(doc[z].astype(np.uint64) * np.uint64(31) + pos[z].astype(np.uint64))
+        return [
+            pa.array(np.concatenate([h[left], spread]).view(np.int64)), pa.array(np.concatenate([doc[left], doc[z]])), pa.array(np.concatenate([pos[left], pos[z]]).astype(np.int32)),
+            pa.array(np.concatenate([none, n]).astype(np.int32)), pa.array(np.concatenate([none, lead_doc_of[z]])), pa.array(np.concatenate([none, lead_pos_of[z]]).astype(np.int32)),
+        ]
+
+    def _remember(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        if not len(h):
+            return
+        if len(self.h) and len(self.h) < SEEN:
+            h, doc, pos = np.concatenate([h, self.h]), np.concatenate([doc, self.doc]), np.concatenate([pos, self.pos])
+        _, once = np.unique(h, return_index=True)  # the first is the newer one, which is the least
+        self.h, self.doc, self.pos = h[once], doc[once], pos[once]
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES):
@@ -124,51 +186,59 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES):
         a = b
 
 
-def flags(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, at: for each document with duplicate windows the array of (pos, n, bits, ref_doc, ref_pos) that tells them."""
+def _told(columns: list[pa.Array] | None, names: list[str]):
+    if columns:
+        out = pa.RecordBatch.from_arrays(columns, names)
+        for a in range(0, out.num_rows, 50_000):
+            yield out.slice(a, 50_000)
+
+
+def shared_blocks(texts: DataFrame) -> DataFrame:
+    """texts: _id, _text (neither null). doc, at: the blocks of each document whose anchors another document has too."""
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, send = WordHasher(), BlockSender()
         for whole in batches:
             for b in by_bytes(whole, 1):
                 words, begin = doc_words(b.column(1), hasher)
-                got = blocks(b.column(0).to_numpy(), words, begin)
-                if got:
-                    out = pa.RecordBatch.from_arrays(got, ["key", "doc", "pos", "hs", "n", "ref_doc", "ref_pos"])
-                    for a in range(0, out.num_rows, 50_000):
-                        yield out.slice(a, 50_000)
+                yield from _told(send(b.column(0).to_numpy(), words, begin), ["key", "doc", "at"])
 
-    small_batches(docs.sparkSession)
-    x = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text")).filter("id is not null and text is not null").mapInArrow(run, BLOCKS)
     block = W.partitionBy("key")
-    x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("n > 0 or lo < hi")
-    x = x.select("key", "doc", "pos", "n", "ref_doc", "ref_pos", F.posexplode_outer("hs").alias("i", "h"))
-    least = F.min(F.struct("doc", (F.col("pos") + F.col("i")).alias("pos"))).over(W.partitionBy("key", "h"))
-    x = x.withColumn("least", least).filter("n > 0 or doc > least.doc")
-    x = x.select(
-        "key", "doc", "pos", "n", F.when(F.col("n") > 0, F.col("ref_doc")).otherwise(F.col("least.doc")).alias("ref_doc"),
-        F.when(F.col("n") > 0, F.col("ref_pos")).otherwise(F.col("least.pos") - F.col("i")).alias("ref_pos"), F.when(F.col("n") > 0, F.lit(0)).otherwise(F.expr("shiftleft(1, i)")).alias("bit"),
-    )
-    # the rows of a block come together again where they are, by key
-    x = x.groupBy("key", "doc", "pos", "n", "ref_doc", "ref_pos").agg(F.bit_or("bit").alias("bits"))
-    return x.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "bits", "ref_doc", "ref_pos")).alias("at"))
-
-
-def factors(found: list, n: int) -> list[tuple[int, int, int, int]]:
-    """Greedy parse: (start, length, reference, start there) in words, from a document's duplicate windows."""
-    got = {}
-    for f in found:
-        for j in range(f["n"]) if f["n"] else [j for j in range(WINDOW) if f["bits"] >> j & 1]:
-            if f["pos"] + j + WINDOW <= n:
-                got[f["pos"] + j] = (f["ref_doc"], f["ref_pos"] + j)
-    out: list[list[int]] = []
-    for pos in sorted(got):
-        doc, at = got[pos]
-        if out and out[-1][2] == doc and out[-1][0] + out[-1][1] == pos + WINDOW - 1 and out[-1][3] + pos - out[-1][0] == at:
-            out[-1][1] += 1  # the next window of the same reference lengthens the factor by a word
-        else:
-            out.append([pos, WINDOW, doc, at])
-    return [tuple(f) for f in out]
+    x = texts.select("_id", "_text").mapInArrow(run, BLOCKS)
+    x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("at & 1 = 1 or lo < hi")
+    return x.groupBy("doc").agg(F.collect_list("at").alias("at"))
+
+
+def flags(texts: DataFrame) -> DataFrame:
+    """doc, found: for each document with duplicate windows the array of (pos, n, ref_doc, ref_pos), runs of windows and where they occur before."""
+
+    def run(batches):
+        hasher, send = WordHasher(), WindowSender()
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                words, begin = doc_words(b.column(1), hasher)
+                at = b.column(2)
+                counts = np.diff(at.offsets.to_numpy())
+                yield from _told(send(b.column(0).to_numpy(), words, begin, at.flatten().to_numpy(), counts), ["h", "doc", "pos", "n", "ref_doc", "ref_pos"])
+
+    blocks = shared_blocks(texts)
+    x = texts.join(blocks, texts["_id"] == blocks["doc"]).select("_id", "_text", "at").mapInArrow(run, WINDOWS)
+    x = x.withColumn("least", F.min(F.struct("doc", "pos")).over(W.partitionBy("h"))).filter("n > 0 or doc > least.doc")
+    new = F.col("n") == 0
+    where = F.struct("pos", F.greatest("n", F.lit(1)).alias("n"), F.when(new, F.col("least.doc")).otherwise(F.col("ref_doc")).alias("ref_doc"), F.when(new, F.col("least.pos")).otherwise(F.col("ref_pos")).alias("ref_pos"))
+    return x.groupBy("doc").agg(F.collect_list(where).alias("found"))
+
+
+def factors(pos: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Greedy parse: start, length, reference and start there, in words, from a document's duplicate windows."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pos, ref_doc, ref_pos = np.repeat(pos, n) + step, np.repeat(ref_doc, n), np.repeat(ref_pos, n) + step
+    order = np.lexsort((ref_pos, ref_doc, pos))
+    order = order[runs(pos[order])]
+    order = order[pos[order] + WINDOW <= words]
+    pos, ref_doc, ref_pos = pos[order], ref_doc[order], ref_pos[order]
+    a = runs(ref_doc, ref_pos - pos, pos - np.arange(len(pos)))  # the next window of the same reference lengthens a factor by a word
+    return pos[a], np.diff([*a, len(pos)]) + WINDOW - 1, ref_doc[a], ref_pos[a]
 
 
 FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_doc", T.LongType()), T.StructField("ref_start", T.IntegerType())]))
@@ -176,32 +246,42 @@ FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.S
 
 def parse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", factors_col: str = "factors", words_col: str = "n_words", removed_col: str = "n_removed") -> DataFrame:
     """Adds the factors, the numbers of words and of words removed, and the words kept, joined by one space."""
-    found = flags(docs, id_col=id_col, text_col=text_col)
+    small_batches(docs.sparkSession)
     made = [(kept_col, T.StringType()), (factors_col, FACTORS), (words_col, T.LongType()), (removed_col, T.LongType())]
     names = docs.columns
     x = docs.select(*[ref(c).alias(f"d{i}") for i, c in enumerate(names)])
-    x = x.join(found, F.col(f"d{names.index(id_col)}") == found["doc"], "left")
+    key, text = f"d{names.index(id_col)}", f"d{names.index(text_col)}"
+    # both joins read the same exchange of the texts where docs has no further columns
+    whole = x.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    rest = x.filter(F.col(key).isNull() | F.col(text).isNull())
+    found = flags(whole.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")))
+    whole = whole.join(found, F.col(key).cast("long") == found["doc"], "left").drop("doc")
+    x = whole.unionByName(rest.withColumn("found", F.lit(None).cast(whole.schema["found"].dataType)))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(cols):
         kept, told, n_words, n_removed = [], [], [], []
-        for text, at in zip(cols[0].to_pylist(), cols[1].to_pylist()):
+        found = cols[1].combine_chunks() if isinstance(cols[1], pa.ChunkedArray) else cols[1]
+        flat = found.flatten()
+        parts = [flat.field(i).to_numpy() for i in range(4)]
+        ends = np.cumsum(np.where(found.is_valid().to_numpy(zero_copy_only=False), found.value_lengths().fill_null(0).to_numpy(), 0))
+        for text, a, b in zip(cols[0].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
             words = (text or "").encode().split()  # bytes are split at the same six blanks
-            got = factors(at, len(words)) if at else []
-            out = words
-            if got:
+            got, out = [], words
+            if a < b:
+                got = [v.tolist() for v in factors(*[v[a:b] for v in parts], len(words))]
                 gone = np.zeros(len(words), bool)
-                for s, n, _, _ in got:
+                for s, n in zip(got[0], got[1]):
                     gone[s : s + n] = True
                 out = [words[i] for i in np.flatnonzero(~gone)]
             kept.append(b" ".join(out).decode())
-            told.append([dict(zip(("start", "length", "ref_doc", "ref_start"), f)) for f in got])
+            told.append([dict(zip(("start", "length", "ref_doc", "ref_start"), f)) for f in zip(*got)])
             n_words.append(len(words))
             n_removed.append(len(words) - len(out))
         return [pa.array(kept, pa.string()), pa.array(told, kind), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
 
     # outputs come under fixed names first, so no name of docs can clash with them
-    y = append_arrow(x.drop("doc"), [F.col(f"d{names.index(text_col)}"), F.col("at")], [(f"o{i}", t) for i, (_, t) in enumerate(made)], run)
+    y = append_arrow(x, [F.col(text), F.col("found")], [(f"o{i}", t) for i, (_, t) in enumerate(made)], run)
     taken = {c.lower() for c, _ in made}
     return y.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken], *[F.col(f"o{i}").alias(c) for i, (c, _) in enumerate(made)])
 
