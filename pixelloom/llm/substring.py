@@ -4,7 +4,7 @@ A document is cut into content-defined blocks: each window of WINDOW words belon
 windows of one anchor are a block, so equal windows lie in blocks of equal anchors wherever they occur. The index is made in two steps:
 
 1. blocks are exchanged by their anchors, a few bytes each. Only blocks whose anchor another document has too can hold a repeated window;
-2. of those, every window is exchanged by the 64-bit hash of its words. The index holds each window once, at its least (document, position),
+2. those are exchanged with the 64-bit hashes of all their windows. The index holds each window once, at its least (document, position),
    which is the reference block that a later document is factored against.
 
 A document is then parsed from left to right: a factor starts at the first window that a smaller document holds and goes on as long as the next
@@ -15,7 +15,8 @@ Hot passages: a worker resolves by itself what documents of its batch share, and
 an anchor that many documents share two rows go to the anchor's task, and of a window the least document's, so a passage that a third of
 all rows hold costs a few rows per task. Rows that are already resolved go to their document's task and meet no other key.
 
-Two windows count as equal if the 64-bit hashes of all their words are; anchors only decide what is looked up.
+Two windows count as equal if the 64-bit hashes of all their words are; anchors only decide what is looked up. An anchor's blocks in different contexts
+meet in one task, so a common gram costs what its places do (a gram that is one word in 100,000 is the anchor of about one block in as many).
 
 Defined results: null or empty text has no words and loses none; a document with fewer words than a window loses none; very long texts are parsed whole (a
 worker holds one text and a few numbers per word of it); references are documents with a smaller id only, so rows that
@@ -41,7 +42,8 @@ SEEN = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 #: at: position << 5 | number of windows << 1 | whether the block is known to be shared.
 BLOCKS = "key long, doc long, at long"
-WINDOWS = "h long, doc long, pos int, n int, ref_doc long, ref_pos int"
+WINDOWS = "key long, doc long, pos int, hs array<long>, n int, ref_doc long, ref_pos int"
+_NAMES = ["key", "doc", "pos", "hs", "n", "ref_doc", "ref_pos"]
 
 
 def doc_words(col, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ class BlockSender:
 
 
 class WindowSender:
-    """The rows of WINDOWS for a task's batches: windows to look up (n = 0), and runs of windows that are resolved (n > 0)."""
+    """The rows of WINDOWS for a task's batches: blocks of windows to look up (hs), and runs of windows that are resolved (n > 0)."""
 
     def __init__(self):
         self.h, self.doc, self.pos = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # leaders, by hash
@@ -160,10 +162,15 @@ class WindowSender:
         c = runs(r[z], lead_doc_of[z], pos[z] - lead_pos_of[z], pos[z] - np.arange(len(z)))
         n = np.diff([*c, len(z)])
         z = z[c]
-        none = np.zeros(len(left), np.int64)
+        p, g = anchors(words)
+        a = runs(p[i[left]], r[left], i[left] - np.arange(len(left)))
+        count = np.concatenate([np.diff([*a, len(left)]), np.zeros(len(z), np.int64)])
+        f = left[a]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(h[left].view(np.int64)))
+        none = np.zeros(len(f), np.int64)
         spread = mix64(doc[z].astype(np.uint64) * np.uint64(31) + pos[z].astype(np.uint64))
         return [
-            pa.array(np.concatenate([h[left], spread]).view(np.int64)), pa.array(np.concatenate([doc[left], doc[z]])), pa.array(np.concatenate([pos[left], pos[z]]).astype(np.int32)),
+            pa.array(np.concatenate([g[p[i[f]]], spread]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), lists,
             pa.array(np.concatenate([none, n]).astype(np.int32)), pa.array(np.concatenate([none, lead_doc_of[z]])), pa.array(np.concatenate([none, lead_pos_of[z]]).astype(np.int32)),
         ]
 
@@ -210,7 +217,7 @@ def shared_blocks(texts: DataFrame) -> DataFrame:
 
 
 def flags(texts: DataFrame) -> DataFrame:
-    """doc, found: for each document with duplicate windows the array of (pos, n, ref_doc, ref_pos), runs of windows and where they occur before."""
+    """doc, found: for each document with duplicate windows the array of (pos, n, bits, ref_doc, ref_pos): n windows from pos on, or those of bits, and where they occur before."""
 
     def run(batches):
         hasher, send = WordHasher(), WindowSender()
@@ -219,20 +226,32 @@ def flags(texts: DataFrame) -> DataFrame:
                 words, begin = doc_words(b.column(1), hasher)
                 at = b.column(2)
                 counts = np.diff(at.offsets.to_numpy())
-                yield from _told(send(b.column(0).to_numpy(), words, begin, at.flatten().to_numpy(), counts), ["h", "doc", "pos", "n", "ref_doc", "ref_pos"])
+                yield from _told(send(b.column(0).to_numpy(), words, begin, at.flatten().to_numpy(), counts), _NAMES)
 
     blocks = shared_blocks(texts)
     x = texts.join(blocks, texts["_id"] == blocks["doc"]).select("_id", "_text", "at").mapInArrow(run, WINDOWS)
-    x = x.withColumn("least", F.min(F.struct("doc", "pos")).over(W.partitionBy("h"))).filter("n > 0 or doc > least.doc")
-    new = F.col("n") == 0
-    where = F.struct("pos", F.greatest("n", F.lit(1)).alias("n"), F.when(new, F.col("least.doc")).otherwise(F.col("ref_doc")).alias("ref_doc"), F.when(new, F.col("least.pos")).otherwise(F.col("ref_pos")).alias("ref_pos"))
-    return x.groupBy("doc").agg(F.collect_list(where).alias("found"))
-
-
-def factors(pos: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    block = W.partitionBy("key")
+    x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("n > 0 or lo < hi")
+    x = x.select("key", "doc", "pos", "n", "ref_doc", "ref_pos", F.posexplode_outer("hs").alias("i", "h"))
+    least = F.min(F.struct("doc", (F.col("pos") + F.col("i")).alias("pos"))).over(W.partitionBy("key", "h"))
+    x = x.withColumn("least", least).filter("n > 0 or doc > least.doc")
+    old = F.col("n") > 0
+    x = x.select(
+        "key", "doc", "pos", "n", F.when(old, F.col("ref_doc")).otherwise(F.col("least.doc")).alias("ref_doc"), F.when(old, F.col("ref_pos")).otherwise(F.col("least.pos") - F.col("i")).alias("ref_pos"),
+        F.when(old, F.lit(0)).otherwise(F.expr("shiftleft(1, i)")).alias("bit"),
+    )
+    # the windows of a block come together again where they are, by key
+    x = x.groupBy("key", "doc", "pos", "n", "ref_doc", "ref_pos").agg(F.bit_or("bit").alias("bits"))
+    return x.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "bits", "ref_doc", "ref_pos")).alias("found"))
+
+
+def factors(pos: np.ndarray, n: np.ndarray, bits: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
     """Greedy parse: start, length, reference and start there, in words, from a document's duplicate windows."""
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos, ref_doc, ref_pos = np.repeat(pos, n) + step, np.repeat(ref_doc, n), np.repeat(ref_pos, n) + step
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    more, at = np.nonzero(bits[:, None] >> np.arange(WINDOW) & 1)
+    row, step = np.concatenate([row, more]), np.concatenate([step, at])
+    pos, ref_doc, ref_pos = pos[row] + step, ref_doc[row], ref_pos[row] + step
     order = np.lexsort((ref_pos, ref_doc, pos))
     order = order[runs(pos[order])]
     order = order[pos[order] + WINDOW <= words]
@@ -263,7 +282,7 @@ def parse(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
         kept, told, n_words, n_removed = [], [], [], []
         found = cols[1].combine_chunks() if isinstance(cols[1], pa.ChunkedArray) else cols[1]
         flat = found.flatten()
-        parts = [flat.field(i).to_numpy() for i in range(4)]
+        parts = [flat.field(i).to_numpy() for i in range(5)]
         ends = np.cumsum(np.where(found.is_valid().to_numpy(zero_copy_only=False), found.value_lengths().fill_null(0).to_numpy(), 0))
         for text, a, b in zip(cols[0].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
             words = (text or "").encode().split()  # bytes are split at the same six blanks
