@@ -52,6 +52,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     if not seen.get["rest"]:
         return own.withColumnRenamed("m", "component")
     now = x.filter("k > 1").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(x.filter("k = 1 and centre").select(F.col("m").alias("a"), "b"))
+    now = now.distinct()  # thousands of nodes may have seen the same two
     for _ in range(most):
         moves = Observation()
         new = stage(_round(now).observe(moves, F.count("*").alias("n"), F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")), "round")
