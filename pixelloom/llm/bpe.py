@@ -12,7 +12,7 @@ taken whole, so the result never depends on luck.
 
 Decoding concatenates the tokens' bytes up the same kind of tree.
 
-Defined results: null text is the empty text (no ids, empty bytes); null ids decode to empty bytes; rows are independent, so repeated rows and
+Defined results: null text is the empty text (no ids, empty bytes); a very long text is one tree (a worker holds the text and its ids); an empty table gives an empty result; null ids decode to empty bytes; rows are independent, so repeated rows and
 ties need no rule; other columns are kept, and one that has the name of an output is replaced.
 """
 

@@ -8,7 +8,7 @@ document of the target.
 The ranks come from counts in two levels, so that a source (or a size within it) that holds most rows is never ordered in one
 task: counts by (source, size), by (source, size, slice of the hash), then row numbers within a slice.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; rows with equal ids are
+Defined results: null text has size 0, and so has an empty one; very long texts are counted whole; further columns of any name are kept by mix; a null source is a source of its own, last in order; rows with equal ids are
 rows of their own (their order among equals does not change the copies of the size); a source of size 0 has target 0 and is not
 taken; an empty table gives an empty result.
 """

@@ -73,3 +73,9 @@ def test_edges(spark):
     same = spark.createDataFrame([(7, "s", "a b c")] * 10, "doc_id long, source string, text string")
     n = sum(r.copies for r in mixing.mix_plan(same).collect())
     assert n in (15, 16) and mixing.mix(same).count() == n
+
+
+def test_very_long_text(spark):
+    long = spark.createDataFrame([(1, "s", "ab\n" * 400_000), (2, "s", " \t" * 100_000), (3, "s", "x" * 500_000), (4, "t", "a b")], "doc_id long, source string, text string")
+    rows = {r.doc_id: r for r in mixing.mix_plan(long).collect()}
+    assert [rows[i].size for i in (1, 2, 3, 4)] == [400_000, 0, 1, 2] and all(r.taken <= 2 * r.size for r in rows.values())

@@ -48,6 +48,8 @@ def brute(rows):
 def test_run_against_brute_force(spark, tmp_path):
     rows = [(i, t, "en" if i % 2 else None, ["a", "b", "hot", "hot", None][i % 5]) for i, t in corpus(3, 90)]
     rows += [(5000 + i, t, "de", "b") for i, t in enumerate(TEXTS)] + [(6000, "12 34 !!", "en", "a")]
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(40_000)) + " token=abcdefgh"
+    rows += [(6100, long, "en", "hot"), (6101, long, "de", "b"), (6102, "x" * 300_000, "en", "a")]  # very long texts, and a copy
     docs = spark.createDataFrame([(*r, len(r[1] or ""), "more") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, k0 string")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -79,6 +79,30 @@ def test_edges(spark):
     assert substring.parse(df).columns == ["doc_id", "text", "kept", "factors", "n_words", "n_removed"]
 
 
+def test_very_long_texts(spark):
+    """A long text, one that holds its second half twice, and a copy, in batches of their own and in one."""
+    r = random.Random(2)
+    a = [f"w{r.randrange(400)}" for _ in range(60_000)]
+    b = [f"v{r.randrange(400)}" for _ in range(20_000)] + a[30_000:] + a[30_000:]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a))]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.digests(df).collect()} == brute(rows)
+
+
+def test_forgotten_anchors_and_windows(spark):
+    """What a task has met before is only a short cut: the results are those without it."""
+    rows = corpus(5, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    old = substring.SEEN, substring.by_bytes.__defaults__
+    try:
+        for seen in (0, 3, 1 << 20):
+            substring.SEEN, substring.by_bytes.__defaults__ = seen, (700,)
+            assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.digests(df).collect()} == brute(rows)
+    finally:
+        substring.SEEN, substring.by_bytes.__defaults__ = old
+
+
 def test_windows_that_share_half_a_hash_are_not_equal(spark):
     """Different words around one anchor, whose window hashes agree in their upper 32 bits."""
     a = "w12573 w11883 w618 w2987 w2074 w18919 w12784 w15788 w5050 w4884 w10084 w14131 w4833"
