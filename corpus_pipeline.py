@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, near duplicates, secrets, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as the next stage's docs. All
-but the last return the columns of documents. Null texts, empty tables and further columns are passed as the operators define.
+but the last return the columns of documents.
+
+Defined results: documents with null or empty text, or without a letter, go in the first stage; a null lang or source is kept as it is (a null source is one of its own); of equal
+texts and of linked ones the least id stays, rows that repeat an id stay or go together, rows with null id always stay; mixing repeats rows as they are, so the last stage
+has a row for each copy; very long texts are judged, redacted and encoded whole; further columns, whatever their names, are kept until the last stage; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

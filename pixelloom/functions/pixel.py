@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TINY = 1e-6
@@ -100,7 +102,13 @@ A, FLAT, SCALE, EAST0, NORTH0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0,
 
 
 class _Columns:
-    sin, cos, sinh, cosh, tan, asin, atan, atan2, sqrt, degrees = F.sin, F.cos, F.sinh, F.cosh, F.tan, F.asin, F.atan, F.atan2, F.sqrt, F.degrees
+    sin, cos, sinh, cosh, asin, atan2, atanh, sqrt = map(staticmethod, (F.sin, F.cos, F.sinh, F.cosh, F.asin, F.atan2, F.atanh, F.sqrt))
+
+
+class Numbers:
+    """The same functions of numpy arrays."""
+
+    sin, cos, sinh, cosh, asin, atan2, atanh, sqrt = map(staticmethod, (np.sin, np.cos, np.sinh, np.cosh, np.arcsin, np.arctan2, np.arctanh, np.sqrt))
 
 
 def utm_to_lonlat(east, north, zone, south=False, ops=_Columns):
@@ -123,3 +131,47 @@ def utm_to_lonlat(east, north, zone, south=False, ops=_Columns):
         lat = lat + d * ops.sin(2 * k * chi)
     lon = ops.atan2(ops.sinh(y), ops.cos(x))
     return zone * 6 - 183 + lon * (180 / math.pi), lat * (180 / math.pi)
+
+
+def lonlat_to_utm(lon, lat, zone, south=False, ops=_Columns):
+    """East and north in metres: the forward direction of the same series."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    phi, away = lat * (math.pi / 180), (lon - (zone * 6 - 183)) * (math.pi / 180)
+    t = ops.sinh(ops.atanh(ops.sin(phi)) - e * ops.atanh(e * ops.sin(phi)))
+    xi = ops.atan2(t, ops.cos(away))
+    eta = ops.atanh(ops.sin(away) / ops.sqrt(1 + t * t))
+    x, y = eta, xi
+    for k, a in enumerate(alpha, 1):
+        x = x + a * ops.cos(2 * k * xi) * ops.sinh(2 * k * eta)
+        y = y + a * ops.sin(2 * k * xi) * ops.cosh(2 * k * eta)
+    return EAST0 + SCALE * radius * x, SCALE * radius * y + (NORTH0 if south else 0.0)
+
+
+# ---- reference systems ------------------------------------------------------------------------------------------
+
+#: EPSG codes of longitude and latitude on WGS84, and of its UTM zones north (32601 ...) and south (32701 ...).
+LONLAT, UTM_NORTH, UTM_SOUTH = 4326, 32600, 32700
+
+
+def reproject(df: DataFrame, x: str, y: str, source: Column, target: Column) -> DataFrame:
+    """df with the coordinates in columns x and y brought from one system to another; source and target are EPSG codes as columns. Others than the above keep
+    their coordinates.
+
+    Both series in one go repeat their terms too often for a column expression, so batches of coordinates go through numpy."""
+    utm = lambda c: UTM_NORTH < c <= UTM_SOUTH + 60
+
+    def move(xs: pd.Series, ys: pd.Series, sources: pd.Series, targets: pd.Series) -> pd.DataFrame:
+        u, v = xs.to_numpy(float).copy(), ys.to_numpy(float).copy()
+        for a, b in set(zip(sources, targets)):
+            if a == b or not all(utm(c) or c == LONLAT for c in (a, b)):
+                continue
+            at = ((sources == a) & (targets == b)).to_numpy()
+            lon, lat = utm_to_lonlat(u[at], v[at], a % 100, a > UTM_SOUTH, Numbers) if utm(a) else (u[at], v[at])
+            u[at], v[at] = lonlat_to_utm(lon, lat, b % 100, b > UTM_SOUTH, Numbers) if utm(b) else (lon, lat)
+        return pd.DataFrame({"u": u, "v": v})
+
+    moved = F.pandas_udf(move, "u double, v double")(F.col(x), F.col(y), source.cast("int"), target.cast("int"))
+    return df.withColumn("_moved", moved).withColumns({x: F.col("_moved.u"), y: F.col("_moved.v")}).drop("_moved")

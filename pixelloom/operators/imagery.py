@@ -26,13 +26,31 @@ def stretch(rgb: DataFrame, bands: list[str], by: list[str], low: float = 0.02,
     return x.select(*rgb.columns[: len(rgb.columns) - len(bands)], *[scaled(b).alias(b) for b in bands])
 
 
-def pick_scene(scenes: DataFrame, year: int, month: int) -> DataFrame:
+def pick_scene(scenes: DataFrame, year: int | None, month: int | None) -> DataFrame:
     """scenes: tile_id, year, month. Per tile the exact month, else the year's latest, else the latest of all."""
-    rank = F.when((F.col("year") == year) & (F.col("month") == month), 0).when(F.col("year") == year, 1).otherwise(2)
+    rank = F.when((F.col("year") == F.lit(year)) & (F.col("month") == F.lit(month)), 0).when(F.col("year") == F.lit(year), 1).otherwise(2)
     w = W.partitionBy("tile_id").orderBy(rank, F.desc("year"), F.desc("month"))
     return scenes.select("tile_id", "year", "month").distinct().withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
+def scene_rgb(obs: DataFrame, picked: DataFrame, bands: list[str]) -> DataFrame:
+    """The bands of each tile's picked scene (tile_id, year, month), values that are not above 0 as missing."""
+    x = obs.join(F.broadcast(picked.select("tile_id", "year", "month")), ["tile_id", "year", "month"], "left_semi")  # a row for each tile
+    return x.select(*PIXEL, "year", *[F.when(F.col(b) > 0, F.col(b)).alias(b) for b in bands])
+
+
+def basemap(obs: DataFrame, bands: list[str], *, mode: str = "median", year: int | None = None, month: int | None = None) -> DataFrame:
+    """A tile's picture, stretched: the median of a year (the asked one, else the tile's last), or one scene."""
+    if mode == "median":
+        last = W.partitionBy("tile_id")
+        years = obs.select("tile_id", "year").distinct()
+        years = years.filter(F.col("year") == year) if year is not None else years.withColumn("y", F.max("year").over(last)).filter("year = y").drop("y")
+        rgb = median_composite(obs.join(F.broadcast(years), ["tile_id", "year"], "left_semi"), bands)
+    else:
+        rgb = scene_rgb(obs, pick_scene(obs, year, month), bands)
+    return stretch(rgb.select(*PIXEL, *bands), bands, ["tile_id"])
+
+
 def clip(boxes: DataFrame, footprint: DataFrame) -> DataFrame:
     """boxes: poly_id, w, s, e, n. Polygons whose boxes meet a footprint (tile_id, w, s, e, n), touching included; they are not cut.
 

@@ -41,29 +41,54 @@ def false_positive_rate(pred: DataFrame, true: DataFrame) -> DataFrame:
     return x.select((F.col("n") - F.col("hits")).alias("misses"), "n", F.when(F.col("n") == 0, 0.0).otherwise(1 - F.col("x")).alias("fpr"))
 
 
-def grid_search(prob: DataFrame, true: DataFrame, *, thresholds, opens, closes, areas, height: int, width: int) -> DataFrame:
-    """combo, threshold, open_n, close_n, min_ha, iou of every setting, best first; ties go to the first in product order.
-
-    Each distinct raster is made once for all area limits, and the limits are applied to its components' sizes."""
-    from functools import reduce
-
-    base = {t: raster.runs(raster.threshold(prob, t)) for t in thresholds}
-    truth = true.select(*PIXEL).distinct().withColumn("t", F.lit(1))
-    n_true = truth.agg(F.count("*").alias("n_true"))
-    parts, k = [], 0
-    for t in thresholds:
-        for o in opens:
-            for c in closes:
-                comps = raster.components(raster.closing(raster.opening(base[t], o, height, width), c, height, width))
-                cell = comps.select("tile_id", "row", "comp_id", F.explode(F.sequence("c0", "c1")).alias("col")).join(truth, PIXEL, "left")
-                each = cell.groupBy("tile_id", "comp_id").agg(F.count("*").alias("n_px"), F.count("t").alias("hit"))
-                limits = F.explode(F.array(*[F.struct(F.lit(k + i).alias("combo"), F.lit(float(a)).alias("min_ha")) for i, a in enumerate(areas)]))
-                kept = each.withColumn("s", limits).filter(F.col("n_px") * 0.01 >= F.col("s.min_ha"))
-                got = kept.groupBy("s").agg(F.sum("n_px").alias("n_pred"), F.sum("hit").alias("inter"))
-                every = prob.sparkSession.range(1).select(limits.alias("s"))
-                parts.append(every.join(got, "s", "left").select("s.*", F.lit(float(t)).alias("threshold"), F.lit(o).alias("open_n"), F.lit(c).alias("close_n"), F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("inter", F.lit(0)).alias("inter")))
-                k += len(areas)
-    x = reduce(DataFrame.unionByName, parts).crossJoin(n_true)  # a row per setting
-    either = F.col("n_pred") + F.col("n_true") - F.col("inter")
-    x = x.withColumn("iou", F.when(either == 0, 1.0).otherwise(F.col("inter") / F.greatest(either, F.lit(1))))
-    return x.withColumn("rank", F.row_number().over(W.orderBy(F.desc("iou"), "combo"))).select("rank", "combo", "threshold", "open_n", "close_n", "min_ha", "iou")
+def evaluate(pred: DataFrame, true: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row for each of `wanted` (tile_id and any further keys): n_pred, n_gt, union_iou, polygon_recall, polygon_fpr_proxy.
+
+    pred: those keys, comp_id, row, c0, c1 (polygons as runs of cells); true: the same by tile_id alone. Polygons meet where they share a cell or a corner. Everything
+    comes from one join of runs by tile and row: true runs go to three rows, and overlaps count where the row is their own."""
+    keys = wanted.columns
+    size = F.col("c1") - F.col("c0") + 1
+    p = pred.groupBy(*keys).agg(F.countDistinct("comp_id").alias("n_pred"), F.sum(size).alias("px_pred"))
+    t = true.groupBy("tile_id").agg(F.countDistinct("comp_id").alias("n_gt"), F.sum(size).alias("px_gt"))
+    near = true.select("tile_id", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("off"), "row", F.col("comp_id").alias("t_id"), F.col("c0").alias("t0"), F.col("c1").alias("t1"))
+    near = near.withColumn("row", F.col("row") + F.col("off"))
+    both = pred.join(near, ["tile_id", "row"]).filter("c0 <= t1 + 1 and t0 <= c1 + 1")
+    met = both.groupBy(*keys).agg(
+        F.countDistinct("comp_id").alias("hit_pred"), F.countDistinct("t_id").alias("hit_gt"),
+        F.sum(F.when(F.col("off") == 0, F.greatest(F.least("c1", "t1") - F.greatest("c0", "t0") + 1, F.lit(0))).otherwise(0)).alias("inter"),
+    )
+    x = wanted.join(p, keys, "left").join(t, "tile_id", "left").join(met, keys, "left").na.fill(0, ["n_pred", "px_pred", "n_gt", "px_gt", "hit_pred", "hit_gt", "inter"])
+    no_pred, no_gt = F.col("n_pred") == 0, F.col("n_gt") == 0
+    either = F.greatest(F.col("px_pred") + F.col("px_gt") - F.col("inter"), F.lit(1))
+    return x.select(
+        *keys, "n_pred", "n_gt", F.when(no_pred & no_gt, 1.0).otherwise(F.col("inter") / either).alias("union_iou"),
+        F.when(no_gt, 1.0).otherwise(F.col("hit_gt") / F.greatest("n_gt", F.lit(1))).alias("polygon_recall"),
+        F.when(no_pred, 0.0).otherwise(1 - F.col("hit_pred") / F.greatest("n_pred", F.lit(1))).alias("polygon_fpr_proxy"),
+    )
+
+
+def true_polygons(binary: DataFrame, min_ha: float = 0.5, pixel_m2: float = 100.0) -> DataFrame:
+    """Runs of the components of labelled cells (tile_id, row, col) that have at least min_ha."""
+    comps = raster.components(raster.runs(binary.select(*PIXEL)))
+    return comps.join(raster.areas(comps, pixel_m2=pixel_m2, min_ha=min_ha).select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+
+
+def grid_search(prob: DataFrame, true: DataFrame, tiles: DataFrame, *, thresholds, opens, closes, areas, height, width, pixel_m2: float = 100.0) -> DataFrame:
+    """rank, combo, threshold, open_n, close_n, min_ha, mean_iou, mean_recall, mean_fpr_proxy of every setting, best first; ties go to the first in product order.
+
+    true: runs of true polygons; tiles: those to average over, each counts the same. One plan for all settings: threshold, radii and area limit are keys
+    beside tile_id, openings are shared by the closings that follow them, and area limits are applied to one set of components."""
+    options = lambda name, values, kind: F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name)
+    base = prob.filter(F.col("prob") >= F.lit(float(min(thresholds)))).select(*PIXEL, "prob", options("threshold", thresholds, "double")).filter("prob >= threshold").drop("prob")
+    opened = raster.opening(raster.runs(base).select("*", options("open_n", opens, "int")), "open_n", height, width)
+    comps = raster.components(raster.closing(opened.select("*", options("close_n", closes, "int")), "close_n", height, width))
+    settings = ["threshold", "open_n", "close_n"]
+    sized = comps.withColumn("n_px", F.sum(F.col("c1") - F.col("c0") + 1).over(W.partitionBy(*settings, "tile_id", "comp_id")))
+    kept = sized.select("*", options("min_ha", areas, "double")).filter(F.col("n_px") * pixel_m2 / 10000 >= F.col("min_ha")).drop("n_px")
+    every = [(i, float(t), o, c, float(a)) for i, (t, o, c, a) in enumerate((t, o, c, a) for t in thresholds for o in opens for c in closes for a in areas)]
+    combos = prob.sparkSession.createDataFrame(every, "combo int, threshold double, open_n int, close_n int, min_ha double")
+    wanted = tiles.select("tile_id").distinct().crossJoin(combos.drop("combo"))  # a row for each tile and setting
+    each = evaluate(kept, true, wanted).groupBy(*settings, "min_ha").agg(F.avg("union_iou").alias("mean_iou"), F.avg("polygon_recall").alias("mean_recall"), F.avg("polygon_fpr_proxy").alias("mean_fpr_proxy"))
+    x = combos.join(each, [*settings, "min_ha"])
+    names = ["combo", *settings, "min_ha", "mean_iou", "mean_recall", "mean_fpr_proxy"]
+    return x.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mean_iou"), "combo"))).select("rank", *names)  # a row for each setting

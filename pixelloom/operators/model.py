@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,11 +18,40 @@ def soft_rows(rows: DataFrame, *, target: str = "target", weight: str = "weight"
     return rows.withColumn("s", both).select("*", "s.label", "s.w").drop("s").filter("w > 0")
 
 
-def fit(rows: DataFrame, names: list[str], *, trees: int = 20, rate: float = 0.05, depth: int = 6, least: int = 200, share: float = 0.9, columns: float = 0.9, validation: str | None = None, seed: int = 0) -> PipelineModel:
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=share, featureSubsetStrategy=str(columns), seed=seed)
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation).setValidationTol(1e-4)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(soft_rows(rows))
+def fit(
+    rows: DataFrame, names: list[str], *, trees: int = 20, rate: float = 0.05, depth: int = 6, least: int = 200, share: float = 0.9, columns: float = 0.9, seed: int = 0,
+    validation: DataFrame | None = None, tolerance: float = 1e-4, positive_weight: float | None = None,
+) -> PipelineModel:
+    """Boosted trees on rows (features, target, weight).
+
+    validation: rows of the same columns. With them fitting stops at the first tree that doesn't lower their loss by `tolerance` of it, and the trees up to the best are kept.
+    positive_weight multiplies the weight of positives (for hard targets)."""
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=share, featureSubsetStrategy=str(columns), seed=seed, validationTol=tolerance)
+    cols = [*names, "target", "weight"]
+    x = rows.select(*cols)
+    if positive_weight is not None:
+        x = x.withColumn("weight", F.when(F.col("target") > 0, F.col("weight") * positive_weight).otherwise(F.col("weight")))
+    if validation is not None:
+        x = x.withColumn("held", F.lit(False)).unionByName(validation.select(*cols).withColumn("held", F.lit(True)))
+        gbt = gbt.setValidationIndicatorCol("held")
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(soft_rows(x))
+
+
+def trees_of(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
+def history(model: PipelineModel, **sets: DataFrame) -> DataFrame:
+    """iteration, and for each named set its mean loss after that many trees. One pass over each set for all iterations; a row for each tree."""
+    losses = {k: model.stages[-1].evaluateEachIteration(model.stages[0].transform(soft_rows(x))) for k, x in sets.items()}
+    spark = next(iter(sets.values())).sparkSession
+    rows = [(i + 1, *map(float, v)) for i, v in enumerate(zip(*losses.values()))]
+    return spark.createDataFrame(rows, "iteration int, " + ", ".join(f"{k} double" for k in losses))
+
+
+def average_precision(scored: DataFrame, *, target: str = "target") -> float:
+    x = scored.select(F.col("prob").alias("rawPrediction"), (F.col(target) > 0).cast("double").alias("label"))
+    return BinaryClassificationEvaluator(metricName="areaUnderPR").evaluate(x)
 
 
 def predict(model: PipelineModel, rows: DataFrame, *, forest: str | None = None) -> DataFrame:
@@ -38,20 +68,6 @@ def quality(scored: DataFrame, *, target: str = "target", weight: str = "weight"
     return scored.agg(F.count("*").alias("n"), (F.sum(loss * F.col(weight)) / F.sum(weight)).alias("log_loss"), F.avg(F.col("prob")).alias("mean_prob"))
 
 
-def region_out(rows: DataFrame, names: list[str], *, region: str = "region", least_tiles: int = 1, **how) -> DataFrame:
-    """Leave-one-region-out: for each region with enough tiles a model of the others, and its quality there. Regions are few; each is one fit."""
-    from pyspark import StorageLevel
-
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every fit reads them
-    held = [r[0] for r in rows.groupBy(region).agg(F.countDistinct("tile_id").alias("t")).filter(F.col("t") >= least_tiles).orderBy(region).select(region).collect()]
-    out = []
-    for r in held:
-        model = fit(rows.filter(F.col(region) != r), names, **how)
-        out.append((r, *quality(predict(model, rows.filter(F.col(region) == r))).first()))
-    rows.unpersist()
-    return rows.sparkSession.createDataFrame(out, f"`{region}` string, n long, log_loss double, mean_prob double")
-
-
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

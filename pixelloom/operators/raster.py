@@ -4,16 +4,23 @@ The foreground is kept as horizontal runs (tile_id, row, c0, c1), inclusive. Ope
 L1 ball of radius n. A ball is one interval per row offset, so each operation shifts runs to 2n + 1 rows and counts how often a column
 is covered: once is enough for a dilation, all 2n + 1 times for an erosion. Cells outside the tile are background. The rows grow with
 runs * (2n + 1), where cells and offsets would give pixels * (2n * n + 2n + 1).
+
+Columns of runs other than row, c0 and c1 are keys: each combination of them is a raster of its own. So many settings go through one plan,
+with the setting, or the radius itself, as a column beside tile_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIXEL = ["tile_id", "row", "col"]
-LINE = ["tile_id", "row"]
+
+
+def keys_of(x: DataFrame) -> list[str]:
+    return [c for c in x.columns if c not in ("row", "col", "c0", "c1")]
 
 
 def threshold(prob: DataFrame, least: float) -> DataFrame:
@@ -22,83 +29,96 @@ def threshold(prob: DataFrame, least: float) -> DataFrame:
 
 def runs(cells: DataFrame) -> DataFrame:
     """Maximal runs of neighbouring cells of a row."""
-    island = F.col("col") - F.row_number().over(W.partitionBy(*LINE).orderBy("col"))
-    return cells.withColumn("i", island).groupBy(*LINE, "i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("i")
+    line = [*keys_of(cells), "row"]
+    island = F.col("col") - F.row_number().over(W.partitionBy(*line).orderBy("col"))
+    return cells.withColumn("i", island).groupBy(*line, "i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("i")
 
 
 def cells(r: DataFrame) -> DataFrame:
-    return r.select(*LINE, F.explode(F.sequence("c0", "c1")).alias("col"))
+    return r.select(*keys_of(r), "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def _radius(n: int | str) -> Column:
+    return F.col(n) if isinstance(n, str) else F.lit(n)
 
 
-def _covered(intervals: DataFrame, times: int) -> DataFrame:
+def _covered(intervals: DataFrame, times: Column) -> DataFrame:
     """Maximal runs of columns that at least `times` of the row's intervals cover: a sweep over the intervals' ends."""
-    ends = intervals.select(*LINE, F.explode(F.array(F.struct(F.col("c0").alias("c"), F.lit(1).alias("d")), F.struct((F.col("c1") + 1).alias("c"), F.lit(-1).alias("d")))).alias("e"))
-    steps = ends.groupBy(*LINE, F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
-    line = W.partitionBy(*LINE).orderBy("c")
-    x = steps.withColumn("n", F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.withColumn("on", F.col("n") >= times).withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).filter("on <> was")
-    return x.withColumn("c1", F.lead("c").over(line) - 1).filter("on").select(*LINE, F.col("c").alias("c0"), "c1")
+    line = [*keys_of(intervals), "row"]
+    ends = intervals.select(*line, F.explode(F.array(F.struct(F.col("c0").alias("c"), F.lit(1).alias("d")), F.struct((F.col("c1") + 1).alias("c"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy(*line, F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
+    at = W.partitionBy(*line).orderBy("c")
+    x = steps.withColumn("n", F.sum("d").over(at.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("on", F.col("n") >= times).withColumn("was", F.coalesce(F.lag("on").over(at), F.lit(False))).filter("on <> was")
+    return x.withColumn("c1", F.lead("c").over(at) - 1).filter("on").select(*line, F.col("c").alias("c0"), "c1")
 
 
-def _shifted(r: DataFrame, n: int, sign: int) -> DataFrame:
-    x = r.withColumn("d", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("w", (F.lit(n) - F.abs("d")) * sign)
-    return x.select("tile_id", (F.col("row") + F.col("d")).alias("row"), (F.col("c0") - F.col("w")).alias("c0"), (F.col("c1") + F.col("w")).alias("c1")).filter("c0 <= c1")
+def _shifted(r: DataFrame, n: Column, sign: int) -> DataFrame:
+    keys = keys_of(r)
+    x = r.withColumn("d", F.explode(F.sequence(-n, n))).withColumn("w", (n - F.abs("d")) * sign)
+    return x.select(*keys, (F.col("row") + F.col("d")).alias("row"), (F.col("c0") - F.col("w")).alias("c0"), (F.col("c1") + F.col("w")).alias("c1")).filter("c0 <= c1")
 
 
-def dilate(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
-    x = _shifted(r, n, 1).filter((F.col("row") >= 0) & (F.col("row") < height))
-    x = x.withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least("c1", F.lit(width - 1))}).filter("c0 <= c1")
-    return _covered(x, 1)
+def dilate(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
+    """n: a radius, or the name of a key that holds it."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    x = _shifted(r, _radius(n), 1).filter((F.col("row") >= 0) & (F.col("row") < lit(height)))
+    x = x.withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least(F.col("c1"), lit(width) - 1)}).filter("c0 <= c1")
+    return _covered(x, F.lit(1))
 
 
-def erode(r: DataFrame, n: int) -> DataFrame:
-    return _covered(_shifted(r, n, -1), 2 * n + 1)
+def erode(r: DataFrame, n: int | str) -> DataFrame:
+    return _covered(_shifted(r, _radius(n), -1), 2 * _radius(n) + 1)
 
 
-def opening(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
+def opening(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
     return dilate(erode(r, n), n, height, width) if n else r
 
 
-def closing(r: DataFrame, n: int, height: int, width: int) -> DataFrame:
+def closing(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
     return erode(dilate(r, n, height, width), n) if n else r
 
 
 def components(r: DataFrame) -> DataFrame:
-    """4-connected components of a tile's runs; comp_id is the first cell's row * 2**20 + column, in reading order.
+    """4-connected components of a raster's runs; comp_id is the first cell's row * 2**20 + column, in reading order.
 
-    Polygons never cross tiles, and a tile is a bounded raster, so each is one group of at most (its pixels / 2) runs for a union-find."""
+    Polygons never cross tiles, and a tile is a bounded raster, so each is one group of at most (its pixels / 2) runs. Runs that touch are found by
+    binary search in the row above, and labels sink to the least of their neighbours, and to its label, until nothing changes."""
     import numpy as np
     import pandas as pd
 
+    keys = keys_of(r)
+
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "c0"], ignore_index=True)
-        row, c0, c1 = (pdf[c].to_numpy() for c in ("row", "c0", "c1"))
-        top = np.arange(len(pdf))
-
-        def root(i):
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        j = 0
-        for i in range(len(pdf)):  # j follows in the row above
-            while j < i and (row[j] < row[i] - 1 or (row[j] == row[i] - 1 and c1[j] < c0[i])):
-                j += 1
-            k = j
-            while k < i and row[k] == row[i] - 1 and c0[k] <= c1[i]:
-                a, b = root(i), root(k)
-                top[max(a, b)] = min(a, b)
-                k += 1
-        first = [root(i) for i in range(len(pdf))]
-        pdf["comp_id"] = row[first].astype("int64") * (1 << 20) + c0[first]
+        row, c0, c1 = (pdf[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+        above = (row - 1) << 21
+        lo = np.searchsorted((row << 21) + c1, above + c0, side="left")
+        hi = np.searchsorted((row << 21) + c0, above + c1, side="right")
+        n = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(row)), n)
+        b = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        top = np.arange(len(row))
+        while True:
+            new = top.copy()
+            least = np.minimum(top[a], top[b])
+            np.minimum.at(new, top[a], least)
+            np.minimum.at(new, top[b], least)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == top).all():
+                break
+            top = new
+        pdf["comp_id"] = row[top] * (1 << 20) + c0[top]
         return pdf
 
-    return r.select(*LINE, F.col("c0").cast("int"), F.col("c1").cast("int")).groupBy("tile_id").applyInPandas(label, "tile_id string, row int, c0 int, c1 int, comp_id long")
+    x = r.select(*keys, F.col("row").cast("int"), F.col("c0").cast("int"), F.col("c1").cast("int"))
+    return x.groupBy(*keys).applyInPandas(label, T.StructType([*x.schema.fields, T.StructField("comp_id", T.LongType())]))
 
 
 def areas(comps: DataFrame, *, pixel_m2: float = 100.0, min_ha: float = 0.0) -> DataFrame:
-    g = comps.groupBy("tile_id", "comp_id").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_px"))
+    """Cells and hectares of each component that has at least min_ha."""
+    g = comps.groupBy(*keys_of(comps)).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_px"))
     return g.withColumn("area_ha", F.col("n_px") * pixel_m2 / 10000).filter(F.col("area_ha") >= F.lit(min_ha))
 
 
@@ -110,9 +130,14 @@ def time_steps(comp_cells: DataFrame, dates: DataFrame) -> DataFrame:
     return n.groupBy("tile_id", "comp_id").agg(best.alias("time_step"))
 
 
+def cleaned(prob: DataFrame, *, least: float, open_n: int, close_n: int, height: int | Column, width: int | Column) -> DataFrame:
+    """Components of what is left after threshold, opening and closing."""
+    return components(closing(opening(runs(threshold(prob, least)), open_n, height, width), close_n, height, width))
+
+
 def polygonize(prob: DataFrame, *, least: float, open_n: int, close_n: int, min_ha: float, height: int, width: int, dates: DataFrame | None = None, pixel_m2: float = 100.0) -> DataFrame:
     """tile_id, comp_id, n_px, area_ha, time_step of what is left after threshold, opening, closing and area filter."""
-    comps = components(closing(opening(runs(threshold(prob, least)), open_n, height, width), close_n, height, width))
+    comps = cleaned(prob, least=least, open_n=open_n, close_n=close_n, height=height, width=width)
     kept = areas(comps, pixel_m2=pixel_m2, min_ha=min_ha)
     if dates is None:
         return kept.withColumn("time_step", F.lit(None).cast("int"))
@@ -121,15 +146,39 @@ def polygonize(prob: DataFrame, *, least: float, open_n: int, close_n: int, min_
 
 
 def outlines(comps: DataFrame) -> DataFrame:
-    """tile_id, comp_id, rings: closed rings of pixel corners (x, y), the outer ring first, then holes."""
+    """tile_id, comp_id, rings: closed rings of pixel corners (x, y), the outer ring first, then holes.
+
+    Edges are made from runs: its two ends, and the parts of its top and bottom that no run of the neighbouring row covers."""
     import pandas as pd
 
+    def bare(a: int, b: int, cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """What of [a, b) no interval of cover (ascending) has."""
+        out = []
+        for s, e in cover:
+            if e <= a:
+                continue
+            if s >= b:
+                break
+            if s > a:
+                out.append((a, s))
+            a = max(a, e)
+        return [*out, (a, b)] if a < b else out
+
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines: dict[int, list[tuple[int, int]]] = {}
+        for y, a, b in sorted(zip(pdf["row"].tolist(), pdf["c0"].tolist(), pdf["c1"].tolist())):
+            lines.setdefault(y, []).append((a, b + 1))
         ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        cell = {(int(y), x) for y, a, b in zip(pdf["row"], pdf["c0"], pdf["c1"]) for x in range(int(a), int(b) + 1)}
-        for y, x in sorted(cell):  # unit edges with the inside on the right
-            for other, p, q in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
-                if other not in cell:
+        for y, own in lines.items():  # edges with the inside on the right
+            over, under = lines.get(y - 1, []), lines.get(y + 1, [])
+            i = j = 0  # neighbours that end before a run don't meet the ones after it
+            for a, b in own:
+                while i < len(over) and over[i][1] <= a:
+                    i += 1
+                while j < len(under) and under[j][1] <= a:
+                    j += 1
+                edges = [((s, y), (e, y)) for s, e in bare(a, b, over[i:])] + [((e, y + 1), (s, y + 1)) for s, e in bare(a, b, under[j:])]
+                for p, q in [*edges, ((b, y), (b, y + 1)), ((a, y + 1), (a, y))]:
                     ends.setdefault(p, []).append(q)
         rings = []
         while ends:
@@ -142,7 +191,7 @@ def outlines(comps: DataFrame) -> DataFrame:
                 nxt = to.pop(pick)
                 if not to:
                     del ends[at]
-                step = (nxt[0] - at[0], nxt[1] - at[1])
+                step = tuple((d > 0) - (d < 0) for d in (nxt[0] - at[0], nxt[1] - at[1]))
                 if step == way:
                     ring[-1] = nxt
                 else:

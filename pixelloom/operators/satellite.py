@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,30 +15,34 @@ def indices(obs: DataFrame) -> DataFrame:
     return obs.withColumns({"ndvi": ndvi(), "ndmi": ndmi()})
 
 
-def s2_annual(obs: DataFrame) -> DataFrame:
+def s2_annual(obs: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Per pixel and year: medians, minimum, percentiles, population deviation, and the slope over the position of the tile's months.
 
     The position is among the months that the tile has in that year (not the calendar month), which is a dense rank over a small table of
-    (tile, year, month). Percentiles and deviation need two months."""
+    (tile_id, year, month): `months` where the caller has it (the list of files tells it), else read from three columns of obs. Percentiles and deviation need
+    two months; median and percentiles come from one buffer."""
     x = indices(obs.select(*PIXEL, "year", "month", "b08", "b04", "b11"))
-    months = x.select("tile_id", "year", "month").distinct().withColumn("t", F.row_number().over(W.partitionBy("tile_id", "year").orderBy("month")) - 1)
-    x = x.join(months, ["tile_id", "year", "month"])
+    months = (x if months is None else months).select("tile_id", "year", "month").distinct()
+    x = x.join(months.withColumn("t", F.row_number().over(W.partitionBy("tile_id", "year").orderBy("month")) - 1), ["tile_id", "year", "month"])
     g = x.groupBy(*PIXEL, "year").agg(
-        F.median("ndvi").alias("median_ndvi"), F.median("ndmi").alias("median_ndmi"), F.min("ndvi").alias("min_ndvi"), F.percentile("ndvi", F.array(F.lit(0.1), F.lit(0.9))).alias("p"),
+        F.percentile("ndvi", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), F.median("ndmi").alias("median_ndmi"), F.min("ndvi").alias("min_ndvi"),
         F.stddev_pop("ndvi").alias("s"), F.regr_slope("ndvi", "t").alias("k"), F.count("ndvi").alias("n_obs"),
     )
     two = F.col("n_obs") >= 2
     return g.select(
-        *PIXEL, "year", "n_obs", "median_ndvi", "median_ndmi", "min_ndvi", F.when(two, F.coalesce("k", F.lit(0.0))).otherwise(0.0).alias("slope_ndvi"), F.when(two, F.col("p")[0]).alias("p10_ndvi"),
-        F.when(two, F.col("p")[1]).alias("p90_ndvi"), F.when(two, F.col("s")).alias("std_ndvi"),
+        *PIXEL, "year", "n_obs", F.col("p")[1].alias("median_ndvi"), "median_ndmi", "min_ndvi", F.when(two, F.coalesce("k", F.lit(0.0))).otherwise(0.0).alias("slope_ndvi"), F.when(two, F.col("p")[0]).alias("p10_ndvi"),
+        F.when(two, F.col("p")[2]).alias("p90_ndvi"), F.when(two, F.col("s")).alias("std_ndvi"),
     )
 
 
-def worst_drop(annual: DataFrame, base_year: int) -> DataFrame:
-    """min over years other than the base of (minimum that year - median of the base year), and the earliest year that has it."""
-    base = annual.filter(F.col("year") == base_year).select(*PIXEL, F.col("median_ndvi").alias("base"))
-    d = annual.filter(F.col("year") != base_year).join(base, PIXEL).select(*PIXEL, "year", (F.col("min_ndvi") - F.col("base")).alias("drop"))
-    return d.groupBy(*PIXEL).agg(F.min("drop").alias("worst_drop"), F.min_by("year", F.struct("drop", "year")).alias("worst_drop_year"))
+def worst_drop(annual: DataFrame, base_year: int | Column) -> DataFrame:
+    """min over years other than the base of (minimum that year - median of the base year), and the earliest year that has it.
+
+    A pixel's years are few, so one aggregate brings them side by side; pixels without the base year or any other have no row."""
+    base = F.col("year") == base_year
+    g = annual.groupBy(*PIXEL).agg(F.max(F.when(base, F.col("median_ndvi"))).alias("base"), F.count_if(base).alias("n"), F.collect_list(F.when(~base, F.struct("year", "min_ndvi"))).alias("years"))
+    least = F.array_min(F.transform("years", lambda y: F.struct((y["min_ndvi"] - F.col("base")).alias("drop"), y["year"].alias("year"))))
+    return g.filter((F.col("n") > 0) & (F.size("years") > 0)).select(*PIXEL, least.alias("w")).select(*PIXEL, F.col("w.drop").alias("worst_drop"), F.col("w.year").alias("worst_drop_year"))
 
 
 def base_last(annual: DataFrame, base_year: int, last_year: int, names=("median_ndvi", "median_ndmi", "min_ndvi", "slope_ndvi")) -> DataFrame:
@@ -49,8 +53,8 @@ def base_last(annual: DataFrame, base_year: int, last_year: int, names=("median_
 
 
 def s1_annual(obs: DataFrame) -> DataFrame:
-    """Mean, population deviation and minimum of the backscatter in dB over months and both orbits."""
-    x = obs.select(*PIXEL, "year", decibel(F.col("vv_linear")).alias("db"))
+    """Mean, population deviation and minimum of the backscatter in dB (vv_db, or vv_linear as power) over months and both orbits."""
+    x = obs.select(*PIXEL, "year", (F.col("vv_db") if "vv_db" in obs.columns else decibel(F.col("vv_linear"))).alias("db"))
     return x.groupBy(*PIXEL, "year").agg(F.avg("db").alias("mean_vv"), F.stddev_pop("db").alias("std_vv"), F.min("db").alias("min_vv"))
 
 
@@ -66,19 +70,24 @@ def aef_change(aef: DataFrame) -> DataFrame:
 
 
 def aef_drift(aef: DataFrame) -> DataFrame:
-    """The largest distance of any year from the base, and the earliest year that has it; pixels with one year have none."""
-    base = aef.groupBy(*PIXEL).agg(F.min("year").alias("base_year"), F.min_by("emb", "year").alias("base"), F.count("*").alias("years"))
-    d = aef.join(base.filter("years > 1"), PIXEL).filter("year > base_year").select(*PIXEL, "year", norm(F.transform(minus(F.col("emb"), F.col("base")), finite)).alias("d"))
-    return d.groupBy(*PIXEL).agg(F.max("d").alias("aef_max_drift"), F.max_by("year", F.struct("d", -F.col("year"))).alias("aef_year_of_drift"))
+    """The largest distance of any year from the base, and the earliest year that has it; pixels with one year have none.
+
+    A pixel's years come together once, and the distances are taken inside the array."""
+    g = aef.groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct("year", "emb"))).alias("y"))
+    first = F.col("y")[0]
+    far = lambda x: F.struct(norm(F.transform(minus(x["emb"], first["emb"]), finite)).alias("d"), (-x["year"]).alias("minus_year"))
+    later = F.filter("y", lambda x: x["year"] > first["year"])
+    g = g.filter(F.size(later) > 0).select(*PIXEL, F.array_max(F.transform(later, far)).alias("w"))
+    return g.select(*PIXEL, F.col("w.d").alias("aef_max_drift"), (-F.col("w.minus_year")).alias("aef_year_of_drift"))
 
 
 # ---- packing ----------------------------------------------------------------------------------------------------
 
 
-def pack(cells: DataFrame, dims: int, *, change: DataFrame | None = None, drift: DataFrame | None = None, s1: DataFrame | None = None, s2: DataFrame | None = None, drop: DataFrame | None = None, terrain: DataFrame | None = None, base_year: int = 2020, last_year: int = 2024) -> DataFrame:
+def pack(cells: DataFrame, dims: int, *, change: DataFrame | None = None, drift: DataFrame | None = None, s1: DataFrame | None = None, s2: DataFrame | None = None, drop: DataFrame | None = None, terrain: DataFrame | None = None, base_year: int | Column = 2020, last_year: int | Column = 2024) -> DataFrame:
     """One row of features per cell, of one fixed schema whatever groups are present; absent values are 0.
 
-    All inputs are keyed by pixel, so the joins share one partitioning by pixel."""
+    All inputs are keyed by pixel, so the joins share one partitioning by pixel. base_year and last_year may be columns of s1 and s2, where tiles differ in them."""
     x = cells.select(*PIXEL)
     spec: list[tuple[str, object]] = []
 
@@ -99,7 +108,7 @@ def pack(cells: DataFrame, dims: int, *, change: DataFrame | None = None, drift:
         wide = None
         if df is not None:
             at = lambda y, c: F.max(F.when(F.col("year") == y, F.col(c)))
-            wide = df.filter(F.col("year").isin(base_year, last_year)).groupBy(*PIXEL).agg(*[at(y, c).alias(f"{prefix}_{w}_{c}") for w, y in (("base", base_year), ("last", last_year)) for c in names])
+            wide = df.filter((F.col("year") == base_year) | (F.col("year") == last_year)).groupBy(*PIXEL).agg(*[at(y, c).alias(f"{prefix}_{w}_{c}") for w, y in (("base", base_year), ("last", last_year)) for c in names])
         add(wide, [f"{prefix}_{w}_{c}" for w in ("base", "last") for c in names])
     of = dict(spec)
     for prefix, names in (("s1", s1_names[:2]), ("s2", s2_names[:2])):
@@ -132,11 +141,11 @@ def forest_by_split(pixels: DataFrame, least: float | None = 0.55) -> DataFrame:
     return x.withColumn("forest", F.when(one, test).otherwise((F.when(up, pos).otherwise(~pos)) & test)).drop("mp", "mn", "np", "nn", "seen")
 
 
-def principal_scores(aef: DataFrame, rounds: int = 60) -> DataFrame:
+def principal_scores(aef: DataFrame) -> DataFrame:
     """tile_id, row, col, score: each pixel's coordinate along its tile's first principal component.
 
     The covariance of a tile is a sum over its pixels, so it is aggregated before anything is shuffled: workers send one matrix per tile and
-    partition. Its leading eigenvector comes from power iteration on that small matrix."""
+    partition. Its leading eigenvector is that of the small symmetric matrix, with the sign that makes its largest entry positive."""
     import numpy as np
     import pandas as pd
 

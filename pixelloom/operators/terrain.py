@@ -1,14 +1,15 @@
-"""Elevation cells, slope, and resampling of rasters onto another grid by affine arithmetic."""
+"""Elevation cells, slope, and resampling of rasters onto another grid, in the same reference system or another.
 
-from __future__ import annotations
+A raster's place is its transform (a, b, c, d, e, f), as in x = a col + b row + c and y = d col + e row + f, and its EPSG code. Each of these may be a number or a column of
+the grid, so that tiles may differ in place and system."""
 
-import math
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.pixel import cells_between, dem_cell, known, utm_to_lonlat
+from ..functions.pixel import cells_between, dem_cell, known, reproject, utm_to_lonlat
 
 PIXEL = ["tile_id", "row", "col"]
 
@@ -31,10 +32,14 @@ def mosaic(parts: DataFrame) -> DataFrame:
     return x.groupBy(*PIXEL).agg(F.min_by("elevation", "order").alias("elevation"))
 
 
+#: Metres in a degree of longitude at the equator, and of latitude.
+DEGREE_X, DEGREE_Y = 111_320.0, 110_540.0
+
+
 def metric_cell(a: Column, e: Column, geographic: Column, mid_lat: Column) -> tuple[Column, Column]:
     """Cell width and height in metres."""
-    dx = F.when(geographic, F.abs(a) * 111320.0 * F.greatest(F.cos(F.radians(mid_lat)), F.lit(1e-6))).otherwise(F.abs(a))
-    return dx, F.when(geographic, F.abs(e) * 110540.0).otherwise(F.abs(e))
+    dx = F.when(geographic, F.abs(a) * DEGREE_X * F.greatest(F.cos(F.radians(mid_lat)), F.lit(1e-6))).otherwise(F.abs(a))
+    return dx, F.when(geographic, F.abs(e) * DEGREE_Y).otherwise(F.abs(e))
 
 
 def slope(dem: DataFrame, dx: float | Column, dy: float | Column) -> DataFrame:
@@ -57,40 +62,57 @@ def target_grid(tiles: DataFrame, height: int, width: int) -> DataFrame:
     return rows.select("tile_id", "row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
 
 
-def _at(target: tuple, source: tuple) -> tuple[Column, Column]:
-    """Fractional source column and row of a target cell's centre; transforms are (a, b, c, d, e, f) as in x = a col + b row + c."""
-    a, b, c, d, e, f = target
+def _lit(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
+def _at(grid: DataFrame, target: tuple, source: tuple, systems: tuple | None = None) -> DataFrame:
+    """grid with u and v, the fractional source column and row of each target cell's centre; systems: EPSG codes of target and source, where they may differ."""
+    a, b, c, d, e, f = map(_lit, target)
     x, y = F.col("col") + 0.5, F.col("row") + 0.5
-    east, north = x * float(a) + y * float(b) + float(c), x * float(d) + y * float(e) + float(f)
-    a, b, c, d, e, f = source
-    det = float(a * e - b * d)
-    return ((east - float(c)) * float(e) - (north - float(f)) * float(b)) / det, ((north - float(f)) * float(a) - (east - float(c)) * float(d)) / det
+    grid = grid.withColumns({"u": x * a + y * b + c, "v": x * d + y * e + f})
+    if systems:
+        grid = reproject(grid, "u", "v", *[v if isinstance(v, Column) else F.lit(v) for v in systems])
+    a, b, c, d, e, f = map(_lit, source)
+    det, x, y = a * e - b * d, F.col("u") - c, F.col("v") - f
+    return grid.withColumns({"u": (x * e - y * b) / det, "v": (y * a - x * d) / det})
 
 
-def warp_nearest(src: DataFrame, grid: DataFrame, target: tuple, source: tuple, value: str, nodata: float = 0.0) -> DataFrame:
-    """Each target cell takes the source cell that holds its centre; cells outside the source take nodata."""
-    u, v = _at(target, source)
-    g = grid.select(*PIXEL, F.floor(v).cast("int").alias("sr"), F.floor(u).cast("int").alias("sc"))
-    s = src.select("tile_id", F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value))
-    return g.join(s, ["tile_id", "sr", "sc"], "left").select(*PIXEL, F.coalesce(value, F.lit(nodata)).alias(value))
+def warp_nearest(src: DataFrame, grid: DataFrame, target: tuple, source: tuple, value: str, nodata: float | None = 0.0, systems: tuple | None = None, keys: tuple = ("tile_id",)) -> DataFrame:
+    """Each target cell takes the source cell that holds its centre; cells outside the source take nodata. keys: what tells a raster apart in grid and src."""
+    g = _at(grid, target, source, systems).select(*keys, "row", "col", F.floor("v").cast("int").alias("sr"), F.floor("u").cast("int").alias("sc"))
+    s = src.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value))
+    return g.join(s, [*keys, "sr", "sc"], "left").select(*keys, "row", "col", F.coalesce(value, F.lit(nodata)).alias(value) if nodata is not None else F.col(value))
 
 
-def warp_bilinear(src: DataFrame, grid: DataFrame, target: tuple, source: tuple, values: list[str]) -> DataFrame:
-    """Weights of the four source cells around a target centre, over those that exist; 0 where none does."""
-    u, v = _at(target, source)
-    g = grid.select(*PIXEL, (u - 0.5).alias("u"), (v - 0.5).alias("v"))
+def _corners(grid: DataFrame, keys: tuple) -> DataFrame:
+    """grid has u and v: the four source cells around each target centre (sr, sc) with their weights w."""
+    g = grid.select(*keys, "row", "col", (F.col("u") - 0.5).alias("u"), (F.col("v") - 0.5).alias("v"))
     g = g.withColumns({"c": F.floor("u").cast("int"), "r": F.floor("v").cast("int")}).withColumns({"du": F.col("u") - F.col("c"), "dv": F.col("v") - F.col("r")})
     near = F.explode(F.array(*[F.struct((F.col("r") + i).alias("sr"), (F.col("c") + j).alias("sc"), ((F.col("dv") if i else 1 - F.col("dv")) * (F.col("du") if j else 1 - F.col("du"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
-    g = g.select(*PIXEL, near.alias("n")).select(*PIXEL, "n.*").filter("w > 0")
-    s = src.select("tile_id", F.col("row").alias("sr"), F.col("col").alias("sc"), *values)
-    x = g.join(s, ["tile_id", "sr", "sc"], "left")
-    mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("w"))), F.lit(0.0))
-    return x.groupBy(*PIXEL).agg(*[mean(c).alias(c) for c in values])
+    return g.select(*keys, "row", "col", near.alias("n")).select(*keys, "row", "col", "n.*").filter("w > 0")
 
 
-def terrain_features(dem: DataFrame, grid: DataFrame, target: tuple, source: tuple, dx: float | Column, dy: float | Column) -> DataFrame:
+def warp_bilinear(src: DataFrame, grid: DataFrame, target: tuple, source: tuple, values: list[str], systems: tuple | None = None, keys: tuple = ("tile_id",), empty: float | None = 0.0) -> DataFrame:
+    """Weights of the four source cells around a target centre, over those that have a value; `empty` where none does."""
+    x = _corners(_at(grid, target, source, systems), keys).join(src.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), *values), [*keys, "sr", "sc"], "left")
+    mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("w"))), F.lit(empty).cast("double"))
+    return x.groupBy(*keys, "row", "col").agg(*[mean(c).alias(c) for c in values])
+
+
+def warp_bilinear_array(src: DataFrame, grid: DataFrame, target: tuple, source: tuple, value: str, systems: tuple | None = None, keys: tuple = ("tile_id",)) -> DataFrame:
+    """The same for a column of arrays (all bands of a raster at once); bands without a value are NULL, cells outside the source have no row."""
+    x = _corners(_at(grid, target, source, systems), keys).join(src.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v")), [*keys, "sr", "sc"])
+    near = x.groupBy(*keys, "row", "col").agg(F.collect_list(F.struct("w", "v")).alias("n"))  # four at most
+    weight = lambda i: F.aggregate("n", F.lit(0.0), lambda a, y: a + F.when(y["v"][i].isNotNull(), y["w"]).otherwise(0.0))
+    total = lambda i: F.aggregate("n", F.lit(0.0), lambda a, y: a + F.coalesce(y["v"][i] * y["w"], F.lit(0.0)))
+    bands = F.sequence(F.lit(0), F.size(F.col("n")[0]["v"]) - 1)
+    return near.select(*keys, "row", "col", F.transform(bands, lambda i: F.when(weight(i) > 0, total(i) / weight(i))).alias(value))
+
+
+def terrain_features(dem: DataFrame, grid: DataFrame, target: tuple, source: tuple, dx: float | Column, dy: float | Column, systems: tuple | None = None) -> DataFrame:
     """Elevation and slope on the reference grid; the slope is taken on the elevation's own grid."""
-    return warp_bilinear(slope(dem, dx, dy), grid, target, source, ["elevation", "slope"])
+    return warp_bilinear(slope(dem, dx, dy), grid, target, source, ["elevation", "slope"], systems)
 
 
 def crop_or_pad(src: DataFrame, grid: DataFrame, value: str) -> DataFrame:
@@ -115,7 +137,3 @@ def lonlat_bounds(tiles: DataFrame, points: int = 21) -> DataFrame:
     shifted = F.when(F.col("south"), north - 10000000.0).otherwise(north)
     lon, lat = utm_to_lonlat(east, shifted, F.col("zone"))
     return x.select("tile_id", lon.alias("lon"), lat.alias("lat")).groupBy("tile_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
-
-
-def utm_zone(lon: float) -> int:
-    return math.floor((lon + 180) / 6) + 1

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixel import region, yymm
+from ..functions.pixel import A, FLAT, SCALE, region, yymm
 from ..operators import imagery, labels, metrics, model, raster, sampling, satellite, terrain
 from ..sources import fixtures as fx
 from ..sources import geotiff, layout, sinks
+from . import jobs
+from .staging import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +93,16 @@ def comps_sql(name: str, cells: str) -> str:
 {name} AS (SELECT {PX}, min(r0::BIGINT * 1048576 + c0) AS comp_id FROM {name}_r GROUP BY tile_id, "row", "col")"""
 
 
+def run_comps_sql(name: str, cells: str) -> list[str]:
+    """The same by the closure of neighbouring runs of a row, which are fewer."""
+    return [
+        f"""{name}_u AS MATERIALIZED (SELECT tile_id, "row" AS r, min("col") AS c0, max("col") AS c1 FROM (SELECT *, "col" - row_number() OVER (PARTITION BY tile_id, "row" ORDER BY "col") AS i FROM {cells}) GROUP BY tile_id, "row", i)""",
+        f"{name}_e AS MATERIALIZED (SELECT a.tile_id, a.r AS ra, a.c0 AS ca, b.r AS rb, b.c0 AS cb FROM {name}_u a JOIN (SELECT tile_id, r + d AS rr, r, c0, c1 FROM {name}_u, (SELECT unnest([-1, 1]) AS d)) b ON b.tile_id = a.tile_id AND b.rr = a.r AND a.c0 <= b.c1 AND b.c0 <= a.c1)",
+        f"{name}_t AS (SELECT tile_id, r, c0, r AS r0, c0 AS k0 FROM {name}_u UNION SELECT n.tile_id, n.rb, n.cb, r0, k0 FROM {name}_t t JOIN {name}_e n ON n.tile_id = t.tile_id AND n.ra = t.r AND n.ca = t.c0)",
+        f"""{name} AS (SELECT tile_id, r AS "row", unnest(range(c0, c1 + 1)) AS "col", comp_id FROM {name}_u JOIN (SELECT tile_id, r, c0, min(r0::BIGINT * 1048576 + k0) AS comp_id FROM {name}_t GROUP BY 1, 2, 3) USING (tile_id, r, c0))""",
+    ]
+
+
 def ball_sql(n: int) -> str:
     return f"(SELECT i AS dr, j AS dc FROM (SELECT unnest(range({-n}, {n + 1})) AS i), (SELECT unnest(range({-n}, {n + 1})) AS j) WHERE abs(i) + abs(j) <= {n})"
 
@@ -190,12 +202,52 @@ def forest_mask_pca(spark, d):
     return satellite.forest_by_split(score, 0.1).select(*PIXEL, *rounded("score"), "forest")
 
 
-@query()
+def _on_cells(obs, shift: int):
+    """Observations of the pixels T0, T1, ... or U0, U1, ... as those of the embeddings' pixels, in their years."""
+    k = F.expr("cast(substring(tile_id, 2) as bigint)")
+    return obs.select(F.concat(F.lit("A"), F.expr("cast(substring(tile_id, 2) as bigint) div 25").cast("string")).alias("tile_id"), F.expr("cast(cast(substring(tile_id, 2) as bigint) % 25 div 5 as int)").alias("row"), (k % 5).cast("int").alias("col"), (F.col("year") + shift).cast("int").alias("year"), *[c for c in obs.columns if c not in (*PIXEL, "year")])
+
+
+S1_STATS = ("mean_vv", "std_vv", "min_vv")
+PACKED = (
+    [f"aef_{p}_{i}" for p in ("base", "last", "delta") for i in range(64)] + ["aef_norm", "aef_cos", "aef_max_drift", "aef_year_of_drift"] + [f"s1_{w_}_{c}" for w_ in ("base", "last") for c in S1_STATS]
+    + [f"s2_{w_}_{c}" for w_ in ("base", "last") for c in STATS] + [f"s1_delta_{c}" for c in S1_STATS[:2]] + [f"s2_delta_{c}" for c in STATS[:2]] + ["worst_drop", "worst_drop_year", "elevation", "slope"]
+)
+
+
+def packed_sql() -> str:
+    cell = lambda n: f"""'A' || (CAST(substr(tile_id, 2) AS BIGINT) // 25) AS tile_id, CAST(CAST(substr(tile_id, 2) AS BIGINT) % 25 // 5 AS INT) AS "row", CAST(CAST(substr(tile_id, 2) AS BIGINT) % 5 AS INT) AS "col", CAST(year + {n} AS INT) AS year"""
+    side = lambda names: ", ".join(f"max({c}) FILTER (year = {y}) AS {w_}_{c}" for w_, y in (("base", 2020), ("last", 2021)) for c in names)
+    zero = lambda e: f"coalesce({e}, 0)"
+    out = [f"{'last[%d] - base[%d]' % (i + 1, i + 1) if p == 'delta' else f'{p}[{i + 1}]'} AS aef_{p}_{i}" for p in ("base", "last", "delta") for i in range(64)]
+    out += ["list_distance(base, last) AS aef_norm", "1 - list_dot_product(base, last) / (sqrt(list_dot_product(base, base)) * sqrt(list_dot_product(last, last)) + 0.000001::DOUBLE) AS aef_cos", "dd AS aef_max_drift", "dy AS aef_year_of_drift"]
+    out += [f"r.{w_}_{c} AS s1_{w_}_{c}" for w_ in ("base", "last") for c in S1_STATS] + [f"o.{w_}_{c} AS s2_{w_}_{c}" for w_ in ("base", "last") for c in STATS]
+    out += [f"{zero(f'r.last_{c}')} - {zero(f'r.base_{c}')} AS s1_delta_{c}" for c in S1_STATS[:2]] + [f"{zero(f'o.last_{c}')} - {zero(f'o.base_{c}')} AS s2_delta_{c}" for c in STATS[:2]]
+    out += ["w.d AS worst_drop", "w.y AS worst_drop_year", "0 AS elevation", "0 AS slope"]
+    exprs = ", ".join(f"round(CAST(coalesce({e.rsplit(' AS ', 1)[0]}, 0) AS DOUBLE), 9) AS {e.rsplit(' AS ', 1)[1]}" for e in out)
+    on = lambda t: f'LEFT JOIN {t} ON {t}.tile_id = c.tile_id AND {t}."row" = c."row" AND {t}."col" = c."col"'
+    return w(
+        "aef", "s2_obs", "s1_obs", "chg",
+        f"""x AS (SELECT *, {ND.format(a='b08', b='b04')} AS ndvi, {ND.format(a='b08', b='b11')} AS ndmi FROM (SELECT {cell(23)}, month, b08, b04, b11 FROM s2_obs))""", "annual",
+        f"""o AS (SELECT {PX}, {side(STATS)} FROM annual GROUP BY tile_id, "row", "col")""",
+        f"""w AS (SELECT tile_id, "row", "col", d, y FROM (SELECT a.tile_id, a."row", a."col", a.year AS y, a.min_ndvi - b.median_ndvi AS d, row_number() OVER (PARTITION BY a.tile_id, a."row", a."col" ORDER BY a.min_ndvi - b.median_ndvi, a.year) AS k
+  FROM annual a JOIN annual b ON b.tile_id = a.tile_id AND b."row" = a."row" AND b."col" = a."col" AND b.year = 2020 WHERE a.year <> 2020) WHERE k = 1)""",
+        f"""s AS (SELECT tile_id, "row", "col", year, avg(db) AS mean_vv, stddev_pop(db) AS std_vv, min(db) AS min_vv FROM (SELECT {cell(0)}, CASE WHEN vv_linear > 0 THEN 10 * log10(vv_linear) END AS db FROM s1_obs) GROUP BY 1, 2, 3, 4)""",
+        f"""r AS (SELECT {PX}, {side(S1_STATS)} FROM s GROUP BY tile_id, "row", "col")""",
+        """df AS (SELECT tile_id, "row", "col", dd, year AS dy FROM (SELECT a.tile_id, a."row", a."col", a.year, list_distance(a.emb, c.base) AS dd, row_number() OVER (PARTITION BY a.tile_id, a."row", a."col" ORDER BY list_distance(a.emb, c.base) DESC, a.year) AS k
+  FROM aef a JOIN chg c ON c.tile_id = a.tile_id AND c."row" = a."row" AND c."col" = a."col" WHERE a.year > c.base_year) WHERE k = 1)""",
+        last=f"""SELECT c.tile_id, c."row", c."col", {exprs} FROM chg c {on('df')} {on('r')} {on('o')} {on('w')}""",
+    )
+
+
+@query(packed_sql())
 def packed_features(spark, d):
     a = fx.aef(spark, d)
-    s2 = satellite.s2_annual(fx.s2_obs(spark, d))
+    s2 = cut(satellite.s2_annual(_on_cells(fx.s2_obs(spark, d), 23)))
+    s1 = satellite.s1_annual(_on_cells(fx.s1_obs(spark, d), 0))
     cells = a.select(*PIXEL).distinct()
-    return satellite.pack(cells, 64, change=satellite.aef_change(a), drift=satellite.aef_drift(a), s1=satellite.s1_annual(fx.s1_obs(spark, d)), s2=s2, base_year=2020, last_year=2021)
+    x = satellite.pack(cells, 64, change=satellite.aef_change(a), drift=satellite.aef_drift(a), s1=s1, s2=s2, drop=satellite.worst_drop(s2, 2020), base_year=2020, last_year=2021)
+    return x.select(*PIXEL, *rounded(*PACKED))
 
 
 # ---- labels -----------------------------------------------------------------------------------------------------
@@ -244,12 +296,13 @@ def alert_yymm(spark, d):
 
 
 def _cands(spark, d):
-    return labels.candidates(_fused(spark, d), fx.prob(spark, d))
+    """Written once, as quotas, strata and samples all read them."""
+    return cut(labels.candidates(_fused(spark, d), fx.prob(spark, d)))
 
 
 @query(w(*LABELS, "prob", "cands", last=f"SELECT {PX}, class, round(max_confidence, 9) AS max_confidence, agree_count FROM cands"))
 def candidates(spark, d):
-    return _cands(spark, d).select(*PIXEL, "class", *rounded("max_confidence"), "agree_count")
+    return labels.candidates(_fused(spark, d), fx.prob(spark, d)).select(*PIXEL, "class", *rounded("max_confidence"), "agree_count")
 
 
 # ---- sampling ---------------------------------------------------------------------------------------------------
@@ -301,7 +354,7 @@ def negative_sample(spark, d):
 def _sample(spark, d):
     c = _cands(spark, d)
     cols = [*PIXEL, "class", "max_confidence", "agree_count"]
-    return _positives(c).select(*cols).unionByName(_negatives(c).select(*cols))
+    return cut(_positives(c).select(*cols).unionByName(_negatives(c).select(*cols)))
 
 
 @query(w(*SAMPLE, "s AS (SELECT * FROM pos UNION ALL SELECT * FROM neg)", "u AS (SELECT *, substr(tile_id, 1, 5) AS region, CASE WHEN class = 1 THEN max_confidence * (1.0::DOUBLE + 0.25::DOUBLE * agree_count) ELSE 1.0::DOUBLE END AS w0 FROM s)",
@@ -405,8 +458,13 @@ def polygon_fpr(spark, d):
 GRID = {"thresholds": [0.55, 0.7], "opens": [0, 1], "closes": [0, 2], "areas": [0.0, 0.03]}
 
 
+MIN_TRUE = 0.02
+
+
 def grid_sql() -> str:
-    names, out, k = [_TRUE], [], 0
+    """Per setting and tile as the reference defines it: overlap of unions, share of true polygons met, share of predicted polygons that meet none; then means over tiles."""
+    names, out, k = [_TRUE, comps_sql("tk0", "t"), f"tk AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp_id) AS px FROM tk0) WHERE px * 0.01::DOUBLE >= {MIN_TRUE}::DOUBLE)", "tn AS MATERIALIZED (SELECT tile_id, count(DISTINCT comp_id) AS n_gt, count(*) AS px_gt FROM tk GROUP BY tile_id)"], [], 0
+    names.append('t9 AS MATERIALIZED (SELECT tile_id, "row" + dr AS "row", "col" + dc AS "col", comp_id FROM tk, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc))')
     for t in GRID["thresholds"]:
         for o in GRID["opens"]:
             for c in GRID["closes"]:
@@ -419,17 +477,28 @@ def grid_sql() -> str:
                 if c:
                     names += [dilate_sql(f"{g}_d", cur, c), erode_sql(f"{g}_c", f"{g}_d", c)]
                     cur = f"{g}_c"
-                names.append(comps_sql(f"{g}_k", cur))
-                names.append(f'{g}_n AS (SELECT c.tile_id, comp_id, count(*) AS px, count(t.tile_id) AS hit FROM {g}_k c LEFT JOIN t ON t.tile_id = c.tile_id AND t."row" = c."row" AND t."col" = c."col" GROUP BY 1, 2)')
+                names += run_comps_sql(f"{g}_k", cur)
+                names.append(f'{g}_p AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tile_id, comp_id) AS px FROM {g}_k)')
                 for i, a in enumerate(GRID["areas"]):
-                    out.append(f"SELECT {k + i} AS combo, {t}::DOUBLE AS threshold, {o} AS open_n, {c} AS close_n, {a}::DOUBLE AS min_ha, coalesce(sum(hit), 0) AS i, coalesce(sum(px), 0) AS p FROM {g}_n WHERE px * 0.01::DOUBLE >= {a}::DOUBLE")
+                    q = f"{g}_a{i}"
+                    names.append(f"{q} AS MATERIALIZED (SELECT * FROM {g}_p WHERE px * 0.01::DOUBLE >= {a}::DOUBLE)")
+                    names.append(f"""{q}_n AS (SELECT tile_id, count(DISTINCT comp_id) AS n_pred, count(*) AS px_pred FROM {q} GROUP BY tile_id)""")
+                    names.append(f"""{q}_i AS (SELECT c.tile_id, count(*) AS inter FROM {q} c JOIN tk o ON o.tile_id = c.tile_id AND o."row" = c."row" AND o."col" = c."col" GROUP BY 1)""")
+                    names.append(f"""{q}_h AS (SELECT c.tile_id, count(DISTINCT c.comp_id) AS hit_pred, count(DISTINCT o.comp_id) AS hit_gt FROM {q} c JOIN t9 o ON o.tile_id = c.tile_id AND o."row" = c."row" AND o."col" = c."col" GROUP BY 1)""")
+                    out.append(f"""SELECT {k + i} AS combo, {t}::DOUBLE AS threshold, {o} AS open_n, {c} AS close_n, {a}::DOUBLE AS min_ha, tile_id, coalesce(n_pred, 0) AS n_pred, coalesce(px_pred, 0) AS px_pred, coalesce(n_gt, 0) AS n_gt, coalesce(px_gt, 0) AS px_gt, coalesce(inter, 0) AS inter, coalesce(hit_pred, 0) AS hit_pred, coalesce(hit_gt, 0) AS hit_gt
+  FROM (SELECT DISTINCT tile_id FROM prob) LEFT JOIN {q}_n USING (tile_id) LEFT JOIN tn USING (tile_id) LEFT JOIN {q}_i USING (tile_id) LEFT JOIN {q}_h USING (tile_id)""")
                 k += len(GRID["areas"])
-    return w("radd", "d_radd", "prob", *names, f"a AS ({' UNION ALL '.join(out)})", recursive=True, last="SELECT combo, threshold, open_n, close_n, min_ha, round(i / greatest(p + (SELECT count(*) FROM t) - i, 1)::DOUBLE, 9) AS iou, row_number() OVER (ORDER BY i / greatest(p + (SELECT count(*) FROM t) - i, 1)::DOUBLE DESC, combo) AS rank FROM a")
+    each = """e AS (SELECT *, CASE WHEN n_pred = 0 AND n_gt = 0 THEN 1.0::DOUBLE ELSE inter / greatest(px_pred + px_gt - inter, 1)::DOUBLE END AS iou, CASE WHEN n_gt = 0 THEN 1.0::DOUBLE ELSE hit_gt / n_gt::DOUBLE END AS rec, CASE WHEN n_pred = 0 THEN 0.0::DOUBLE ELSE 1 - hit_pred / n_pred::DOUBLE END AS fpr FROM a)"""
+    mean = "m AS (SELECT combo, threshold, open_n, close_n, min_ha, avg(iou) AS mean_iou, avg(rec) AS mean_recall, avg(fpr) AS mean_fpr_proxy FROM e GROUP BY 1, 2, 3, 4, 5)"
+    return w("radd", "d_radd", "prob", *names, f"a AS ({' UNION ALL '.join(out)})", each, mean, recursive=True, last=f"SELECT combo, threshold, open_n, close_n, min_ha, {rounded_sql('mean_iou', 'mean_recall', 'mean_fpr_proxy')}, row_number() OVER (ORDER BY round(mean_iou, 12) DESC, combo) AS rank FROM m")
 
 
 @query(grid_sql())
 def grid_search(spark, d):
-    return metrics.grid_search(fx.prob(spark, d), _sure(spark, d), **GRID, height=H, width=Wd).select("rank", "combo", "threshold", "open_n", "close_n", "min_ha", *rounded("iou"))
+    prob = fx.prob(spark, d)
+    true = metrics.true_polygons(_sure(spark, d), MIN_TRUE)
+    x = metrics.grid_search(prob, true, prob, **GRID, height=H, width=Wd)
+    return x.select("rank", "combo", "threshold", "open_n", "close_n", "min_ha", *rounded("mean_iou", "mean_recall", "mean_fpr_proxy"))
 
 
 _POLY = {"least": 0.4, "open_n": 1, "close_n": 1, "min_ha": 0.02}
@@ -442,14 +511,38 @@ def submission_features(spark, d):
     return x.select("tile_id", "comp_id", "n_px", *rounded("area_ha"), "time_step")
 
 
+@query(w(*LABELS, "dates", "prob", fg_sql("fg", 0.4), erode_sql("e1", "fg", 1), dilate_sql("o1", "e1", 1), dilate_sql("d1", "o1", 1), erode_sql("c1", "d1", 1), comps_sql("co", "c1"), step_sql("co"),
+         """ed AS (SELECT tile_id, comp_id, sum(x0 * y1 - x1 * y0) / 2 AS area2 FROM (SELECT tile_id, comp_id, "col" AS x0, "row" AS y0, "col" + 1 AS x1, "row" AS y1 FROM co UNION ALL SELECT tile_id, comp_id, "col" + 1, "row", "col" + 1, "row" + 1 FROM co UNION ALL SELECT tile_id, comp_id, "col" + 1, "row" + 1, "col", "row" + 1 FROM co UNION ALL SELECT tile_id, comp_id, "col", "row" + 1, "col", "row" FROM co) GROUP BY 1, 2)""",
+         recursive=True, last="SELECT c.tile_id, c.comp_id, n_px, time_step, round(n_px * 100.0 / 10000, 9) AS area_ha, CAST(area2 AS DOUBLE) AS ring_area FROM (SELECT tile_id, comp_id, count(*) AS n_px FROM co GROUP BY 1, 2 HAVING count(*) >= 2) c JOIN ed USING (tile_id, comp_id) LEFT JOIN st ON st.tile_id = c.tile_id AND st.comp_id = c.comp_id"))
+def submission_outlines(spark, d):
+    """Polygons with outlines; the area that the rings enclose (holes count against it) is that of the cells."""
+    x = _outlined(spark, d)
+    ring = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda a, i: a + (F.get(r, i)[0] * F.get(r, i + 1)[1] - F.get(r, i + 1)[0] * F.get(r, i)[1]) / 2)
+    return x.select("tile_id", "comp_id", "n_px", "time_step", *rounded("area_ha"), F.aggregate(F.transform("rings", ring), F.lit(0.0), lambda a, v: a + v).alias("ring_area"))
+
+
+def _outlined(spark, d):
+    p = fx.prob(spark, d)
+    comps = cut(raster.cleaned(p, least=_POLY["least"], open_n=_POLY["open_n"], close_n=_POLY["close_n"], height=H, width=Wd))
+    kept = raster.areas(comps, min_ha=_POLY["min_ha"])
+    of = comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+    steps = raster.time_steps(of.select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")), _dates(spark, d))
+    return kept.join(steps, ["tile_id", "comp_id"], "left").join(raster.outlines(of), ["tile_id", "comp_id"])
+
+
+def _utm_tiles(spark, d):
+    t = fx.prob(spark, d).groupBy("tile_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return t.select("*", F.substring("tile_id", 1, 2).cast("int").alias("zone"), F.lit(False).alias("south"), F.lit(10.0).alias("a"), F.lit(500000.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(400000.0).alias("f"))
+
+
 @query()
 def submission_geojson(spark, d):
-    p = fx.prob(spark, d)
-    comps = raster.components(raster.opening(_runs(spark, d, 0.4), 1, H, Wd))
-    kept = raster.areas(comps, min_ha=0.02).withColumn("time_step", F.lit(None).cast("int"))
-    rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
-    tiles = p.select("tile_id").distinct().select("tile_id", F.substring("tile_id", 1, 2).cast("int").alias("zone"), F.lit(False).alias("south"), F.lit(10.0).alias("a"), F.lit(500000.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(400000.0).alias("f"))
-    return sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), tiles))
+    return sinks.features(sinks.lonlat_rings(_outlined(spark, d), _utm_tiles(spark, d)))
+
+
+@query(w("tiles", last="""SELECT tile_id, '{"type":"Feature","properties":{"name":"' || tile_id || '"},"geometry":null}' AS feature FROM (SELECT DISTINCT tile_id FROM tiles)"""))
+def tiles_geojson(spark, d):
+    return sinks.tile_features(fx.tiles(spark, d).select("tile_id").distinct()).select("tile_id", "feature")
 
 
 # ---- terrain and grids ------------------------------------------------------------------------------------------
@@ -516,11 +609,38 @@ def geotiff_decode(spark, d):
     return cells.select(*PIXEL).join(got, PIXEL)
 
 
-@query()
+def utm_sql() -> str:
+    """Longitude and latitude of points (zone, x, y: metres) of the north, by the same series."""
+    n = FLAT / (2 - FLAT)
+    r = SCALE * A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    d = lambda v: f"({v!r}::DOUBLE)"
+    sinh, cosh = lambda v: f"((exp({v}) - exp(-({v}))) / 2)", lambda v: f"((exp({v}) + exp(-({v}))) / 2)"
+    xi = "xi" + "".join(f" - {d(b)} * sin({2 * k} * xi) * {cosh(f'{2 * k} * eta')}" for k, b in enumerate(beta, 1))
+    eta = "eta" + "".join(f" - {d(b)} * cos({2 * k} * xi) * {sinh(f'{2 * k} * eta')}" for k, b in enumerate(beta, 1))
+    lat = "chi" + "".join(f" + {d(v)} * sin({2 * k} * chi)" for k, v in enumerate(delta, 1))
+    return f"""u1 AS (SELECT *, y / {d(r)} AS xi, (x - 500000) / {d(r)} AS eta FROM pts), u2 AS (SELECT *, {xi} AS p, {eta} AS q FROM u1), u3 AS (SELECT *, asin(sin(p) / {cosh('q')}) AS chi FROM u2),
+ll AS (SELECT tile_id, zone * 6 - 183 + degrees(atan2({sinh('q')}, cos(p))) AS lon, degrees({lat}) AS lat FROM u3)"""
+
+
+_EDGE = """b AS (SELECT tile_id, CAST(substr(tile_id, 1, 2) AS INT) AS zone, max("row") + 1 AS h, max("col") + 1 AS w FROM prob GROUP BY tile_id),
+pts AS (SELECT tile_id, zone, 500000 + fx * w * 10.0::DOUBLE AS x, 400000 - fy * h * 10.0::DOUBLE AS y FROM b, (SELECT k / 20.0::DOUBLE AS t, unnest([{'fx': k / 20.0::DOUBLE, 'fy': 0.0::DOUBLE}, {'fx': k / 20.0::DOUBLE, 'fy': 1.0::DOUBLE}, {'fx': 0.0::DOUBLE, 'fy': k / 20.0::DOUBLE}, {'fx': 1.0::DOUBLE, 'fy': k / 20.0::DOUBLE}], recursive := true) FROM (SELECT unnest(range(0, 21)) AS k)))"""
+
+
+@query(w("prob", _EDGE, utm_sql(), last="SELECT tile_id, round(min(lon), 9) AS w, round(min(lat), 9) AS s, round(max(lon), 9) AS e, round(max(lat), 9) AS n FROM ll GROUP BY tile_id"))
 def tile_lonlat_bounds(spark, d):
-    t = fx.prob(spark, d).groupBy("tile_id").agg(F.max("row").alias("r"), F.max("col").alias("k"))
-    t = t.select("tile_id", F.substring("tile_id", 1, 2).cast("int").alias("zone"), F.lit(False).alias("south"), (F.col("r") + 1).alias("height"), (F.col("k") + 1).alias("width"), F.lit(10.0).alias("a"), F.lit(500000.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(400000.0).alias("f"))
-    return terrain.lonlat_bounds(t).select("tile_id", *rounded("w", "s", "e", "n"))
+    return terrain.lonlat_bounds(_utm_tiles(spark, d)).select("tile_id", *rounded("w", "s", "e", "n"))
+
+
+@query()
+def warp_between_systems(spark, d):
+    """Elevation on a grid in degrees, laid over each tile's middle, from the tile's own in metres."""
+    t = terrain.lonlat_bounds(_utm_tiles(spark, d)).join(_utm_tiles(spark, d).select("tile_id", "zone"), "tile_id")
+    step = lambda lo, hi: (F.col(hi) - F.col(lo)) / 40
+    grid = _target(spark, d).join(F.broadcast(t.select("tile_id", "zone", step("w", "e").alias("ga"), (F.col("w") + 8 * step("w", "e")).alias("gc"), (-step("s", "n")).alias("ge"), (F.col("n") - 8 * step("s", "n")).alias("gf"))), "tile_id")  # a row for each tile
+    to = (F.col("ga"), 0.0, F.col("gc"), 0.0, F.col("ge"), F.col("gf"))
+    return terrain.warp_bilinear(fx.dem(spark, d), grid, to, (10.0, 0.0, 500000.0, 0.0, -10.0, 400000.0), ["elevation"], (F.lit(4326), F.lit(32600) + F.col("zone"))).select(*PIXEL, *rounded("elevation"))
 
 
 # ---- pictures ---------------------------------------------------------------------------------------------------
@@ -545,6 +665,33 @@ def basemap_pick(spark, d):
     return imagery.pick_scene(fx.s2_obs(spark, d), 1998, 6)
 
 
+_SCENE = """k AS (SELECT tile_id, year, month FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY CASE WHEN year = 1998 AND month = 6 THEN 0 WHEN year = 1998 THEN 1 ELSE 2 END, year DESC, month DESC) AS k FROM (SELECT DISTINCT tile_id, year, month FROM s2_obs)) WHERE k = 1)"""
+
+
+def stretch_sql(src: str) -> str:
+    return f"""p AS (SELECT tile_id, {", ".join(f"quantile_cont({b}, 0.02) AS l_{b}, quantile_cont({b}, 0.98) AS h_{b}" for b in BANDS)} FROM {src} GROUP BY tile_id),
+z AS (SELECT {PX}, {", ".join(f"round(CASE WHEN h_{b} > l_{b} AND {b} IS NOT NULL THEN least(greatest(({b} - l_{b}) / (h_{b} - l_{b}), 0), 1) ELSE 0 END, 9) AS {b}" for b in BANDS)} FROM {src} JOIN p USING (tile_id))"""
+
+
+def _wide(obs):
+    """Twenty pixels for a tile, as a stretch needs several."""
+    k = F.expr("cast(substring(tile_id, 2) as bigint)")
+    return obs.select(F.concat(F.lit("T"), (k % 5).cast("string")).alias("tile_id"), F.expr("cast(cast(substring(tile_id, 2) as bigint) div 5 as int)").alias("row"), "col", "year", "month", *BANDS)
+
+
+_WIDE = """wide AS (SELECT 'T' || (CAST(substr(tile_id, 2) AS BIGINT) % 5) AS tile_id, CAST(CAST(substr(tile_id, 2) AS BIGINT) // 5 AS INT) AS "row", "col", year, month, b04, b08, b11 FROM s2_obs)"""
+
+
+@query(w("s2_obs", _WIDE, _SCENE.replace("FROM s2_obs", "FROM wide"), "o AS (SELECT tile_id, \"row\", \"col\", " + ", ".join(f"CASE WHEN {b} > 0 THEN {b} END AS {b}" for b in BANDS) + " FROM wide JOIN k USING (tile_id, year, month))", stretch_sql("o"), last="SELECT * FROM z"))
+def basemap_scene(spark, d):
+    return imagery.basemap(_wide(fx.s2_obs(spark, d)), BANDS, mode="scene", year=1998, month=6).select(*PIXEL, *rounded(*BANDS))
+
+
+@query(w("s2_obs", _WIDE, "o AS (SELECT tile_id, \"row\", \"col\", " + ", ".join(f"median(CASE WHEN {b} > 0 THEN {b} END) AS {b}" for b in BANDS) + " FROM wide JOIN (SELECT tile_id, max(year) AS year FROM wide GROUP BY tile_id) USING (tile_id, year) GROUP BY 1, 2, 3)", stretch_sql("o"), last="SELECT * FROM z"))
+def basemap_median(spark, d):
+    return imagery.basemap(_wide(fx.s2_obs(spark, d)), BANDS).select(*PIXEL, *rounded(*BANDS))
+
+
 @query(w("tiles", "b AS (SELECT c_custkey AS poly_id, CAST(c_custkey * 13 % 181 - 85 AS DOUBLE) AS w, CAST(c_custkey * 7 % 79 - 36 AS DOUBLE) AS s, c_custkey * 13 % 181 - 85 + 2.5::DOUBLE AS e, c_custkey * 7 % 79 - 36 + 2.5::DOUBLE AS n FROM customer)",
          last="SELECT DISTINCT tile_id, poly_id FROM b JOIN tiles t ON b.w <= t.e AND b.e >= t.w AND b.s <= t.n AND b.n >= t.s"))
 def tile_clip(spark, d):
@@ -605,8 +752,12 @@ def gbt_predict(spark, d):
 
 @query()
 def region_cv(spark, d):
-    rows = _training(spark, d).withColumnRenamed("prob", "prob_in")
-    return model.region_out(rows, FEATURES, trees=4, rate=0.2, depth=3, least=10).select("region", "n", *rounded("log_loss", "mean_prob"))
+    """Leave one region out: a model of the other regions' samples predicts each of the region's tiles, whose polygons are held against its labels'."""
+    conf = jobs.settings({"model": {"trees": 4, "rate": 0.2, "depth": 3, "least": 10}, "polygons": {"least": 0.4, "open_n": 0, "close_n": 1, "min_ha": 0.02}})
+    rows = cut(_training(spark, d).withColumnRenamed("prob", "prob_in").select(*PIXEL, "region", "class", "target", "weight", "elevation", "slope", "prob_in"))
+    grid = fx.prob(spark, d)
+    feats = cut(terrain.slope(fx.dem(spark, d), 30.0, 30.0).join(grid.select(*PIXEL, F.col("prob").alias("prob_in")), PIXEL))
+    return jobs.cross_validate(rows, feats, grid.select(*PIXEL, "forest"), cut(_fused(spark, d)), conf, H, Wd)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

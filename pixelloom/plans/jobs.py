@@ -1,6 +1,6 @@
-"""The three jobs over pixel relations: train, predict, tune; each is one lazy plan per step over all tiles.
+"""The jobs over pixel relations: train, predict, tune, cross-validate; over relations, or over a dataset's folder (the run_ functions).
 
-Relations is what a job reads: s2_obs, s1_obs, aef, dem (elevation and slope), weak labels. Missing ones are None.
+Each step is one plan over all tiles. What a job uses more than once (features, fused labels, forest, predictions) is written once, to the shared folder.
 """
 
 from __future__ import annotations
@@ -8,44 +8,55 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixel import region, yymm
 from ..operators import labels, metrics, model, raster, sampling, satellite
+from ..sources import dataset, layout, sinks
+from ..sources.dataset import Relations
+from . import config
 from .config import DEFAULTS, Settings, merged
+from .staging import cut
 
 PIXEL = ["tile_id", "row", "col"]
 
 
-@dataclass
-class Relations:
-    cells: DataFrame  # tile_id, row, col: the reference grid
-    s2: DataFrame | None = None
-    s1: DataFrame | None = None
-    aef: DataFrame | None = None
-    terrain: DataFrame | None = None
-    weak: DataFrame | None = None
-
-
 def settings(over: dict | None = None) -> Settings:
     return Settings(merged(DEFAULTS, over or {}))
 
 
-def features(rel: Relations, base_year: int, last_year: int, dims: int = 64) -> DataFrame:
-    """The wide feature row of every cell. Yearly statistics are made once and serve base, last and worst drop."""
-    annual = satellite.s2_annual(rel.s2) if rel.s2 is not None else None
+def _with_years(x: DataFrame | None, rel: Relations, base_year: int | None, last_year: int | None) -> DataFrame | None:
+    """x with columns base_year and last_year: the given ones, else each tile's own. A given base year that a tile hasn't gives way to its first."""
+    if x is None:
+        return None
+    if rel.years is None:
+        return x.withColumns({"base_year": F.lit(base_year), "last_year": F.lit(last_year)})
+    years = rel.years.select("tile_id", "base_year", "last_year")
+    if base_year is not None and rel.months is not None:
+        has = rel.months.filter(F.col("year") == base_year).select("tile_id", F.lit(True).alias("has")).distinct()
+        years = years.join(has, "tile_id", "left").withColumn("base_year", F.when(F.col("has"), F.lit(base_year)).otherwise(F.col("base_year"))).drop("has")
+    if last_year is not None:
+        years = years.withColumn("last_year", F.lit(last_year))
+    return x.join(F.broadcast(years), "tile_id")  # a row for each tile
+
+
+def features(rel: Relations, base_year: int | None = None, last_year: int | None = None, dims: int = 64) -> DataFrame:
+    """The wide feature row of every cell. Yearly statistics serve base, last and worst drop, so they are written once."""
+    annual = cut(_with_years(satellite.s2_annual(rel.s2, rel.months), rel, base_year, last_year)) if rel.s2 is not None else None
+    s1 = _with_years(satellite.s1_annual(rel.s1), rel, base_year, last_year) if rel.s1 is not None else None
     return satellite.pack(
         rel.cells, dims,
         change=satellite.aef_change(rel.aef) if rel.aef is not None else None, drift=satellite.aef_drift(rel.aef) if rel.aef is not None else None,
-        s1=satellite.s1_annual(rel.s1) if rel.s1 is not None else None, s2=annual, drop=satellite.worst_drop(annual, base_year) if annual is not None else None,
-        terrain=rel.terrain, base_year=base_year, last_year=last_year,
+        s1=s1, s2=annual, drop=satellite.worst_drop(annual, F.col("base_year")) if annual is not None else None,
+        terrain=rel.terrain, base_year=F.col("base_year"), last_year=F.col("last_year"),
     )
 
 
-def forest_mask(rel: Relations, base_year: int, least: float = 0.55) -> DataFrame:
+def forest_mask(rel: Relations, base_year: int | None = None, least: float = 0.55) -> DataFrame:
     """Forest of the base year: by the embedding's first component and NDVI where a tile has embeddings of that year, else by NDVI, else all forest."""
-    ndvi = satellite.s2_annual(rel.s2).filter(F.col("year") == base_year).select(*PIXEL, F.col("median_ndvi").alias("ndvi")) if rel.s2 is not None else None
+    base = lambda x: _with_years(x, rel, base_year, None).filter("year = base_year")
+    ndvi = base(satellite.s2_annual(rel.s2, rel.months)).select(*PIXEL, F.col("median_ndvi").alias("ndvi")) if rel.s2 is not None else None
     grid = rel.cells.select(*PIXEL)
     x = grid.join(ndvi, PIXEL, "left") if ndvi is not None else grid.withColumn("ndvi", F.lit(None).cast("double"))
     seen = x.groupBy("tile_id").agg((F.count("ndvi") > 0).alias("has_ndvi"))
@@ -53,30 +64,54 @@ def forest_mask(rel: Relations, base_year: int, least: float = 0.55) -> DataFram
     plain = F.when(F.col("has_ndvi"), F.coalesce("ndvi", F.lit(0.0)) >= least).otherwise(True)
     if rel.aef is None:
         return x.select(*PIXEL, plain.alias("forest"))
-    score = satellite.principal_scores(rel.aef.filter(F.col("year") == base_year)).join(x.select(*PIXEL, "ndvi"), PIXEL)
+    score = satellite.principal_scores(base(rel.aef)).join(x.select(*PIXEL, "ndvi"), PIXEL)
     split = satellite.forest_by_split(score, least).select(*PIXEL, F.col("forest").alias("by_split"))
     return x.join(split, PIXEL, "left").select(*PIXEL, F.coalesce("by_split", plain).alias("forest"))
 
 
-def training_set(feats: DataFrame, fused: DataFrame, forest: DataFrame, conf: Settings, soft: bool = True) -> DataFrame:
+@dataclass
+class Inputs:
+    """What training, tuning and validation share, each written once."""
+
+    feats: DataFrame
+    forest: DataFrame
+    fused: DataFrame
+
+
+def inputs(rel: Relations, conf: Settings, base_year: int | None = None, last_year: int | None = None, dims: int = 64) -> Inputs:
+    fused = labels.fuse(rel.weak, **conf.fusion) if rel.weak is not None else None
+    return Inputs(cut(features(rel, base_year, last_year, dims)), cut(forest_mask(rel, base_year, conf.forest.least)), cut(fused) if fused is not None else None)
+
+
+def training_set(feats: DataFrame, fused: DataFrame, forest: DataFrame, conf: Settings) -> DataFrame:
     """Sampled pixels with target, weight and features: quotas by region, strata of confidence, balanced weights. The sample is a filter on the features' keys."""
     s = conf.sampling
-    cands = labels.candidates(fused, forest, s.hard_negative_max)
+    cands = cut(labels.candidates(fused, forest, s.hard_negative_max))
     per = lambda c: cands.filter(F.col("class") == c).groupBy("tile_id", region(F.col("tile_id")).alias("region")).agg(F.count("*").alias("n"))
     cols = [*PIXEL, "class", "max_confidence", "agree_count"]
     pos = sampling.stratified(cands.filter("class = 1"), sampling.tile_caps(per(1), s.total_positives), strata=s.strata, seed=s.seed).select(*cols)
     neg = sampling.plain(cands.filter("class = 0"), sampling.tile_caps(per(0), s.total_negatives), seed=s.seed + 1).select(*cols)
-    return sampling.weights(pos.unionByName(neg), soft=soft).join(feats, PIXEL)
+    return sampling.weights(cut(pos.unionByName(neg)), soft=conf.objective == "cross_entropy").join(feats, PIXEL)
+
+
+def validation_set(feats: DataFrame, fused: DataFrame, forest: DataFrame, conf: Settings) -> DataFrame:
+    return sampling.validation(labels.candidates(fused, forest, conf.sampling.hard_negative_max)).join(feats, PIXEL)
+
+
+def names_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in (*PIXEL, "region", "class", "target", "weight")]
 
 
-def train(rows: DataFrame, conf: Settings) -> PipelineModel:
-    names = [c for c in rows.columns if c not in (*PIXEL, "region", "class", "target", "weight")]
-    return model.fit(rows, names, **conf.model)
+def train(rows: DataFrame, conf: Settings, validation: DataFrame | None = None) -> PipelineModel:
+    """With validation rows fitting stops early; with the binary objective positives weigh as much as negatives."""
+    ratio = sampling.positive_weight(rows).first().scale_pos_weight if conf.objective == "binary" and conf.balance else None
+    return model.fit(rows, names_of(rows), **conf.model, validation=validation, positive_weight=ratio)
 
 
-def meta(rows: DataFrame, val_regions: list[str]) -> DataFrame:
-    """One record about a training set."""
-    return rows.agg(F.sort_array(F.collect_set("tile_id")).alias("tiles"), F.count_if(F.col("class") == 1).alias("n_pos"), F.count_if(F.col("class") == 0).alias("n_neg")).withColumn("val_regions", F.array(*[F.lit(r) for r in val_regions]).cast("array<string>"))
+def meta(rows: DataFrame, fitted: PipelineModel, conf: Settings, val_tiles: list[str] = ()) -> dict:
+    """The record of a training run."""
+    n = rows.agg(F.sort_array(F.collect_set("tile_id")).alias("tiles"), F.count_if(F.col("class") == 1).alias("n_pos"), F.count_if(F.col("class") == 0).alias("n_neg")).first()
+    return {"feature_names": names_of(rows), "val_regions": list(conf.val_regions), "train_tiles": n.tiles, "val_tiles": list(val_tiles), "best_iteration": model.trees_of(fitted), "objective": conf.objective, "n_pos": n.n_pos, "n_neg": n.n_neg}
 
 
 def predict(fitted: PipelineModel, feats: DataFrame, forest: DataFrame) -> DataFrame:
@@ -91,6 +126,116 @@ def submit(prob: DataFrame, conf: Settings, height: int, width: int, fused: Data
 
 
 def tune(prob: DataFrame, fused: DataFrame, conf: Settings, height: int, width: int) -> DataFrame:
-    """All settings of the grid by overlap with the fused labels, best first."""
-    truth = fused.filter(F.col("binary") == 1).select(*PIXEL)
-    return metrics.grid_search(prob, truth, **conf.grid, height=height, width=width)
+    """All settings of the grid by mean overlap with the fused labels' polygons over the tiles that have labels, best first."""
+    truth = metrics.true_polygons(fused.filter(F.col("binary") == 1), conf.polygons.min_ha)
+    return metrics.grid_search(prob, truth, fused.select("tile_id").distinct(), **conf.grid, height=height, width=width)
+
+
+def cross_validate(rows: DataFrame, feats: DataFrame, forest: DataFrame, fused: DataFrame, conf: Settings, height: int, width: int, least_tiles: int = 1) -> DataFrame:
+    """Leave one region out: region, tile_id, union_iou, polygon_recall, polygon_fpr_proxy, n_pred, n_gt, error.
+
+    For each region with enough tiles a model is fitted on the samples of all others, and each of the region's tiles is predicted, polygonized and held against its
+    labels' polygons. A fold that fails has one row with its error and no tile, a tile without features or labels a row with its error; the others go on. Regions are few;
+    reports have a row for each tile."""
+    spark = rows.sparkSession
+    tiles = forest.select("tile_id").distinct().join(feats.select("tile_id", F.lit(True).alias("has_features")).distinct(), "tile_id", "left").join(fused.select("tile_id", F.lit(True).alias("has_labels")).distinct(), "tile_id", "left")
+    every = tiles.withColumn("region", region(F.col("tile_id"))).orderBy("region", "tile_id").collect()
+    regions: dict[str, list] = {}
+    for t in every:
+        regions.setdefault(t.region, []).append(t)
+    truth = cut(metrics.true_polygons(fused.filter(F.col("binary") == 1), conf.polygons.min_ha))
+    cols, out = ["union_iou", "polygon_recall", "polygon_fpr_proxy", "n_pred", "n_gt"], []
+    p = conf.polygons
+    for name, own in regions.items():
+        if len(own) < least_tiles:
+            continue
+        out += [(name, t.tile_id, *[None] * 5, "no features" if not t.has_features else "no weak labels") for t in own if not (t.has_features and t.has_labels)]
+        good = [t.tile_id for t in own if t.has_features and t.has_labels]
+        try:
+            fitted = train(rows.filter(F.col("region") != name), conf)
+            mine = F.col("tile_id").isin(good)
+            prob = predict(fitted, feats.filter(mine), forest.filter(mine))
+            comps = raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width)
+            kept = comps.join(raster.areas(comps, min_ha=p.min_ha).select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+            got = metrics.evaluate(kept, truth.filter(mine), forest.filter(mine).select("tile_id").distinct())
+            out += [(name, r.tile_id, *[r[c] for c in cols], None) for r in got.orderBy("tile_id").collect()]
+        except Exception as e:  # a fold's failure belongs into the report
+            out.append((name, None, *[None] * 5, f"training failed ({type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''})"))
+    return spark.createDataFrame(out, "region string, tile_id string, union_iou double, polygon_recall double, polygon_fpr_proxy double, n_pred long, n_gt long, error string")
+
+
+# ---- over a dataset's folder ------------------------------------------------------------------------------------
+
+
+def _sides(rel: Relations) -> tuple[int, int]:
+    """Height and width that hold every tile's grid."""
+    r = rel.grid.agg(F.max("height").alias("h"), F.max("width").alias("w")).first()
+    return r.h, r.w
+
+
+def run_train(spark: SparkSession, root: str, out: str, conf: Settings, *, tiles: list[str] | None = None, geojson: str | None = None, dem: str | None = None, dims: int = 64) -> dict:
+    """Fits a model from a dataset and writes it, its record and, with validation tiles, the history of its losses. Gives the record."""
+    wanted = layout.resolve_tiles(spark, tiles, geojson, root)
+    if not wanted:
+        raise FileNotFoundError("no training tiles")
+    rel = dataset.load(spark, root, tiles=wanted, dem=dem)
+    if rel.weak is None:
+        raise FileNotFoundError("no weak labels")
+    x = inputs(rel, conf, dims=dims)
+    side = sampling.split(x.forest.select("tile_id").distinct(), list(conf.val_regions)).collect()  # a row for each tile
+    val = sorted(r.tile_id for r in side if r.is_val)
+    held = F.col("tile_id").isin(val)
+    if len(val) == len(side):
+        raise ValueError("the validation split left no training tiles")
+    rows = cut(training_set(x.feats, x.fused.filter(~held), x.forest, conf))
+    check = cut(validation_set(x.feats, x.fused.filter(held), x.forest, conf)) if val else None
+    fitted = train(rows, conf, check)
+    model.save(fitted, f"{out}/model")
+    record = meta(rows, fitted, conf, val)
+    if check is not None:
+        sinks.write_report(model.history(fitted, train=rows, val=check), f"{out}/history")
+        record["val_average_precision"] = model.average_precision(model.predict(fitted, check))
+    sinks.write_record(spark, record, f"{out}/meta")
+    return record
+
+
+def run_predict(spark: SparkSession, root: str, fitted: str, out: str, conf: Settings, *, tiles: list[str], split: str = "test", base_year: int | None = 2020, tuned: str | None = None, dem: str | None = None, dims: int = 64) -> DataFrame:
+    """Writes the tiles' polygons as GeoJSON. A tile without optical scenes or embeddings is an error. tuned: settings that run_tune wrote. Polygons are dated where the split has labels."""
+    conf = settings(merged(conf, sinks.read_record(spark, tuned))) if tuned else conf
+    rel = dataset.load(spark, root, split=split, tiles=tiles, dem=dem, strict=True)
+    x = inputs(rel, conf, base_year, dims=dims)
+    prob = cut(predict(model.load(fitted), x.feats, x.forest))
+    height, width = _sides(rel)
+    p = conf.polygons
+    comps = cut(raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width))
+    kept = submit(prob, conf, height, width, x.fused)
+    rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
+    place = rel.grid.select("tile_id", (F.col("epsg") % 100).alias("zone"), F.col("epsg").between(32701, 32760).alias("south"), *"acef")
+    feats = sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), place))
+    sinks.write_geojson(feats, out)
+    return kept
+
+
+def run_tune(spark: SparkSession, root: str, fitted: str, out: str, conf: Settings, *, tiles: list[str], base_year: int | None = 2020, dem: str | None = None, dims: int = 64) -> dict:
+    """Writes the best settings of the grid, and the report of all, for tiles with labels."""
+    rel = dataset.load(spark, root, tiles=tiles, dem=dem, strict=True)
+    if rel.weak is None:
+        raise FileNotFoundError("no weak labels")
+    x = inputs(rel, conf, base_year, dims=dims)
+    prob = cut(predict(model.load(fitted), x.feats, x.forest))
+    return sinks.write_tuned(tune(prob, x.fused, conf, *_sides(rel)), out)
+
+
+def run_cross_validate(spark: SparkSession, root: str, out: str, conf: Settings, *, tiles: list[str] | None = None, geojson: str | None = None, dem: str | None = None, least_tiles: int = 1, dims: int = 64) -> DataFrame:
+    """Writes the leave-one-region-out report, a record for each region."""
+    rel = dataset.load(spark, root, tiles=layout.resolve_tiles(spark, tiles, geojson, root), dem=dem)
+    x = inputs(rel, conf, dims=dims)
+    rows = cut(training_set(x.feats, x.fused, x.forest, conf))
+    report = cross_validate(rows, x.feats, x.forest, x.fused, conf, *_sides(rel), least_tiles=least_tiles)
+    sinks.write_report(sinks.by_region(report), out)
+    return report
+
+
+def read_settings(path: str) -> Settings:
+    """Settings from a file on the driver, over the defaults."""
+    return settings(config.load(path))

@@ -78,11 +78,43 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+@dataclass
+class Header:
+    bands: int
+    height: int
+    width: int
+    dtype: np.dtype
+    transform: tuple
+    epsg: int | None
+
+
+def _header(order: str, t: dict) -> Header:
+    one = lambda tag, other=None: t[tag][0] if tag in t else other
+    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(FORMAT, 1)]}{one(BITS, 8) // 8}")
+    if TRANSFORM in t:
+        m = t[TRANSFORM]
+        place = (m[0], m[1], m[3], m[4], m[5], m[7])
+    elif PIXEL_SCALE in t:
+        sx, sy, p = *t[PIXEL_SCALE][:2], t.get(TIE_POINT, (0,) * 6)
+        place = (sx, 0.0, p[3] - p[0] * sx, 0.0, -sy, p[4] + p[1] * sy)
+    else:
+        place = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    keys = t.get(GEO_KEYS, ())
+    named = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
+    return Header(one(SAMPLES, 1), one(HEIGHT), one(WIDTH), kind, place, named.get(3072, named.get(2048)))
+
+
+def header(data: bytes) -> Header:
+    """What the tags tell; no pixel is decoded."""
+    return _header(*_tags(data))
+
+
 def decode(data: bytes) -> Raster:
     order, t = _tags(data)
+    head = _header(order, t)
     one = lambda tag, other=None: t[tag][0] if tag in t else other
     w, h, bands, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
-    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(FORMAT, 1)]}{one(BITS, 8) // 8}")
+    kind = head.dtype
     tiled = TILES in t
     bw, bh = (one(TILE_W), one(TILE_H)) if tiled else (w, min(one(ROWS, h), h))
     across, down = -(-w // bw), -(-h // bh)
@@ -107,17 +139,7 @@ def decode(data: bytes) -> Raster:
             raise ValueError("TIFF predictor")
         where = slice(None) if planar == 1 else slice(plane, plane + 1)
         out[where, y * bh : y * bh + rows, x * bw : x * bw + bw] = block.transpose(2, 0, 1)
-    if TRANSFORM in t:
-        m = t[TRANSFORM]
-        place = (m[0], m[1], m[3], m[4], m[5], m[7])
-    elif PIXEL_SCALE in t:
-        sx, sy, p = *t[PIXEL_SCALE][:2], t.get(TIE_POINT, (0,) * 6)
-        place = (sx, 0.0, p[3] - p[0] * sx, 0.0, -sy, p[4] + p[1] * sy)
-    else:
-        place = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
-    keys = t.get(GEO_KEYS, ())
-    named = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
-    return Raster(out[:, :h, :w], place, named.get(3072, named.get(2048)))
+    return Raster(out[:, :h, :w], head.transform, head.epsg)
 
 
 def encode(bands: np.ndarray, transform: tuple, epsg: int | None = None, *, compress: bool = True, tile: int | None = None, planar: bool = False, predictor: bool = False, order: str = "<") -> bytes:
@@ -142,7 +164,7 @@ def encode(bands: np.ndarray, transform: tuple, epsg: int | None = None, *, comp
     tags = [(WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [bands.dtype.itemsize * 8] * n), (COMPRESSION, "H", [8 if compress else 1]), (262, "H", [1]), (SAMPLES, "H", [n]), (PLANAR, "H", [2 if planar else 1]), (PREDICTOR, "H", [2 if predictor else 1]), (FORMAT, "H", [fmt] * n)]
     tags += [(TILE_W, "I", [bw]), (TILE_H, "I", [bh])] if tile else [(ROWS, "I", [bh])]
     tags += [(PIXEL_SCALE, "d", [a, -e, 0.0]), (TIE_POINT, "d", [0.0, 0.0, 0.0, c, f, 0.0])]
-    tags += [(GEO_KEYS, "H", [1, 1, 0, 1, 3072, 0, 1, epsg])] if epsg else []
+    tags += [(GEO_KEYS, "H", [1, 1, 0, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg])] if epsg else []
     at, starts = 8, []
     for b in blocks:
         starts.append(at)
@@ -178,9 +200,8 @@ def profiles(rasters: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0), b.column(1)):
-                r = decode(data.as_py())
-                n, h, w = r.bands.shape
-                row = [path.as_py(), h, w, n, str(r.bands.dtype), r.epsg, *map(float, r.transform)]
+                r = header(data.as_py())
+                row = [path.as_py(), r.height, r.width, r.bands, str(r.dtype.newbyteorder("=")), r.epsg, *map(float, r.transform)]
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.float64()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 

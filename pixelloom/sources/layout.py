@@ -20,10 +20,22 @@ PATHS = {
 }
 
 
+#: Names of the rasters of embeddings and of labels.
+AEF_NAME = r"/([^/]+)_(\d{4})\.tiff?$"
+RADD_NAME = r"/radd_([^/]+)_labels\.tif$"
+GLADL_NAME = r"/gladl_([^/]+)_(alertDate|alert)(\d{2})\.tif$"
+GLADS2_NAME = r"/glads2_([^/]+)_(alertDate|alert)\.tif$"
+
+
 def path(root: str, kind: str, **parts) -> str:
     return f"{root.rstrip('/')}/{PATHS[kind].format(**({'split': 'train'} | parts))}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def s2_months(names: DataFrame, col: str = "name") -> DataFrame:
     """tile_id kept, year and month of the names that fit, once each, in order."""
     return _months(names, col, S2_NAME, []).distinct().orderBy("tile_id", "year", "month")
@@ -40,9 +52,7 @@ def _months(names: DataFrame, col: str, pattern: str, more: list[Column]) -> Dat
 
 def tiles_from_geojson(spark: SparkSession, path: str) -> DataFrame:
     """tile_id of each feature: the first non-empty of name, tile_id, id. A missing file has no tiles."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], "tile_id string")
     doc = spark.read.schema("features array<struct<properties:map<string,string>>>").option("multiLine", True).json(path)
     props = doc.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("p"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixel import utm_to_lonlat
@@ -29,17 +31,28 @@ def features(polygons: DataFrame, *, time_step: bool = True) -> DataFrame:
     return polygons.select("tile_id", "comp_id", feature.alias("feature"))
 
 
-def write_geojson(feats: DataFrame, path: str) -> None:
-    """A FeatureCollection as one text file. Lines are written in order of tile and component by one task, a line at a time, so the
-    document is never built in memory."""
-    head = feats.sparkSession.createDataFrame([(0, '{"type": "FeatureCollection", "features": [')], "part int, line string")
-    tail = feats.sparkSession.createDataFrame([(2, "]}")], "part int, line string")
-    from pyspark.sql import Window as W
+def tile_features(tiles: DataFrame) -> DataFrame:
+    """One feature without geometry per tile_id: the metadata file that layout.tiles_from_geojson reads."""
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("tile_id").alias("name")).alias("properties"), F.lit(None).cast("string").alias("geometry")), {"ignoreNullFields": "false"})
+    return tiles.select("tile_id", F.lit(0).alias("comp_id"), feature.alias("feature"))
+
+
+def write_geojson(feats: DataFrame, path: str, *, one_file: bool = True) -> None:
+    """A FeatureCollection as lines of text, in order of tile and component; the text files of the folder, read one after the other by name, are the document.
 
-    order = W.orderBy("tile_id", "comp_id")
-    body = feats.withColumn("n", F.row_number().over(order)).select(F.lit(1).alias("part"), F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "feature").alias("line"), "n")
-    every = head.withColumn("n", F.lit(0)).unionByName(body).unionByName(tail.withColumn("n", F.lit(0)))
-    every.coalesce(1).sortWithinPartitions("part", "n").select("line").write.mode("overwrite").text(path)
+    one_file: a single task sorts the lines and writes one file, a line at a time, so the document is never built in memory; without it lines are ranged over
+    tasks by their key, and every task writes its own."""
+    spark = feats.sparkSession
+    first = feats.agg(F.min(F.struct("tile_id", "comp_id")).alias("k")).first().k
+    line = lambda part, text: spark.createDataFrame([(part, text)], "part int, line string").coalesce(1).select("part", F.lit("").alias("tile_id"), F.lit(0).cast("long").alias("comp_id"), "line")
+    lead = (F.col("tile_id") == first["tile_id"]) & (F.col("comp_id") == first["comp_id"]) if first else F.lit(False)
+    body = feats.select(F.lit(1).alias("part"), "tile_id", F.col("comp_id").cast("long").alias("comp_id"), F.concat(F.when(lead, "").otherwise(","), "feature").alias("line"))
+    head, tail = line(0, '{"type": "FeatureCollection", "features": ['), line(2, "]}")
+    if one_file:
+        every = head.unionByName(body).unionByName(tail).coalesce(1).sortWithinPartitions("part", "tile_id", "comp_id")
+    else:
+        every = head.unionByName(body.repartitionByRange("tile_id", "comp_id").sortWithinPartitions("tile_id", "comp_id")).unionByName(tail)
+    every.select("line").write.mode("overwrite").text(path)
 
 
 def read_geojson(spark, path: str) -> DataFrame:
@@ -52,6 +65,27 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One JSON document, from settings or a report of bounded size."""
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_record(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+
+
+def write_tuned(grid: DataFrame, path: str) -> dict:
+    """The best setting of a grid search, as the settings that jobs merge, and beside it the report of all settings (a row each). Gives the settings."""
+    rows = [r.asDict() for r in grid.orderBy("rank").collect()]
+    best = rows[0]
+    tuned = {"polygons": {"least": best["threshold"], "open_n": best["open_n"], "close_n": best["close_n"], "min_ha": best["min_ha"]}}
+    write_record(grid.sparkSession, tuned, path)
+    write_record(grid.sparkSession, {"best": best, "all": rows}, path.rstrip("/") + ".report")
+    return tuned
+
+
 def by_region(rows: DataFrame) -> DataFrame:
-    """One JSON record per region with its tiles' records."""
-    return rows.groupBy("region").agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "region"]))).alias("tiles"))
+    """One record per region: its tiles' records, or the error that its fold ended with (a row without a tile)."""
+    one = F.struct(*[c for c in rows.columns if c != "region"])
+    tiles = F.sort_array(F.collect_list(F.when(F.col("tile_id").isNotNull(), one)))
+    return rows.groupBy("region").agg(tiles.alias("tiles"), F.max(F.when(F.col("tile_id").isNull(), F.col("error"))).alias("error"))

@@ -1,11 +1,12 @@
 """Incremental upkeep of the yearly statistics from a stream of monthly observations.
 
 A year's statistics are exact percentiles over at most twelve months, so they are made anew for the pixel-years that a batch touches, from
-all observations landed so far; the result replaces those years' partitions. Late months are no special case, so no watermark is needed.
+all observations landed of them so far; the result replaces those tile-years' partitions. Late months are no special case, so no watermark is needed.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,22 +16,26 @@ from ..operators import satellite
 PIXEL = ["tile_id", "row", "col"]
 
 
-def restated(landed: DataFrame, batch: DataFrame) -> DataFrame:
-    """Yearly statistics of the tile-years in batch, over everything landed."""
-    touched = batch.select("tile_id", "year").distinct()
-    return satellite.s2_annual(landed.join(touched, ["tile_id", "year"], "left_semi"))
-
-
 def keep_annual(spark: SparkSession, source: DataFrame, landing: str, target: str, checkpoint: str) -> StreamingQuery:
-    """source: a stream of s2_obs rows. Lands every batch once (a batch that is run again overwrites itself), then rewrites the years it touches."""
+    """source: a stream of s2_obs rows. Lands every batch once (a batch that is run again overwrites itself), then rewrites the tile-years it touches.
+
+    Observations land by year, tile and batch, so a batch lists and reads only the folders of the tile-years that it touches."""
     schema = source.schema
+    names = source.columns
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{landing}/batch={number}")
-        landed = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(landing)
-        touched = batch.select("year").distinct()
-        whole = landed.join(touched, "year", "left_semi")  # a partition is replaced whole, so all tiles of its year are restated
-        satellite.s2_annual(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            touched = [(r["year"], r["tile_id"]) for r in batch.select("year", "tile_id").distinct().collect()]  # a row for each tile-year of the batch
+            if not touched:
+                return
+            landed = batch.withColumns({"in_year": F.col("year"), "in_tile": F.col("tile_id"), "batch": F.lit(number)})
+            landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("in_year", "in_tile", "batch").parquet(landing)
+        finally:
+            batch.unpersist()
+        whole = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[f"{landing}/in_year={y}/in_tile={t}" for y, t in touched])
+        annual = satellite.s2_annual(whole.select(*names)).withColumns({"in_year": F.col("year"), "in_tile": F.col("tile_id")})
+        annual.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("in_year", "in_tile").parquet(target)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,8 +1,16 @@
+import json
+import os
+import shutil
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pixelloom.functions import pixel as fn
 from pixelloom.operators import labels
 from pixelloom.plans import jobs
+from pixelloom.sources import dataset, geotiff, layout, sinks
+from test_pixels import np_ops
 
 PX = "tile_id string, row int, col int"
 
@@ -35,12 +43,100 @@ def test_train_predict_tune(spark):
     assert jobs.forest_mask(jobs.Relations(rel.cells), 2020).filter("forest").count() == 2 * n * n
     assert 0 < jobs.forest_mask(rel, 2020).filter("forest").count() < 2 * n * n
     rows = jobs.training_set(feats, fused, forest, conf).cache()
-    m = jobs.meta(rows, ["19NWB"]).first()
-    assert m.n_pos == 56 and m.n_neg == 120 and m.tiles == ["18NWA_0", "19NWB_1"]
-    prob = jobs.predict(jobs.train(rows, conf), feats, forest).cache()
+    fitted = jobs.train(rows, conf)
+    m = jobs.meta(rows, fitted, conf)
+    assert m["n_pos"] == 56 and m["n_neg"] == 120 and m["train_tiles"] == ["18NWA_0", "19NWB_1"] and m["best_iteration"] == 5 and len(m["feature_names"]) == 3 * 4 + 32
+    prob = jobs.predict(fitted, feats, forest).cache()
     got = jobs.submit(prob, conf, n, n, fused).collect()
     assert {(r.tile_id, r.time_step) for r in got} == {("18NWA_0", 2103), ("19NWB_1", 2103)}
     assert all(30 <= r.n_px <= 42 for r in got)  # of a 6 x 7 clearing, whose corners an opening removes
     best = jobs.tune(prob, fused, conf, n, n).first()
-    assert best.iou > 0.9 and best.combo in (0, 1)
+    assert best.mean_iou > 0.9 and best.combo in (0, 1) and best.mean_recall == 1.0
+    cv = jobs.cross_validate(rows, feats, forest, fused, conf, n, n).collect()
+    assert [(r.region, r.tile_id, r.error) for r in cv] == [("18NWA", "18NWA_0", None), ("19NWB", "19NWB_1", None)] and all(r.union_iou > 0.5 and r.n_gt == 1 for r in cv)
+    # a tile without labels, and a fold whose training fails
+    cv = jobs.cross_validate(rows.filter("region = '18NWA'"), feats, forest, fused.filter("tile_id = '18NWA_0'"), conf, n, n).collect()
+    assert [(r.region, r.tile_id) for r in cv] == [("18NWA", None), ("19NWB", "19NWB_1")] and cv[0].error.startswith("training failed") and cv[1].error == "no weak labels"
     assert jobs.submit(prob, conf, n, n).filter(F.col("time_step").isNotNull()).count() == 0
+
+
+def write(folder, kind, bands, place, epsg, **parts):
+    p = folder / layout.path("x", kind, **parts)[2:]
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_bytes(geotiff.encode(bands, place, epsg))
+
+
+def dataset_folder(folder, tiles=("18NWA_0", "19NBD_1"), n=16):
+    """Two tiles in two UTM zones; embeddings and a label source in degrees, radar on a coarser grid, a late scene that is shifted."""
+    rng = np.random.default_rng(1)
+    for tile in tiles:
+        zone = int(tile[:2])
+        e0, n0 = 500000.0, 400000.0
+        place, lost = (10.0, 0, e0, 0, -10.0, n0), np.zeros((n, n), bool)
+        lost[4:11, 4:11] = True
+        for y in (2020, 2021):
+            gone = lost & (y == 2021)
+            for m in (1, 6):
+                x = np.zeros((12, n, n), np.uint16)
+                x[7], x[3], x[10] = np.where(gone, 2000, 8000) + rng.integers(0, 50, (n, n)), 1500, 2000
+                if (y, m) == (2021, 6):  # the same ground, one cell to the east and north
+                    x = np.pad(x, ((0, 0), (0, 1), (1, 0)), mode="edge")[:, 1:, :-1]
+                    write(folder, "s2", x, (10.0, 0, e0 - 10, 0, -10.0, n0 - 10), 32600 + zone, tile=tile, year=y, month=m)
+                else:
+                    write(folder, "s2", x, place, 32600 + zone, tile=tile, year=y, month=m)
+                write(folder, "s1", np.full((1, n // 2, n // 2), 10.0, np.float32), (20.0, 0, e0, 0, -20.0, n0), 32600 + zone, tile=tile, year=y, month=m, orbit="ascending")
+            lon, lat = fn.utm_to_lonlat(e0 - 50, n0 + 50, zone, ops=np_ops)
+            step = 10 / 111_000
+            emb = rng.normal(size=(4, n + 12, n + 12)).astype(np.float32) * 0.01 + y % 100
+            write(folder, "aef", emb, (step, 0, lon, 0, -step, lat), 4326, tile=tile, year=y)
+        code = np.where(lost, 30000 + 2300, 0).astype(np.int32)[None]
+        write(folder, "radd", code, place, 32600 + zone, tile=tile)
+        lon, lat = fn.utm_to_lonlat(e0, n0, zone, ops=np_ops)
+        write(folder, "gladl_alert", np.where(lost, 3, 0).astype(np.uint8)[None], (10 / 111_195, 0, lon, 0, -10 / 110_600, lat), 4326, tile=tile, yy=21)
+        write(folder, "gladl_date", np.where(lost, 90, 0).astype(np.uint16)[None], (10 / 111_195, 0, lon, 0, -10 / 110_600, lat), 4326, tile=tile, yy=21)
+    return n
+
+
+def test_from_folder(spark, tmp_path):
+    root = tmp_path / "data"
+    n = dataset_folder(root)
+    rel = dataset.load(spark, str(root))
+    grid = {r.tile_id: (r.height, r.width, r.c, r.f, r.epsg) for r in rel.grid.collect()}
+    assert grid == {"18NWA_0": (n, n, 500000.0, 400000.0, 32618), "19NBD_1": (n, n, 500000.0, 400000.0, 32619)}
+    s2 = rel.s2.filter("tile_id = '18NWA_0'").cache()
+    assert s2.count() == 4 * n * n and s2.filter("b04 > 0.14 and b04 < 0.16").count() == 4 * n * n - (2 * n - 1)
+    assert s2.filter("b04 = 0").filter("row = 0 or col = 15").count() == 2 * n - 1  # where the shifted scene has nothing
+    late = s2.filter("year = 2021 and month = 6 and b08 < 0.3 and b04 > 0").select("row", "col").collect()
+    assert {tuple(r) for r in late} == {(i, j) for i in range(4, 11) for j in range(4, 11)}
+    s1 = rel.s1.collect()
+    assert len(s1) == 2 * 4 * n * n and all(r.vv_db == pytest.approx(10.0) for r in s1)
+    aef = rel.aef.collect()
+    assert len(aef) == 2 * 2 * n * n and all(abs(v - r.year % 100) < 0.1 for r in aef for v in r.emb)
+    fused = labels.fuse(rel.weak).cache()
+    assert fused.count() == 2 * n * n
+    yes = {tuple(r) for r in fused.filter("binary = 1 and tile_id = '18NWA_0'").select("row", "col").collect()}
+    assert {(i, j) for i in range(4, 11) for j in range(4, 11)} <= yes and len(yes) <= 81
+    assert fused.filter("agree_count = 2").count() >= 2 * 36
+    with pytest.raises(FileNotFoundError):
+        dataset.load(spark, str(root), tiles=["18NWA_0", "nowhere"], strict=True)
+
+
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes some minutes: SLOW_TESTS=1 runs it")
+def test_jobs_over_a_folder(spark, tmp_path):
+    root, out = tmp_path / "data", str(tmp_path / "out")
+    dataset_folder(root)
+    conf = jobs.settings({"sampling": {"total_positives": 60, "total_negatives": 120}, "model": {"trees": 4, "rate": 0.3, "depth": 3, "least": 2}, "polygons": {"least": 0.5, "open_n": 0, "close_n": 1, "min_ha": 0.1}, "grid": {"thresholds": [0.5], "opens": [0, 1], "closes": [0], "areas": [0.1]}, "forest": {"least": 0.1}})
+    record = jobs.run_train(spark, str(root), out, conf, dims=4)
+    assert record["train_tiles"] == ["18NWA_0"] and record["val_tiles"] == ["19NBD_1"] and record["n_pos"] > 30 and 1 <= record["best_iteration"] <= 4
+    assert sinks.read_record(spark, f"{out}/meta") == record and spark.read.json(f"{out}/history").count() == record["best_iteration"]
+    sinks.write_record(spark, {"polygons": {"least": 0.4, "open_n": 0, "close_n": 1, "min_ha": 0.1}}, f"{out}/tuned")
+    shutil.copytree(root / "sentinel-2/train", root / "sentinel-2/test")
+    shutil.copytree(root / "sentinel-1/train", root / "sentinel-1/test")
+    shutil.copytree(root / "aef-embeddings/train", root / "aef-embeddings/test")
+    got = jobs.run_predict(spark, str(root), f"{out}/model", f"{out}/geojson", conf, tiles=["18NWA_0"], tuned=f"{out}/tuned", dims=4).collect()
+    assert len(got) >= 1 and all(r.time_step is None for r in got)
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out/geojson").glob("part-*"))))
+    lon, lat = doc["features"][0]["geometry"]["coordinates"][0][0]
+    assert abs(lon + 75) < 0.01 and abs(lat - 3.617) < 0.01
+    with pytest.raises(FileNotFoundError):
+        jobs.run_predict(spark, str(root), f"{out}/model", f"{out}/x", conf, tiles=["nowhere"], dims=4)

@@ -15,6 +15,9 @@ from pixelloom.sources import layout, sinks
 PX = "tile_id string, row int, col int"
 
 
+np_ops = fn.Numbers
+
+
 def aef_rows(years, bands, size, seed=0):
     rng = np.random.default_rng(seed)
     return [("t", r, c, y, [float(v) for v in rng.normal(size=bands)]) for y in years for r in range(size) for c in range(size)]
@@ -230,8 +233,77 @@ def test_metrics(spark):
 
 def test_grid_search_ties(spark):
     p = spark.createDataFrame([("t", 3, 3, 0.9), ("t", 3, 4, 0.9), ("t", 7, 7, 0.5)], PX + ", prob double")
-    got = metrics.grid_search(p, p.filter("prob > 0.8"), thresholds=[0.4, 0.6, 0.8], opens=[0], closes=[0], areas=[0.0, 0.02], height=10, width=10).collect()
-    assert (got[0].combo, got[0].iou) == (1, 1.0) and len(got) == 6
+    true = metrics.true_polygons(p.filter("prob > 0.8"), 0.0)
+    got = metrics.grid_search(p, true, p, thresholds=[0.4, 0.6, 0.8], opens=[0], closes=[0], areas=[0.0, 0.02], height=10, width=10).collect()
+    assert (got[0].combo, got[0].mean_iou) == (1, 1.0) and len(got) == 6 and [r["rank"] for r in got] == [1, 2, 3, 4, 5, 6]
+    # a tile without labels or predictions counts as a perfect one, and a tile's share doesn't depend on its size
+    q = p.unionByName(spark.createDataFrame([("u", i, i, 0.9) for i in range(5)] + [("v", 0, 0, 0.1)], PX + ", prob double"))
+    got = {r.combo: r for r in metrics.grid_search(q, true, q, thresholds=[0.6], opens=[0], closes=[0], areas=[0.0], height=10, width=10).collect()}
+    assert got[0].mean_iou == pytest.approx(2 / 3) and got[0].mean_recall == 1.0 and got[0].mean_fpr_proxy == pytest.approx(1 / 3)
+
+
+def test_evaluate_edges(spark):
+    runs = lambda *r: spark.createDataFrame(list(r), "tile_id string, comp_id long, row int, c0 int, c1 int")
+    pred = runs(("a", 1, 0, 0, 3), ("a", 2, 5, 5, 5), ("b", 1, 0, 0, 0), ("d", 1, 2, 2, 2))
+    true = runs(("a", 9, 0, 2, 5), ("a", 8, 9, 9, 9), ("c", 9, 1, 1, 1), ("d", 9, 3, 3, 3))
+    got = {r.tile_id: tuple(r)[1:] for r in metrics.evaluate(pred, true, spark.createDataFrame([(t,) for t in "abcde"], "tile_id string")).collect()}
+    assert got["a"] == (2, 2, pytest.approx(2 / 8), 0.5, 0.5)
+    assert got["b"] == (1, 0, 0.0, 1.0, 1.0) and got["c"] == (0, 1, 0.0, 0.0, 0.0) and got["e"] == (0, 0, 1.0, 1.0, 0.0)
+    assert got["d"] == (1, 1, 0.0, 1.0, 0.0)  # corners touch
+
+
+def test_components_and_outlines_against_flood_fill(spark):
+    """Random rasters of any density, with a key beside the tile."""
+    rng = np.random.default_rng(3)
+    cells, want = [], {}
+    for k, share in enumerate((0.2, 0.5, 0.6, 0.8)):
+        x = rng.random((40, 40)) < share
+        cells += [("t", k, int(i), int(j)) for i, j in zip(*np.nonzero(x))]
+        seen = np.zeros_like(x)
+        for i, j in zip(*np.nonzero(x)):
+            if not seen[i, j]:
+                todo, own = [(i, j)], set()
+                seen[i, j] = True
+                while todo:
+                    a, b = todo.pop()
+                    own.add((a, b))
+                    for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                        if 0 <= c < 40 and 0 <= d < 40 and x[c, d] and not seen[c, d]:
+                            seen[c, d] = True
+                            todo.append((c, d))
+                want[k, int(i) * 2**20 + int(j)] = len(own)
+    comps = raster.components(raster.runs(spark.createDataFrame(cells, "tile_id string, k int, row int, col int")))
+    assert {(r.k, r.comp_id): r.n_px for r in raster.areas(comps).collect()} == want
+    area = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
+    for r in raster.outlines(comps.filter("k = 2").drop("k")).collect():
+        assert sum(area(x) for x in r.rings) == want[2, r.comp_id] and area(r.rings[0]) > 0 and all(area(x) < 0 for x in r.rings[1:])
+
+
+def test_systems(spark):
+    """Longitude and latitude to metres and back, both hemispheres, and a warp between systems."""
+    rows = [(-74.3, 3.2, 18, False), (-75.0, 0.0, 18, False), (104.9, -13.9, 48, True), (-71.9, 60.5, 19, False)]
+    for lon, lat, zone, south in rows:
+        east, north = fn.lonlat_to_utm(lon, lat, zone, south, ops=np_ops)
+        back = fn.utm_to_lonlat(east, north, zone, south, ops=np_ops)
+        assert back == (pytest.approx(lon, abs=1e-7), pytest.approx(lat, abs=1e-7))
+    assert fn.lonlat_to_utm(-75.0, 0.0, 18, ops=np_ops) == (pytest.approx(500000.0), pytest.approx(0.0))
+    x = spark.createDataFrame([(*r, 32600 + r[2] + 100 * r[3]) for r in rows], "lon double, lat double, zone int, south boolean, epsg int")
+    there = fn.reproject(x.withColumns({"x": F.col("lon"), "y": F.col("lat")}), "x", "y", F.lit(4326), F.col("epsg"))
+    assert all(abs(r.x - 500_000) < 400_000 and 0 <= r.y <= 10_000_000 for r in there.collect())
+    back = fn.reproject(there, "x", "y", F.col("epsg"), F.lit(4326)).collect()
+    assert len(back) == 4 and all(r.x == pytest.approx(r.lon, abs=1e-7) and r.y == pytest.approx(r.lat, abs=1e-7) for r in back)
+    # a plane in degrees stays the same plane when it is laid on a grid in metres
+    step = 0.0001
+    src = spark.createDataFrame([("t", i, j, (3.01 - (i + 0.5) * step) * 1000 + (-74.5 + (j + 0.5) * step)) for i in range(120) for j in range(120)], PX + ", z double")
+    e0, n0 = fn.lonlat_to_utm(-74.495, 3.005, 18, ops=np_ops)
+    grid = spark.createDataFrame([("t", i, j) for i in range(20) for j in range(20)], PX)
+    to = (10.0, 0.0, e0, 0.0, -10.0, n0)
+    got = terrain.warp_bilinear(src, grid, to, (step, 0.0, -74.5, 0.0, -step, 3.01), ["z"], (32618, 4326)).collect()
+    for r in got:
+        lon, lat = fn.utm_to_lonlat(e0 + (r.col + 0.5) * 10, n0 - (r.row + 0.5) * 10, 18, ops=np_ops)
+        assert r.z == pytest.approx(lat * 1000 + lon, abs=1e-6)
+    near = {(r.row, r.col): r.z for r in terrain.warp_nearest(src, grid, to, (step, 0.0, -74.5, 0.0, -step, 3.01), "z", -1.0, (32618, 4326)).collect()}
+    assert all(abs(near[r.row, r.col] - r.z) < 0.06 for r in got)
 
 
 def test_pictures(spark):
@@ -262,6 +334,18 @@ def test_files(spark, tmp_path):
     doc = json.loads(text)
     assert len(doc["features"]) == 2 and doc["features"][0]["properties"]["time_step"] is None and doc["features"][0]["geometry"]["coordinates"][0][0][0] == -75.0
     assert sinks.read_geojson(spark, str(tmp_path / "out")).count() == 2
+    many = spark.range(50).select(F.concat(F.lit("t"), F.col("id") % 7).alias("tile_id"), F.col("id").alias("comp_id"), F.concat(F.lit('{"n": '), F.col("id"), F.lit("}")).alias("feature"))
+    for one in (True, False):
+        sinks.write_geojson(many, str(tmp_path / f"many{one}"), one_file=one)
+        doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / f"many{one}").glob("part-*"))))
+        assert [f["n"] for f in doc["features"]] == sorted(range(50), key=lambda i: (i % 7, i))
+    sinks.write_geojson(many.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))["features"] == []
+    sinks.write_geojson(sinks.tile_features(spark.createDataFrame([("b",), ("a",)], "tile_id string")), str(tmp_path / "tiles"))
+    assert [r.tile_id for r in layout.tiles_from_geojson(spark, str(tmp_path / "tiles")).collect()] == ["a", "b"]
+    grid = spark.createDataFrame([(2, 1, 0.4, 0, 3, 0.5, 0.1, 0.2, 0.3), (1, 0, 0.5, 0, 9, 0.5, 0.2, 0.2, 0.3)], "rank int, combo int, threshold double, open_n int, close_n int, min_ha double, mean_iou double, mean_recall double, mean_fpr_proxy double")
+    assert sinks.write_tuned(grid, str(tmp_path / "tuned")) == sinks.read_record(spark, str(tmp_path / "tuned")) == {"polygons": {"least": 0.5, "open_n": 0, "close_n": 9, "min_ha": 0.5}}
+    assert [r["combo"] for r in sinks.read_record(spark, str(tmp_path / "tuned.report"))["all"]] == [0, 1]
 
 
 def test_config(tmp_path):
@@ -284,8 +368,14 @@ def test_model(spark, tmp_path):
     model.save(m, str(tmp_path / "m"))
     again = model.predict(model.load(str(tmp_path / "m")), rows).select("prob").collect()
     assert [r.prob for r in again] == [r.prob for r in got]
-    cv = model.region_out(rows, ["a", "b"], trees=5, rate=0.3, depth=3, least=5).collect()
-    assert [r.region for r in cv] == ["r", "s", "t"] and all(r.log_loss < 0.5 for r in cv)
+    val = rows.filter("region = 'r'").withColumn("target", F.when(F.rand(1) < 0.5, 1.0).otherwise(0.0))  # noise: more trees don't help
+    early = model.fit(rows, ["a", "b"], trees=30, rate=0.3, depth=3, least=5, validation=val)
+    assert model.trees_of(early) < 30
+    past = model.history(m, train=rows, val=val).orderBy("iteration").collect()
+    assert len(past) == 10 and past[-1].train < past[0].train and set(past[0].asDict()) == {"iteration", "train", "val"}
+    assert model.average_precision(model.predict(m, rows.withColumn("target", (F.col("a") > 0.5).cast("double")))) > 0.95
+    heavy = model.fit(rows.withColumn("target", (F.col("a") > 0.9).cast("double")), ["b"], trees=3, depth=1, least=5, positive_weight=9.0)
+    assert model.predict(heavy, rows).agg(F.avg("prob")).first()[0] > 0.3
 
 
 def test_stream(spark, tmp_path):
@@ -298,6 +388,8 @@ def test_stream(spark, tmp_path):
         src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         monthly.keep_annual(spark, src, str(tmp_path / "landing"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     cols = ["tile_id", "row", "col", "year", "n_obs", "median_ndvi", "slope_ndvi"]
+    landed = sorted(str(p.relative_to(tmp_path / "landing")) for p in (tmp_path / "landing").glob("*/*/*"))
+    assert landed == ["in_year=2020/in_tile=t/batch=0", "in_year=2020/in_tile=t/batch=1", "in_year=2021/in_tile=t/batch=0", "in_year=2021/in_tile=t/batch=1"]
     got = spark.read.parquet(str(tmp_path / "out")).select(*cols)
     want = satellite.s2_annual(spark.createDataFrame(rows, schema)).select(*cols)
     near = lambda df: sorted((*r[:5], round(r[5], 9), round(r[6], 9)) for r in df.collect())
