@@ -1,4 +1,4 @@
-"""The queries op1 ... op10 with production parameters, and SQL for those that SQL can express."""
+"""The queries op1 ... op13 with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, langid, mixing, nearest, ngram_join, secrets, substring, tokenfile, warc
+from . import audio, bpe, codes, langid, mixing, nearest, negatives, ngram_join, secrets, simhash, substring, tokenfile, warc
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_token_files": op9_token_files,
     "op10_audio_features": op10_audio_features,
+    "op11_simhash": op11_simhash,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +85,6 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": substring.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }

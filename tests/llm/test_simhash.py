@@ -1,0 +1,115 @@
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pixelloom.llm import simhash
+
+TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
+def brute_fingerprint(text):
+    w = [x for x in (text or "").encode().translate(TABLE).split(b" ") if x]
+    if not w:
+        return 0
+    g = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64(x, seed=42).intdigest() for x in g]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(g))
+
+
+def brute_components(fps: dict) -> dict:
+    """By document: the least document that links reach."""
+    ids = sorted(fps)
+    top = {i: i for i in ids}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_documents(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 120))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i in range(60):  # near copies: some words of a long text changed
+        w = " ".join(rng.choice(vocabulary, 900)).split() if i % 20 == 0 else w
+        v = list(w)
+        for k in rng.integers(0, 900, i % 20 // 4):
+            v[k] = "other"
+        rows.append((100 + i, "\t".join(v).upper() if i % 3 == 0 else "  ".join(v) + "\n"))
+    rows += [(200, None), (201, ""), (202, " \t\r\n"), (203, "one"), (204, "One two"), (205, "one\x0btwo"), (206, "Été naïve 中文 words"), (207, "a b c " * 40_000), (207, "a b c " * 40_000)]
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in rows] + [(None, "one", 0, "x")], "doc_id long, text string, fp long, component string")
+    got = simhash.digests(df).collect()
+    assert len(got) == len(rows) + 1
+    want = {i: brute_fingerprint(t) for i, t in rows}
+    assert all(r.fingerprint == f"{want[r.doc_id]:016x}" for r in got if r.doc_id is not None)
+    lone = [r for r in got if r.doc_id is None]
+    assert [(r.component_id, r.fingerprint) for r in lone] == [(None, f"{want[203]:016x}")]
+    groups = brute_components(want)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == groups
+    assert groups[202] == groups[201] == 200 and groups[205] == 204 and len(set(groups.values())) < len(groups) - 20
+    assert simhash.digests(df.limit(0)).count() == 0 and simhash.digests(df.filter("doc_id = 203")).first().component_id == 203
+
+
+def planted(seed, many=500):
+    """Chains and balls of fingerprints that differ in few bits, and unrelated ones."""
+    rng = np.random.default_rng(seed)
+    out = set(rng.integers(0, 1 << 63, 80).tolist())
+    for _ in range(12):
+        x = int(rng.integers(0, 1 << 63))
+        for _ in range(many // 20):
+            for b in rng.choice(64, rng.integers(1, 6), replace=False):
+                x ^= 1 << int(b)
+            out.add(x)
+    c = int(rng.integers(0, 1 << 63))
+    for _ in range(many):
+        x = c
+        for b in rng.choice(24, rng.integers(1, 8), replace=False):  # most keys of these are the same
+            x ^= 1 << int(b) + 40
+        out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1024, 24])
+def test_links_with_small_and_large_keys(spark, block, monkeypatch):
+    fps = planted(block)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HUBS", 2)
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    want = brute_components(dict(enumerate(fps)))
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "node long, fp long")
+    got = {r.node: r.component for r in simhash.linked(df).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert any(got.get(i, i) != i for i in want) and any(want[i] == i for i in want)
+
+
+def test_tables_keep_every_link():
+    """Two fingerprints of distance 3 agree in the table entries of some choice of bands, and no reference tells them apart by more than 3."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    b = a.copy()
+    for k in range(len(b)):
+        for bit in rng.choice(64, 3, replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    assert (simhash.keys_of(a) == simhash.keys_of(b)).any(1).all()
+    table = simhash.band_distances(np.concatenate([a, b])).sum(1, dtype=np.int16)
+    i, j = simhash.verified(np.concatenate([a, b]), table, np.arange(500), np.arange(500, 1000))
+    assert len(i) == 500
+    # unrelated pairs are told apart by the tables alone
+    i, j = np.triu_indices(500, 1)
+    far = (np.abs(table[i] - table[j]) > 3).any(1).mean()
+    assert far > 0.999
+
+
+def test_signed_hex(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz top")], "doc_id long, text string")
+    assert {r.doc_id: r.fingerprint for r in simhash.digests(df).select("doc_id", F.col("fingerprint")).collect()} == {i: f"{brute_fingerprint(t):016x}" for i, t in ((1, "a"), (2, "b"), (3, "zz top"))}
