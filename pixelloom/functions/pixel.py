@@ -156,22 +156,27 @@ def lonlat_to_utm(lon, lat, zone, south=False, ops=_Columns):
 LONLAT, UTM_NORTH, UTM_SOUTH = 4326, 32600, 32700
 
 
+def moved(x: np.ndarray, y: np.ndarray, source: int | None, target: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates brought from one system to another; systems other than the above, or none, keep them."""
+    utm = lambda c: UTM_NORTH < c <= UTM_SOUTH + 60
+    if source is None or target is None or source == target or not all(utm(c) or c == LONLAT for c in (source, target)):
+        return x, y
+    lon, lat = utm_to_lonlat(x, y, source % 100, source > UTM_SOUTH, Numbers) if utm(source) else (x, y)
+    return lonlat_to_utm(lon, lat, target % 100, target > UTM_SOUTH, Numbers) if utm(target) else (lon, lat)
+
+
 def reproject(df: DataFrame, x: str, y: str, source: Column, target: Column) -> DataFrame:
     """df with the coordinates in columns x and y brought from one system to another; source and target are EPSG codes as columns. Others than the above keep
     their coordinates.
 
     Both series in one go repeat their terms too often for a column expression, so batches of coordinates go through numpy."""
-    utm = lambda c: UTM_NORTH < c <= UTM_SOUTH + 60
 
     def move(xs: pd.Series, ys: pd.Series, sources: pd.Series, targets: pd.Series) -> pd.DataFrame:
         u, v = xs.to_numpy(float).copy(), ys.to_numpy(float).copy()
         for a, b in set(zip(sources, targets)):
-            if a == b or not all(utm(c) or c == LONLAT for c in (a, b)):
-                continue
             at = ((sources == a) & (targets == b)).to_numpy()
-            lon, lat = utm_to_lonlat(u[at], v[at], a % 100, a > UTM_SOUTH, Numbers) if utm(a) else (u[at], v[at])
-            u[at], v[at] = lonlat_to_utm(lon, lat, b % 100, b > UTM_SOUTH, Numbers) if utm(b) else (lon, lat)
+            u[at], v[at] = moved(u[at], v[at], a, b)
         return pd.DataFrame({"u": u, "v": v})
 
-    moved = F.pandas_udf(move, "u double, v double")(F.col(x), F.col(y), source.cast("int"), target.cast("int"))
-    return df.withColumn("_moved", moved).withColumns({x: F.col("_moved.u"), y: F.col("_moved.v")}).drop("_moved")
+    at = F.pandas_udf(move, "u double, v double")(F.col(x), F.col(y), source.cast("int"), target.cast("int"))
+    return df.withColumn("_moved", at).withColumns({x: F.col("_moved.u"), y: F.col("_moved.v")}).drop("_moved")

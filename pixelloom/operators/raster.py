@@ -6,7 +6,8 @@ is covered: once is enough for a dilation, all 2n + 1 times for an erosion. Cell
 runs * (2n + 1), where cells and offsets would give pixels * (2n * n + 2n + 1).
 
 Columns of runs other than row, c0 and c1 are keys: each combination of them is a raster of its own. So many settings go through one plan,
-with the setting, or the radius itself, as a column beside tile_id.
+with the setting, or the radius itself, as a column beside tile_id. A tile's height, width and cell area are such keys too: where a function takes them, the name
+of a key stands for each tile's own.
 """
 
 from __future__ import annotations
@@ -23,8 +24,17 @@ def keys_of(x: DataFrame) -> list[str]:
     return [c for c in x.columns if c not in ("row", "col", "c0", "c1")]
 
 
-def threshold(prob: DataFrame, least: float) -> DataFrame:
-    return prob.filter(F.col("prob") >= F.lit(least)).select(*PIXEL)
+def named(*values) -> list[str]:
+    """Those of the values that are names of keys."""
+    return list(dict.fromkeys(v for v in values if isinstance(v, str)))
+
+
+def as_column(v) -> Column:
+    return F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)
+
+
+def threshold(prob: DataFrame, least: float, keys: list[str] = ()) -> DataFrame:
+    return prob.filter(F.col("prob") >= F.lit(least)).select(*PIXEL, *keys)
 
 
 def runs(cells: DataFrame) -> DataFrame:
@@ -38,10 +48,6 @@ def cells(r: DataFrame) -> DataFrame:
     return r.select(*keys_of(r), "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def _radius(n: int | str) -> Column:
-    return F.col(n) if isinstance(n, str) else F.lit(n)
-
-
 def _covered(intervals: DataFrame, times: Column) -> DataFrame:
     """Maximal runs of columns that at least `times` of the row's intervals cover: a sweep over the intervals' ends."""
     line = [*keys_of(intervals), "row"]
@@ -59,23 +65,22 @@ def _shifted(r: DataFrame, n: Column, sign: int) -> DataFrame:
     return x.select(*keys, (F.col("row") + F.col("d")).alias("row"), (F.col("c0") - F.col("w")).alias("c0"), (F.col("c1") + F.col("w")).alias("c1")).filter("c0 <= c1")
 
 
-def dilate(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
+def dilate(r: DataFrame, n: int | str, height: int | str, width: int | str) -> DataFrame:
     """n: a radius, or the name of a key that holds it."""
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    x = _shifted(r, _radius(n), 1).filter((F.col("row") >= 0) & (F.col("row") < lit(height)))
-    x = x.withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least(F.col("c1"), lit(width) - 1)}).filter("c0 <= c1")
+    x = _shifted(r, as_column(n), 1).filter((F.col("row") >= 0) & (F.col("row") < as_column(height)))
+    x = x.withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least(F.col("c1"), as_column(width) - 1)}).filter("c0 <= c1")
     return _covered(x, F.lit(1))
 
 
 def erode(r: DataFrame, n: int | str) -> DataFrame:
-    return _covered(_shifted(r, _radius(n), -1), 2 * _radius(n) + 1)
+    return _covered(_shifted(r, as_column(n), -1), 2 * as_column(n) + 1)
 
 
-def opening(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
+def opening(r: DataFrame, n: int | str, height: int | str, width: int | str) -> DataFrame:
     return dilate(erode(r, n), n, height, width) if n else r
 
 
-def closing(r: DataFrame, n: int | str, height: int | Column, width: int | Column) -> DataFrame:
+def closing(r: DataFrame, n: int | str, height: int | str, width: int | str) -> DataFrame:
     return erode(dilate(r, n, height, width), n) if n else r
 
 
@@ -116,10 +121,10 @@ def components(r: DataFrame) -> DataFrame:
     return x.groupBy(*keys).applyInPandas(label, T.StructType([*x.schema.fields, T.StructField("comp_id", T.LongType())]))
 
 
-def areas(comps: DataFrame, *, pixel_m2: float = 100.0, min_ha: float = 0.0) -> DataFrame:
+def areas(comps: DataFrame, *, pixel_m2: float | str = 100.0, min_ha: float = 0.0) -> DataFrame:
     """Cells and hectares of each component that has at least min_ha."""
     g = comps.groupBy(*keys_of(comps)).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_px"))
-    return g.withColumn("area_ha", F.col("n_px") * pixel_m2 / 10000).filter(F.col("area_ha") >= F.lit(min_ha))
+    return g.withColumn("area_ha", F.col("n_px") * as_column(pixel_m2) / 10000).filter(F.col("area_ha") >= F.lit(min_ha))
 
 
 def time_steps(comp_cells: DataFrame, dates: DataFrame) -> DataFrame:
@@ -130,15 +135,16 @@ def time_steps(comp_cells: DataFrame, dates: DataFrame) -> DataFrame:
     return n.groupBy("tile_id", "comp_id").agg(best.alias("time_step"))
 
 
-def cleaned(prob: DataFrame, *, least: float, open_n: int, close_n: int, height: int | Column, width: int | Column) -> DataFrame:
-    """Components of what is left after threshold, opening and closing."""
-    return components(closing(opening(runs(threshold(prob, least)), open_n, height, width), close_n, height, width))
+def cleaned(prob: DataFrame, *, least: float, open_n: int, close_n: int, height: int | str, width: int | str, keys: list[str] = ()) -> DataFrame:
+    """Components of what is left after threshold, opening and closing. keys: columns of prob to be kept, beside those that height and width name."""
+    kept = threshold(prob, least, named(height, width, *keys))
+    return components(closing(opening(runs(kept), open_n, height, width), close_n, height, width))
 
 
-def polygonize(prob: DataFrame, *, least: float, open_n: int, close_n: int, min_ha: float, height: int, width: int, dates: DataFrame | None = None, pixel_m2: float = 100.0) -> DataFrame:
+def polygonize(prob: DataFrame, *, least: float, open_n: int, close_n: int, min_ha: float, height: int | str, width: int | str, dates: DataFrame | None = None, pixel_m2: float | str = 100.0) -> DataFrame:
     """tile_id, comp_id, n_px, area_ha, time_step of what is left after threshold, opening, closing and area filter."""
-    comps = cleaned(prob, least=least, open_n=open_n, close_n=close_n, height=height, width=width)
-    kept = areas(comps, pixel_m2=pixel_m2, min_ha=min_ha)
+    comps = cleaned(prob, least=least, open_n=open_n, close_n=close_n, height=height, width=width, keys=named(pixel_m2))
+    kept = areas(comps, pixel_m2=pixel_m2, min_ha=min_ha).drop(*named(height, width, pixel_m2))
     if dates is None:
         return kept.withColumn("time_step", F.lit(None).cast("int"))
     of = comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"]).select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))

@@ -5,6 +5,8 @@ the grid, so that tiles may differ in place and system."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def metric_cell(a: Column, e: Column, geographic: Column, mid_lat: Column) -> tu
     return dx, F.when(geographic, F.abs(e) * DEGREE_Y).otherwise(F.abs(e))
 
 
+def metric_size(a: float, e: float, geographic: bool, mid_lat: float) -> tuple[float, float]:
+    """The same of numbers."""
+    if not geographic:
+        return abs(a), abs(e)
+    return abs(a) * DEGREE_X * max(math.cos(math.radians(mid_lat)), 1e-6), abs(e) * DEGREE_Y
+
+
 def slope(dem: DataFrame, dx: float | Column, dy: float | Column) -> DataFrame:
     """Slope in degrees: central differences inside, one-sided at the edges."""
 

@@ -47,7 +47,7 @@ DEFAULTS = Settings(
     objective="cross_entropy",
     balance=True,
     val_regions=["19NBD"],
-    model={"trees": 280, "rate": 0.05, "depth": 6, "least": 200, "share": 0.9, "columns": 0.9},
+    model={"trees": 280, "rate": 0.05, "depth": 6, "least": 200, "share": 0.9, "columns": 0.9, "patience": 50},
     polygons={"least": 0.55, "open_n": 3, "close_n": 5, "min_ha": 0.5},
     grid={"thresholds": [0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7], "opens": [0, 1, 3], "closes": [0, 3, 5, 9], "areas": [0.3, 0.5, 1.0, 2.0]},
 )

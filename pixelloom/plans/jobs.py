@@ -5,14 +5,18 @@ Each step is one plan over all tiles. What a job uses more than once (features,
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixel import region, yymm
-from ..operators import labels, metrics, model, raster, sampling, satellite
+from ..functions.pixel import LONLAT, region, yymm
+from ..operators import labels, metrics, model, raster, sampling, satellite, terrain
 from ..sources import dataset, layout, sinks
 from ..sources.dataset import Relations
 from . import config
@@ -119,60 +123,97 @@ def predict(fitted: PipelineModel, feats: DataFrame, forest: DataFrame) -> DataF
     return model.predict(fitted, feats.join(forest, PIXEL), forest="forest").select(*PIXEL, "prob")
 
 
-def submit(prob: DataFrame, conf: Settings, height: int, width: int, fused: DataFrame | None = None) -> DataFrame:
-    """Polygons of all tiles; dated where fused labels are given."""
+#: Names of the columns that hold each tile's own size, where placed() has added them.
+SIDES = {"height": "height", "width": "width"}
+SIZES = {**SIDES, "pixel_m2": "pixel_m2"}
+
+
+def placed(x: DataFrame, grid: DataFrame) -> DataFrame:
+    """x with each tile's height, width and cell area in square metres."""
+    dx, dy = terrain.metric_cell(F.col("a"), F.col("e"), F.coalesce("epsg", F.lit(0)) == LONLAT, F.col("f") + F.col("height") * F.col("e") / 2)
+    return x.join(grid.select("tile_id", "height", "width", (dx * dy).alias("pixel_m2")), "tile_id")  # a row for each tile
+
+
+def submit(prob: DataFrame, conf: Settings, height: int | str, width: int | str, fused: DataFrame | None = None, pixel_m2: float | str = 100.0) -> DataFrame:
+    """Polygons of all tiles; dated where fused labels are given. Sizes: numbers, or the names of prob's columns that hold each tile's."""
     dates = fused.select(*PIXEL, yymm(F.col("median_days")).alias("yymm")) if fused is not None else None
-    return raster.polygonize(prob, **conf.polygons, height=height, width=width, dates=dates)
+    return raster.polygonize(prob, **conf.polygons, height=height, width=width, pixel_m2=pixel_m2, dates=dates)
+
+
+def tune(prob: DataFrame, fused: DataFrame, conf: Settings, height: int | str, width: int | str, pixel_m2: float | str = 100.0) -> DataFrame:
+    """All settings of the grid by mean overlap with the fused labels' polygons over the tiles that have labels, best first. Sizes: numbers, or names of columns that both hold."""
+    truth = metrics.true_polygons(fused.filter(F.col("binary") == 1), conf.polygons.min_ha, pixel_m2)
+    return metrics.grid_search(prob, truth, fused.select("tile_id").distinct(), **conf.grid, height=height, width=width, pixel_m2=pixel_m2)
 
 
-def tune(prob: DataFrame, fused: DataFrame, conf: Settings, height: int, width: int) -> DataFrame:
-    """All settings of the grid by mean overlap with the fused labels' polygons over the tiles that have labels, best first."""
-    truth = metrics.true_polygons(fused.filter(F.col("binary") == 1), conf.polygons.min_ha)
-    return metrics.grid_search(prob, truth, fused.select("tile_id").distinct(), **conf.grid, height=height, width=width)
+#: Folds of a cross-validation that run at the same time.
+FOLDS = 4
 
 
-def cross_validate(rows: DataFrame, feats: DataFrame, forest: DataFrame, fused: DataFrame, conf: Settings, height: int, width: int, least_tiles: int = 1) -> DataFrame:
+def together(spark: SparkSession, works: dict[str, Callable[[], list]], at_once: int = FOLDS) -> dict[str, list | Exception]:
+    """The results of named pieces of work that run at the same time in driver threads, each with a scheduler pool and a tag of its own: what fails has its other jobs
+    cancelled by its tag, and its exception as the result."""
+    run = uuid.uuid4().hex[:8]
+
+    def one(k: int, work: Callable[[], list]) -> list | Exception:
+        tag = f"work-{run}-{k}"
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", tag)
+        spark.addTag(tag)
+        try:
+            return work()
+        except Exception as e:
+            spark.interruptTag(tag)
+            return e
+        finally:
+            spark.removeTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        begun = {name: pool.submit(inheritable_thread_target(spark)(one), k, work) for k, (name, work) in enumerate(works.items())}
+        return {name: x.result() for name, x in begun.items()}
+
+
+def cross_validate(
+    rows: DataFrame, feats: DataFrame, forest: DataFrame, fused: DataFrame, conf: Settings, height: int | str, width: int | str, least_tiles: int = 1, pixel_m2: float | str = 100.0, grid: DataFrame | None = None, at_once: int = FOLDS,
+) -> DataFrame:
     """Leave one region out: region, tile_id, union_iou, polygon_recall, polygon_fpr_proxy, n_pred, n_gt, error.
 
     For each region with enough tiles a model is fitted on the samples of all others, and each of the region's tiles is predicted, polygonized and held against its
-    labels' polygons. A fold that fails has one row with its error and no tile, a tile without features or labels a row with its error; the others go on. Regions are few;
-    reports have a row for each tile."""
+    labels' polygons. Folds run at the same time. A fold that fails has one row with its error and no tile, a tile without features or labels a row with its error; the others go on.
+    Regions are few; reports have a row for each tile. Sizes: numbers, or with grid the names that placed() gives."""
     spark = rows.sparkSession
     tiles = forest.select("tile_id").distinct().join(feats.select("tile_id", F.lit(True).alias("has_features")).distinct(), "tile_id", "left").join(fused.select("tile_id", F.lit(True).alias("has_labels")).distinct(), "tile_id", "left")
     every = tiles.withColumn("region", region(F.col("tile_id"))).orderBy("region", "tile_id").collect()
     regions: dict[str, list] = {}
     for t in every:
         regions.setdefault(t.region, []).append(t)
-    truth = cut(metrics.true_polygons(fused.filter(F.col("binary") == 1), conf.polygons.min_ha))
-    cols, out = ["union_iou", "polygon_recall", "polygon_fpr_proxy", "n_pred", "n_gt"], []
+    at = (lambda x: placed(x, grid)) if grid is not None else lambda x: x
+    truth = cut(metrics.true_polygons(at(fused.filter(F.col("binary") == 1)), conf.polygons.min_ha, pixel_m2))
+    cols = ["union_iou", "polygon_recall", "polygon_fpr_proxy", "n_pred", "n_gt"]
     p = conf.polygons
-    for name, own in regions.items():
-        if len(own) < least_tiles:
-            continue
+
+    def fold(name: str, good: list[str]) -> list:
+        fitted = train(rows.filter(F.col("region") != name), conf)
+        mine = F.col("tile_id").isin(good)
+        prob = predict(fitted, feats.filter(mine), forest.filter(mine))
+        comps = raster.cleaned(at(prob), least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width, keys=raster.named(pixel_m2))
+        kept = comps.join(raster.areas(comps, min_ha=p.min_ha, pixel_m2=pixel_m2).select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+        got = metrics.evaluate(kept, truth.filter(mine), forest.filter(mine).select("tile_id").distinct())
+        return [(name, r.tile_id, *[r[c] for c in cols], None) for r in got.orderBy("tile_id").collect()]
+
+    wanted = {name: own for name, own in regions.items() if len(own) >= least_tiles}
+    done = together(spark, {name: lambda name=name, own=own: fold(name, [t.tile_id for t in own if t.has_features and t.has_labels]) for name, own in wanted.items()}, at_once)
+    out = []
+    for name, own in wanted.items():
         out += [(name, t.tile_id, *[None] * 5, "no features" if not t.has_features else "no weak labels") for t in own if not (t.has_features and t.has_labels)]
-        good = [t.tile_id for t in own if t.has_features and t.has_labels]
-        try:
-            fitted = train(rows.filter(F.col("region") != name), conf)
-            mine = F.col("tile_id").isin(good)
-            prob = predict(fitted, feats.filter(mine), forest.filter(mine))
-            comps = raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width)
-            kept = comps.join(raster.areas(comps, min_ha=p.min_ha).select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
-            got = metrics.evaluate(kept, truth.filter(mine), forest.filter(mine).select("tile_id").distinct())
-            out += [(name, r.tile_id, *[r[c] for c in cols], None) for r in got.orderBy("tile_id").collect()]
-        except Exception as e:  # a fold's failure belongs into the report
-            out.append((name, None, *[None] * 5, f"training failed ({type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''})"))
+        got = done[name]
+        out += got if isinstance(got, list) else [(name, None, *[None] * 5, f"training failed ({type(got).__name__}: {str(got).splitlines()[0][:200] if str(got) else ''})")]
     return spark.createDataFrame(out, "region string, tile_id string, union_iou double, polygon_recall double, polygon_fpr_proxy double, n_pred long, n_gt long, error string")
 
 
 # ---- over a dataset's folder ------------------------------------------------------------------------------------
 
 
-def _sides(rel: Relations) -> tuple[int, int]:
-    """Height and width that hold every tile's grid."""
-    r = rel.grid.agg(F.max("height").alias("h"), F.max("width").alias("w")).first()
-    return r.h, r.w
-
-
 def run_train(spark: SparkSession, root: str, out: str, conf: Settings, *, tiles: list[str] | None = None, geojson: str | None = None, dem: str | None = None, dims: int = 64) -> dict:
     """Fits a model from a dataset and writes it, its record and, with validation tiles, the history of its losses. Gives the record."""
     wanted = layout.resolve_tiles(spark, tiles, geojson, root)
@@ -193,7 +234,7 @@ def run_train(spark: SparkSession, root: str, out: str, conf: Settings, *, tiles
     model.save(fitted, f"{out}/model")
     record = meta(rows, fitted, conf, val)
     if check is not None:
-        sinks.write_report(model.history(fitted, train=rows, val=check), f"{out}/history")
+        sinks.write_report(model.history(fitted, train=rows, val=check).join(model.precision_history(fitted, check), "iteration").orderBy("iteration"), f"{out}/history")
         record["val_average_precision"] = model.average_precision(model.predict(fitted, check))
     sinks.write_record(spark, record, f"{out}/meta")
     return record
@@ -204,11 +245,10 @@ def run_predict(spark: SparkSession, root: str, fitted: str, out: str, conf: Set
     conf = settings(merged(conf, sinks.read_record(spark, tuned))) if tuned else conf
     rel = dataset.load(spark, root, split=split, tiles=tiles, dem=dem, strict=True)
     x = inputs(rel, conf, base_year, dims=dims)
-    prob = cut(predict(model.load(fitted), x.feats, x.forest))
-    height, width = _sides(rel)
+    prob = cut(placed(predict(model.load(fitted), x.feats, x.forest), rel.grid))
     p = conf.polygons
-    comps = cut(raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width))
-    kept = submit(prob, conf, height, width, x.fused)
+    comps = cut(raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, **SIDES).drop(*SIDES))
+    kept = cut(submit(prob, conf, **SIZES, fused=x.fused))
     rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
     place = rel.grid.select("tile_id", (F.col("epsg") % 100).alias("zone"), F.col("epsg").between(32701, 32760).alias("south"), *"acef")
     feats = sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), place))
@@ -222,8 +262,8 @@ def run_tune(spark: SparkSession, root: str, fitted: str, out: str, conf: Settin
     if rel.weak is None:
         raise FileNotFoundError("no weak labels")
     x = inputs(rel, conf, base_year, dims=dims)
-    prob = cut(predict(model.load(fitted), x.feats, x.forest))
-    return sinks.write_tuned(tune(prob, x.fused, conf, *_sides(rel)), out)
+    prob = cut(placed(predict(model.load(fitted), x.feats, x.forest), rel.grid))
+    return sinks.write_tuned(tune(prob, placed(x.fused, rel.grid), conf, **SIZES), out)
 
 
 def run_cross_validate(spark: SparkSession, root: str, out: str, conf: Settings, *, tiles: list[str] | None = None, geojson: str | None = None, dem: str | None = None, least_tiles: int = 1, dims: int = 64) -> DataFrame:
@@ -231,7 +271,7 @@ def run_cross_validate(spark: SparkSession, root: str, out: str, conf: Settings,
     rel = dataset.load(spark, root, tiles=layout.resolve_tiles(spark, tiles, geojson, root), dem=dem)
     x = inputs(rel, conf, dims=dims)
     rows = cut(training_set(x.feats, x.fused, x.forest, conf))
-    report = cross_validate(rows, x.feats, x.forest, x.fused, conf, *_sides(rel), least_tiles=least_tiles)
+    report = cross_validate(rows, x.feats, x.forest, x.fused, conf, **SIZES, least_tiles=least_tiles, grid=rel.grid)
     sinks.write_report(sinks.by_region(report), out)
     return report
 

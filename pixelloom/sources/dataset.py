@@ -1,8 +1,8 @@
 """From a folder of rasters to pixel relations on each tile's reference grid.
 
 The reference grid of a tile is that of its first optical scene. Optical and radar rasters with the same shape and transform are taken as they are (their system isn't
-looked at), others are warped; embeddings and label rasters are warped unless their system agrees too. Each raster is decoded where its file is read; alignment is a
-join of pixels by (file, row, column), so a tile is never whole in one place.
+looked at), others are warped; embeddings and label rasters are warped unless their system agrees too. The unit of work is a block of a tile's grid and a file: the
+block is made where the file is read, from the byte ranges that it needs, so neither files nor tiles are ever whole in one place.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixel import LONLAT, UTM_SOUTH, decibel
+from ..functions.pixel import LONLAT, UTM_SOUTH
 from ..operators import labels, terrain
-from . import geotiff, layout
+from ..plans.staging import cut
+from . import geotiff, layout, rasters
 
 PIXEL = ["tile_id", "row", "col"]
 
@@ -34,20 +35,18 @@ class Relations:
     grid: DataFrame | None = None  # tile_id, height, width, a ... f, epsg
 
 
-def rasters(spark: SparkSession, folder: str, pattern: str, tile: int, tiles: list[str] | None) -> DataFrame | None:
-    """path, content, tile_id of a folder's files whose names fit; None if there is no such folder. tile: the group of the pattern that names it."""
+def files_of(spark: SparkSession, folder: str, pattern: str, tile: int, tiles: list[str] | None) -> DataFrame | None:
+    """path, tile_id of a folder's files whose names fit; None if there is no such folder. tile: the group of the pattern that names it."""
     if not layout.exists(spark, folder):
         return None
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
-    x = x.filter(F.col("path").rlike(pattern)).withColumn("tile_id", F.regexp_extract("path", pattern, tile))
+    x = rasters.listing(spark, folder, pattern).select("path", F.regexp_extract("path", pattern, tile).alias("tile_id"))
     return x if tiles is None else x.filter(F.col("tile_id").isin(tiles))
 
 
-def reference_grid(files: DataFrame, scenes: DataFrame) -> DataFrame:
+def reference_grid(scenes: DataFrame) -> DataFrame:
     """tile_id, height, width, a ... f, epsg of each tile's first scene; scenes: tile_id, year, month, path."""
     first = scenes.groupBy("tile_id").agg(F.min_by("path", F.struct("year", "month")).alias("path"))
-    heads = geotiff.profiles(files.join(F.broadcast(first.select("path")), "path", "left_semi"))  # a path for each tile
-    return heads.join(first, "path").select("tile_id", "height", "width", *"abcdef", "epsg")
+    return rasters.heads(first).select("tile_id", "height", "width", *"abcdef", "epsg")
 
 
 def grid_cells(grid: DataFrame) -> DataFrame:
@@ -55,36 +54,9 @@ def grid_cells(grid: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col")).select(*PIXEL)
 
 
-def align(px: DataFrame, heads: DataFrame, grid: DataFrame, *, bilinear: bool, by_system: bool, fill: bool = False) -> DataFrame:
-    """px (path, tile_id, row, col, v: an array of bands) on the tiles' grids; heads: the files' places.
-
-    Cells that a warped raster doesn't cover have no row, or zeros with fill. by_system: rasters whose system differs are warped even if shape and transform agree."""
-    place = [F.col(c).alias(f"t_{c}") for c in ("height", "width", *"abcdef", "epsg")]
-    both = heads.join(F.broadcast(grid.select("tile_id", *place)), "tile_id")  # a row for each tile
-    same = F.lit(True)
-    for c in ("height", "width", *"abcdef", *(["epsg"] if by_system else [])):
-        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
-    both = both.withColumn("same", same)
-    kept = px.join(F.broadcast(both.filter("same").select("path")), "path", "left_semi").select("path", *PIXEL, "v")  # paths, not pixels
-    other = both.filter("not same").drop("same")
-    cells = grid_cells(grid).join(F.broadcast(other), "tile_id")
-    target, source = tuple(F.col(f"t_{c}") for c in "abcdef"), tuple(F.col(c) for c in "abcdef")
-    warp = terrain.warp_bilinear_array if bilinear else terrain.warp_nearest
-    how = {"systems": (F.coalesce("t_epsg", "epsg", F.lit(0)), F.coalesce("epsg", "t_epsg", F.lit(0))), "keys": ("path", "tile_id")} | ({} if bilinear else {"nodata": None})
-    warped = warp(px.select("path", *PIXEL, "v"), cells, target, source, "v", **how).filter("v is not null").select("path", *PIXEL, "v")
-    if fill:
-        warped = cells.select("path", *PIXEL, "bands").join(warped, ["path", *PIXEL], "left").withColumn("v", F.coalesce("v", F.array_repeat(F.lit(0.0), F.col("bands"))))
-    return kept.unionByName(warped.select("path", *PIXEL, "v"))
-
-
-def _aligned(files: DataFrame | None, grid: DataFrame, value: Column, **how) -> DataFrame | None:
-    """All pixels of the files on the tiles' grids; value: the array of bands to be aligned, from v and is_integer."""
-    if files is None:
-        return None
-    names = files.select("path", "tile_id")
-    heads = geotiff.profiles(files).join(names, "path")
-    px = geotiff.pixels(files).withColumn("v", value).join(F.broadcast(names), "path").select("path", *PIXEL, "v")
-    return align(px, heads, grid, **how)
+def _aligned(files: DataFrame | None, grid: DataFrame, value=rasters.plain, **how) -> DataFrame | None:
+    """All pixels of the files on the tiles' grids; value: what a raster's numbers mean."""
+    return None if files is None else rasters.aligned(files, grid, value, **how)
 
 
 def _alerts(x: DataFrame | None, pattern: str, kind: int, names: tuple[str, str], keys: list[Column]) -> DataFrame | None:
@@ -101,14 +73,14 @@ def weak_labels(spark: SparkSession, root: str, grid: DataFrame, tiles: list[str
 
     Pixels of the grid that a source's raster doesn't cover count as without alert."""
     base = f"{root.rstrip('/')}/labels/train"
-    raw = lambda folder, pattern, tile: rasters(spark, f"{base}/{folder}", pattern, tile, tiles)
-    put = lambda files: _aligned(files, grid, F.col("v"), bilinear=False, by_system=True)
+    raw = lambda folder, pattern, tile: files_of(spark, f"{base}/{folder}", pattern, tile, tiles)
+    put = lambda files: _aligned(files, grid, bilinear=False, by_system=True)
     cells, out = grid_cells(grid), []
 
     def full(files: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
         have = files.select("tile_id", *more).distinct()
         values = [c for c in rows.columns if c not in (*PIXEL, *more)]
-        return cells.join(F.broadcast(have), "tile_id").join(rows, [*PIXEL, *more], "left").na.fill(0, values)  # a row for each tile (and year)
+        return cells.join(have, "tile_id").join(rows, [*PIXEL, *more], "left").na.fill(0, values)  # a row for each tile (and year)
 
     files = raw("radd", layout.RADD_NAME, 1)
     if files is not None:
@@ -135,20 +107,14 @@ def elevation(spark: SparkSession, folder: str, grid: DataFrame) -> DataFrame |
     utm = terrain.lonlat_bounds(grid.filter(F.col("epsg") != LONLAT).withColumns({"zone": zone, "south": F.col("epsg") > UTM_SOUTH}))
     flat = grid.filter(F.col("epsg") == LONLAT).select("tile_id", F.col("c").alias("w"), (F.col("f") + F.col("height") * F.col("e")).alias("s"), (F.col("c") + F.col("width") * F.col("a")).alias("e"), F.col("f").alias("n"))
     need = terrain.dem_cells(utm.unionByName(flat)).withColumn("part", F.struct("lat", "lon"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif*").load(folder).select("path", "content")
-    heads = geotiff.profiles(files).withColumn("dem", F.regexp_extract("path", r"/([^/]+)\\.tiff?$", 1)).join(need, "dem").select("path", "tile_id", "part", "height", "width", *"abcdef", F.coalesce("epsg", F.lit(LONLAT)).alias("epsg"))
-    whole = heads.groupBy("tile_id").agg(F.first("a").alias("a"), F.first("e").alias("e"), F.min("c").alias("c"), F.max("f").alias("f"), F.first("epsg").alias("epsg"), F.min(F.col("f") + F.col("height") * F.col("e")).alias("low"))
-    at = heads.select("path", "tile_id", "part", F.col("c").alias("c0"), F.col("f").alias("f0")).join(whole, "tile_id")
-    at = at.select("path", "tile_id", "part", F.round((F.col("c0") - F.col("c")) / F.col("a")).cast("int").alias("dc"), F.round((F.col("f0") - F.col("f")) / F.col("e")).cast("int").alias("dr"))
-    px = geotiff.pixels(files).join(F.broadcast(at), "path")  # a row for each tile and raster
-    dem = terrain.mosaic(px.select("tile_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.col("part").alias("order"), F.get("v", F.lit(0)).alias("elevation")))
-    dx, dy = terrain.metric_cell(F.col("a"), F.col("e"), F.col("epsg") == LONLAT, (F.col("f") + F.col("low")) / 2)
-    sized = dem.join(F.broadcast(whole.select("tile_id", dx.alias("dx"), dy.alias("dy"))), "tile_id")
-    sloped = terrain.slope(sized, F.col("dx"), F.col("dy"))
-    place = grid.select("tile_id", *[F.col(c).alias(f"t_{c}") for c in (*"abcdef", "epsg")]).join(whole.select("tile_id", *"ace", "f", F.col("epsg")), "tile_id")
-    cells = grid_cells(grid).join(F.broadcast(place), "tile_id")
-    source = (F.col("a"), 0.0, F.col("c"), 0.0, F.col("e"), F.col("f"))
-    return terrain.warp_bilinear(sloped, cells, tuple(F.col(f"t_{c}") for c in "abcdef"), source, ["elevation", "slope"], (F.col("t_epsg"), F.col("epsg")))
+    files = rasters.listing(spark, folder).withColumn("dem", F.regexp_extract("path", r"/([^/]+)\.tiff?$", 1)).join(need, "dem")
+    names = ["path", "height", "width", *"abcdef", F.coalesce("epsg", F.lit(LONLAT)).alias("epsg")]
+    parts = rasters.heads(files.select("path", "tile_id", "part")).groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("part", *names))).alias("parts"))  # the few rasters that a tile needs
+    none = [r.tile_id for r in grid.select("tile_id").join(parts, "tile_id", "left_anti").orderBy("tile_id").limit(5).collect()]
+    if none:
+        raise FileNotFoundError(f"no elevation raster in {folder} for the tiles {none} and perhaps others")
+
+    return rasters.terrain(parts, grid, terrain.metric_size, LONLAT)
 
 
 def load(spark: SparkSession, root: str, *, split: str = "train", tiles: list[str] | None = None, dem: str | None = None, strict: bool = False) -> Relations:
@@ -156,8 +122,8 @@ def load(spark: SparkSession, root: str, *, split: str = "train", tiles: list[st
 
     Tiles without optical scenes or without embeddings can't be used: they are left out, or an error if strict."""
     root = root.rstrip("/")
-    s2_files = rasters(spark, f"{root}/sentinel-2/{split}", layout.S2_NAME.replace(".*", r".*/([^/]+)", 1), 1, tiles)
-    aef_files = rasters(spark, f"{root}/aef-embeddings/{split}", layout.AEF_NAME, 1, tiles)
+    s2_files = files_of(spark, f"{root}/sentinel-2/{split}", layout.S2_NAME.replace(".*", r".*/([^/]+)", 1), 1, tiles)
+    aef_files = files_of(spark, f"{root}/aef-embeddings/{split}", layout.AEF_NAME, 1, tiles)
     if s2_files is None or aef_files is None:
         raise FileNotFoundError(f"no optical scenes or no embeddings under {root} for {split}")
     date = lambda i: F.regexp_extract("path", layout.S2_NAME, i).cast("int")
@@ -170,19 +136,19 @@ def load(spark: SparkSession, root: str, *, split: str = "train", tiles: list[st
         raise FileNotFoundError(f"no usable tiles under {root}")
     only = F.col("tile_id").isin(have)
     s2_files, aef_files, scenes = s2_files.filter(only), aef_files.filter(only), scenes.filter(only)
-    grid = reference_grid(s2_files, scenes)
-    value = F.when(F.col("is_integer"), F.transform("v", lambda x: x / 10000)).otherwise(F.col("v"))
-    px = _aligned(s2_files, grid, value, bilinear=True, by_system=False, fill=True).withColumn("is_integer", F.lit(False))
-    s1_files = rasters(spark, f"{root}/sentinel-1/{split}", layout.S1_NAME.replace(".*", r".*/([^/]+)", 1), 1, have)
+    grid = cut(reference_grid(scenes))  # a row for each tile, which everything below joins
+    px = _aligned(s2_files, grid, rasters.reflectance, bilinear=True, by_system=False, fill=True).withColumn("is_integer", F.lit(False))
+    s1_files = files_of(spark, f"{root}/sentinel-1/{split}", layout.S1_NAME.replace(".*", r".*/([^/]+)", 1), 1, have)
     s1 = None
     if s1_files is not None:
         part = lambda i: F.regexp_extract("path", layout.S1_NAME, i)
-        s1 = _aligned(s1_files, grid, F.array(decibel(F.get("v", F.lit(0)))), bilinear=True, by_system=False)
+        s1 = _aligned(s1_files, grid, rasters.decibel, bilinear=True, by_system=False)
         s1 = s1.select(*PIXEL, part(1).cast("int").alias("year"), part(2).cast("int").alias("month"), F.lower(part(3)).alias("orbit"), F.get("v", F.lit(0)).alias("vv_db"))
-    aef = geotiff.aef(_aligned(aef_files, grid, F.col("v"), bilinear=True, by_system=True, fill=True))
+    used = aef_files.withColumn("year", F.regexp_extract("path", layout.AEF_NAME, 2).cast("int")).join(scenes.select("tile_id", "year").distinct(), ["tile_id", "year"], "left_semi").select("path", "tile_id")
+    aef = geotiff.aef(_aligned(used, grid, bilinear=True, by_system=True, fill=True))
     years = scenes.groupBy("tile_id").agg(F.min("year").alias("base_year"), F.max("year").alias("last_year"))
     return Relations(
-        cells=grid_cells(grid), s2=geotiff.s2(px), s1=s1, aef=aef.join(F.broadcast(scenes.select("tile_id", "year").distinct()), ["tile_id", "year"], "left_semi"),
+        cells=grid_cells(grid), s2=geotiff.s2(px), s1=s1, aef=aef,
         terrain=elevation(spark, dem, grid) if dem else None, weak=weak_labels(spark, root, grid, have) if split == "train" else None,
         months=scenes.select("tile_id", "year", "month").distinct(), years=years, grid=grid,
     )

@@ -1,8 +1,8 @@
 """GeoTIFF rasters as pixel relations, decoded in numpy.
 
 Reads classic and big TIFF, either byte order, strips or tiles, pixel- or band-interleaved, uncompressed, deflate or LZW, with horizontal
-differencing; and the tags that place a raster on the ground. A raster is one row of content per file, which is the unit of the data;
-decoding sends its pixels on in blocks of rows.
+differencing; and the tags that place a raster on the ground. Everything is read by byte ranges: tags from the first kilobytes (or wherever the directory
+lies), and only those strips or tiles, of those bands, that a wanted window meets. So a file may be larger than memory, and many tasks may share one.
 """
 
 from __future__ import annotations
@@ -30,28 +30,46 @@ class Raster:
     epsg: int | None
 
 
-def _tags(data: bytes) -> tuple[str, dict]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+class Ranged:
+    """Byte ranges of a file, or of bytes. Small reads take AHEAD bytes, which are kept for the next; counts what was read."""
+
+    AHEAD = 4096
+
+    def __init__(self, source):
+        self.source, self.count, self.at, self.held = source, 0, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            if isinstance(self.source, (bytes, memoryview)):
+                self.at, self.held = 0, self.source
+            else:
+                self.source.seek(at)
+                self.at, self.held = at, self.source.read(max(n, self.AHEAD) if n < self.AHEAD else n)
+            self.count += len(self.held)
+        return self.held[at - self.at : at - self.at + n]
+
+
+def _tags(src: Ranged) -> tuple[str, dict]:
+    order = {b"II": "<", b"MM": ">"}.get(bytes(src.get(0, 2)))
     if not order:
         raise ValueError("not a TIFF file")
-    version = struct.unpack_from(order + "H", data, 2)[0]
+    version = struct.unpack(order + "H", src.get(2, 2))[0]
     big = version == 43
     if version not in (42, 43):
         raise ValueError(f"TIFF version {version}")
-    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
-    n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+    at = struct.unpack(order + ("Q" if big else "I"), src.get(8, 8) if big else src.get(4, 4))[0]
+    n = struct.unpack(order + ("Q" if big else "H"), src.get(at, 8 if big else 2))[0]
     at += 8 if big else 2
     step, room = (20, 8) if big else (12, 4)
-    out = {}
+    entries, out = src.get(at, n * step), {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, at + i * step)
+        tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), entries, i * step)
         size = _SIZES.get(kind, 0) * count
         if kind not in _CODES:
             continue
-        here = at + i * step + step - room
-        if size > room:
-            here = struct.unpack_from(order + ("Q" if big else "I"), data, here)[0]
-        out[tag] = struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, here)
+        here = (i + 1) * step - room
+        raw = src.get(struct.unpack_from(order + ("Q" if big else "I"), entries, here)[0], size) if size > room else entries[here : here + size]
+        out[tag] = struct.unpack(f"{order}{count}{_CODES[kind]}", raw)
     return order, out
 
 
@@ -104,42 +122,58 @@ def _header(order: str, t: dict) -> Header:
     return Header(one(SAMPLES, 1), one(HEIGHT), one(WIDTH), kind, place, named.get(3072, named.get(2048)))
 
 
+class File:
+    """A raster that is read by ranges: its header, and windows of its bands."""
+
+    def __init__(self, source):
+        self.src = source if isinstance(source, Ranged) else Ranged(source)
+        order, self.tags = _tags(self.src)
+        self.head = _header(order, self.tags)
+
+    def window(self, r0: int, r1: int, c0: int, c1: int, bands: list[int] | None = None) -> np.ndarray:
+        """(band, row, col) of rows r0 to r1 and columns c0 to c1 (ends exclusive, inside the raster)."""
+        t, head = self.tags, self.head
+        one = lambda tag, other=None: t[tag][0] if tag in t else other
+        bands = list(range(head.bands)) if bands is None else bands
+        w, h, planar, how, ahead = head.width, head.height, one(PLANAR, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+        if how not in (1, 5, 8, 32946) or ahead not in (1, 2):
+            raise ValueError(f"TIFF compression {how}, predictor {ahead}")
+        tiled = TILES in t
+        bw, bh = (one(TILE_W), one(TILE_H)) if tiled else (w, min(one(ROWS, h), h))
+        across, down = -(-w // bw), -(-h // bh)
+        at, sizes = t[TILES if tiled else STRIPS], t[TILE_BYTES if tiled else STRIP_BYTES]
+        each = head.bands if planar == 1 else 1
+        out = np.zeros((len(bands), r1 - r0, c1 - c0), head.dtype.newbyteorder("="))
+        if not out.size:
+            return out
+        for plane in [None] if planar == 1 else bands:
+            for y in range(r0 // bh, (r1 - 1) // bh + 1):
+                for x in range(c0 // bw, (c1 - 1) // bw + 1):
+                    k = (0 if plane is None else plane) * across * down + y * across + x
+                    raw = self.src.get(at[k], sizes[k])
+                    raw = zlib.decompress(raw) if how in (8, 32946) else _lzw(raw) if how == 5 else raw
+                    rows = bh if tiled else min(bh, h - y * bh)
+                    block = np.frombuffer(raw, head.dtype, rows * bw * each).reshape(rows, bw, each).astype(head.dtype.newbyteorder("="))
+                    if ahead == 2:
+                        block = np.cumsum(block, axis=1, dtype=block.dtype)
+                    ya, yb, xa, xb = max(r0, y * bh), min(r1, y * bh + rows), max(c0, x * bw), min(c1, x * bw + bw)
+                    part = block[ya - y * bh : yb - y * bh, xa - x * bw : xb - x * bw]
+                    to = (slice(ya - r0, yb - r0), slice(xa - c0, xb - c0))
+                    if plane is None:
+                        out[(slice(None), *to)] = part[:, :, bands].transpose(2, 0, 1)
+                    else:
+                        out[(bands.index(plane), *to)] = part[:, :, 0]
+        return out
+
+
 def header(data: bytes) -> Header:
     """What the tags tell; no pixel is decoded."""
-    return _header(*_tags(data))
+    return File(data).head
 
 
 def decode(data: bytes) -> Raster:
-    order, t = _tags(data)
-    head = _header(order, t)
-    one = lambda tag, other=None: t[tag][0] if tag in t else other
-    w, h, bands, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
-    kind = head.dtype
-    tiled = TILES in t
-    bw, bh = (one(TILE_W), one(TILE_H)) if tiled else (w, min(one(ROWS, h), h))
-    across, down = -(-w // bw), -(-h // bh)
-    each = bands if planar == 1 else 1
-    out = np.zeros((bands, down * bh, across * bw), kind.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(t[TILES if tiled else STRIPS], t[TILE_BYTES if tiled else STRIP_BYTES])):
-        raw = data[at : at + size]
-        how = one(COMPRESSION, 1)
-        if how in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif how == 5:
-            raw = _lzw(raw)
-        elif how != 1:
-            raise ValueError(f"TIFF compression {how}")
-        plane, i = (0, k) if planar == 1 else divmod(k, across * down)
-        y, x = divmod(i, across)
-        rows = bh if tiled else min(bh, h - y * bh)
-        block = np.frombuffer(raw, kind, rows * bw * each).reshape(rows, bw, each).astype(kind.newbyteorder("="))
-        if one(PREDICTOR, 1) == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
-        elif one(PREDICTOR, 1) != 1:
-            raise ValueError("TIFF predictor")
-        where = slice(None) if planar == 1 else slice(plane, plane + 1)
-        out[where, y * bh : y * bh + rows, x * bw : x * bw + bw] = block.transpose(2, 0, 1)
-    return Raster(out[:, :h, :w], head.transform, head.epsg)
+    f = File(data)
+    return Raster(f.window(0, f.head.height, 0, f.head.width), f.head.transform, f.head.epsg)
 
 
 def encode(bands: np.ndarray, transform: tuple, epsg: int | None = None, *, compress: bool = True, tile: int | None = None, planar: bool = False, predictor: bool = False, order: str = "<") -> bytes:
