@@ -1,21 +1,22 @@
 """Approximate nearest neighbours by largest cosine: inverted lists, and an adaptive scan of dimensions within each probed list.
 
-Vectors are scaled to length 1 and turned by one random rotation, so that every column block holds an even share of a distance. Lists come from k-means
-on a bounded sample; there are about as many as the root of the number of vectors, and every vector is put into its nearest one. How many lists a query probes is
-measured on the sample: as many as hold TARGET of the neighbours that sampled vectors have among themselves, so clustered vectors need few and
-vectors without any order need most.
+Vectors are scaled to length 1 and turned by one random rotation, so that every column block holds an even share of a distance. There are about as many lists as
+the root of the number of vectors, and every vector is put into its nearest one. Their centres come from k-means on a bounded sample on the driver; where the sample has too
+few rows for all lists (A_LIST for each), its centres are coarse, and under each of them k-means on a larger sample, which stays in the tasks, gives its share of the lists. How
+many lists a query probes is measured on the driver's sample: as many as hold TARGET of the neighbours that sampled vectors have among themselves, so clustered vectors need few
+and vectors without any order need most.
 
 Within a list the columns are read block by block: from the partial distance over the first t of d columns a test of hypotheses tells whether the
 whole distance can still beat the query's present k-th best, dist_t * d / t > best * (1 + EPS / sqrt(t)) ** 2 rejects, and a rejected
-candidate is not read further. A query's k-th best starts as that among the sample, which every query is held against first, and goes with it into all its
-lists. Survivors are scored on the original vectors in double precision.
+candidate is not read further. A query's k-th best starts as that among the sample, which every query is held against first; its nearest list is scanned before the others, what
+was found there bounds those, and within a list the bound falls with each chunk of candidates. Survivors are scored on the original vectors in double precision.
 
 A list's vectors and its queries are dealt over cells of bounded size (list, part of the vectors, part of the queries), so one list that
 holds most rows is many tasks; each cell sends on k rows per query, which a window per query merges with those from the sample.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a query has its own id left out, and so
-every row with that id; equal scores go to the smaller id; fewer than k candidates are all returned; repeated rows are candidates
-each; rows with null id take no part; further columns are not looked at, whatever their names; an empty table gives an empty result.
+every row with that id; rows that repeat a query's id are one question, with the vector of the least bytes; equal scores go to the smaller id; fewer than k candidates are all returned;
+repeated rows are candidates each; rows with null id take no part; further columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SAMPLE, SAMPLE_VALUES = 20_000, 1 << 21
 A_LIST, ASKED, TARGET = 16, 500, 0.97
 EPS = 2.1
 COLUMNS = 16
+#: Numbers in all centres at most.
+CENTRE_VALUES = 1 << 23
+#: Candidates of a cell after which its queries' bounds are lowered.
+CHUNK = 512
 CELL_VECTORS, CELL_QUERIES = 4096, 1024
 #: Pairs of a query and a candidate that are looked at in one go.
 PAIRS = 1 << 20
@@ -91,6 +96,19 @@ def probes_for(x: np.ndarray, ids: np.ndarray, centres: np.ndarray, k: int, targ
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1 if len(ranks) else len(centres)
 
 
+def lowered(bound: np.ndarray, best: np.ndarray, i: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The queries' k least distances so far (query, k) and bounds, after candidates at distances dist were found for queries i (ascending)."""
+    n, k = best.shape
+    order = np.lexsort((dist, i))
+    i, dist = i[order], dist[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    few = rank < k
+    new = np.full((n, k), np.inf)
+    new[i[few], rank[few]] = dist[few]
+    best = np.sort(np.concatenate([best, new], 1), axis=1)[:, :k]
+    return np.minimum(bound, best[:, -1]), best
+
+
 def scan_cell(q_id, q, bound, c_id, c, k: int, turn: np.ndarray, eps: float = EPS, columns: int = COLUMNS):
     """The k best candidates of one cell for each query, of those that may be as near as its bound: query indices, candidate indices, cosines."""
     d = c.shape[1]
@@ -98,27 +116,28 @@ def scan_cell(q_id, q, bound, c_id, c, k: int, turn: np.ndarray, eps: float = EP
     q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     first = min(columns, d)
     far = (cr[:, :first] ** 2).sum(1)
-    limit = lambda t: bound * (1 + eps / np.sqrt(t)) ** 2 + 1e-5 if t < d else bound + 1e-5
+    limit = lambda t, bound: bound * (1 + eps / np.sqrt(t)) ** 2 + 1e-5 if t < d else bound + 1e-5
     out = []
-    many = max(1, PAIRS // len(c))
+    many = max(1, PAIRS // min(CHUNK, len(c)))
     for a in range(0, len(q), many):
         z = slice(a, a + many)
-        part = np.maximum(0, (qr[z, :first] ** 2).sum(1)[:, None] + far - 2 * qr[z, :first] @ cr[:, :first].T)
-        i, j = np.nonzero((part * (d / first) <= limit(first)[z, None]) & (q_id[z, None] != c_id))
-        dist, i, t = part[i, j], i + a, first
-        while t < d and len(i):
-            block = slice(t, min(d, t + columns))
-            t = block.stop
-            dist = dist + ((cr[j, block] - qr[i, block]) ** 2).sum(1)
-            alive = dist * (d / t) <= limit(t)[i]
-            i, j, dist = i[alive], j[alive], dist[alive]
-        # the first k of each query by these distances, and all that may be as near as the k-th
-        order = np.lexsort((dist, i))
-        i, j, dist = i[order], j[order], dist[order]
-        begin = np.searchsorted(i, i)
-        last = np.minimum(begin + k, np.searchsorted(i, i, side="right")) - 1
-        near = dist <= dist[last] + 1e-5
-        i, j = i[near], j[near]
+        now, best, seen = np.asarray(bound[z], float), np.full((len(q[z]), k), np.inf), []
+        for b in range(0, len(c), CHUNK):
+            y = slice(b, b + CHUNK)
+            part = np.maximum(0, (qr[z, :first] ** 2).sum(1)[:, None] + far[y] - 2 * qr[z, :first] @ cr[y, :first].T)
+            i, j = np.nonzero((part * (d / first) <= limit(first, now)[:, None]) & (q_id[z, None] != c_id[y]))
+            dist, j, t = part[i, j], j + b, first
+            while t < d and len(i):
+                block = slice(t, min(d, t + columns))
+                t = block.stop
+                dist = dist + ((cr[j, block] - qr[i + a, block]) ** 2).sum(1)
+                alive = dist * (d / t) <= limit(t, now)[i]
+                i, j, dist = i[alive], j[alive], dist[alive]
+            now, best = lowered(now, best, i, dist)
+            seen.append((i, j, dist))
+        i, j, dist = (np.concatenate(x) for x in zip(*seen))
+        near = dist <= now[i] + 2e-5  # all that may be as near as the k-th
+        i, j = i[near] + a, j[near]
         # the measure itself, on the original vectors
         score = np.concatenate([(q[i[b : b + 20_000]] * c[j[b : b + 20_000]]).sum(1) for b in range(0, max(1, len(i)), 20_000)]) / (q_len[i] * c_len[j])
         order = np.lexsort((c_id[j], -score, i))
@@ -128,6 +147,31 @@ def scan_cell(q_id, q, bound, c_id, c, k: int, turn: np.ndarray, eps: float = EP
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def all_centres(rows: DataFrame, x: np.ndarray, lists: int, n: int) -> np.ndarray:
+    """Centres of about so many lists. x: the sample, unit vectors. rows: id, v."""
+    d = x.shape[1]
+    lists = max(1, min(lists, CENTRE_VALUES // d))
+    coarse = kmeans(x, min(lists, max(1, len(x) // A_LIST)))
+    each = -(-lists // len(coarse))
+    if lists <= max(1, len(x) // A_LIST):
+        return coarse
+    half = (coarse * coarse).sum(1) / 2
+
+    def place(cols):
+        y = unit(cols[0].flatten().to_numpy().reshape(-1, d)).astype(np.float32)
+        return [pa.array((y @ coarse.T - half).argmax(1).astype(np.int32))]
+
+    def split(t: pa.Table) -> pa.Table:
+        y = unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d))
+        return pa.table({"centre": pa.array([c.astype(np.float32).tobytes() for c in kmeans(y, max(1, min(each, len(y) // A_LIST)))], pa.binary())})
+
+    u = F.pmod(F.xxhash64("id", "v", F.lit("centres")), F.lit(1 << 30)) / float(1 << 30)
+    some = append_arrow(rows.filter(u < 2.0 * A_LIST * lists / n), [F.col("v")], [("under", T.IntegerType())], place)
+    got = some.select("under", "v").groupBy("under").applyInArrow(split, "centre binary").toArrow()  # CENTRE_VALUES numbers at most
+    fine = [np.frombuffer(c, np.float32) for c in got.column("centre").to_pylist()]
+    return np.array(fine) if len(fine) > len(coarse) else coarse
+
+
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None, k: int = 5, lists: int | None = None, probes: int | None = None, sample: int = SAMPLE, eps: float = EPS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (rows where is_query holds) its k nearest found. lists, probes: instead of what the table's size and the sample tell."""
     spark = vectors.sparkSession
@@ -146,7 +190,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     some = some if some.num_rows else rows.limit(1).toArrow()
     s_id, own = some.column("id").to_numpy(), some.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
     x = unit(own)
-    centres = kmeans(x, lists or max(1, min(round(n**0.5), len(x) // A_LIST)))
+    centres = kmeans(x, lists) if lists else all_centres(rows, x, max(1, round(n**0.5)), n)
     turn, probes = rotation(d), min(probes or probes_for(x, s_id, centres, k), len(centres))
     half = (centres * centres).sum(1) / 2
     sent = spark.sparkContext.broadcast((s_id, own))  # SAMPLE_VALUES numbers at most, twice that by chance
@@ -175,18 +219,10 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     made = [("list", T.IntegerType()), ("x", T.BinaryType()), ("probe", T.ArrayType(T.IntegerType())), ("bound", T.DoubleType()), ("best", hits)]
     placed = append_arrow(rows, [F.col("v"), flag, F.col("id")], made, place)
     placed = stage(placed.select("id", "list", "x", "probe", "bound", "best"), "placed")
-    asked = placed.filter("probe is not null").select("id", "x", "bound", F.explode("probe").alias("list"))
+    asks = placed.filter("probe is not null").groupBy("id").agg(F.min(F.struct("x", "bound", "probe", "best")).alias("m")).select("id", "m.*")
+    asks = stage(asks, "asked")
+    each = asks.select("id", "x", "bound", F.posexplode("probe").alias("at", "list"))
     held = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
-    wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = {z: (-(-held[z] // CELL_VECTORS), -(-wanted[z] // CELL_QUERIES)) for z in held if z in wanted}
-    if not parts:
-        return spark.createDataFrame([], schema)
-    n_v = F.element_at(F.create_map(*[F.lit(x) for z, (a, _) in parts.items() for x in (z, a)]), F.col("list"))
-    n_q = F.element_at(F.create_map(*[F.lit(x) for z, (_, b) in parts.items() for x in (z, b)]), F.col("list"))
-    reach = F.col("list").isin([*parts])
-    many = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cand = placed.filter(reach).select("list", F.col("id").alias("c_id"), F.col("x").alias("c"), F.pmod(F.xxhash64("id", "x"), n_v).cast("int").alias("a"), many(n_q).alias("b"))
-    ask = asked.filter(reach).select("list", "id", "x", "bound", many(n_v).alias("a"), F.pmod(F.xxhash64("id", "x"), n_q).cast("int").alias("b"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, others, score = [], [], []
@@ -196,9 +232,31 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
             ids, others = q_id[i], c_id[j]
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    key = ["list", "a", "b"]
-    found = ask.groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score double").withColumn("met", F.lit(1))
-    first = placed.filter("probe is not null").select(F.col("id").alias("query_id"), F.explode("best").alias("h")).select("query_id", "h.vec_id", "h.score", F.lit(0).alias("met"))
+    def scanned(asked: DataFrame) -> DataFrame | None:
+        """query_id, vec_id, score: the k best of each list that a query asks for."""
+        wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        parts = {z: (-(-held[z] // CELL_VECTORS), -(-wanted[z] // CELL_QUERIES)) for z in held if z in wanted}
+        if not parts:
+            return None
+        sizes = F.broadcast(spark.createDataFrame([(z, a, b) for z, (a, b) in parts.items()], "list int, n_v int, n_q int"))  # a row per list
+        many = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        cand = placed.join(sizes, "list").select("list", F.col("id").alias("c_id"), F.col("x").alias("c"), F.pmod(F.xxhash64("id", "x"), "n_v").cast("int").alias("a"), many(F.col("n_q")).alias("b"))
+        ask = asked.join(sizes, "list").select("list", "id", "x", "bound", many(F.col("n_v")).alias("a"), F.pmod(F.xxhash64("id", "x"), "n_q").cast("int").alias("b"))
+        key = ["list", "a", "b"]
+        return ask.groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score double")
+
+    nearest_first = scanned(each.filter("at = 0"))
+    if nearest_first is None:
+        return spark.createDataFrame([], schema)
+    found = stage(nearest_first, "nearest_lists")
+    if probes > 1:
+        order = W.partitionBy("query_id").orderBy(F.desc("score"))
+        kth = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), (2 - 2 * F.col("score")).alias("kth"))
+        rest = each.filter("at > 0").join(kth, "id", "left").withColumn("bound", F.least("bound", F.greatest("kth", F.lit(0.0)))).drop("kth")
+        more = scanned(stage(rest, "other_lists"))
+        found = found.unionByName(more) if more is not None else found
+    found = found.withColumn("met", F.lit(1))
+    first = asks.select(F.col("id").alias("query_id"), F.explode("best").alias("h")).select("query_id", "h.vec_id", "h.score", F.lit(0).alias("met"))
     # what the sample told counts where no list told it again
     both = found.unionByName(first).withColumn("most", F.max("met").over(W.partitionBy("query_id", "vec_id"))).filter("met = most")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

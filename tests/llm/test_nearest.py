@@ -89,3 +89,49 @@ def test_few_and_none(spark):
     assert nearest.search(df.limit(0)).count() == 0
     assert nearest.search(df.filter("vec_id = 0")).count() == 0
     assert nearest.search(df.filter("vec_id > 0")).count() == 0
+
+
+def test_repeated_queries_are_one_question(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(40)]
+    rows += [rows[0], (0, [9.0] * 16), rows[10]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df).orderBy("query_id", "rank").collect()]
+    asked = min((np.array(v, "<f8").tobytes(), v) for i, v in rows if i == 0)[1]
+    want = sorted((-float(np.dot(asked, v) / np.linalg.norm(asked) / np.linalg.norm(v)), i) for i, v in rows if i != 0)[:5]
+    assert got == [(0, k + 1, i) for k, (_, i) in enumerate(want)]
+
+
+@pytest.mark.parametrize("spread", [0.3, None])
+def test_many_vectors_with_a_small_sample(spark, spread, monkeypatch):
+    """Centres in two levels, bounds that fall: recall at the settings of the query but for the sample's size."""
+    monkeypatch.setattr(nearest, "A_LIST", 4)
+    rng = np.random.default_rng(9)
+    n, d = 20_000, 32
+    x = rng.normal(size=(n, d)) if spread is None else rng.normal(size=(200, d))[rng.integers(200, size=n)] + spread * rng.normal(size=(n, d))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    asked, got = len(range(0, n, 50)), {}
+    for r in nearest.search(df, sample=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = nearest.unit(x)
+    hit = 0
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == asked and hit >= 0.9 * 5 * asked
+
+
+def test_more_lists_than_the_sample_gives(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = nearest.unit(rng.normal(size=(50, 8))[rng.integers(50, size=6000)] + 0.1 * rng.normal(size=(6000, 8)))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    few, many = nearest.all_centres(rows, x[:160], 10, 6000), nearest.all_centres(rows, x[:160], 77, 6000)
+    assert len(few) == 10 and 60 <= len(many) <= 160
+
+
+def test_bounds_fall():
+    bound, best = nearest.lowered(np.array([5.0, 5.0, 1.0]), np.full((3, 2), np.inf), np.array([0, 0, 0, 1]), np.array([3.0, 1.0, 2.0, 4.0]))
+    assert bound.tolist() == [2.0, 5.0, 1.0] and best[0].tolist() == [1.0, 2.0]
+    bound, best = nearest.lowered(bound, best, np.array([1]), np.array([2.0]))
+    assert bound.tolist() == [2.0, 4.0, 1.0]
