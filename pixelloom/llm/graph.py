@@ -18,19 +18,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _round(e: DataFrame) -> DataFrame:
-    """One large star and one small star over edges (a, b), a < b; moved tells edges that changed.
+    """One large star and one small star over edges (a, b), a < b, each once; moved tells edges that changed.
 
     Large: a node's larger neighbours go to the least of it and its neighbours. Small: a node's smaller neighbours go to the least of them. Neither makes
-    more edges than there were, and each is one exchange."""
+    more edges than there were. The least neighbour is an aggregate that tasks combine before they exchange, and edges meet it by a join, so that the centre of a
+    large star is no task's alone: Spark splits such a join, or broadcasts the nodes where they are few."""
     both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    at_x = W.partitionBy("x").orderBy("y")
-    x = both.withColumns({"least": F.least("x", F.first("y").over(at_x)), "before": F.lag("y").over(at_x)}).filter("y > x and (before is null or before < y)")
-    large = x.select(F.col("least").alias("a"), F.col("y").alias("b"), (F.col("least") < F.col("x")).alias("moved"))
-    at_b = W.partitionBy("b").orderBy("a")
-    y = large.withColumns({"least": F.first("a").over(at_b), "before": F.lag("a").over(at_b), "any": F.max("moved").over(at_b.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    y = y.filter("before is null or before < a")
-    first = F.col("before").isNull()
-    return y.select(F.col("least").alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(first, F.col("any")).otherwise(True).alias("moved"))
+    least = both.groupBy("x").agg(F.min("y").alias("m"))
+    large = both.filter("y > x").join(least, "x").select(F.least("x", "m").alias("a"), F.col("y").alias("b"), (F.col("m") < F.col("x")).alias("moved"))
+    least = large.groupBy("b").agg(F.min("a").alias("m"), F.max("moved").alias("any"))
+    others = large.select("a", "b").join(least.select("b", "m"), "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+    return least.select(F.col("m").alias("a"), "b", F.col("any").alias("moved")).unionByName(others).groupBy("a", "b").agg(F.max("moved").alias("moved"))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
