@@ -59,6 +59,11 @@ def _covered(intervals: DataFrame, times: Column) -> DataFrame:
     return x.withColumn("c1", F.lead("c").over(at) - 1).filter("on").select(*line, F.col("c").alias("c0"), "c1")
 
 
+def union(r: DataFrame) -> DataFrame:
+    """Maximal runs of what any of a tile's runs covers, whatever polygon they are of."""
+    return _covered(r.select("tile_id", "row", "c0", "c1"), F.lit(1))
+
+
 def _shifted(r: DataFrame, n: Column, sign: int) -> DataFrame:
     keys = keys_of(r)
     x = r.withColumn("d", F.explode(F.sequence(-n, n))).withColumn("w", (n - F.abs("d")) * sign)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixel import A, FLAT, SCALE, region, yymm
-from ..operators import imagery, labels, metrics, model, raster, sampling, satellite, terrain
+from ..operators import blocks, imagery, labels, metrics, model, polygons, raster, sampling, satellite, terrain
 from ..sources import fixtures as fx
-from ..sources import geotiff, layout, sinks
+from ..sources import filesink, geotiff, layout, rasters, sinks
 from . import jobs
-from .staging import cut
+from .staging import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -540,6 +540,27 @@ def submission_geojson(spark, d):
     return sinks.features(sinks.lonlat_rings(_outlined(spark, d), _utm_tiles(spark, d)))
 
 
+@query(w("radd", "d_radd", _TRUE, "prob", fg_sql("fg", 0.4), erode_sql("e1", "fg", 1), dilate_sql("o1", "e1", 1), dilate_sql("d1", "o1", 1), erode_sql("c1", "d1", 1), *run_comps_sql("co", "c1"), comps_sql("tk0", "t"),
+         f"pk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp_id) AS px FROM co) WHERE px >= 2)", f"tk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp_id) AS px FROM tk0) WHERE px * 0.01::DOUBLE >= {MIN_TRUE}::DOUBLE)",
+         """edge AS (SELECT tile_id, comp_id, "row", "col" AS x FROM pk UNION ALL SELECT tile_id, comp_id, "row", "col" + 1 FROM pk)""",
+         """bare AS (SELECT tile_id, comp_id, "row", x FROM edge GROUP BY ALL HAVING count(*) = 1)""",
+         f"""ins AS (SELECT b.tile_id, b.comp_id, b."row", k AS "col" FROM bare b, (SELECT CAST(unnest(range(0, {Wd})) AS INT) AS k) WHERE x <= k GROUP BY ALL HAVING count(*) % 2 = 1)""",
+         "pn AS (SELECT tile_id, count(DISTINCT comp_id) AS n_pred, count(*) AS px_pred FROM ins GROUP BY 1)", "tn AS (SELECT tile_id, count(DISTINCT comp_id) AS n_gt, count(*) AS px_gt FROM tk GROUP BY 1)",
+         'it AS (SELECT c.tile_id, count(*) AS inter FROM ins c JOIN tk o ON o.tile_id = c.tile_id AND o."row" = c."row" AND o."col" = c."col" GROUP BY 1)',
+         'hi AS (SELECT c.tile_id, count(DISTINCT c.comp_id) AS hit_pred, count(DISTINCT o.comp_id) AS hit_gt FROM ins c JOIN tk o ON o.tile_id = c.tile_id AND abs(o."row" - c."row") <= 1 AND abs(o."col" - c."col") <= 1 GROUP BY 1)',
+         recursive=True, last="""SELECT tile_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_gt, 0) AS n_gt, round(CASE WHEN n_pred IS NULL AND n_gt IS NULL THEN 1.0::DOUBLE ELSE coalesce(inter, 0) / greatest(coalesce(px_pred, 0) + coalesce(px_gt, 0) - coalesce(inter, 0), 1)::DOUBLE END, 9) AS union_iou,
+  round(CASE WHEN n_gt IS NULL THEN 1.0::DOUBLE ELSE coalesce(hit_gt, 0) / n_gt::DOUBLE END, 9) AS polygon_recall, round(CASE WHEN n_pred IS NULL THEN 0.0::DOUBLE ELSE 1 - coalesce(hit_pred, 0) / n_pred::DOUBLE END, 9) AS polygon_fpr_proxy
+  FROM (SELECT DISTINCT tile_id FROM prob) LEFT JOIN pn USING (tile_id) LEFT JOIN tn USING (tile_id) LEFT JOIN it USING (tile_id) LEFT JOIN hi USING (tile_id)"""))
+def submission_scores(spark, d):
+    """The GeoJSON features of a submission, filled on their tiles' grids again and held against the labels' polygons."""
+    feats = submission_geojson(spark, d)
+    one = polygons.parsed(feats.select(F.xxhash64("tile_id", "comp_id").alias("poly_id"), "feature"))
+    grid = _utm_tiles(spark, d).withColumn("epsg", F.lit(32600) + F.col("zone"))
+    pred = cut(polygons.runs_of(one.select(F.element_at("properties", "tile_id").alias("tile_id"), "poly_id", "rings"), grid))
+    x = polygons.score(pred, cut(metrics.true_polygons(_sure(spark, d), MIN_TRUE)), grid.select("tile_id"))
+    return x.select("tile_id", "n_pred", "n_gt", *rounded("union_iou", "polygon_recall", "polygon_fpr_proxy"))
+
+
 @query(w("tiles", last="""SELECT tile_id, '{"type":"Feature","properties":{"name":"' || tile_id || '"},"geometry":null}' AS feature FROM (SELECT DISTINCT tile_id FROM tiles)"""))
 def tiles_geojson(spark, d):
     return sinks.tile_features(fx.tiles(spark, d).select("tile_id").distinct()).select("tile_id", "feature")
@@ -609,6 +630,44 @@ def geotiff_decode(spark, d):
     return cells.select(*PIXEL).join(got, PIXEL)
 
 
+@query(w("prob", last=f"""SELECT {PX}, CAST(CAST(prob AS FLOAT) AS DOUBLE) AS prob, CAST(CASE WHEN forest THEN 1 ELSE 0 END AS DOUBLE) AS forest FROM prob WHERE "row" BETWEEN 16 AND 36 AND "col" BETWEEN 5 AND 44"""))
+def raster_window(spark, d):
+    """Each tile's raster of two bands written as a GeoTIFF file in square tiles, and a window of it read back by the tiles that it meets."""
+    import pandas as pd
+
+    def encode(pdf):
+        import numpy as np
+
+        x = np.zeros((3, int(pdf["row"].max()) + 1, H), np.float32)
+        x[0, pdf["row"], pdf["col"]], x[1, pdf["row"], pdf["col"]], x[2, pdf["row"], pdf["col"]] = pdf["prob"], pdf["forest"], 1
+        return pd.DataFrame({"name": [pdf["tile_id"].iloc[0] + ".tif"], "content": [geotiff.encode(x, (10.0, 0.0, 500000.0, 0.0, -10.0, 400000.0), 32618, tile=16, planar=True)]})
+
+    folder = shared_folder(spark, "rasters")
+    filesink.write_files(fx.prob(spark, d).groupBy("tile_id").applyInPandas(encode, "name string, content binary"), folder)
+    got = rasters.blocks(spark, folder, block=16, rows="0:37", cols="5:45", bands="1,0,2").filter("block_row >= 1")
+    px = rasters.pixels(got).filter("v[2] = 1")  # cells that the table has
+    return px.select(F.regexp_extract("path", r"/([^/]+)\.tif$", 1).alias("tile_id"), "row", "col", F.col("v")[1].alias("prob"), F.col("v")[0].alias("forest"))
+
+
+def _places(spark, d):
+    """Each tile's source raster, and the grid of the warps above."""
+    t = _utm_tiles(spark, d).select("tile_id", "height", "width")
+    put = lambda place, lead: {f"{lead}{c}": F.lit(float(v)) for c, v in zip("abcdef", place)} | {f"{lead}epsg": F.lit(None).cast("int")}
+    return t.withColumns(put(FROM, "") | {"t_height": F.lit(24), "t_width": F.lit(24)} | put(TO, "t_"))
+
+
+@query(ORACLES["warp_nearest"])
+def block_warp_nearest(spark, d):
+    x = blocks.warp(blocks.pack(fx.dem(spark, d), ["elevation"]), _places(spark, d), bilinear=False, empty=-1.0)
+    return blocks.unpack(x, ["elevation"])
+
+
+@query(ORACLES["warp_bilinear"])
+def block_warp_bilinear(spark, d):
+    x = blocks.warp(blocks.pack(fx.dem(spark, d), ["elevation"]), _places(spark, d), bilinear=True, empty=0.0)
+    return blocks.unpack(x, ["elevation"]).select(*PIXEL, *rounded("elevation"))
+
+
 def utm_sql() -> str:
     """Longitude and latitude of points (zone, x, y: metres) of the north, by the same series."""
     n = FLAT / (2 - FLAT)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pixel import LONLAT, region, yymm
 from ..operators import labels, metrics, model, raster, sampling, satellite, terrain
-from ..sources import dataset, layout, sinks
+from ..sources import dataset, filesink, layout, sinks
 from ..sources.dataset import Relations
 from . import config
 from .config import DEFAULTS, Settings, merged
@@ -252,7 +252,7 @@ def run_predict(spark: SparkSession, root: str, fitted: str, out: str, conf: Set
     rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
     place = rel.grid.select("tile_id", (F.col("epsg") % 100).alias("zone"), F.col("epsg").between(32701, 32760).alias("south"), *"acef")
     feats = sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), place))
-    sinks.write_geojson(feats, out)
+    filesink.write_document(feats, out)
     return kept
 
 

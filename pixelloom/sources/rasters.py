@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..functions import warp
 from . import geotiff
@@ -119,7 +119,7 @@ class _BlockReader(DataSourceReader):
                     at[0] = max(at[0], f.value + isinstance(f, GreaterThan))
                 if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     at[1] = min(at[1], f.value - isinstance(f, LessThan))
-            else:
+            elif not (isinstance(f, IsNotNull) and (name == "path" or name in self.limits)):  # these are never null
                 yield f
 
     def partitions(self) -> list[InputPartition]:
