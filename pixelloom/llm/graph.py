@@ -26,6 +26,7 @@ def _round(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
     least = both.groupBy("x").agg(F.min("y").alias("m"))
     large = both.filter("y > x").join(least, "x").select(F.least("x", "m").alias("a"), F.col("y").alias("b"), (F.col("m") < F.col("x")).alias("moved"))
+    large = large.groupBy("a", "b").agg(F.max("moved").alias("moved"))  # many nodes may send a node to the same least one
     least = large.groupBy("b").agg(F.min("a").alias("m"), F.max("moved").alias("any"))
     others = large.select("a", "b").join(least.select("b", "m"), "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
     return least.select(F.col("m").alias("a"), "b", F.col("any").alias("moved")).unionByName(others).groupBy("a", "b").agg(F.max("moved").alias("moved"))
