@@ -76,15 +76,13 @@ def true_polygons(binary: DataFrame, min_ha: float = 0.5, pixel_m2: float | str
 def grid_search(prob: DataFrame, true: DataFrame, tiles: DataFrame, *, thresholds, opens, closes, areas, height, width, pixel_m2: float | str = 100.0) -> DataFrame:
     """rank, combo, threshold, open_n, close_n, min_ha, mean_iou, mean_recall, mean_fpr_proxy of every setting, best first; ties go to the first in product order.
 
-    true: runs of true polygons; tiles: those to average over, each counts the same. One plan for all settings: threshold, radii and area limit are keys
-    beside tile_id, openings are shared by the closings that follow them, and area limits are applied to one set of components."""
+    true: runs of true polygons; tiles: those to average over, each counts the same. One plan for all settings: a tile's cells above
+    a threshold are one group, in which openings are shared by the closings that follow them, and area limits are applied to one set of components."""
     options = lambda name, values, kind: F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name)
     base = prob.filter(F.col("prob") >= F.lit(float(min(thresholds)))).select(*PIXEL, "prob", *raster.named(height, width, pixel_m2), options("threshold", thresholds, "double")).filter("prob >= threshold").drop("prob")
-    opened = raster.opening(raster.runs(base).select("*", options("open_n", opens, "int")), "open_n", height, width)
-    comps = raster.components(raster.closing(opened.select("*", options("close_n", closes, "int")), "close_n", height, width))
+    comps = raster.shapes(base, list(opens), list(closes), height, width)
     settings = ["threshold", "open_n", "close_n"]
-    sized = comps.withColumn("n_px", F.sum(F.col("c1") - F.col("c0") + 1).over(W.partitionBy(*settings, "tile_id", "comp_id")))
-    kept = sized.select("*", options("min_ha", areas, "double")).filter(F.col("n_px") * raster.as_column(pixel_m2) / 10000 >= F.col("min_ha")).drop("n_px")
+    kept = comps.select("*", options("min_ha", areas, "double")).filter(F.col("n_px") * raster.as_column(pixel_m2) / 10000 >= F.col("min_ha")).drop("n_px", "head")
     every = [(i, float(t), o, c, float(a)) for i, (t, o, c, a) in enumerate((t, o, c, a) for t in thresholds for o in opens for c in closes for a in areas)]
     combos = prob.sparkSession.createDataFrame(every, "combo int, threshold double, open_n int, close_n int, min_ha double")
     wanted = tiles.select("tile_id").distinct().crossJoin(combos.drop("combo"))  # a row for each tile and setting

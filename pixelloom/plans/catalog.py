@@ -524,8 +524,7 @@ def submission_outlines(spark, d):
 def _outlined(spark, d):
     p = fx.prob(spark, d)
     comps = cut(raster.cleaned(p, least=_POLY["least"], open_n=_POLY["open_n"], close_n=_POLY["close_n"], height=H, width=Wd))
-    kept = raster.areas(comps, min_ha=_POLY["min_ha"])
-    of = comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+    kept, of = raster.sized(comps, min_ha=_POLY["min_ha"]), raster.large(comps, min_ha=_POLY["min_ha"])
     steps = raster.time_steps(of.select("tile_id", "comp_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")), _dates(spark, d))
     return kept.join(steps, ["tile_id", "comp_id"], "left").join(raster.outlines(of), ["tile_id", "comp_id"])
 

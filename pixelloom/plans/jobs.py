@@ -197,7 +197,7 @@ def cross_validate(
         mine = F.col("tile_id").isin(good)
         prob = predict(fitted, feats.filter(mine), forest.filter(mine))
         comps = raster.cleaned(at(prob), least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width, keys=raster.named(pixel_m2))
-        kept = comps.join(raster.areas(comps, min_ha=p.min_ha, pixel_m2=pixel_m2).select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi")
+        kept = raster.large(comps, min_ha=p.min_ha, pixel_m2=pixel_m2)
         got = metrics.evaluate(kept, truth.filter(mine), forest.filter(mine).select("tile_id").distinct())
         return [(name, r.tile_id, *[r[c] for c in cols], None) for r in got.orderBy("tile_id").collect()]
 
@@ -245,11 +245,12 @@ def run_predict(spark: SparkSession, root: str, fitted: str, out: str, conf: Set
     conf = settings(merged(conf, sinks.read_record(spark, tuned))) if tuned else conf
     rel = dataset.load(spark, root, split=split, tiles=tiles, dem=dem, strict=True)
     x = inputs(rel, conf, base_year, dims=dims)
-    prob = cut(placed(predict(model.load(fitted), x.feats, x.forest), rel.grid))
+    prob = placed(predict(model.load(fitted), x.feats, x.forest), rel.grid)
     p = conf.polygons
-    comps = cut(raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, **SIDES).drop(*SIDES))
-    kept = cut(submit(prob, conf, **SIZES, fused=x.fused))
-    rings = raster.outlines(comps.join(kept.select("tile_id", "comp_id"), ["tile_id", "comp_id"], "left_semi"))
+    comps = cut(raster.cleaned(prob, least=p.least, open_n=p.open_n, close_n=p.close_n, **SIDES, keys=["pixel_m2"]))
+    dates = x.fused.select(*PIXEL, yymm(F.col("median_days")).alias("yymm")) if x.fused is not None else None
+    kept = cut(raster.polygons(comps, min_ha=p.min_ha, pixel_m2="pixel_m2", dates=dates))
+    rings = raster.outlines(raster.large(comps, min_ha=p.min_ha, pixel_m2="pixel_m2"))
     place = rel.grid.select("tile_id", (F.col("epsg") % 100).alias("zone"), F.col("epsg").between(32701, 32760).alias("south"), *"acef")
     feats = sinks.features(sinks.lonlat_rings(kept.join(rings, ["tile_id", "comp_id"]), place))
     filesink.write_document(feats, out)
