@@ -3,7 +3,7 @@
 A document is cut into content-defined blocks: each window of WINDOW words belongs to the least-hashed GRAM-word gram in it (its anchor), and the
 windows of one anchor are a block, so equal windows lie in blocks of equal anchors wherever they occur. The index is made in two steps:
 
-1. blocks are exchanged by their anchors, a few bytes each. Only blocks whose anchor another document has too can hold a repeated window;
+1. blocks are exchanged by their anchors, a few bytes each, and those of one document together. Only blocks whose anchor another document has too can hold a repeated window;
 2. those are exchanged with the 64-bit hashes of all their windows. The index holds each window once, at its least (document, position),
    which is the reference block that a later document is factored against.
 
@@ -33,15 +33,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_BYTES, WordHasher, append_arrow, grams, mix64, ref, small_batches, text_bytes
+from .common import ARROW_BYTES, WordHasher, append_arrow, grams, lists, mix64, ref, small_batches, text_bytes
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = ARROW_BYTES
 #: Anchors, and windows with their leaders, that a task remembers; beyond, it forgets the older ones and sends some rows more.
 SEEN = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
-#: at: position << 5 | number of windows << 1 | whether the block is known to be shared.
-BLOCKS = "key long, doc long, at long"
+#: at: for each block of the anchor in the document, position << 5 | number of windows << 1 | whether it is known to be shared.
+BLOCKS = "key long, doc long, at array<long>"
 WINDOWS = "key long, doc long, pos int, hs array<long>, n int, ref_doc long, ref_pos int"
 _NAMES = ["key", "doc", "pos", "hs", "n", "ref_doc", "ref_pos"]
 
@@ -117,8 +117,12 @@ class BlockSender:
             shared[first[two]] = shared[last[two]] = False
             sure[order[shared]] = True
             self.hot = np.union1d(self.hot if len(self.hot) < SEEN else self.hot[:0], key[order[first[two]]])
-        key = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), key)
-        return [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int64) << 5 | k << 1 | sure)]
+        key = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31)), key)
+        # one row for a document's blocks of an anchor: a line that a text repeats is no more rows than one that it has once
+        order = np.lexsort((pos, doc, key))
+        first = runs(key[order], doc[order])
+        at = (pos.astype(np.int64) << 5 | k << 1 | sure)[order]
+        return [pa.array(key[order[first]].view(np.int64)), pa.array(doc[order[first]]), lists(pa.array(at), np.diff([*first, len(order)]))]
 
 
 class WindowSender:
@@ -166,11 +170,11 @@ class WindowSender:
         a = runs(p[i[left]], r[left], i[left] - np.arange(len(left)))
         count = np.concatenate([np.diff([*a, len(left)]), np.zeros(len(z), np.int64)])
         f = left[a]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(h[left].view(np.int64)))
+        hashes = lists(pa.array(h[left].view(np.int64)), count)
         none = np.zeros(len(f), np.int64)
         spread = mix64(doc[z].astype(np.uint64) * np.uint64(31) + pos[z].astype(np.uint64))
         return [
-            pa.array(np.concatenate([g[p[i[f]]], spread]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), lists,
+            pa.array(np.concatenate([g[p[i[f]]], spread]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), hashes,
             pa.array(np.concatenate([none, n]).astype(np.int32)), pa.array(np.concatenate([none, lead_doc_of[z]])), pa.array(np.concatenate([none, lead_pos_of[z]]).astype(np.int32)),
         ]
 
@@ -212,8 +216,8 @@ def shared_blocks(texts: DataFrame) -> DataFrame:
 
     block = W.partitionBy("key")
     x = texts.select("_id", "_text").mapInArrow(run, BLOCKS)
-    x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("at & 1 = 1 or lo < hi")
-    return x.groupBy("doc").agg(F.collect_list("at").alias("at"))
+    x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("at[0] & 1 = 1 or lo < hi")
+    return x.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def flags(texts: DataFrame) -> DataFrame:
