@@ -22,7 +22,8 @@ What keeps the work near the input's size:
 
 The sketch counts every distinct shingle of every document. It has a cell for about TOKENS_A_CELL tokens, as the input's size tells, and at most
 MOST_CELLS, so what is broadcast is bounded. Tokens that share a cell share a count; an order need not be exact to be safe, only the same for all. A token of
-d documents stands out of the rarest fifth once d is some roots of the mean count of a cell.
+d documents stands out of the rarest fifth once d is some roots of the mean count of a cell. Whether a token is so common that its classes are sliced is told above what a cell
+holds anyhow, so tokens that nobody shares are dropped at any size of the input.
 
 Defined results: null or empty text, or text without words, has an empty set (n_shingles 0), takes no part in the index and links with nothing; with fewer than
 SHINGLE words the whole sequence is the one shingle; very long texts are taken whole (a worker holds a few numbers per word of one text, and the sets of one block);
@@ -259,9 +260,15 @@ def rare_first(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[at], n[at].astype(np.int64)
 
 
-def _postings(docs: DataFrame, sketch) -> DataFrame:
+def very_common(counts: np.ndarray) -> int:
+    """The count from which a token's classes are dealt over slices. A cell also counts what other tokens add to it, about as much as the median cell holds, which grows with the
+    input once there are MOST_CELLS; so the bound lies above that, and a token that isn't sliced has fewer classes than it."""
+    return SLICE + 2 * int(np.median(counts))
+
+
+def _postings(docs: DataFrame, sketch, least: int) -> DataFrame:
     """(token, cell, cid, need) of the index prefixes' tokens; cell: a very common token's slice of classes, else 0; need: how many of its
-    prefix tokens a class shares with any that it can link with."""
+    prefix tokens a class shares with any that it can link with. least: the count in the sketch from which a token is very common."""
     per = SLICE
 
     def run(batches):
@@ -281,7 +288,7 @@ def _postings(docs: DataFrame, sketch) -> DataFrame:
                     t, n = rare_first(s, counts)
                     t, n = t[: prefix_size(len(s)) + extra(len(s))], n[: prefix_size(len(s)) + extra(len(s))]
                     tokens.append(t)
-                    slices.append(np.where(n >= per, 1 + np.int64((int(cid) & 0x7FFFFFFF)) % (n // per + 1), 0))
+                    slices.append(np.where(n >= least, 1 + np.int64((int(cid) & 0x7FFFFFFF)) % (n // per + 1), 0))
                     ids.append(np.full(len(t), cid))
                     needs.append(np.full(len(t), 1 + extra(-(-PERCENT * len(s) // 100)), np.int32))  # the smallest partner has so many extra tokens
                 if tokens:
@@ -310,7 +317,7 @@ def _stars(postings: DataFrame) -> DataFrame:
     p = stage(p.filter("cell > 0 or lo < cid").select("token", "cell", "cid", "lo"), "shared")
     inner = p.filter("lo < cid").select(F.col("lo").alias("u"), F.col("cid").alias("v"))
     centres = p.filter("cell > 0").select("token", "lo").distinct()
-    outer = centres.withColumn("m", F.min("lo").over(W.partitionBy("token"))).filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
+    outer = centres.join(centres.groupBy("token").agg(F.min("lo").alias("m")), "token").filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
     return inner.unionByName(outer)
 
 
@@ -321,9 +328,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     size = src.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     own, counts = _profiles(src, cell_count(size.bytes))
     sketch = docs.sparkSession.sparkContext.broadcast(counts)  # at most MOST_CELLS * 4 bytes
+    least = very_common(counts)
     del counts
     release()
-    cand = stage(components(_stars(_postings(src, sketch))).select(F.col("node").alias("cid"), F.col("component").alias("g")), "candidates")
+    cand = stage(components(_stars(_postings(src, sketch, least))).select(F.col("node").alias("cid"), F.col("component").alias("g")), "candidates")
     # classes of equal sets
     classes = own.filter("n > 0 and doc is not null").groupBy("fp", "cid", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k"))
     classes = stage(classes, "classes")

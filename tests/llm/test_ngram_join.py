@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pixelloom.llm import graph
 from pixelloom.llm import ngram_join as nj
@@ -167,3 +168,31 @@ def test_edges(spark):
     assert nj.digests(df.limit(0)).count() == 0
     kept = nj.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 3, 9]
+
+
+def test_a_full_sketch_slices_no_rare_token(spark, monkeypatch):
+    """Where every cell is full of other tokens, only tokens that stand out are sliced, and links stay the same."""
+    counts = np.full(1 << 16, 50_000, np.uint32)
+    counts[7] = 5_000_000
+    assert 50_000 < nj.very_common(counts) <= 110_000 and nj.very_common(np.zeros(8, np.uint32)) == nj.SLICE
+    monkeypatch.setattr(nj, "LEAST_CELLS", 64)
+    monkeypatch.setattr(nj, "SLICE", 3)
+    monkeypatch.setattr(nj, "cell_count", lambda n: 64)
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(80):
+        w = [f"w{k}" for k in rng.integers(0, 5000, 60)] if i % 4 == 0 else w
+        rows.append((i, " ".join(w + ["the same five words end"] * (i % 3 == 0))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = spark.sparkContext.broadcast(np.full(64, 1000, np.uint32))
+    posted = nj._postings(df.select(F.col("doc_id").alias("id"), "text"), sketch, nj.very_common(sketch.value))
+    assert posted.filter("cell > 0").count() == 0 and nj._shared(posted).count() < posted.count()
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    top = {}
+    for i in sets:
+        for j in sets:
+            if j <= i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                top[i] = top.get(j, j)
+                break
+    assert {r.doc_id: r.component_id for r in nj.digests(df).collect()} == top
