@@ -133,7 +133,7 @@ ARROW_BYTES = 6 << 20
 def small_batches(spark: SparkSession) -> None:
     """Sets the size of Arrow batches, unless the session has set its own. Spark reads it when a plan runs."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, str(64 << 20), "64m", "64MB", "67108864b"):
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 

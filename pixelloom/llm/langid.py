@@ -9,7 +9,8 @@ vector of FEATURES numbers, so the driver's share is bounded whatever the texts'
 
 Defined results: null text, or text without a letter, is `und` with score 0 and not ambiguous; without any labelled row all texts are `und`; with one
 language every text with letters is that language; equal texts get equal results (ties go to the language first by code point); rows with null id take part in prediction
-and never in training; other columns are kept, and one that has the name of an output is replaced.
+and never in training; a label of few rows keeps at least one text in the sample; other columns are kept, and one that has the name of an output is replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,16 +130,17 @@ def fit(x: np.ndarray, y: list[str]) -> Model | None:
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> Model | None:
-    """A model from about max_rows of the rows with text and label, evenly by label; the copies of a text count as one."""
+    """A model from about max_rows of the rows with text and label, evenly by label and at least one of each; the copies of a text count as one."""
     rows = labelled.select(ref(id_col).alias("id"), ref(text_col).alias("text"), ref(label_col).alias("label")).filter("id is not null and text is not null and label is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("h").alias("n")).collect()}
+    found = rows.groupBy("label").agg(F.count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # a row for each label
+    counts, least = {r.label: r["n"] for r in found}, F.create_map(*[F.lit(x) for r in found for x in (r.label, r.least)])
     if not counts:
         return None
     each = max(1, max_rows // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
     u = F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.filter(u < F.element_at(share, F.col("label")))
+    some = rows.filter((u < F.element_at(share, F.col("label"))) | (F.col("h") == F.element_at(least, F.col("label"))))
     one = some.groupBy("label", "h").agg(F.min("id").alias("id"))  # about max_rows rows, whatever the number of copies
     some = some.join(F.broadcast(one), ["label", "h", "id"], "left_semi")
     sent = append_arrow(some.select("label", "text"), [F.col("text")], [("x", T.BinaryType())], lambda cols: [pa.array([v.tobytes() for v in profiles(cols[0]).astype(np.float16)], pa.binary())])

@@ -125,7 +125,7 @@ _AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordEncoder:
     """Ids of texts as the tokenizer gives them. It splits texts only where white space follows another character."""
 
-    def __init__(self, path: str, most: int = CACHE, plain: bool = True):
+    def __init__(self, path: str, most: int = CACHE, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
@@ -231,10 +231,10 @@ def _encoder(path: str, plain: bool) -> WordEncoder:
 # ---- writing and reading ----------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, plain: bool = True) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, plain: bool = False) -> DataFrame:
     """Writes the token-id files and gives their list, already written: part, seq (their order), uri, n_docs, n_ids.
 
-    plain: special tokens' strings in a text are ordinary text; the library's own default is that they are the tokens."""
+    plain: special tokens' strings in a text are ordinary text; by default they are the tokens, as in the library."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -295,5 +295,5 @@ def read(files: DataFrame, *, ids_too: bool = True) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Ids are those of the library's encode(text, add_special_tokens=False) with nothing else set."""
-    files = write(docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "tokens"), tokenizer, plain=False)
+    files = write(docs.select("doc_id", "text"), scratch_path(docs.sparkSession, "tokens"), tokenizer)
     return read(files, ids_too=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -81,3 +81,41 @@ def test_copies_do_not_use_up_the_sample(spark, monkeypatch):
         mine = [v for k, v in seen if k == label]
         assert 30 <= len(set(mine)) and len(mine) <= 75
     assert langid.MAX_ROWS == 2000
+
+
+def brute_decode(model, x):
+    """The nearest codeword of each row by its summed loss, one number at a time."""
+    out = []
+    for row in x:
+        margins = [float(sum(float(a) * float(b) for a, b in zip(row, model.weights[:-1, k]) if a)) + float(model.weights[-1, k]) for k in range(model.code.shape[1])]
+        loss = [sum(float(t) * np.log1p(np.exp(-m * float(c))) for m, c, t in zip(margins, word, model.trust)) for word in model.code]
+        best = min(range(len(loss)), key=lambda k: loss[k])
+        sharp = [np.exp(-(v - loss[best]) * model.code.shape[1]) for v in loss]
+        out.append((model.labels[best], 1 / sum(sharp), sorted(loss)[1] - loss[best]))
+    return out
+
+
+def test_decoding_against_brute_force(spark):
+    d = docs(spark, 240, 6)
+    model = langid.trained_on_rest(d)
+    some = d.filter("doc_id % 3 = 0")
+    got = {r.doc_id: r for r in langid.identify(some, model).collect()}
+    rows = some.collect()
+    x = np.stack([langid.profile(np.frombuffer(r.text.encode(), np.uint8)) for r in rows])
+    for r, (label, score, gap) in zip(rows, brute_decode(model, x)):
+        assert got[r.doc_id].lang_pred == label and got[r.doc_id].score == pytest.approx(score, rel=1e-3)
+        assert got[r.doc_id].ambiguous == (gap < langid.NEAR) or abs(gap - langid.NEAR) < 1e-4
+
+
+def test_codewords_are_far_apart():
+    for n in range(2, 13):
+        code = langid.codewords(n)
+        apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
+        assert set(np.unique(code)) <= {-1, 1} and min(apart) >= max(1, code.shape[1] // 4)
+
+
+def test_more_labels_than_rows(spark):
+    d = docs(spark, 300, 6)
+    model = langid.train(d, max_rows=3)
+    assert model.labels == sorted(VOCAB)
+    assert langid.digests(d.limit(0)).count() == 0

@@ -11,7 +11,7 @@ from pixelloom.llm import tokenfile
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
 WHOLE.encode_special_tokens = True
-CACHED = tokenfile.WordEncoder(PATH)
+CACHED = tokenfile.WordEncoder(PATH, plain=True)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=70))
@@ -35,7 +35,7 @@ def test_files(spark, tmp_path):
     docs = spark.createDataFrame([(i * 7 % 5 + i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, IDS int")
     old, tokenfile.FILE_IDS = tokenfile.FILE_IDS, 5
     try:
-        files = tokenfile.write(docs, f"file://{tmp_path}/t", PATH)
+        files = tokenfile.write(docs, f"file://{tmp_path}/t", PATH, plain=True)
     finally:
         tokenfile.FILE_IDS = old
     rows = {r.doc_id: r for r in tokenfile.read(files).collect()}
