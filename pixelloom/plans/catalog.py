@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixel import A, FLAT, SCALE, region, yymm
-from ..operators import blocks, imagery, labels, metrics, model, polygons, raster, sampling, satellite, terrain
+from ..operators import blocks, imagery, labels, metrics, model, polygons, raster, render, sampling, satellite, terrain
 from ..sources import fixtures as fx
 from ..sources import filesink, geotiff, layout, rasters, sinks
 from . import jobs
@@ -560,6 +560,31 @@ def submission_scores(spark, d):
     return x.select("tile_id", "n_pred", "n_gt", *rounded("union_iou", "polygon_recall", "polygon_fpr_proxy"))
 
 
+@query(w(*LABELS, "dates", "prob", fg_sql("fg", 0.4), erode_sql("e1", "fg", 1), dilate_sql("o1", "e1", 1), dilate_sql("d1", "o1", 1), erode_sql("c1", "d1", 1), comps_sql("co", "c1"), step_sql("co"), recursive=True,
+         last="SELECT c.tile_id, c.comp_id, c.tile_id AS told, CAST(time_step AS BIGINT) AS time_step, round(n_px * 100.0 / 10000, 9) AS area_ha, 'Polygon' AS kind FROM (SELECT tile_id, comp_id, count(*) AS n_px FROM co GROUP BY 1, 2 HAVING count(*) >= 2) c LEFT JOIN st ON st.tile_id = c.tile_id AND st.comp_id = c.comp_id"))
+def submission_properties(spark, d):
+    """What the text of the features tells, but for their coordinates."""
+    told = lambda path, kind: F.get_json_object("feature", path).cast(kind)
+    return submission_geojson(spark, d).select("tile_id", "comp_id", told("$.properties.tile_id", "string").alias("told"), told("$.properties.time_step", "long").alias("time_step"), F.round(told("$.properties.area_ha", "double"), 9).alias("area_ha"), told("$.geometry.type", "string").alias("kind"))
+
+
+@query(w("prob", fg_sql("fg", 0.4), erode_sql("e1", "fg", 1), dilate_sql("o1", "e1", 1), dilate_sql("d1", "o1", 1), erode_sql("c1", "d1", 1), *run_comps_sql("co", "c1"),
+         """pk AS (SELECT tile_id, "row", "col" FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp_id) AS px FROM co) WHERE px >= 2)""", """b AS (SELECT tile_id, max("row") + 1 AS h, max("col") + 1 AS w FROM prob GROUP BY 1)""",
+         """nb AS (SELECT tile_id, "row" + dr AS y, "col" + dc AS x, count(*) AS n FROM pk, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc) GROUP BY 1, 2, 3 HAVING count(*) < 4)""",
+         """ln AS (SELECT DISTINCT tile_id, least(y, h - 1) AS "row", least(x, w - 1) AS "col" FROM nb JOIN b USING (tile_id))""", """g AS (SELECT tile_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS "col" FROM (SELECT tile_id, w, unnest(range(0, h)) AS r FROM b) q, (SELECT unnest(range(0, 50)) AS c) z WHERE c < w)""",
+         recursive=True, last="""SELECT tile_id, "row", "col", CAST(CASE WHEN ln.tile_id IS NOT NULL THEN 255 ELSE coalesce(floor(255 * least(greatest(prob, 0), 1)), 0) END AS INT) AS r, CAST(CASE WHEN ln.tile_id IS NOT NULL THEN 40 ELSE coalesce(floor(255 * least(greatest(1 - prob, 0), 1)), 0) END AS INT) AS g, CAST(CASE WHEN ln.tile_id IS NOT NULL THEN 40 WHEN forest THEN 127 ELSE 0 END AS INT) AS b
+  FROM g LEFT JOIN prob USING (tile_id, "row", "col") LEFT JOIN ln USING (tile_id, "row", "col")"""))
+def submission_pictures(spark, d):
+    """Tiles as PNG files with the polygons' outlines on them, read back as pixels."""
+    p = fx.prob(spark, d)
+    comps = cut(raster.large(raster.cleaned(p, least=_POLY["least"], open_n=_POLY["open_n"], close_n=_POLY["close_n"], height=H, width=Wd), min_ha=_POLY["min_ha"]))
+    rgb = p.select(*PIXEL, F.col("prob").alias("x"), (1 - F.col("prob")).alias("y"), F.when(F.col("forest"), 0.5).otherwise(0.0).alias("z"))
+    folder = shared_folder(spark, "pictures")
+    render.write_pictures(render.pictures(rgb, raster.outlines(comps).select("tile_id", "rings"), ["x", "y", "z"], _utm_tiles(spark, d)), folder)
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"/([^/]+)\.png$", 1).alias("tile_id"), "content")
+    return render.pixels(files)
+
+
 @query(w("tiles", last="""SELECT tile_id, '{"type":"Feature","properties":{"name":"' || tile_id || '"},"geometry":null}' AS feature FROM (SELECT DISTINCT tile_id FROM tiles)"""))
 def tiles_geojson(spark, d):
     return sinks.tile_features(fx.tiles(spark, d).select("tile_id").distinct()).select("tile_id", "feature")
@@ -691,14 +716,33 @@ def tile_lonlat_bounds(spark, d):
     return terrain.lonlat_bounds(_utm_tiles(spark, d)).select("tile_id", *rounded("w", "s", "e", "n"))
 
 
-@query()
+def to_utm_sql() -> str:
+    """East and north (x, y) of points gd (tile_id, row, col, zone, lon, lat) of the north, by the same series."""
+    n = FLAT / (2 - FLAT)
+    r = SCALE * A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    ecc = 2 * n**0.5 / (1 + n)
+    d = lambda v: f"({v!r}::DOUBLE)"
+    sinh, cosh = lambda v: f"((exp({v}) - exp(-({v}))) / 2)", lambda v: f"((exp({v}) + exp(-({v}))) / 2)"
+    atanh = lambda v: f"(ln((1 + ({v})) / (1 - ({v}))) / 2)"
+    x = "eta" + "".join(f" + {d(a)} * cos({2 * k} * xi) * {sinh(f'{2 * k} * eta')}" for k, a in enumerate(alpha, 1))
+    y = "xi" + "".join(f" + {d(a)} * sin({2 * k} * xi) * {cosh(f'{2 * k} * eta')}" for k, a in enumerate(alpha, 1))
+    arc = f"{atanh('sin(phi)')} - {d(ecc)} * {atanh(f'{d(ecc)} * sin(phi)')}"
+    return f"""v1 AS (SELECT *, radians(lat) AS phi, radians(lon - (zone * 6 - 183)) AS away FROM gd), v2 AS (SELECT *, {sinh(arc)} AS t FROM v1), v3 AS (SELECT *, atan2(t, cos(away)) AS xi, {atanh('sin(away) / sqrt(1 + t * t)')} AS eta FROM v2),
+g AS (SELECT tile_id, "row", "col", ({d(r)} * ({x})) / 10 AS u, ({d(r)} * ({y}) - 400000) / -10 AS v FROM v3)"""
+
+
+@query(w("prob", "dem", _EDGE, utm_sql(), "bx AS (SELECT tile_id, zone, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM ll JOIN b USING (tile_id) GROUP BY 1, 2)",
+         """gd AS (SELECT tile_id, zone, CAST(r AS INT) AS "row", CAST(c AS INT) AS "col", w + 8 * ((e - w) / 40) + (c + 0.5::DOUBLE) * ((e - w) / 40) AS lon, n - 8 * ((n - s) / 40) - (r + 0.5::DOUBLE) * ((n - s) / 40) AS lat FROM bx, (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 24)) AS c))""",
+         to_utm_sql(), """h AS (SELECT g.tile_id, g."row", g."col", elevation AS z, (1 - abs(d."row" - (v - 0.5::DOUBLE))) * (1 - abs(d."col" - (u - 0.5::DOUBLE))) AS k FROM g JOIN dem d ON d.tile_id = g.tile_id AND abs(d."row" - (v - 0.5::DOUBLE)) < 1 AND abs(d."col" - (u - 0.5::DOUBLE)) < 1)""",
+         last="""SELECT g.tile_id, g."row", g."col", round(coalesce(sum(z * k) / sum(k), 0), 3) AS elevation FROM g LEFT JOIN h USING (tile_id, "row", "col") GROUP BY 1, 2, 3"""))
 def warp_between_systems(spark, d):
-    """Elevation on a grid in degrees, laid over each tile's middle, from the tile's own in metres."""
+    """Elevation on a grid in degrees, laid over each tile's middle, from the tile's own in metres. To three places, as both sides' series differ in their last digits."""
     t = terrain.lonlat_bounds(_utm_tiles(spark, d)).join(_utm_tiles(spark, d).select("tile_id", "zone"), "tile_id")
     step = lambda lo, hi: (F.col(hi) - F.col(lo)) / 40
     grid = _target(spark, d).join(F.broadcast(t.select("tile_id", "zone", step("w", "e").alias("ga"), (F.col("w") + 8 * step("w", "e")).alias("gc"), (-step("s", "n")).alias("ge"), (F.col("n") - 8 * step("s", "n")).alias("gf"))), "tile_id")  # a row for each tile
     to = (F.col("ga"), 0.0, F.col("gc"), 0.0, F.col("ge"), F.col("gf"))
-    return terrain.warp_bilinear(fx.dem(spark, d), grid, to, (10.0, 0.0, 500000.0, 0.0, -10.0, 400000.0), ["elevation"], (F.lit(4326), F.lit(32600) + F.col("zone"))).select(*PIXEL, *rounded("elevation"))
+    return terrain.warp_bilinear(fx.dem(spark, d), grid, to, (10.0, 0.0, 500000.0, 0.0, -10.0, 400000.0), ["elevation"], (F.lit(4326), F.lit(32600) + F.col("zone"))).select(*PIXEL, F.round("elevation", 3).alias("elevation"))
 
 
 # ---- pictures ---------------------------------------------------------------------------------------------------
