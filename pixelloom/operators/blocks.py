@@ -19,6 +19,16 @@ PLACE = [*"abcdef", "epsg"]
 BLOCK = "row0 int, col0 int, rows int, cols int, bands int, data binary"
 
 
+def _compact(x: np.ndarray) -> bytes:
+    """Numbers for an exchange: in single precision where that is exact, as rasters mostly are."""
+    small = x.astype("<f4")
+    return small.tobytes() if np.array_equal(small, x, equal_nan=True) else x.astype("<f8").tobytes()
+
+
+def _loose(data: bytes, bands: int, rows: int, cols: int) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if len(data) == 4 * bands * rows * cols else "<f8").reshape(bands, rows, cols)
+
+
 def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {rest}"
 
@@ -113,9 +123,9 @@ def warp(blocks: DataFrame, places: DataFrame, *, bilinear: bool, empty: float |
                             continue
                         ra, rb, ca, cb = max(r0, need[0]), min(r0 + x["rows"], need[1]), max(c0, need[2]), min(c0 + x["cols"], need[3])
                         if ra < rb and ca < cb:
-                            part = np.ascontiguousarray(data[:, ra - r0 : rb - r0, ca - c0 : cb - c0])
+                            part = data[:, ra - r0 : rb - r0, ca - c0 : cb - c0]
                             cells = [pa.array([v], pa.int32()) for v in (tr, tc, ra, ca, rb - ra, cb - ca, x["bands"])]
-                            yield pa.RecordBatch.from_arrays([*_key_columns(tuple(x[k] for k in keys), key_schema), *cells, pa.array([part.tobytes()], pa.binary())], names)
+                            yield pa.RecordBatch.from_arrays([*_key_columns(tuple(x[k] for k in keys), key_schema), *cells, pa.array([_compact(part)], pa.binary())], names)
 
     parts = blocks.join(places, keys).mapInArrow(crop, cut_schema)  # a row for each raster, by Spark's size check
     grid = places.withColumn("t_row", F.explode(F.sequence(F.lit(0), F.col("t_height") - 1, F.lit(side)))).withColumn("t_col", F.explode(F.sequence(F.lit(0), F.col("t_width") - 1, F.lit(side))))
@@ -135,7 +145,7 @@ def warp(blocks: DataFrame, places: DataFrame, *, bilinear: bool, empty: float |
         if need and right.num_rows:
             data = np.full((x["n_bands"], need[1] - need[0], need[3] - need[2]), np.nan)
             for p in right.to_pylist():
-                data[:, p["row0"] - need[0] : p["row0"] - need[0] + p["rows"], p["col0"] - need[2] : p["col0"] - need[2] + p["cols"]] = _tensor(p["data"], p["bands"], p["rows"], p["cols"])
+                data[:, p["row0"] - need[0] : p["row0"] - need[0] + p["rows"], p["col0"] - need[2] : p["col0"] - need[2] + p["cols"]] = _loose(p["data"], p["bands"], p["rows"], p["cols"])
             v, u = target.inside(source, rows + 0.5, cols + 0.5)
             got, _ = (w.bilinear if bilinear else w.nearest)(data, v - need[0], u - need[2])
         if empty is not None:

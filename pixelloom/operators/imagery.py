@@ -35,7 +35,7 @@ def pick_scene(scenes: DataFrame, year: int | None, month: int | None) -> DataFr
 
 def scene_rgb(obs: DataFrame, picked: DataFrame, bands: list[str]) -> DataFrame:
     """The bands of each tile's picked scene (tile_id, year, month), values that are not above 0 as missing."""
-    x = obs.join(F.broadcast(picked.select("tile_id", "year", "month")), ["tile_id", "year", "month"], "left_semi")  # a row for each tile
+    x = obs.join(picked.select("tile_id", "year", "month"), ["tile_id", "year", "month"], "left_semi")  # a row for each tile
     return x.select(*PIXEL, "year", *[F.when(F.col(b) > 0, F.col(b)).alias(b) for b in bands])
 
 
@@ -45,7 +45,7 @@ def basemap(obs: DataFrame, bands: list[str], *, mode: str = "median", year: int
         last = W.partitionBy("tile_id")
         years = obs.select("tile_id", "year").distinct()
         years = years.filter(F.col("year") == year) if year is not None else years.withColumn("y", F.max("year").over(last)).filter("year = y").drop("y")
-        rgb = median_composite(obs.join(F.broadcast(years), ["tile_id", "year"], "left_semi"), bands)
+        rgb = median_composite(obs.join(years, ["tile_id", "year"], "left_semi"), bands)
     else:
         rgb = scene_rgb(obs, pick_scene(obs, year, month), bands)
     return stretch(rgb.select(*PIXEL, *bands), bands, ["tile_id"])

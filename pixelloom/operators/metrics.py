@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.staging import cut
 from . import raster
 
 PIXEL = ["tile_id", "row", "col"]
@@ -82,6 +83,7 @@ def grid_search(prob: DataFrame, true: DataFrame, tiles: DataFrame, *, threshold
     base = prob.filter(F.col("prob") >= F.lit(float(min(thresholds)))).select(*PIXEL, "prob", *raster.named(height, width, pixel_m2), options("threshold", thresholds, "double")).filter("prob >= threshold").drop("prob")
     comps = raster.shapes(base, list(opens), list(closes), height, width)
     settings = ["threshold", "open_n", "close_n"]
+    comps = cut(comps)  # read by each count below
     kept = comps.select("*", options("min_ha", areas, "double")).filter(F.col("n_px") * raster.as_column(pixel_m2) / 10000 >= F.col("min_ha")).drop("n_px", "head")
     every = [(i, float(t), o, c, float(a)) for i, (t, o, c, a) in enumerate((t, o, c, a) for t in thresholds for o in opens for c in closes for a in areas)]
     combos = prob.sparkSession.createDataFrame(every, "combo int, threshold double, open_n int, close_n int, min_ha double")

@@ -42,7 +42,7 @@ def _with_years(x: DataFrame | None, rel: Relations, base_year: int | None, last
         years = years.join(has, "tile_id", "left").withColumn("base_year", F.when(F.col("has"), F.lit(base_year)).otherwise(F.col("base_year"))).drop("has")
     if last_year is not None:
         years = years.withColumn("last_year", F.lit(last_year))
-    return x.join(F.broadcast(years), "tile_id")  # a row for each tile
+    return x.join(years, "tile_id")  # a row for each tile, by Spark's size check
 
 
 def features(rel: Relations, base_year: int | None = None, last_year: int | None = None, dims: int = 64) -> DataFrame:
@@ -197,7 +197,7 @@ def cross_validate(
         mine = F.col("tile_id").isin(good)
         prob = predict(fitted, feats.filter(mine), forest.filter(mine))
         comps = raster.cleaned(at(prob), least=p.least, open_n=p.open_n, close_n=p.close_n, height=height, width=width, keys=raster.named(pixel_m2))
-        kept = raster.large(comps, min_ha=p.min_ha, pixel_m2=pixel_m2)
+        kept = cut(raster.large(comps, min_ha=p.min_ha, pixel_m2=pixel_m2))
         got = metrics.evaluate(kept, truth.filter(mine), forest.filter(mine).select("tile_id").distinct())
         return [(name, r.tile_id, *[r[c] for c in cols], None) for r in got.orderBy("tile_id").collect()]
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixel import utm_to_lonlat
+from ..plans.staging import cut
 
 
 def lonlat_rings(polygons: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def tile_features(tiles: DataFrame) -> DataFrame:
 def write_geojson(feats: DataFrame, path: str, *, one_file: bool = True) -> None:
     """A FeatureCollection as lines of text, in order of tile and component; the text files of the folder, read one after the other by name, are the document.
 
-    one_file: a single task sorts the lines and writes one file, a line at a time, so the document is never built in memory; without it lines are ranged over
+    filesink.write_document writes the same document from many tasks. one_file: a single task sorts the lines and writes one file, a line at a time, so the document is never built in memory; without it lines are ranged over
     tasks by their key, and every task writes its own."""
-    spark = feats.sparkSession
+    spark, feats = feats.sparkSession, cut(feats)
     first = feats.agg(F.min(F.struct("tile_id", "comp_id")).alias("k")).first().k
     line = lambda part, text: spark.createDataFrame([(part, text)], "part int, line string").coalesce(1).select("part", F.lit("").alias("tile_id"), F.lit(0).cast("long").alias("comp_id"), "line")
     lead = (F.col("tile_id") == first["tile_id"]) & (F.col("comp_id") == first["comp_id"]) if first else F.lit(False)

@@ -110,6 +110,36 @@ def test_warp_equals_pixels(spark, bilinear):
         assert set(w) == set(g) and all(g[k] == pytest.approx(w[k], abs=1e-9) for k in w) and len({round(v, 6) for v in g.values()}) > 100
 
 
+def shuffled(spark, df):
+    """Bytes that a query's stages write for exchanges."""
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    seen = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))}
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = seen()
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in seen().items() if k not in before)
+
+
+def test_warp_exchanges_little(spark):
+    """A fifth at most of what a warp of pixel rows exchanges, for rasters that are there as blocks; less than it from pixels on."""
+    rng = np.random.default_rng(6)
+    src = spark.createDataFrame([("18NWA_0", r, c, float(np.float32(rng.normal()))) for r in range(200) for c in range(200)], PX + ", z double").cache()
+    target, source = (25.0, 0.0, -40.0, 0.0, -25.0, 60.0), (10.0, 0.0, 0.0, 0.0, -10.0, 0.0)
+    place = spark.createDataFrame([("18NWA_0", 200, 200, *source, None, 90, 90, *target, None)], "tile_id string, height int, width int, a double, b double, c double, d double, e double, f double, epsg int, t_height int, t_width int, t_a double, t_b double, t_c double, t_d double, t_e double, t_f double, t_epsg int")
+    packed = blocks.pack(src, ["z"]).cache()
+    packed.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else the small side of a fixture isn't exchanged at all
+    try:
+        pixels = shuffled(spark, terrain.warp_bilinear(src, terrain.target_grid(src, 90, 90), target, source, ["z"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    own = shuffled(spark, blocks.warp(packed, place, bilinear=True, empty=0.0))
+    packing = shuffled(spark, blocks.pack(src, ["z"]))
+    assert 0 < own <= pixels / 5
+    assert own + packing < pixels
+
+
 def test_slope_equals_pixels(spark):
     rng = np.random.default_rng(4)
     z = rng.normal(size=(9, 7))
