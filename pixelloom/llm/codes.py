@@ -50,7 +50,15 @@ def integers(vectors: DataFrame, vector_col: str, id_col: str, label_col: str) -
 
 def first_codebook(rows: DataFrame, parts: int, entries: int) -> np.ndarray:
     """(part, entry, position): the parts of the smallest ids' vectors."""
-    ids = [r.id for r in rows.select("id").filter("id is not null").distinct().orderBy("id").limit(entries).collect()]
+
+    def least(batches):  # a task's smallest distinct ids
+        held = np.empty(0, np.int64)
+        for b in batches:
+            held = np.unique(np.concatenate([held, b.column(0).to_numpy()]))[:entries]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], ["id"])
+
+    some = rows.select("id").filter("id is not null").mapInArrow(least, "id long")
+    ids = [r.id for r in some.distinct().orderBy("id").limit(entries).collect()]
     if not ids:
         raise ValueError("no row has an id to start a codebook from")
     own = rows.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min("x").alias("x")).collect()  # `entries` rows
