@@ -15,8 +15,9 @@ Hot passages: a worker resolves by itself what documents of its batch share, and
 an anchor that many documents share two rows go to the anchor's task, and of a window the least document's, so a passage that a third of
 all rows hold costs a few rows per task. Rows that are already resolved go to their document's task and meet no other key.
 
-Two windows count as equal if the 64-bit hashes of all their words are; anchors only decide what is looked up. An anchor's blocks in different contexts
-meet in one task, so a common gram costs what its places do (a gram that is one word in 100,000 is the anchor of about one block in as many).
+Two windows count as equal if the 64-bit hashes of all their words are; anchors only decide what is looked up. An anchor that stands in very many contexts (a line that a third
+of all rows hold) would bring all of them to one task: such anchors are found in a sample of SAMPLE documents, those of more than one block in HEAVY, and their windows go
+each by its own hash instead. The list has HEAVY entries at most; it decides where windows meet, never which.
 
 Defined results: null or empty text has no words and loses none; a document with fewer words than a window loses none; very long texts are parsed whole (a
 worker holds one text and a few numbers per word of it); references are documents with a smaller id only, so rows that
@@ -33,12 +34,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_BYTES, WordHasher, append_arrow, grams, lists, mix64, ref, small_batches, text_bytes
+from .common import ARROW_BYTES, HEAVY, WordHasher, append_arrow, grams, lists, mix64, ref, small_batches, text_bytes
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = ARROW_BYTES
 #: Anchors, and windows with their leaders, that a task remembers; beyond, it forgets the older ones and sends some rows more.
 SEEN = 1 << 20
+#: Documents of the sample that tells very common anchors, and the share of blocks, one in HEAVY, from which an anchor is one.
+SAMPLE = 4000
 _POS = np.uint64((1 << 24) - 1)
 #: at: for each block of the anchor in the document, position << 5 | number of windows << 1 | whether it is known to be shared.
 BLOCKS = "key long, doc long, at array<long>"
@@ -89,10 +92,11 @@ def _found(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockSender:
-    """The rows of BLOCKS for a task's batches."""
+    """The rows of BLOCKS for a task's batches. common: anchors that documents are known to share, ascending."""
 
-    def __init__(self):
-        self.hot = np.empty(0, np.uint64)  # anchors that documents of this task share, ascending
+    def __init__(self, common: np.ndarray):
+        self.common = common
+        self.hot = common  # anchors that documents of this task share, ascending
 
     def __call__(self, ids: np.ndarray, words: np.ndarray, begin: np.ndarray) -> list[pa.Array] | None:
         if len(words) < WINDOW:
@@ -116,7 +120,7 @@ class BlockSender:
             shared = np.repeat(two, last - first + 1)
             shared[first[two]] = shared[last[two]] = False
             sure[order[shared]] = True
-            self.hot = np.union1d(self.hot if len(self.hot) < SEEN else self.hot[:0], key[order[first[two]]])
+            self.hot = np.union1d(self.hot if len(self.hot) < SEEN else self.common, key[order[first[two]]])
         key = np.where(sure, mix64(doc.astype(np.uint64) * np.uint64(31)), key)
         # one row for a document's blocks of an anchor: a line that a text repeats is no more rows than one that it has once
         order = np.lexsort((pos, doc, key))
@@ -126,9 +130,10 @@ class BlockSender:
 
 
 class WindowSender:
-    """The rows of WINDOWS for a task's batches: blocks of windows to look up (hs), and runs of windows that are resolved (n > 0)."""
+    """The rows of WINDOWS for a task's batches: blocks of windows to look up (hs), and runs of windows that are resolved (n > 0). common: anchors whose windows go each by its own hash."""
 
-    def __init__(self):
+    def __init__(self, common: np.ndarray):
+        self.common = common
         self.h, self.doc, self.pos = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # leaders, by hash
 
     def __call__(self, ids: np.ndarray, words: np.ndarray, begin: np.ndarray, at: np.ndarray, counts: np.ndarray) -> list[pa.Array] | None:
@@ -167,14 +172,16 @@ class WindowSender:
         n = np.diff([*c, len(z)])
         z = z[c]
         p, g = anchors(words)
-        a = runs(p[i[left]], r[left], i[left] - np.arange(len(left)))
+        own, alone = g[p[i[left]]], _found(g[p[i[left]]], self.common)[0]
+        own = np.where(alone, mix64(h[left]), own)
+        a = runs(p[i[left]], own, r[left], i[left] - np.arange(len(left)))
         count = np.concatenate([np.diff([*a, len(left)]), np.zeros(len(z), np.int64)])
         f = left[a]
         hashes = lists(pa.array(h[left].view(np.int64)), count)
         none = np.zeros(len(f), np.int64)
         spread = mix64(doc[z].astype(np.uint64) * np.uint64(31) + pos[z].astype(np.uint64))
         return [
-            pa.array(np.concatenate([g[p[i[f]]], spread]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), hashes,
+            pa.array(np.concatenate([own[a], spread]).view(np.int64)), pa.array(np.concatenate([doc[f], doc[z]])), pa.array(np.concatenate([pos[f], pos[z]]).astype(np.int32)), hashes,
             pa.array(np.concatenate([none, n]).astype(np.int32)), pa.array(np.concatenate([none, lead_doc_of[z]])), pa.array(np.concatenate([none, lead_pos_of[z]]).astype(np.int32)),
         ]
 
@@ -204,11 +211,32 @@ def _told(columns: list[pa.Array] | None, names: list[str]):
             yield out.slice(a, 50_000)
 
 
-def shared_blocks(texts: DataFrame) -> DataFrame:
+def common_anchors(texts: DataFrame) -> np.ndarray:
+    """Anchors of more than one block in HEAVY, and of several documents, in a sample of about SAMPLE documents; ascending."""
+    share = F.pmod(F.xxhash64("_id", F.lit("anchors")), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, texts.count()))
+
+    def run(batches):
+        hasher = WordHasher()
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                words, begin = doc_words(b.column(1), hasher)
+                for a, e in zip(begin[:-1], begin[1:]):
+                    if e - a >= WINDOW:
+                        p, g = anchors(words[a:e])
+                        key, n = np.unique(g[p[runs(p)]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    found = texts.filter(share).select("_id", "_text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first().total
+    most = found.filter((F.col("docs") > 1) & (F.col("n") * HEAVY > total)).select("key").collect()  # HEAVY rows at most
+    return np.sort(np.array([r.key for r in most], np.int64).view(np.uint64))
+
+
+def shared_blocks(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """texts: _id, _text (neither null). doc, at: the blocks of each document whose anchors another document has too."""
 
     def run(batches):
-        hasher, send = WordHasher(), BlockSender()
+        hasher, send = WordHasher(), BlockSender(common)
         for whole in batches:
             for b in by_bytes(whole, 1):
                 words, begin = doc_words(b.column(1), hasher)
@@ -224,7 +252,7 @@ def flags(texts: DataFrame) -> DataFrame:
     """doc, found: for each document with duplicate windows the array of (pos, n, bits, ref_doc, ref_pos): n windows from pos on, or those of bits, and where they occur before."""
 
     def run(batches):
-        hasher, send = WordHasher(), WindowSender()
+        hasher, send = WordHasher(), WindowSender(common)
         for whole in batches:
             for b in by_bytes(whole, 1):
                 words, begin = doc_words(b.column(1), hasher)
@@ -232,7 +260,8 @@ def flags(texts: DataFrame) -> DataFrame:
                 counts = np.diff(at.offsets.to_numpy())
                 yield from _told(send(b.column(0).to_numpy(), words, begin, at.flatten().to_numpy(), counts), _NAMES)
 
-    blocks = shared_blocks(texts)
+    common = common_anchors(texts)
+    blocks = shared_blocks(texts, common)
     x = texts.join(blocks, texts["_id"] == blocks["doc"]).select("_id", "_text", "at").mapInArrow(run, WINDOWS)
     block = W.partitionBy("key")
     x = x.withColumn("lo", F.min("doc").over(block)).withColumn("hi", F.max("doc").over(block)).filter("n > 0 or lo < hi")

@@ -113,3 +113,26 @@ def test_windows_that_share_half_a_hash_are_not_equal(spark):
     assert [substring.anchors(w)[0].tolist() for w in words] == [[4], [4]]
     df = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring.digests(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_common_anchors(spark, monkeypatch):
+    """A line that all documents have, in other contexts each time, and exact passages: whether anchors are taken for common or not, the words removed are the same."""
+    r = random.Random(5)
+    line = " ".join(f"line{k}" for k in range(7))
+    passage = " ".join(f"pass{k}" for k in range(20))
+    rows = [(i, " ".join([*(f"u{r.random()}" for _ in range(15)), line, *(f"v{r.random()}" for _ in range(15)), *([passage] if i % 3 == 0 else [])])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = df.selectExpr("doc_id as _id", "text as _text")
+    few = substring.common_anchors(texts)
+    monkeypatch.setattr(substring, "HEAVY", 40)
+    fewer = substring.common_anchors(texts)
+    monkeypatch.setattr(substring, "HEAVY", 1 << 40)
+    every = substring.common_anchors(texts)
+    assert 0 < len(fewer) <= len(few) <= len(every) <= 20 and len(substring.common_anchors(texts.limit(0))) == 0
+    want = brute(rows)
+    for heavy in (1, 40, 1 << 40):
+        monkeypatch.setattr(substring, "HEAVY", heavy)
+        assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.digests(df).collect()} == want
+    rows = corpus(9, 70)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.digests(df).collect()} == brute(rows)
