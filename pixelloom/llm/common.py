@@ -103,7 +103,7 @@ def purge(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Gives the driver's freed memory back to the system: allocators keep what a large collected table took."""
+    """Gives a process's freed memory back to the system: allocators keep what a large table took, on the driver and in workers that wait for their next task."""
     import ctypes
     import gc
 
@@ -157,6 +157,7 @@ def append_arrow(df: DataFrame, inputs: list, outputs: list[tuple[str, T.DataTyp
                 b = whole.slice(a, rows)
                 got = fn([b.column(i) for i in range(n, b.num_columns)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *got], names)
+        release()
 
     out = src.mapInArrow(run, T.StructType(fields))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"o{i}").alias(c) for i, (c, _) in enumerate(outputs)])

@@ -192,6 +192,7 @@ def _verify(df: DataFrame) -> DataFrame:
                 held, many = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
+        release()
 
     dealt = df.select("g", "a", "b", "side", "doc", "s", "p").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
     return dealt.mapInArrow(run, "u long, v long")
@@ -234,6 +235,8 @@ def _profiles(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             mine = seen[part * per : (part + 1) * per]
             if mine.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], names)
+        del seen
+        release()
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}  # a partition holds some of the parts, whatever the number of tasks
@@ -294,6 +297,8 @@ def _postings(docs: DataFrame, sketch, least: int) -> DataFrame:
                 if tokens:
                     t = np.concatenate(tokens).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(slices).astype(np.int32)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(needs))], ["token", "cell", "cid", "need"])
+        del seen
+        release()
 
     return docs.filter("id is not null and text is not null").mapInArrow(run, "token long, cell int, cid long, need int")
 
@@ -363,6 +368,7 @@ def _linked(src: DataFrame, cand: DataFrame, classes: DataFrame, sketch) -> Data
                 own = list(sets(b.column(4), hasher))
                 rare = [np.sort(rare_first(s, counts)[0][: prefix_size(len(s))]).tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([s.tobytes() for s in own], pa.binary()), pa.array(rare, pa.binary())], names)
+        release()
 
     text = src.join(small(nodes, many), F.col("id") == F.col("doc"))
     held = stage(text.select("doc", "g", "nb", "blk", "text").mapInArrow(run, "doc long, g long, nb int, blk int, s binary, p binary"), "sets")
