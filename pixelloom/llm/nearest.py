@@ -3,8 +3,8 @@
 Vectors are scaled to length 1 and turned by one random rotation, so that every column block holds an even share of a distance. There are about as many lists as
 the root of the number of vectors, and every vector is put into its nearest one. Their centres come from k-means on a bounded sample on the driver; where the sample has too
 few rows for all lists (A_LIST for each), its centres are coarse, and under each of them k-means on a larger sample, which stays in the tasks, gives its share of the lists. How
-many lists a query probes is measured on the driver's sample: as many as hold TARGET of the neighbours that sampled vectors have among themselves, so clustered vectors need few
-and vectors without any order need most.
+many lists a query probes is measured: for about ASKED of the queries tasks find the true neighbours among all rows, and as many lists are probed as hold TARGET of these, so clustered vectors
+need few and vectors without any order need most, and queries that are unlike other rows count as what they are.
 
 Within a list the columns are read block by block: from the partial distance over the first t of d columns a test of hypotheses tells whether the
 whole distance can still beat the query's present k-th best, dist_t * d / t > best * (1 + EPS / sqrt(t)) ** 2 rejects, and a rejected
@@ -28,11 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, ref, stage
+from .common import append_arrow, ref, release, small_batches, stage
 
 #: The sample: vectors at most, and numbers in them at most.
 SAMPLE, SAMPLE_VALUES = 20_000, 1 << 21
-#: Vectors of the sample for each list at least; sampled queries that tell how many lists to probe, and the share of neighbours these must hold.
+#: Vectors of the sample for each list at least; about so many queries tell how many lists to probe, and the share of their neighbours that these must hold.
 A_LIST, ASKED, TARGET = 16, 500, 0.97
 EPS = 2.1
 COLUMNS = 16
@@ -92,8 +92,49 @@ def probes_for(x: np.ndarray, ids: np.ndarray, centres: np.ndarray, k: int, targ
     half = (centres * centres).sum(1) / 2
     of = (x.astype(np.float32) @ centres.T - half).argmax(1)
     rank = np.argsort(np.argsort(-(x[asked].astype(np.float32) @ centres.T - half), axis=1, kind="stable"), axis=1, kind="stable")
-    ranks = np.sort(np.take_along_axis(rank, of[top], 1)[top >= 0])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1 if len(ranks) else len(centres)
+    return enough(np.take_along_axis(rank, of[top], 1)[top >= 0], len(centres), target)
+
+
+def enough(ranks: np.ndarray, most: int, target: float = TARGET) -> int:
+    """How many lists hold the share `target` of neighbours in lists of these ranks."""
+    ranks = np.sort(ranks)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1 if len(ranks) else most
+
+
+def true_ranks(rows: DataFrame, q_id: np.ndarray, q: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """For each of the k nearest of all rows to each of q (unit vectors): which of the query's nearest lists holds it. rows: id, v. Tasks send on k rows for each of q."""
+    spark, d = rows.sparkSession, q.shape[1]
+    half = (centres * centres).sum(1) / 2
+    sent = spark.sparkContext.broadcast((q_id, q))
+
+    def best(batches):
+        ids, asks = sent.value
+        least = np.full(len(asks), -np.inf)
+        i, c, score, of = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                c_id, x = b.column(0).to_numpy(), unit(b.column(1).flatten().to_numpy().reshape(-1, d))
+                near = asks @ x.T
+                near[ids[:, None] == c_id] = -np.inf
+                at, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                some, back = np.unique(j, return_inverse=True)
+                own = (x[some].astype(np.float32) @ centres.T - half).argmax(1).astype(np.int32)
+                i, c, score, of = (np.concatenate(z) for z in ((i, at.astype(np.int32)), (c, c_id[j]), (score, near[at, j]), (of, own[back])))
+                order = np.lexsort((c, -score, i))
+                i, c, score, of = i[order], c[order], score[order], of[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                least[i[rank == k - 1]] = score[rank == k - 1]
+                i, c, score, of = (z[rank < k] for z in (i, c, score, of))
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i, c, score, of)], ["i", "c", "score", "list"])
+        release()
+
+    small_batches(spark)
+    order = W.partitionBy("i").orderBy(F.desc("score"), "c")
+    found = rows.select("id", "v").mapInArrow(best, "i int, c long, score double, list int").withColumn("r", F.row_number().over(order))
+    got = found.filter(F.col("r") <= k).select("i", "list").toArrow()  # k rows for each of q
+    rank = np.argsort(np.argsort(-(q.astype(np.float32) @ centres.T - half), axis=1, kind="stable"), axis=1, kind="stable")
+    return rank[got.column("i").to_numpy(), got.column("list").to_numpy()]
 
 
 def lowered(bound: np.ndarray, best: np.ndarray, i: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +219,10 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     v = F.transform(ref(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(ref(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    flag = F.coalesce(is_query if is_query is not None else F.col("id") % 50 == 0, F.lit(False))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(flag).alias("asks")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
+    if not sizes or not sizes[0].asks:
         return spark.createDataFrame([], schema)
     d, n = sizes[0].d, sizes[0].n
     rows = rows.filter(F.size("v") == d)
@@ -191,7 +233,13 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     s_id, own = some.column("id").to_numpy(), some.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
     x = unit(own)
     centres = kmeans(x, lists) if lists else all_centres(rows, x, max(1, round(n**0.5)), n)
-    turn, probes = rotation(d), min(probes or probes_for(x, s_id, centres, k), len(centres))
+    if not probes:
+        few = min(ASKED, max(1, SAMPLE_VALUES // d))
+        u = F.pmod(F.xxhash64("id", "v", F.lit("asked")), F.lit(1 << 20)) / float(1 << 20)
+        asked = rows.filter(flag & (u < min(1.0, few / sizes[0].asks))).limit(2 * few).toArrow()
+        q = unit(asked.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d))
+        probes = enough(true_ranks(rows, asked.column("id").to_numpy(), q, centres, k), len(centres))
+    turn, probes = rotation(d), min(probes, len(centres))
     half = (centres * centres).sum(1) / 2
     sent = spark.sparkContext.broadcast((s_id, own))  # SAMPLE_VALUES numbers at most, twice that by chance
 
@@ -214,7 +262,6 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
         return [pa.array(own.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(probe, pa.list_(pa.int32())), pa.array(bound, pa.float64()), pa.array(best, kind)]
 
-    flag = F.coalesce(is_query if is_query is not None else F.col("id") % 50 == 0, F.lit(False))
     hits = T.ArrayType(T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
     made = [("list", T.IntegerType()), ("x", T.BinaryType()), ("probe", T.ArrayType(T.IntegerType())), ("bound", T.DoubleType()), ("best", hits)]
     placed = append_arrow(rows, [F.col("v"), flag, F.col("id")], made, place)
@@ -252,7 +299,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     if probes > 1:
         order = W.partitionBy("query_id").orderBy(F.desc("score"))
         kth = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), (2 - 2 * F.col("score")).alias("kth"))
-        rest = each.filter("at > 0").join(kth, "id", "left").withColumn("bound", F.least("bound", F.greatest("kth", F.lit(0.0)))).drop("kth")
+        rest = each.filter("at > 0").join(kth, "id", "left").withColumn("bound", F.least("bound", F.when(F.col("kth") > 0, F.col("kth")).when(F.col("kth") <= 0, 0.0))).drop("kth")  # NULL, where fewer were found, bounds nothing
         more = scanned(stage(rest, "other_lists"))
         found = found.unionByName(more) if more is not None else found
     found = found.withColumn("met", F.lit(1))

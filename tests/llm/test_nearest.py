@@ -135,3 +135,28 @@ def test_bounds_fall():
     assert bound.tolist() == [2.0, 5.0, 1.0] and best[0].tolist() == [1.0, 2.0]
     bound, best = nearest.lowered(bound, best, np.array([1]), np.array([2.0]))
     assert bound.tolist() == [2.0, 4.0, 1.0]
+
+
+def recall(x, got):
+    u, hit = nearest.unit(x), 0
+    for q in range(0, len(x), 50):
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(got.get(q, set()) & set(np.argsort(-s)[:5].tolist()))
+    return hit / 5 / len(range(0, len(x), 50))
+
+
+@pytest.mark.parametrize("kind", ["loose", "apart"])
+def test_recall_where_the_nearest_list_holds_few(spark, kind):
+    """loose: queries find fewer than k within their bound in the nearest list, which must not bound the others by 0. apart: rows in tight clusters, queries unlike them."""
+    rng = np.random.default_rng(5)
+    n, d = 6000, 64
+    x = rng.normal(size=(n, d))
+    if kind == "apart":
+        rest = np.arange(n) % 50 != 0
+        x[rest] = (rng.normal(size=(60, d))[np.arange(n) % 60] + 0.05 * rng.normal(size=(n, d)))[rest]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, sample=2400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert recall(x, got) >= 0.93
