@@ -37,25 +37,34 @@ def quotas(counts: DataFrame, total: int) -> DataFrame:
     return counts.withColumn("alloc", F.when(s > 0, F.bround(F.sqrt("n") * float(total) / s)).otherwise(0.0).cast("long"))
 
 
-def tile_caps(per_tile: DataFrame, total: int) -> DataFrame:
-    """per_tile: tile_id, region, n. The region's quota shared by the tiles' counts, rounded half to even."""
+def tile_caps(per_tile: DataFrame, total: int, *, whole: bool = False) -> DataFrame:
+    """per_tile: tile_id, region, n. The region's quota shared by the tiles' counts, rounded half to even.
+
+    Rounding gives no row at all where a region has more than twice as many tiles as its quota has rows. whole: shares are cut to whole rows instead, and what is left of the region's quota
+    goes to the largest fractions, a row each, so that it is given out whatever the number of tiles."""
     r = quotas(per_tile.groupBy("region").agg(F.sum("n").alias("n")), total).select("region", F.col("n").alias("n_region"), "alloc")
     x = per_tile.join(r, "region")
+    if whole:
+        share, part = F.expr("alloc * n div n_region"), F.expr("alloc * n % n_region")
+        rank = F.row_number().over(W.partitionBy("region").orderBy(F.desc("part"), F.xxhash64("tile_id"), "tile_id"))  # a row for each tile
+        x = x.filter("n_region > 0").withColumns({"share": share, "part": part})
+        left = F.col("alloc") - F.sum("share").over(W.partitionBy("region"))
+        return x.select("tile_id", "region", "n", "alloc", (F.col("share") + F.when(rank <= left, 1).otherwise(0)).alias("cap"))
     return x.select("tile_id", "region", "n", "alloc", F.when(F.col("n_region") > 0, F.bround(F.col("alloc") * F.col("n") / F.col("n_region"))).otherwise(0.0).cast("long").alias("cap"))
 
 
-def stratified(pos: DataFrame, caps: DataFrame, *, strata: int = 4, seed: int = 0, conf: str = "max_confidence") -> DataFrame:
+def stratified(pos: DataFrame, caps: DataFrame, *, strata: int = 4, seed: int = 0, conf: str = "max_confidence", whole: bool = False) -> DataFrame:
     """Up to cap positives per tile: cap // strata from each stratum of confidence, and as many more from the rest as strata fell short of.
 
     Strata are cut at the tile's interior quantiles; a value belongs to the stratum after all edges that are not above it. A tile with no more rows
-    than its cap is kept whole. cap % strata stays unfilled unless a stratum is short."""
+    than its cap is kept whole. cap % strata stays unfilled unless a stratum is short; whole: it is filled from the rest as well, so that a cap below the number of strata counts."""
     q = [F.lit(i / strata) for i in range(1, strata)]
     edges = pos.groupBy("tile_id").agg(F.percentile(conf, F.array(*q)).alias("edges"), F.count("*").alias("n_tile"))
     x = pos.join(edges, "tile_id").join(caps.select("tile_id", "cap"), "tile_id").withColumn("h", order_hash(seed))
     x = x.withColumn("bucket", F.size(F.filter("edges", lambda e: e <= F.col(conf)))).withColumn("per", F.expr(f"cap div {strata}"))
     rank = F.row_number().over(W.partitionBy("tile_id", "bucket").orderBy("h", "row", "col"))
     x = x.withColumn("first", rank <= F.col("per")).withColumn("taken", F.count_if("first").over(W.partitionBy("tile_id")))
-    short = F.col("per") * strata - F.col("taken")
+    short = (F.col("cap") if whole else F.col("per") * strata) - F.col("taken")
     again = F.row_number().over(W.partitionBy("tile_id", "first").orderBy("h", "row", "col"))
     keep = (F.col("cap") > 0) & ((F.col("n_tile") <= F.col("cap")) | F.col("first") | (again <= short))
     return x.withColumn("keep", keep).filter("keep").drop("edges", "n_tile", "cap", "h", "bucket", "per", "first", "taken", "keep")
