@@ -111,43 +111,66 @@ class Numbers:
     sin, cos, sinh, cosh, asin, atan2, atanh, sqrt = map(staticmethod, (np.sin, np.cos, np.sinh, np.cosh, np.arcsin, np.arctan2, np.arctanh, np.sqrt))
 
 
-def utm_to_lonlat(east, north, zone, south=False, ops=_Columns):
+def _named(values, f):
+    return f(*values)
+
+
+def bound(values, f):
+    """f of Columns that are computed once, as an array: lambdas of array functions aren't compiled, and there a Column is computed again at each place of its use."""
+    made = lambda s: (lambda got: F.array(*got) if isinstance(got, tuple) else got)(f(*[s[f"v{i}"] for i in range(len(values))]))
+    return F.get(F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), made), F.lit(0))
+
+
+def utm_to_lonlat(east, north, zone, south=False, ops=_Columns, let=_named):
     """Longitude and latitude in degrees, by the third-order series of the transverse Mercator projection (under a millimetre in zone).
 
-    ops: where sin, cos and so on come from: Columns by default, or numpy / math for numbers."""
+    ops: where sin, cos and so on come from: Columns by default, or numpy / math for numbers. let: bound, inside a lambda; the result is an array then."""
     n = FLAT / (2 - FLAT)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
     xi = (north - (NORTH0 if south else 0.0)) / (SCALE * radius)
     eta = (east - EAST0) / (SCALE * radius)
-    x, y = xi, eta
-    for k, b in enumerate(beta, 1):
-        x = x - b * ops.sin(2 * k * xi) * ops.cosh(2 * k * eta)
-        y = y - b * ops.cos(2 * k * xi) * ops.sinh(2 * k * eta)
-    chi = ops.asin(ops.sin(x) / ops.cosh(y))
-    lat = chi
-    for k, d in enumerate(delta, 1):
-        lat = lat + d * ops.sin(2 * k * chi)
-    lon = ops.atan2(ops.sinh(y), ops.cos(x))
-    return zone * 6 - 183 + lon * (180 / math.pi), lat * (180 / math.pi)
-
-
-def lonlat_to_utm(lon, lat, zone, south=False, ops=_Columns):
-    """East and north in metres: the forward direction of the same series."""
+
+    def sphere(xi, eta):
+        x, y = xi, eta
+        for k, b in enumerate(beta, 1):
+            x = x - b * ops.sin(2 * k * xi) * ops.cosh(2 * k * eta)
+            y = y - b * ops.cos(2 * k * xi) * ops.sinh(2 * k * eta)
+        return let((x, y), conformal)
+
+    def conformal(x, y):
+        return let((ops.asin(ops.sin(x) / ops.cosh(y)), ops.atan2(ops.sinh(y), ops.cos(x))), degrees)
+
+    def degrees(chi, lon):
+        lat = chi
+        for k, d in enumerate(delta, 1):
+            lat = lat + d * ops.sin(2 * k * chi)
+        return zone * 6 - 183 + lon * (180 / math.pi), lat * (180 / math.pi)
+
+    return let((xi, eta), sphere)
+
+
+def lonlat_to_utm(lon, lat, zone, south=False, ops=_Columns, let=_named):
+    """East and north in metres: the forward direction of the same series. let: as there."""
     n = FLAT / (2 - FLAT)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * math.sqrt(n) / (1 + n)
     phi, away = lat * (math.pi / 180), (lon - (zone * 6 - 183)) * (math.pi / 180)
     t = ops.sinh(ops.atanh(ops.sin(phi)) - e * ops.atanh(e * ops.sin(phi)))
-    xi = ops.atan2(t, ops.cos(away))
-    eta = ops.atanh(ops.sin(away) / ops.sqrt(1 + t * t))
-    x, y = eta, xi
-    for k, a in enumerate(alpha, 1):
-        x = x + a * ops.cos(2 * k * xi) * ops.sinh(2 * k * eta)
-        y = y + a * ops.sin(2 * k * xi) * ops.cosh(2 * k * eta)
-    return EAST0 + SCALE * radius * x, SCALE * radius * y + (NORTH0 if south else 0.0)
+
+    def sphere(t, away):
+        return let((ops.atan2(t, ops.cos(away)), ops.atanh(ops.sin(away) / ops.sqrt(1 + t * t))), plane)
+
+    def plane(xi, eta):
+        x, y = eta, xi
+        for k, a in enumerate(alpha, 1):
+            x = x + a * ops.cos(2 * k * xi) * ops.sinh(2 * k * eta)
+            y = y + a * ops.sin(2 * k * xi) * ops.cosh(2 * k * eta)
+        return EAST0 + SCALE * radius * x, SCALE * radius * y + (NORTH0 if south else 0.0)
+
+    return let((t, away), sphere)
 
 
 # ---- reference systems ------------------------------------------------------------------------------------------

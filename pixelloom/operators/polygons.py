@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.pixel import LONLAT, UTM_SOUTH, lonlat_to_utm
+from ..functions.pixel import LONLAT, UTM_SOUTH, bound, lonlat_to_utm
 from . import imagery, metrics, raster, terrain
 
 FEATURE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
@@ -42,12 +42,16 @@ def by_place(polygons: DataFrame, grid: DataFrame) -> DataFrame:
     return imagery.clip(boxes, utm.unionByName(flat)).join(polygons.select("poly_id", "rings"), "poly_id").select("tile_id", "poly_id", "rings")
 
 
-def _on_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Fractional column and row of a point on a grid without rotation, whose place is in columns."""
-    x, y = lonlat_to_utm(lon, lat, F.col("epsg") % 100)
+def _on_grid(lon: Column, lat: Column) -> Column:
+    """Fractional column and row (x, y) of a point on a grid without rotation, whose place is in columns; for use in a lambda."""
     flat = F.col("epsg") == LONLAT
-    x, y = F.when(flat, lon).otherwise(x), F.when(flat, lat).otherwise(y + F.when(F.col("epsg") > UTM_SOUTH, 10_000_000.0).otherwise(0.0))
-    return (x - F.col("c")) / F.col("a"), (y - F.col("f")) / F.col("e")
+    xy = F.when(flat, F.array(lon, lat)).otherwise(lonlat_to_utm(lon, lat, F.col("epsg") % 100, let=bound))
+
+    def at(p: Column) -> Column:
+        north = p[1] + F.when(~flat & (F.col("epsg") > UTM_SOUTH), 10_000_000.0).otherwise(0.0)
+        return F.struct(((p[0] - F.col("c")) / F.col("a")).alias("x"), ((north - F.col("f")) / F.col("e")).alias("y"))
+
+    return bound([xy], at)
 
 
 def runs_of(polygons: DataFrame, grid: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def runs_of(polygons: DataFrame, grid: DataFrame) -> DataFrame:
     grid: tile_id, height, width, a, c, e, f, epsg."""
     place = grid.select("tile_id", "height", "width", "a", "c", "e", "f", "epsg")
     ring = polygons.filter(F.size("rings") > 0).select("tile_id", "poly_id", F.explode("rings").alias("ring")).join(place, "tile_id")  # a row for each tile
-    on = ring.select("tile_id", "poly_id", "height", "width", F.transform("ring", lambda p: F.struct(*[v.alias(n) for v, n in zip(_on_grid(p[0], p[1]), "xy")])).alias("p"))
+    on = ring.select("tile_id", "poly_id", "height", "width", F.transform("ring", lambda p: _on_grid(p[0], p[1])).alias("p"))
     # a ring that isn't closed ends where it began
     edge = on.select("tile_id", "poly_id", "height", "width", F.explode(F.arrays_zip(F.col("p").alias("p"), F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("q"))).alias("z"))
     x0, y0, x1, y1 = (F.col(f"z.{a}.{b}") for a in "pq" for b in "xy")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixel import utm_to_lonlat
+from ..functions.pixel import bound, utm_to_lonlat
 from ..plans.staging import cut
 
 
@@ -17,8 +17,8 @@ def lonlat_rings(polygons: DataFrame, tiles: DataFrame) -> DataFrame:
 
     def corner(p: Column) -> Column:
         north = F.col("f") + p[1] * F.col("e")
-        lon, lat = utm_to_lonlat(F.col("c") + p[0] * F.col("a"), F.when(F.col("south"), north - 10000000.0).otherwise(north), F.col("zone"))
-        return F.array(F.round(lon, 7), F.round(lat, 7))
+        lonlat = utm_to_lonlat(F.col("c") + p[0] * F.col("a"), F.when(F.col("south"), north - 10000000.0).otherwise(north), F.col("zone"), let=bound)
+        return F.transform(lonlat, lambda v: F.round(v, 7))
 
     x = x.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, corner)))
     return x.drop("zone", "south", "a", "c", "e", "f")

@@ -91,3 +91,21 @@ def test_columns_equal_numbers(spark):
     x = spark.createDataFrame([(-75.3, 3.1)], "lon double, lat double")
     got = x.select(*[v.alias(n) for v, n in zip(fn.lonlat_to_utm(F.col("lon"), F.col("lat"), F.lit(18)), "xy")]).first()
     assert tuple(got) == pytest.approx(fn.lonlat_to_utm(-75.3, 3.1, 18, ops=fn.Numbers), abs=1e-6)
+
+
+def test_projections_in_lambdas_compute_each_part_once(spark):
+    """Lambdas aren't compiled, so what a projection uses often must be bound; results are those of the plain Columns."""
+    bound, lonlat_to_utm, utm_to_lonlat = fn.bound, fn.lonlat_to_utm, fn.utm_to_lonlat
+    df = spark.createDataFrame([(431_234.5, 412_345.6, 19), (700_000.0, 9_000.0, 20)], "x double, y double, z int")
+    xy = F.transform(F.array(F.struct("x", "y")), lambda p: utm_to_lonlat(p.x, p.y, F.col("z"), let=bound))[0]
+    back = F.transform(F.array(F.struct("lon", "lat")), lambda p: lonlat_to_utm(p.lon, p.lat, F.col("z"), let=bound))[0]
+    lon, lat = utm_to_lonlat(F.col("x"), F.col("y"), F.col("z"))
+    plain = df.select("z", lon.alias("lon"), lat.alias("lat"))
+    east, north = lonlat_to_utm(F.col("lon"), F.col("lat"), F.col("z"))
+    assert [tuple(r[0]) for r in df.select(xy).collect()] == [(r.lon, r.lat) for r in plain.collect()]
+    assert [tuple(r[0]) for r in plain.select(back).collect()] == [tuple(r) for r in plain.select(east, north).collect()]
+
+    rings = spark.createDataFrame([("a", [[[0, 0], [1, 0], [1, 1], [0, 0]]])], "tile_id string, rings array<array<array<int>>>")
+    tiles = spark.createDataFrame([("a", 19, False, 10.0, 500000.0, -10.0, 400000.0)], "tile_id string, zone int, south boolean, a double, c double, e double, f double")
+    plan = sinks.lonlat_rings(rings, tiles)._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert plan.count("SIN(") <= 12, plan.count("SIN(")
