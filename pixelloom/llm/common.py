@@ -102,6 +102,14 @@ def purge(spark: SparkSession) -> None:
         pass
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have ended. It does so once the driver's collector has seen that they are gone, which with little work on the driver may be never."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives a process's freed memory back to the system: allocators keep what a large table took, on the driver and in workers that wait for their next task."""
     import ctypes

@@ -15,7 +15,10 @@ What keeps the work near the input's size:
 * documents with equal sets are one class, told by a hash of the set; only classes go through the index. Classes of very many documents are few
   (HEAVY of all documents at most), so their documents find their class in a broadcast list, all others by a shuffle;
 * candidates of a token form a star about its least class (for very common tokens, one star per slice of classes, and one star of the slices'
-  centres); the components of the stars hold every candidate pair inside them, so no list of pairs is ever made;
+  centres); the components of the stars hold every candidate pair inside them;
+* where many texts share passages by chance, stars chain unrelated documents into components that grow faster than the input. So a component of more than MIXED classes
+  is parted anew: tokens of up to RARE classes are counted pair by pair, and only pairs of like size that share as many as linked sets must are edges; tokens of more
+  classes stay stars, each within a run of like sizes. The list of pairs has at most (RARE - 1) / 2 rows for each row of the index, and smaller components make none;
 * a component is verified in blocks of bounded size. If it has several blocks, each is verified with a few hubs of the component first;
   after that only the documents that are still apart from the component's main part are verified against all its blocks. Nothing is capped:
   the work for one component can grow with (documents still apart) x (its documents), counted by matrix products inside blocks.
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HEAVY, WordHasher, counted_stage, grams, heavy_join, ref, release, small_batches, stage
+from .common import HEAVY, WordHasher, counted_stage, grams, heavy_join, ref, release, small_batches, stage, sweep, unstage
 from .graph import components, small
 from .substring import by_bytes, doc_words
 
@@ -51,6 +54,8 @@ SHINGLE, PERCENT = 5, 80
 LEAST_CELLS, MOST_CELLS, TOKENS_A_CELL, TOKEN_BYTES, PARTS = 1 << 16, 1 << 24, 32, 6, 64
 SLICE = 2000
 BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 512, 400_000, 16
+#: A set of n tokens has n // EXTRA more of them in the index than it must; components of more than MIXED classes are parted by pairs, over tokens of up to RARE classes.
+EXTRA, MIXED, RARE = 20, 64, 32
 
 
 def prefix_size(n: int) -> int:
@@ -59,7 +64,7 @@ def prefix_size(n: int) -> int:
 
 def extra(n):
     """How many tokens more than prefix_size(n) the index takes: linked sets then share at least 1 + the smaller extra among them."""
-    return n // 20
+    return n // EXTRA
 
 
 def sets(col, hasher: WordHasher):
@@ -253,7 +258,9 @@ def _profiles(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         sketch[part * per : (part + 1) * per] = np.frombuffer(data.as_buffer(), np.uint32)
     del got
     release()
-    return x.filter("part is null").select("doc", "n", "fp", "cid"), sketch
+    own = stage(x.filter("part is null").select("doc", "n", "fp", "cid"), "documents")
+    unstage(x)  # most of it were the tasks' counts
+    return own, sketch
 
 
 def rare_first(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,21 +318,65 @@ def _shared(p: DataFrame) -> DataFrame:
     return x.filter("(cell > 0 or lo < hi) and (before is null or before < cid)").select("token", "cell", "cid", "need", "lo")
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """Candidate edges (u, v) of classes: each with the least one of a token that both have.
+def _met(postings: DataFrame) -> DataFrame:
+    """(token, cell, cid, lo) of the index prefixes' shared tokens, written once.
 
     A set that can link with some set of at least PERCENT% of its size shares `need` tokens of its index prefix with it. Sets that share
-    fewer with all others together are left out before the stars are made, twice, as leaving out some makes tokens of others unshared."""
-    p = _shared(postings)
+    fewer with all others together are left out, twice, as leaving out some makes tokens of others unshared."""
+    spark = postings.sparkSession
+    first = stage(_shared(postings), "met")
+    sweep(spark)  # all prefixes were exchanged for it
+    p = first
     for _ in range(2):
         p = _shared(p.withColumn("k", F.count("*").over(W.partitionBy("cid"))).filter("k >= need").select("token", "cell", "cid", "need"))
     p = stage(p.filter("cell > 0 or lo < cid").select("token", "cell", "cid", "lo"), "shared")
+    unstage(first)
+    sweep(spark)
+    return p
+
+
+def _stars(p: DataFrame) -> DataFrame:
+    """Candidate edges (u, v) of classes: each with the least one of a token that both have."""
     inner = p.filter("lo < cid").select(F.col("lo").alias("u"), F.col("cid").alias("v"))
     centres = p.filter("cell > 0").select("token", "lo").distinct()
     outer = centres.join(centres.groupBy("token").agg(F.min("lo").alias("m")), "token").filter("m < lo").select(F.col("m").alias("u"), F.col("lo").alias("v"))
     return inner.unionByName(outer)
 
 
+def _pairs(p: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidate edges (u, v) of the classes in sizes (cid, n), fewer than their stars. p: what _met gave, with all classes of a token in sizes or none.
+
+    Linked sets share a token of more than RARE classes, where they are in one run of sizes that are PERCENT% of the next at least, or all that they must
+    share are tokens of fewer classes, and are counted for the pair."""
+    rows = p.filter("cell = 0").join(sizes, "cid").select("token", "cid", "n", "lo")
+    least = rows.select("token", F.col("lo").alias("cid")).distinct().join(sizes, "cid")
+    sets = rows.drop("lo").unionByName(least.select("token", "cid", "n")).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cid"))).alias("c"))
+    a = F.col("a")
+    after = lambda y: ((y["n"] > a["n"]) | ((y["n"] == a["n"]) & (y["cid"] > a["cid"]))) & (PERCENT * y["n"] <= 100 * a["n"])
+    both = sets.filter(F.size("c") <= RARE).select(F.explode("c").alias("a"), "c").select("a", F.explode(F.filter("c", after)).alias("b"))
+    both = both.groupBy(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).agg(F.count("*").alias("k"), F.min("a.n").alias("n"))
+    few = both.filter(f"k >= 1 + n div {EXTRA}").select("u", "v")
+    at = W.partitionBy("token").orderBy("n", "cid")
+    many = sets.filter(F.size("c") > RARE).select("token", F.explode("c").alias("x")).select("token", "x.n", "x.cid")
+    many = many.withColumn("cut", F.coalesce(PERCENT * F.col("n") > 100 * F.lag("n").over(at), F.lit(True)))
+    many = many.select(F.last(F.when(F.col("cut"), F.col("cid")), ignorenulls=True).over(at).alias("u"), F.col("cid").alias("v"))
+    return few.unionByName(many).unionByName(_stars(p.filter("cell > 0").join(sizes, "cid", "left_semi")))
+
+
+def _candidates(p: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid, g: components of candidates. Those of the stars, where large ones are parted by pairs; a class of a large one that is in no pair is left out."""
+    name = lambda x: x.select(F.col("node").alias("cid"), F.col("component").alias("g"))
+    cand = stage(name(components(_stars(p))), "candidates")
+    sizes = stage(classes.join(cand, "cid").groupBy("cid").agg(F.min("n").alias("n"), F.first("g").alias("g")), "sizes")
+    mixed = sizes.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter((F.col("m") > min(MIXED, BLOCK_ROWS)) | (F.col("w") > BLOCK_SHINGLES))
+    mixed, parted = counted_stage(mixed.select("g"), "mixed")
+    if not parted:
+        return cand
+    sizes, many = counted_stage(sizes.join(small(mixed, parted), "g").select("cid", "n"), "mixed-sizes")
+    anew = stage(name(components(_pairs(p, small(sizes, many)))), "parted")
+    return cand.join(small(mixed, parted), "g", "left_anti").select("cid", "g").unionByName(anew)
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_shingles, component: one row per row of docs."""
     small_batches(docs.sparkSession)
@@ -336,11 +387,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     least = very_common(counts)
     del counts
     release()
-    cand = stage(components(_stars(_postings(src, sketch, least))).select(F.col("node").alias("cid"), F.col("component").alias("g")), "candidates")
     # classes of equal sets
     classes = own.filter("n > 0 and doc is not null").groupBy("fp", "cid", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k"))
     classes = stage(classes, "classes")
-    part = _linked(src, cand, classes, sketch)
+    sweep(docs.sparkSession)
+    met = _met(_postings(src, sketch, least))
+    nodes, many = counted_stage(classes.join(_candidates(met, classes), "cid").select(F.col("rep").alias("doc"), "n", "g"), "nodes")
+    unstage(met)
+    sweep(docs.sparkSession)
+    part = _linked(src, nodes, many, sketch)
     sketch.destroy()
     classes = classes.join(part, classes["rep"] == part["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "k")
     classes = stage(classes, "components")
@@ -350,10 +405,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return out[0].unionByName(out[1])
 
 
-def _linked(src: DataFrame, cand: DataFrame, classes: DataFrame, sketch) -> DataFrame:
-    """node, component of the classes (by their least documents) that are linked with others: all links lie within the candidates' components."""
-    nodes = classes.join(cand, "cid").select(F.col("rep").alias("doc"), "n", "g")
-    nodes, many = counted_stage(nodes, "nodes")
+def _linked(src: DataFrame, nodes: DataFrame, many: int, sketch) -> DataFrame:
+    """node, component of the classes (by their least documents) that are linked with others. nodes: doc, n, g of `many` classes; all links lie within the candidates' components g."""
     weight = nodes.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = weight.select("g", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")).filter("nb > 1")
     blocks, parted = counted_stage(blocks, "blocks")
@@ -372,6 +425,14 @@ def _linked(src: DataFrame, cand: DataFrame, classes: DataFrame, sketch) -> Data
 
     text = src.join(small(nodes, many), F.col("id") == F.col("doc"))
     held = stage(text.select("doc", "g", "nb", "blk", "text").mapInArrow(run, "doc long, g long, nb int, blk int, s binary, p binary"), "sets")
+    part = _verified(held, nodes, parted)
+    unstage(held)
+    sweep(src.sparkSession)
+    return part
+
+
+def _verified(held: DataFrame, nodes: DataFrame, parted: int) -> DataFrame:
+    """node, component of the sets in held; what it gives no longer reads them. parted: how many components have several blocks."""
     large = held.filter("nb > 1")
     hub = large.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("doc", F.lit(3)), "doc"))).filter(F.col("k") <= HUBS)
     hub = hub.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("to <> blk")

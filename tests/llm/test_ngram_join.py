@@ -196,3 +196,28 @@ def test_a_full_sketch_slices_no_rare_token(spark, monkeypatch):
                 top[i] = top.get(j, j)
                 break
     assert {r.doc_id: r.component_id for r in nj.digests(df).collect()} == top
+
+
+def test_texts_that_share_passages_by_chance_are_no_candidates(spark, monkeypatch):
+    """Each text has six passages that two others have too, so stars chain all of them; pairs share too little. Only copies, linked or nearly so, come to be verified."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passages = [[word() for _ in range(7)] for _ in range(400)]
+    dealt = [k for _ in range(3) for k in r.sample(range(400), 400)]
+    rows = [(i, " ".join(w for k in dealt[6 * i : 6 * i + 6] for w in passages[k] + [word() for _ in range(3)])) for i in range(200)]
+    for i in range(40):  # 40 near copies of one text
+        w = rows[0][1].split()
+        w[r.randrange(60)] = word()
+        rows.append((300 + i, " ".join(w)))
+    seen = {}
+
+    def counted(df, name, *more):
+        x = plain(df, name, *more)
+        seen[name] = x.count()
+        return x
+
+    plain = nj.stage
+    monkeypatch.setattr(nj, "stage", counted)
+    monkeypatch.setattr(nj, "cell_count", lambda n: 64)  # as in a large input, cells don't tell what is rare
+    same(spark, rows)
+    assert seen["candidates"] > 200 and 41 <= seen["sets"] < 100, seen
