@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from test_secrets import TEXTS, every
 
 import corpus_pipeline
 from pixelloom.llm import bpe
+from pixelloom.llm.common import scratch_root
 
 
 def redacted(t):
@@ -66,3 +68,14 @@ def test_run_against_brute_force(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_leave_no_large_tables(spark, tmp_path):
+    """What the join wrote of all texts' shingles is deleted before the next stage runs."""
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in corpus(4, 60)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = {f.split("-")[0] for f in set(os.listdir(root)) - before}
+    assert left and not left & {"profiles", "met", "shared", "sets"}, left
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in groups(corpus(4, 60)).items() if g[1] == i)
